@@ -179,7 +179,7 @@ def forest(fps: np.ndarray, bits: int, head: np.ndarray | None = None) -> tuple[
 SMALL, BLOCK = 6, 8192
 
 
-def bucket_links(keys: np.ndarray, fps: np.ndarray, bits: int):
+def bucket_links(keys: np.ndarray, fps: np.ndarray, bits: int, block: int = BLOCK):
     """Links of all keys' buckets (rows sorted by key): arrays of ends, then the runs too
     large for one task as (key, fingerprints)."""
     change = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -194,7 +194,7 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, bits: int):
         ends[1].append(f[d:][hit])
     large = []
     for at, n in zip(change[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-        if n > BLOCK:
+        if n > block:
             large.append((int(keys[at]), fps[at : at + n]))
             continue
         x, y = forest(fps[at : at + n], bits)
@@ -205,7 +205,7 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, bits: int):
     return pair[0], pair[1], large
 
 
-def links(distinct: DataFrame, n_distinct: int, bits: int = 3) -> DataFrame:
+def links(distinct: DataFrame, n_distinct: int, bits: int = 3, block: int = BLOCK) -> DataFrame:
     """(a, b) links among distinct fingerprints, enough to connect all that are linked."""
     if bits > 3:
         raise ValueError("the keys meet up to 3 differing bits")
@@ -236,8 +236,8 @@ def links(distinct: DataFrame, n_distinct: int, bits: int = 3) -> DataFrame:
             keys = np.concatenate([np.frombuffer(x[0], "<i8") for x in have])
             fps = np.concatenate([np.frombuffer(x[1], "<u8") for x in have])
             order = np.argsort(keys, kind="stable")
-            a, b, large = bucket_links(keys[order], fps[order], bits)
-            big = [(k, i // BLOCK, f[i : i + BLOCK]) for k, f in large for i in range(0, len(f), BLOCK)]
+            a, b, large = bucket_links(keys[order], fps[order], bits, block)
+            big = [(k, i // block, f[i : i + block]) for k, f in large for i in range(0, len(f), block)]
             none = [None] * len(big)
             yield pa.RecordBatch.from_pydict({"a": pa.array(a.view(np.int64).tolist() + none, pa.int64()), "b": pa.array(b.view(np.int64).tolist() + none, pa.int64()), "key": pa.array([None] * len(a) + [x[0] for x in big], pa.int64()), "block": pa.array([None] * len(a) + [x[1] for x in big], pa.int64()), "fps": pa.array([None] * len(a) + [x[2].astype("<u8").tobytes() for x in big], pa.binary())})
 
@@ -251,7 +251,7 @@ def links(distinct: DataFrame, n_distinct: int, bits: int = 3) -> DataFrame:
         yield from flush(have)
 
     found = C.written(blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(by_bucket, "a long, b long, key long, block long, fps binary"), "links")
-    # buckets of more than BLOCK fingerprints: block against block, dealt over the cluster
+    # buckets of more than ``block`` fingerprints: block against block, dealt over the cluster
     blocks = found.where("fps is not null")
     x, y = blocks.select("key", F.col("block").alias("i"), F.col("fps").alias("f")), blocks.select("key", F.col("block").alias("j"), F.col("fps").alias("g"))
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .near_dedup import op10_near_dedup
+from .substring_dedup import op4_substring_dedup
 
 QUERIES = {
+    "op4_substring_dedup": op4_substring_dedup,
     "op10_near_dedup": op10_near_dedup,
 }
 

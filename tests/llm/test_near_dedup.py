@@ -45,8 +45,7 @@ def plain_components(ids, fps, bits=3):
     return [min((d for d, x in zip(ids, label) if x == label[i] and d is not None), default=None) for i in range(len(fps))]
 
 
-def test_components_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(N, "BLOCK", 8)  # so that large buckets are met
+def test_components_equal_brute_force(spark):
     rng = np.random.default_rng(5)
     centre = rng.integers(0, 2**63, 6, dtype=np.uint64)
     fps = []
@@ -58,7 +57,7 @@ def test_components_equal_brute_force(spark, monkeypatch):
             fps.append(int(x))
     rows = [(int(np.uint64(f).astype(np.int64)),) for f in set(fps)]
     df = spark.createDataFrame(rows, "fp long")
-    roots = {r.node: r.root for r in N.components(N.links(df, len(rows))).collect()}
+    roots = {r.node: r.root for r in N.components(N.links(df, len(rows), block=8)).collect()}
     u = [r[0] for r in rows]
     want = plain_components(u, [x & (2**64 - 1) for x in u])
     assert [roots.get(x, x) for x in u] == want
