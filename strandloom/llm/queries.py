@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .decontamination import op8_decontamination
 from .language import op3_language_id
 from .near_dedup import op10_near_dedup
 from .packing import op7_best_fit_packing
 from .substring_dedup import op4_substring_dedup
 
 QUERIES = {
+    "op8_decontamination": op8_decontamination,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op3_language_id": op3_language_id,
     "op4_substring_dedup": op4_substring_dedup,
