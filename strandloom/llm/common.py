@@ -42,6 +42,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """As ``written``, but ``release`` leaves the table."""
+    out = written(df, tag)
+    _WRITTEN.pop()
+    return out
+
+
 def release(spark: SparkSession, keep: int = 0) -> None:
     """Delete scratch tables, but for the latest ``keep``. Only for callers that
     have stored every result built on them."""
@@ -61,6 +68,28 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def judge_rows(docs: DataFrame, text: str, make, fields: str, rows: int = 512) -> DataFrame:
+    """``docs`` as a struct column ``row``, beside columns (``fields``) made from each whole
+    text. ``make`` runs once a task and returns a function of the texts (bytes, null as None)
+    that gives columns by name. Narrow: no row moves, and no name clashes."""
+    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+    made = _parse_datatype_string(fields)
+    schema = StructType([StructField("row", StructType.fromJson(docs.schema.jsonValue())), *made.fields])
+    place = docs.columns.index(text)
+
+    def start():
+        judge = make()
+
+        def step(batch: pa.RecordBatch):
+            row = batch.column(0)
+            return {"row": row, **judge(row.field(place).cast(pa.binary()).to_pylist())}
+
+        return step
+
+    return map_batches(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), start, schema, rows)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict] | dict | None]], schema: str, rows: int = 2048) -> DataFrame:
     """``mapInArrow`` by a function of at most ``rows`` rows that returns columns by
     name (a dict) or several such dicts. ``make`` runs once a task."""

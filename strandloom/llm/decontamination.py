@@ -198,33 +198,52 @@ class Index:
         return found
 
 
-def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8, part: int = 256, shard_bytes: int = 16 << 20, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, score, question_overlap, answer_overlap) of every contained item."""
-    spark = docs.sparkSession
+def _indexes(benchmark: DataFrame, part: int, shard_bytes: int, item_id: str, item_text: str) -> list:
+    """The broadcast index of each shard of the items."""
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("binary").alias("t")).where("t is not null")
     shards = max(1, -(-(items.agg(F.sum(F.length("t"))).first()[0] or 0) // shard_bytes))
-    out = None
-    for s in range(shards):
-        share = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == s)
-        held = spark.sparkContext.broadcast(Index([(r["i"], bytes(r["t"])) for r in share.collect()], part))
+    share = lambda s: items.where(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == s).collect()
+    context = benchmark.sparkSession.sparkContext
+    return [context.broadcast(Index([(r["i"], bytes(r["t"])) for r in share(s)], part)) for s in range(shards)]
+
+
+def _finder(index, threshold: float, overlap: float):
+    """Columns with, for each text, its items and their scores and overlaps."""
+
+    def make():
+        def step(raw: list):
+            texts = [t or b"" for t in raw]
+            hits: list[list[dict]] = [[] for _ in texts]
+            for lo, hi in C.slices([len(t) for t in texts], 1 << 20):
+                for (d, item), x in index.value.search(texts[lo:hi], threshold, overlap).items():
+                    hits[lo + d].append(dict(zip(("item_id", "score", "question_overlap", "answer_overlap"), (item, *x), strict=True)))
+            return {"hits": hits}
+
+        return step
 
-        def make(held=held):
-            index = held.value
+    return make
 
-            def step(batch: pa.RecordBatch):
-                ids, texts = batch.column(0).to_pylist(), C.byte_values(batch.column(1))
-                for lo, hi in C.slices([len(t) for t in texts], 1 << 20):
-                    found = index.search(texts[lo:hi], threshold, overlap)
-                    if found:
-                        rows = [(ids[lo + d], i, *x) for (d, i), x in found.items()]
-                        yield dict(zip(("doc_id", "item_id", "score", "question_overlap", "answer_overlap"), map(list, zip(*rows, strict=True)), strict=True))
 
-            return step
+HITS = "hits array<struct<item_id: bigint, score: double, question_overlap: double, answer_overlap: double>>"
 
-        got = C.map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t")), make, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+
+def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8, part: int = 256, shard_bytes: int = 16 << 20, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, item_id, score, question_overlap, answer_overlap) of every contained item."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    out = None
+    for index in _indexes(benchmark, part, shard_bytes, item_id, item_text):
+        told = C.judge_rows(rows, "text", _finder(index, threshold, overlap), HITS)
+        got = told.select(F.col("row.doc_id").alias("doc_id"), F.explode("hits").alias("h")).select("doc_id", "h.*")
         out = got if out is None else out.union(got)
     return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8, part: int = 256, shard_bytes: int = 16 << 20, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that contain no item. Narrow: no row moves."""
+    for index in _indexes(benchmark, part, shard_bytes, item_id, item_text):
+        docs = C.judge_rows(docs, text, _finder(index, threshold, overlap), HITS).where(F.size("hits") == 0).select("row.*")
+    return docs
+
+
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
     return contained(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))

@@ -137,16 +137,16 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return fit([bytes(r["t"]) for r in got], [r["l"] for r in got])
 
 
-def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) of every row; ``score`` is the best language's share."""
+def judge(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """Each row of ``docs`` as struct ``row``, with lang_pred and lang_score (the best
+    language's share)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2**20 slots and landmarks x columns floats
 
     def make():
         m = shared.value
 
-        def step(batch: pa.RecordBatch):
-            raw = C.byte_values(batch.column(1))
-            texts = [t.decode() for t in raw]
+        def step(raw: list):
+            texts = [(t or b"").decode() for t in raw]
             known = np.array([bool(m.languages) and LETTER.search(t) is not None for t in texts], bool)
             lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
             at = np.flatnonzero(known)
@@ -155,11 +155,17 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
                 e = np.exp(4.0 * (s - s.max(axis=1, keepdims=True)))
                 lang[at] = np.array(m.languages, object)[s.argmax(axis=1)]
                 score[at] = np.clip(e.max(axis=1) / e.sum(axis=1), 0, 1)
-            return {"doc_id": batch.column(0), "lang_pred": pa.array(lang.tolist(), pa.string()), "score": score}
+            return {"lang_pred": pa.array(lang.tolist(), pa.string()), "lang_score": score}
 
         return step
 
-    return C.map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t")), make, "doc_id long, lang_pred string, score double", rows=512)
+    return C.judge_rows(docs, text, make, "lang_pred string, lang_score double")
+
+
+def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, lang_pred, score) of every row."""
+    told = judge(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), model)
+    return told.select(F.col("row.doc_id").alias("doc_id"), "lang_pred", F.col("lang_score").alias("score"))
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

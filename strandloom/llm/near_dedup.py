@@ -28,8 +28,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import common as C
 
@@ -297,17 +298,46 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 3, bits: int = 3) -> DataFrame:
-    """doc_id, fp bigint, component_id (smallest doc_id reachable) of every row of ``docs``."""
+def _labelled(docs: DataFrame, doc_id: str, text: str, k: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and (fp, root, component_id) of every fingerprint."""
     marked = C.written(fingerprints(docs, doc_id, text, k), "fingerprints")
     distinct = C.written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     roots = components(links(distinct, distinct.count(), bits))
     labelled = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
-    label = C.written(labelled.join(lowest, "root").select("fp", "component_id"), "labels")
+    return marked, C.written(labelled.join(lowest, "root").select("fp", "root", "component_id"), "labels")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 3, bits: int = 3) -> DataFrame:
+    """doc_id, fp bigint, component_id (smallest doc_id reachable) of every row of ``docs``."""
+    marked, label = _labelled(docs, doc_id, text, k, bits)
     return marked.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 3, bits: int = 3) -> DataFrame:
+    """One row of ``docs`` for each component: that with its smallest doc_id. Where several rows
+    of a component have that id, or none has an id, any one of them by a hash."""
+    marked, label = _labelled(docs, doc_id, text, k, bits)
+    odd = C.written(marked.groupBy("doc_id").count().where("doc_id is null or count > 1").select(F.col("doc_id").alias("odd_id")), "odd")
+    keep = marked.join(label, "fp").where("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("own_id"))
+    if not odd.head(1):
+        return rows.join(keep, rows.own_id == keep.kept_id, "left_semi").select("row.*")
+    # ids that are null or repeat: these rows alone are told apart by their fingerprints
+    met = rows.own_id.eqNullSafe(odd.odd_id)
+    plain = rows.join(odd, met, "left_anti").join(keep, F.col("own_id") == keep.kept_id, "left_semi").select("row.*")
+    place = docs.columns.index(text)
+
+    def make():
+        return lambda batch: {"row": batch.column(0), "own_id": batch.column(1), "fp": fingerprint_texts(C.byte_values(batch.column(0).field(place).cast(pa.binary())), k).view(np.int64)}
+
+    apart = rows.join(odd, met, "left_semi")
+    apart = C.map_batches(apart, make, StructType([*apart.schema.fields, StructField("fp", LongType())]))
+    apart = apart.join(label, "fp").where("own_id <=> component_id")
+    apart = apart.withColumn("n", F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64(F.to_json("row")))))
+    return plain.unionByName(apart.where("n = 1").select("row.*"))
+
+
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
     got = near_duplicates(C.table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
