@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import op8_decontamination
 from .language import op3_language_id
+from .licenses import op9_license_scan
 from .media import op6_media
 from .near_dedup import op10_near_dedup
 from .packing import op7_best_fit_packing
@@ -12,6 +13,7 @@ from .substring_dedup import op4_substring_dedup
 from .url_filter import op2_url_filter
 
 QUERIES = {
+    "op9_license_scan": op9_license_scan,
     "op6_media": op6_media,
     "op5_quality": op5_quality,
     "op2_url_filter": op2_url_filter,
