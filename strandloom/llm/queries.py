@@ -11,8 +11,10 @@ from .packing import op7_best_fit_packing
 from .quality import op5_quality
 from .substring_dedup import op4_substring_dedup
 from .url_filter import op2_url_filter
+from .warc import op1_warc
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op9_license_scan": op9_license_scan,
     "op6_media": op6_media,
     "op5_quality": op5_quality,
