@@ -5,7 +5,7 @@ repeat. So all windows of ``base`` words are tested first; those repeated are ex
 twice that length where the following window repeats too, and so on until the asked
 length is reached or no candidate is left.
 
-Documents are kept in *chunks* (compressed rows of about 4 MB of text). For each level a
+Documents are kept in *chunks* (compressed rows of about 2 MB of text). For each level a
 chunk sends each hash bucket one block: its sorted distinct window hashes, as compressed
 byte planes (about 3 bytes a window). A bucket answers each block with one bit a hash. So a
 window of text never becomes a row, a phrase that occurs everywhere counts once a chunk, and
@@ -33,7 +33,7 @@ from pyspark.sql.types import StructType
 
 from . import common as C
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 24 << 20
 CHUNK = "chunk long, n_bytes long, docs binary, marks binary"
 WORD = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+")
