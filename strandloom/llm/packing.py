@@ -50,7 +50,7 @@ def _byte_letters() -> list[str]:
 class WordIds(dict):
     """Little-endian 32-bit ids of a word given as bytes; kept for at most ``most`` words."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
