@@ -1,6 +1,598 @@
-"""Registered queries over the driver tables and their DuckDB equivalents."""
+"""Registered queries over the driver tables, each with the DuckDB SQL of the same result.
+
+``documents`` serve as sequence records: the letters A, C, G, T of a text are its sequence, and
+qualities follow from the letters. ``lineitem`` rows serve as features.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import columns as S
+from ..functions import iupac
+from ..functions.ordering import ranked
+from ..operators import aggregate as A
+from ..operators import order as O
+from ..operators import relate as R
+from ..operators import search as Q
+from ..operators import transform as T
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+LANGS = ["de", "en", "es", "fr"]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    seq = F.upper(F.regexp_replace("text", "[^ACGTacgt]", ""))
+    out = d.select(F.col("lang").alias("file"), F.array_position(F.array(*map(F.lit, LANGS)), F.col("lang")).cast("int").alias("file_idx"), F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("id"), F.concat("lang", F.lit(" "), "source").alias("desc"), seq.alias("seq"))
+    return out.select("file", "file_idx", "pos", "id", "desc", F.concat("id", F.lit(" "), "desc").alias("name"), "seq", F.translate("seq", "ACGT", "I?5+").alias("qual"))
+
+
+def fasta(spark, sf_dir) -> DataFrame:
+    return T.fq2fa(records(spark, sf_dir))
+
+
+#: The same view in SQL; ``descr`` stands for the description.
+REC = """r AS (SELECT lang AS file, CASE lang WHEN 'de' THEN 1 WHEN 'en' THEN 2 WHEN 'es' THEN 3 WHEN 'fr' THEN 4 END AS file_idx, doc_id AS pos, CAST(doc_id AS VARCHAR) AS id, lang || ' ' || source AS descr,
+ CAST(doc_id AS VARCHAR) || ' ' || lang || ' ' || source AS name, seq, translate(seq, 'ACGT', 'I?5+') AS qual FROM (SELECT *, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS seq FROM documents))"""
+RC = "reverse(translate({}, 'ACGT', 'TGCA'))"
+
+
+def features(spark, sf_dir) -> DataFrame:
+    n = table(spark, sf_dir, "documents").count()
+    li = table(spark, sf_dir, "lineitem")
+    start = (F.lit(1) + F.col("l_partkey") % 50).cast("int")
+    return li.select((F.col("l_orderkey") % n).cast("string").alias("chrom"), start.alias("start"), (start + F.col("l_quantity").cast("int")).alias("end"), F.col("l_linenumber").cast("string").alias("name"), F.when(F.col("l_returnflag") == "R", "-").otherwise("+").alias("strand"))
+
+
+FEAT = "f AS (SELECT CAST(l_orderkey % (SELECT count(*) FROM documents) AS VARCHAR) AS chrom, CAST(1 + l_partkey % 50 AS INT) AS a, CAST(1 + l_partkey % 50 AS INT) + CAST(l_quantity AS INT) AS b, CAST(l_linenumber AS VARCHAR) AS fname, CASE WHEN l_returnflag = 'R' THEN '-' ELSE '+' END AS strand FROM lineitem)"
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = " ".join(sql.split())
+        return f
+
+    return put
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+# -- statistics ------------------------------------------------------------------------
+
+
+@query(f"WITH {REC} SELECT file, count(*) AS num_seqs, CAST(sum(length(seq)) AS BIGINT) AS sum_len, CAST(min(length(seq)) AS BIGINT) AS min_len, round(avg(length(seq)), 6) AS avg_len, CAST(max(length(seq)) AS BIGINT) AS max_len FROM r GROUP BY file")
+def stats_basic(spark, sf_dir):
+    return A.stats(records(spark, sf_dir)).withColumn("avg_len", r6("avg_len"))
+
+
+@query(f"""WITH {REC}, l AS (SELECT file, length(seq) AS n, count(*) OVER (PARTITION BY file) AS c, row_number() OVER (PARTITION BY file ORDER BY length(seq), pos) AS k, row_number() OVER (PARTITION BY file ORDER BY length(seq) DESC, pos) AS kd,
+ sum(length(seq)) OVER (PARTITION BY file ORDER BY length(seq) DESC, pos ROWS UNBOUNDED PRECEDING) AS cum, sum(length(seq)) OVER (PARTITION BY file) AS tot FROM r),
+ h AS (SELECT file, avg(n) FILTER (k IN ((c + 1) // 2, c // 2 + 1)) AS q2, avg(n) FILTER (k IN (((c + 1) // 2 + 1) // 2, ((c + 1) // 2) // 2 + 1)) AS q1, avg(n) FILTER (k - (c - (c + 1) // 2) IN (((c + 1) // 2 + 1) // 2, ((c + 1) // 2) // 2 + 1)) AS q3, min(kd) FILTER (cum * 100 >= tot * 50) AS n50_num, max(n) FILTER (cum * 100 >= tot * 50) AS n50 FROM l GROUP BY file),
+ b AS (SELECT file, count(*) AS num_seqs, sum(length(seq)) AS tot, min(length(seq)) AS mi, avg(length(seq)) AS av, max(length(seq)) AS ma, sum(length(seq) - length(replace(seq, 'A', ''))) AS a, sum(length(seq) - length(replace(seq, 'C', ''))) AS c, sum(length(seq) - length(replace(seq, 'G', ''))) AS g, sum(length(seq) - length(replace(seq, 'T', ''))) AS t FROM r GROUP BY file)
+ SELECT file, num_seqs, CAST(tot AS BIGINT) AS sum_len, CAST(mi AS BIGINT) AS min_len, round(av, 6) AS avg_len, CAST(ma AS BIGINT) AS max_len, CAST(0 AS BIGINT) AS sum_gap, CAST(0 AS BIGINT) AS sum_n, round(100.0 * (a + c + g) / tot, 6) AS q20, round(100.0 * (a + c) / tot, 6) AS q30,
+ round(-10 * log10((a * 0.0001 + c * 0.001 + g * 0.01 + t * 0.1) / tot), 6) AS avg_qual, round(100.0 * (c + g) / tot, 6) AS gc, CAST(q1 AS DOUBLE) AS q1, CAST(q2 AS DOUBLE) AS q2, CAST(q3 AS DOUBLE) AS q3, CAST(n50 AS BIGINT) AS n50, CAST(n50_num AS BIGINT) AS n50_num FROM b JOIN h USING (file)""")
+def stats_all(spark, sf_dir):
+    out = A.stats_all(records(spark, sf_dir))
+    return out.withColumns({c: r6(c) for c in ("avg_len", "q20", "q30", "avg_qual", "gc")})
+
+
+@query(f"""WITH {REC}, l AS (SELECT file, length(seq) AS n, row_number() OVER (PARTITION BY file ORDER BY length(seq) DESC, pos) AS k, sum(length(seq)) OVER (PARTITION BY file ORDER BY length(seq) DESC, pos ROWS UNBOUNDED PRECEDING) AS cum, sum(length(seq)) OVER (PARTITION BY file) AS tot FROM r),
+ x AS (SELECT unnest([10, 50, 90]) AS x) SELECT file, CAST(x AS DOUBLE) AS x, CAST(max(n) AS BIGINT) AS nx, CAST(min(k) AS BIGINT) AS lx FROM l, x WHERE cum * 100 >= tot * x GROUP BY file, x""")
+def stats_nx(spark, sf_dir):
+    return A.nx(records(spark, sf_dir), (10, 50, 90))
+
+
+@query(f"WITH {REC} SELECT CAST(length(seq) // 100 * 100 AS BIGINT) AS bin, count(*) AS count FROM r GROUP BY 1")
+def watch_hist(spark, sf_dir):
+    return A.watch(records(spark, sf_dir), "ReadLen", 100).withColumn("bin", F.col("bin").cast("long"))
+
+
+@query()
+def sum_digest(spark, sf_dir):
+    return A.digest_sum(fasta(spark, sf_dir), every=True)
+
+
+# -- transforms -------------------------------------------------------------------------
+
+
+@query(f"WITH {REC} SELECT id, {RC.format('seq')} AS seq, reverse(qual) AS qual FROM r")
+def seq_revcomp(spark, sf_dir):
+    return T.seq(records(spark, sf_dir), reverse=True, complement=True).select("id", "seq", "qual")
+
+
+AVGQ = "(CASE WHEN length(seq) = 0 THEN 0 ELSE -10 * log10(((length(seq) - length(replace(seq, 'A', ''))) * 0.0001 + (length(seq) - length(replace(seq, 'C', ''))) * 0.001 + (length(seq) - length(replace(seq, 'G', ''))) * 0.01 + (length(seq) - length(replace(seq, 'T', ''))) * 0.1) / length(seq)) END)"
+
+
+@query(f"WITH {REC} SELECT id, CAST(length(seq) AS BIGINT) AS length FROM r WHERE length(seq) BETWEEN 100 AND 1000 AND {AVGQ} >= 13.2 AND {AVGQ} < 14.5")
+def seq_filter(spark, sf_dir):
+    return T.seq(records(spark, sf_dir), min_len=100, max_len=1000, min_qual=13.2, max_qual=14.5).select("id", F.length("seq").cast("long").alias("length"))
+
+
+@query(f"WITH {REC} SELECT id, lower(replace(seq, 'T', 'U')) AS seq FROM r")
+def seq_transcribe(spark, sf_dir):
+    return T.seq(fasta(spark, sf_dir), dna2rna=True, lower=True).select("id", "seq")
+
+
+@query(f"WITH {REC} SELECT id, CASE WHEN id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels) THEN reverse(seq) ELSE seq END AS seq FROM r")
+def seq_target_filter(spark, sf_dir):
+    ids = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("_p")).distinct().withColumn("_hit", F.lit(True))
+    r = fasta(spark, sf_dir)
+    return T.seq(r.join(ids, r.id == ids._p, "left"), reverse=True, matched=F.col("_hit")).select("id", "seq")
+
+
+@query(f"WITH {REC} SELECT id, seq FROM r")
+def fq2fa(spark, sf_dir):
+    return T.fq2fa(records(spark, sf_dir)).where("qual is null").select("id", "seq")
+
+
+_N = lambda x: f"(length(seq) - length(replace(seq, '{x}', '')))"
+
+
+@query(f"""WITH {REC} SELECT name, CAST(length(seq) AS BIGINT) AS length, round(100.0 * ({_N('G')} + {_N('C')}) / nullif(length(seq), 0), 6) AS gc, round(100.0 * ({_N('G')} - {_N('C')}) / nullif({_N('G')} + {_N('C')}, 0), 6) AS gc_skew, CAST({_N('A')} AS BIGINT) AS count_A,
+ round(100.0 * ({_N('A')} + {_N('T')}) / nullif(length(seq), 0), 6) AS content_AT, (CASE WHEN {_N('A')} > 0 THEN 'A' ELSE '' END) || (CASE WHEN {_N('C')} > 0 THEN 'C' ELSE '' END) || (CASE WHEN {_N('G')} > 0 THEN 'G' ELSE '' END) || (CASE WHEN {_N('T')} > 0 THEN 'T' ELSE '' END) AS alphabet, round({AVGQ}, 6) AS avg_qual, md5(lower(seq)) AS seq_hash FROM r""")
+def fx2tab_metrics(spark, sf_dir):
+    out = T.fx2tab(records(spark, sf_dir), length=True, gc=True, gc_skew=True, base_count=("A",), base_content=("AT",), alphabet=True, avg_qual=True, seq_hash=True).drop("seq", "qual")
+    return out.withColumns({"length": F.col("length").cast("long"), "count_A": F.col("count_A").cast("long")} | {c: r6(c) for c in ("gc", "gc_skew", "content_AT", "avg_qual")})
+
+
+@query(f"WITH {REC} SELECT name, seq, qual FROM r")
+def fx2tab_tab2fx(spark, sf_dir):
+    return T.fx2tab(records(spark, sf_dir)).select("name", "seq", "qual")
+
+
+REGIONS = ((1, 12), (-12, -1), (5, -5), (100, 300), (-400, -200))
+
+
+@query("WITH " + REC + " " + " UNION ALL ".join(f"SELECT id, '{a}:{b}' AS region, CASE WHEN s <= e AND s <= length(seq) THEN substr(seq, s, e - s + 1) ELSE '' END AS seq FROM (SELECT id, seq, {f'greatest(length(seq) + {a + 1}, 1)' if a < 0 else a} AS s, least({f'length(seq) + {b + 1}' if b < 0 else b}, length(seq)) AS e FROM r)" for a, b in REGIONS))
+def subseq_region(spark, sf_dir):
+    r = fasta(spark, sf_dir)
+    return r.select("id", F.explode(F.array(*[F.struct(F.lit(f"{a}:{b}").alias("region"), S.subseq("seq", a, b).alias("seq")) for a, b in REGIONS])).alias("x")).select("id", "x.*")
+
+
+@query(f"""WITH {REC}, {FEAT}, x AS (SELECT id, seq, a, b, strand, fname, greatest(CASE WHEN strand = '-' THEN a - 2 ELSE a - 3 END, 1) AS s, least(CASE WHEN strand = '-' THEN b + 3 ELSE b + 2 END, length(seq)) AS e FROM r JOIN f ON id = chrom)
+ SELECT id || '_' || a || '-' || b || ':' || strand || '_us:3_ds:2' AS id, CASE WHEN s > e THEN '' WHEN strand = '-' THEN {RC.format('substr(seq, s, e - s + 1)')} ELSE substr(seq, s, e - s + 1) END AS seq, fname AS name FROM x""")
+def subseq_features(spark, sf_dir):
+    return R.by_features(fasta(spark, sf_dir), features(spark, sf_dir), up=3, down=2).select("id", "seq", F.col("desc").alias("name"))
+
+
+@query(f"""WITH {REC}, w AS (SELECT id, seq, unnest(generate_series(0, length(seq) - 1, 40)) AS i FROM r WHERE length(seq) BETWEEN 1 AND 600)
+ SELECT id || '_sliding:' || (i + 1) || '-' || least(i + 60, length(seq)) AS id, substr(seq, i + 1, 60) AS seq FROM w""")
+def sliding_greedy(spark, sf_dir):
+    return T.sliding(fasta(spark, sf_dir).where("length(seq) between 1 and 600"), 40, 60, greedy=True).select("id", "seq")
+
+
+@query(f"""WITH {REC}, w AS (SELECT id, seq, unnest(generate_series(0, length(seq) - 60, 40)) AS i FROM r WHERE length(seq) >= 60)
+ SELECT id || '_sliding:' || (i + 1) || '-' || (i + 60) AS id, substr(seq, i + 1, 60) AS seq FROM w""")
+def sliding(spark, sf_dir):
+    return T.sliding(fasta(spark, sf_dir), 40, 60).select("id", "seq")
+
+
+_CODE = ", ".join(f"('{c}', '{a}')" for c, a in iupac.genetic_code(1).items())
+_TRANS = """{x} AS (SELECT pos, id, {frame} AS frame, {seq} AS s FROM r)"""
+
+
+def _translate_sql(frames):
+    src = " UNION ALL ".join(f"SELECT pos, id, {f} AS frame, substr({RC.format('seq') if f < 0 else 'seq'}, {abs(f)}) AS s FROM r" for f in frames)
+    return f"""WITH {REC}, code(codon, amino) AS (VALUES {_CODE}), t AS ({src}), k AS (SELECT pos, id, frame, s, unnest(generate_series(0, length(s) // 3 - 1)) AS i FROM t WHERE length(s) >= 3),
+ p AS (SELECT pos, frame, string_agg(amino, '' ORDER BY i) AS seq FROM k JOIN code ON codon = substr(s, i * 3 + 1, 3) GROUP BY pos, frame)
+ SELECT t.id, CAST(t.frame AS INT) AS frame, coalesce(p.seq, '') AS seq FROM t LEFT JOIN p ON t.pos = p.pos AND t.frame = p.frame"""
+
+
+@query(_translate_sql((1,)))
+def translate_f1(spark, sf_dir):
+    return T.translate(fasta(spark, sf_dir)).select("id", "frame", "seq")
+
+
+@query(_translate_sql((1, 2, 3, -1, -2, -3)))
+def translate_6f(spark, sf_dir):
+    return T.translate(fasta(spark, sf_dir), frames=(6,)).select("id", "frame", "seq")
+
+
+@query(f"WITH {REC} SELECT id, translate(qual, 'I?5+', 'h^TJ') AS qual FROM r")
+def convert_quality(spark, sf_dir):
+    return T.convert(records(spark, sf_dir), "Sanger", "Illumina-1.3+").select("id", "qual")
+
+
+def customers(spark, sf_dir) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    return c.select(F.lit("customer").alias("file"), F.lit(0).alias("file_idx"), F.col("c_custkey").alias("pos"), F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("desc"), F.concat(F.col("c_custkey").cast("string"), F.lit(" nation="), F.col("c_nationkey").cast("string"), F.lit(" "), F.col("c_name")).alias("name"), F.lit("ACGT").alias("seq"), F.lit(None).cast("string").alias("qual"))
+
+
+_CUST = "c AS (SELECT c_custkey AS pos, CAST(c_custkey AS VARCHAR) || ' nation=' || c_nationkey || ' ' || c_name AS name FROM customer)"
+
+
+@query(f"WITH {_CUST} SELECT pos, regexp_replace(name, '(\\d+) nation=(\\d+)', '\\2:\\1$', 'g') AS name FROM c")
+def replace_regex(spark, sf_dir):
+    return T.replace(customers(spark, sf_dir), r"(\d+) nation=(\d+)", "${2}:$1$$").select("pos", "name")
+
+
+@query(f"WITH {_CUST} SELECT pos, 'seq_' || lpad(CAST(row_number() OVER (ORDER BY pos) AS VARCHAR), 7, '0') || substr(name, strpos(name, ' ')) AS name FROM c")
+def replace_nr(spark, sf_dir):
+    return T.replace(customers(spark, sf_dir), r"^\d+", "seq_{nr}", nr_width=7).select("pos", "name")
+
+
+@query(f"WITH {_CUST} SELECT pos, replace(name, 'nation=' || regexp_extract(name, 'nation=(\\d+)', 1) || ' ', 'nation=' || n_name || ' ') AS name FROM c JOIN nation ON n_nationkey = CAST(regexp_extract(name, 'nation=(\\d+)', 1) AS INT)")
+def replace_kv(spark, sf_dir):
+    kv = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("k"), F.col("n_name").alias("v"))
+    return T.replace(customers(spark, sf_dir), r"nation=(\d+)", "nation={kv}", kv=kv).select("pos", "name")
+
+
+@query("SELECT p_partkey AS pos, CASE WHEN k = 1 THEN p_brand ELSE p_brand || '_' || k END AS id FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part)")
+def rename(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.col("p_brand").alias("id"), F.lit("").alias("desc"))
+    return T.rename(p).select("pos", "id")
+
+
+@query(f"WITH {REC} SELECT id, CASE WHEN length(seq) >= 10 THEN substr(t, 1, 9) || substr(t, 21) ELSE t END AS seq FROM (SELECT id, seq, CASE WHEN length(seq) >= 3 THEN substr(seq, 1, 2) || 'N' || substr(seq, 4) ELSE seq END AS t FROM r)")
+def mutate(spark, sf_dir):
+    return T.mutate(fasta(spark, sf_dir), points=((3, "N"),), deletion=(10, 20)).select("id", "seq")
+
+
+@query(f"WITH {REC} SELECT id, substr(seq, 1, 5) || 'NNN' || substr(seq, 6) AS seq FROM r WHERE length(seq) >= 5 UNION ALL SELECT id, seq FROM r WHERE length(seq) < 5")
+def mutate_insertion(spark, sf_dir):
+    return T.mutate(fasta(spark, sf_dir), insertion=(5, "NNN")).select("id", "seq")
+
+
+@query(f"WITH {REC} SELECT id, substr(seq, 7) || substr(seq, 1, 6) AS seq FROM r WHERE length(seq) >= 7")
+def restart(spark, sf_dir):
+    return T.restart(fasta(spark, sf_dir), start=7).select("id", "seq")
+
+
+@query(f"""WITH {REC}, x AS (SELECT id, seq, {RC.format('seq')} AS rc FROM r), y AS (SELECT id, CASE WHEN contains(seq, 'GATTCA') THEN seq ELSE rc END AS s FROM x)
+ SELECT id, substr(s, strpos(s, 'GATTCA')) || substr(s, 1, strpos(s, 'GATTCA') - 1) AS seq FROM y WHERE length(s) - length(replace(s, 'GATTCA', '')) = 6""")
+def restart_motif(spark, sf_dir):
+    return T.restart(fasta(spark, sf_dir), motif="GATTCA").select("id", "seq")
+
+
+@query(f"WITH {REC} SELECT id, CAST(c AS INT) AS copy FROM r, generate_series(1, 3) t(c)")
+def duplicate(spark, sf_dir):
+    return T.duplicate(fasta(spark, sf_dir), 3).select("id", "copy")
+
+
+@query(f"""WITH {REC}, o AS (SELECT *, row_number() OVER (ORDER BY file_idx, pos) AS k FROM r), f AS (SELECT split_part(descr, ' ', 1) AS w FROM o WHERE k = 1), b AS (SELECT min(k) AS k FROM o WHERE split_part(descr, ' ', 1) <> (SELECT w FROM f))
+ SELECT id FROM o WHERE k < (SELECT k FROM b)""")
+def head_genome(spark, sf_dir):
+    r = fasta(spark, sf_dir)
+    return T.head_genome(r.withColumn("desc", F.concat("file", F.lit(" x"), "pos"))).select("id")
+
+
+# -- searches ----------------------------------------------------------------------------
+
+
+def label_ids(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("pattern"))
+
+
+@query(f"WITH {REC} SELECT id, seq FROM r WHERE id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)")
+def grep_ids(spark, sf_dir):
+    return Q.grep_ids(fasta(spark, sf_dir), label_ids(spark, sf_dir)).select("id", "seq")
+
+
+@query(f"WITH {REC} SELECT id, seq FROM r WHERE id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)")
+def grep_ids_invert(spark, sf_dir):
+    return Q.grep_ids(fasta(spark, sf_dir), label_ids(spark, sf_dir), invert=True).select("id", "seq")
+
+
+@query(f"WITH {REC}, p AS (SELECT CAST(doc_id AS VARCHAR) AS p FROM labels UNION ALL SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE quality = 1) SELECT id, seq FROM r JOIN p ON id = p")
+def grep_dup_patterns(spark, sf_dir):
+    twice = label_ids(spark, sf_dir).union(table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").cast("string")))
+    return Q.grep_ids(fasta(spark, sf_dir), twice, duplicates=True).select("id", "seq")
+
+
+@query("SELECT min(o_orderkey) AS first, o_custkey AS id FROM orders WHERE o_custkey % 7 = 3 GROUP BY o_custkey")
+def grep_delete_matched(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("pos"), F.lit(0).alias("file_idx"))
+    p = table(spark, sf_dir, "customer").where("c_custkey % 7 = 3").select(F.col("c_custkey").alias("pattern"))
+    return Q.grep_first_per_pattern(o, p).select(F.col("pos").alias("first"), "id")
+
+
+@query(f"WITH {REC} SELECT id, name FROM r WHERE regexp_matches(name, '^\\d+5 (de|fr) src1\\d?$')")
+def grep_regex_name(spark, sf_dir):
+    return Q.grep(fasta(spark, sf_dir), [r"^\d+5 (de|fr) src1\d?$"], key="name", regex=True).select("id", "name")
+
+
+@query(f"WITH {REC} SELECT id FROM r WHERE contains(lower(seq), 'gattaca') OR contains(lower({RC.format('seq')}), 'gattaca')")
+def grep_seq_both_strands(spark, sf_dir):
+    return Q.grep(fasta(spark, sf_dir), ["GATTACA"], by_seq=True, ignore_case=True).select("id")
+
+
+@query(f"WITH {REC} SELECT id FROM r WHERE regexp_matches(seq, 'GA[CT][AG]C[ACGT]A[ACT]G') OR regexp_matches({RC.format('seq')}, 'GA[CT][AG]C[ACGT]A[ACT]G')")
+def grep_degenerate(spark, sf_dir):
+    return Q.grep(fasta(spark, sf_dir), ["GAYRCNAHG"], degenerate=True).select("id")
+
+
+@query(f"WITH {REC} SELECT id FROM r WHERE contains(seq || seq, 'GATTACA')")
+def grep_circular(spark, sf_dir):
+    return Q.grep(fasta(spark, sf_dir), ["GATTACA"], by_seq=True, circular=True, both_strands=False).select("id")
+
+
+@query(f"WITH {REC} SELECT id FROM r WHERE contains(substr(seq, 1, 60), 'ATTA')")
+def grep_region(spark, sf_dir):
+    return Q.grep(fasta(spark, sf_dir), ["ATTA"], region=(1, 60), both_strands=False).select("id")
+
+
+_HAM = lambda k, p: " + ".join(f"(substr(seq, i + {j}, 1) <> '{c}')::INT" for j, c in enumerate(p, k))
+
+
+@query(f"WITH {REC}, w AS (SELECT id, seq, unnest(generate_series(0, length(seq) - 9)) AS i FROM r WHERE length(seq) >= 9) SELECT DISTINCT id FROM w WHERE {_HAM(1, 'GATTACAGA')} <= 1")
+def grep_mismatch(spark, sf_dir):
+    return Q.grep(fasta(spark, sf_dir), ["GATTACAGA"], mismatches=1, both_strands=False).select("id")
+
+
+@query(f"WITH {REC} SELECT count(*) AS count FROM r WHERE contains(seq, 'GATTACA')")
+def grep_count(spark, sf_dir):
+    return Q.grep(fasta(spark, sf_dir), ["GATTACA"], by_seq=True, both_strands=False).agg(F.count("*").alias("count"))
+
+
+@query(f"""WITH {REC}, s AS (SELECT id, '+' AS strand, seq, length(seq) AS n FROM r UNION ALL SELECT id, '-', {RC.format('seq')}, length(seq) FROM r), w AS (SELECT *, unnest(generate_series(1, n - 4)) AS i FROM s WHERE n >= 5)
+ SELECT id AS "seqID", strand, CAST(CASE WHEN strand = '+' THEN i ELSE n - i - 3 END AS INT) AS start, CAST(CASE WHEN strand = '+' THEN i + 4 ELSE n - i + 1 END AS INT) AS "end", 'ATAGA' AS matched FROM w WHERE substr(seq, i, 5) = 'ATAGA'""")
+def locate_exact(spark, sf_dir):
+    return Q.locate(fasta(spark, sf_dir), {"p": "ATAGA"}).select("seqID", "strand", "start", "end", "matched")
+
+
+@query(f"""WITH RECURSIVE {REC}, m AS (SELECT id, seq, strpos(seq, 'AA') AS ix FROM r WHERE contains(seq, 'AA') UNION ALL SELECT id, seq, ix + 1 + strpos(substr(seq, ix + 2), 'AA') AS ix FROM m WHERE contains(substr(seq, ix + 2), 'AA'))
+ SELECT id AS "seqID", CAST(ix AS INT) AS start, CAST(ix + 1 AS INT) AS "end" FROM m""")
+def locate_nongreedy(spark, sf_dir):
+    return Q.locate(fasta(spark, sf_dir), {"p": "AA"}, only_positive=True, non_greedy=True).select("seqID", "start", "end")
+
+
+@query(f"WITH {REC}, w AS (SELECT id, seq, unnest(generate_series(0, length(seq) - 8)) AS i FROM r WHERE length(seq) >= 8) SELECT id AS \"seqID\", CAST(i + 1 AS INT) AS start, substr(seq, i + 1, 8) AS matched FROM w WHERE {_HAM(1, 'GATTACAG')} <= 2")
+def locate_mismatch(spark, sf_dir):
+    return Q.locate(fasta(spark, sf_dir), {"p": "GATTACAG"}, only_positive=True, mismatches=2).select("seqID", "start", "matched")
+
+
+@query(f"WITH {REC}, w AS (SELECT id, seq, unnest(generate_series(1, length(seq) - 5)) AS i FROM r WHERE length(seq) >= 6) SELECT id AS \"seqID\", CAST(i AS INT) AS start, substr(seq, i, 6) AS matched FROM w WHERE regexp_full_match(substr(seq, i, 6), 'GA[CT][AG]CA')")
+def locate_degenerate(spark, sf_dir):
+    return Q.locate(fasta(spark, sf_dir), {"p": "GAYRCA"}, only_positive=True, degenerate=True).select("seqID", "start", "matched")
+
+
+@query(f"""WITH {REC}, x AS (SELECT id, seq, strpos(seq, 'GATTA') AS i, length(seq) - strpos(reverse(seq), reverse('CATTA')) - 3 AS j FROM r WHERE contains(seq, 'GATTA') AND contains(seq, 'CATTA'))
+ SELECT id AS chrom, CAST(i - 1 AS INT) AS start, CAST(j + 4 AS INT) AS "end", substr(seq, i, j + 5 - i) AS amplicon FROM x WHERE j >= i""")
+def amplicon_exact(spark, sf_dir):
+    return Q.amplicon(fasta(spark, sf_dir), [("p", "GATTA", "TAATG")], only_positive=True).select("chrom", "start", "end", "amplicon")
+
+
+@query()
+def amplicon_mismatch(spark, sf_dir):
+    return Q.amplicon(fasta(spark, sf_dir), [("p", "GATTACA", "TAATGCA")], mismatches=1)
+
+
+@query()
+def fish(spark, sf_dir):
+    # whole sequences against one short query
+    return Q.fish(fasta(spark, sf_dir), {"q": "GATTACAGATTACA"}, min_qual=2.0)
+
+
+# -- sets and joins ----------------------------------------------------------------------
+
+
+@query(f"WITH {REC}, k AS (SELECT id, seq, row_number() OVER (PARTITION BY least(seq, {RC.format('seq')}) ORDER BY file_idx, pos) AS n FROM r) SELECT id, seq FROM k WHERE n = 1")
+def rmdup_seq(spark, sf_dir):
+    return R.rmdup(fasta(spark, sf_dir), by_seq=True).select("id", "seq")
+
+
+@query("SELECT p_brand AS id, min(p_partkey) AS pos FROM part GROUP BY p_brand")
+def rmdup_name(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.lit(0).alias("file_idx"), F.col("p_partkey").alias("pos"), F.col("p_brand").alias("id"))
+    return R.rmdup(p).select("id", "pos")
+
+
+@query(f"WITH {REC}, k AS (SELECT id, pos, row_number() OVER (PARTITION BY seq ORDER BY file_idx, pos) AS n FROM r) SELECT id FROM k WHERE n > 1")
+def rmdup_rejected(spark, sf_dir):
+    return R.rmdup_rejected(fasta(spark, sf_dir), by_seq=True, only_positive=True).select("id")
+
+
+@query(f"WITH {REC} SELECT count(*) AS count, string_agg(id, ', ' ORDER BY file_idx, pos) AS ids FROM r GROUP BY least(seq, {RC.format('seq')}) HAVING count(*) > 1")
+def rmdup_report(spark, sf_dir):
+    return R.rmdup_report(fasta(spark, sf_dir), by_seq=True)
+
+
+@query(f"WITH {REC}, t AS (SELECT id, substr(seq, 1, 4) AS seq, lang_no FROM (SELECT *, CASE WHEN file IN ('de', 'es') THEN 0 ELSE 1 END AS lang_no FROM r)) SELECT id, seq FROM t WHERE lang_no = 0 AND least(seq, {RC.format('seq')}) IN (SELECT least(seq, {RC.format('seq')}) FROM t WHERE lang_no = 1)")
+def common_seq(spark, sf_dir):
+    r = fasta(spark, sf_dir).withColumns({"file_idx": F.when(F.col("file").isin("de", "es"), 0).otherwise(1), "seq": F.substring("seq", 1, 4)})
+    return R.common(r, 2, by_seq=True).select("id", "seq")
+
+
+@query()
+def common_embedded(spark, sf_dir):
+    r = fasta(spark, sf_dir).withColumns({"file_idx": F.when(F.col("file").isin("de", "es"), 0).otherwise(1)})
+    return R.common_embedded(r, 2, min_len=30)
+
+
+def parts(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.lit(0).alias("file_idx"), F.col("o_orderkey").alias("pos"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("desc"), F.lit("ACGT").alias("seq"), F.lit(None).cast("string").alias("qual")).where("pos % 3 <> 0")
+    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.lit(1).alias("file_idx"), F.col("l_orderkey").alias("pos"), F.col("l_orderkey").cast("string").alias("id"), F.lit("").alias("desc"), F.concat(F.lit("GG"), "l_returnflag").alias("seq"), F.lit(None).cast("string").alias("qual")).where("pos % 2 = 0")
+    return o, li
+
+
+_O = "o AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS d FROM orders WHERE o_orderkey % 3 <> 0), l AS (SELECT CAST(l_orderkey AS VARCHAR) AS id, 'GG' || l_returnflag AS s FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 2 = 0)"
+
+
+@query(f"WITH {_O} SELECT id, d || '|' AS descr, 'ACGT' || s AS seq FROM o JOIN l USING (id)")
+def concat_inner(spark, sf_dir):
+    return R.concat(list(parts(spark, sf_dir))).select("id", F.col("desc").alias("descr"), "seq")
+
+
+@query(f"WITH {_O} SELECT coalesce(o.id, l.id) AS id, CASE WHEN o.id IS NULL THEN '' WHEN l.id IS NULL THEN d ELSE d || '|' END AS descr, CASE WHEN o.id IS NULL THEN '' ELSE 'ACGT' END || coalesce(s, '') AS seq FROM o FULL JOIN l ON o.id = l.id")
+def concat_full(spark, sf_dir):
+    return R.concat(list(parts(spark, sf_dir)), full=True).select("id", F.col("desc").alias("descr"), "seq")
+
+
+@query(f"WITH {_O} SELECT coalesce(o.id, l.id) AS id, CASE WHEN o.id IS NULL THEN 'NNNN' ELSE 'ACGT' END || coalesce(s, 'NNN') AS seq FROM o FULL JOIN l ON o.id = l.id")
+def concat_fill(spark, sf_dir):
+    return R.concat(list(parts(spark, sf_dir)), full=True, fill="N").select("id", "seq")
+
+
+def mates(spark, sf_dir):
+    r = records(spark, sf_dir)
+    return r.where("pos % 3 <> 0"), T.seq(r, reverse=True).where("pos % 4 <> 0")
+
+
+@query(f"WITH {REC} SELECT id, seq, reverse(seq) AS seq2 FROM r WHERE pos % 3 <> 0 AND pos % 4 <> 0")
+def pair(spark, sf_dir):
+    return R.pair(*mates(spark, sf_dir))[0].select("id", "seq", "seq2")
+
+
+@query(f"WITH {REC} SELECT id, 1 AS read FROM r WHERE pos % 3 <> 0 AND pos % 4 = 0 UNION ALL SELECT id, 2 FROM r WHERE pos % 3 = 0 AND pos % 4 <> 0")
+def pair_unpaired(spark, sf_dir):
+    _, a, b = R.pair(*mates(spark, sf_dir))
+    return a.select("id", F.lit(1).alias("read")).union(b.select("id", F.lit(2)))
+
+
+@query(f"WITH {REC}, x AS (SELECT id, qual, seq, substr(seq, 11, 30) AS part FROM r WHERE length(seq) >= 11) SELECT id, part AS seq, substr(qual, strpos(seq, part), length(part)) AS qual FROM x")
+def fa2fq(spark, sf_dir):
+    q = records(spark, sf_dir)
+    part = fasta(spark, sf_dir).where("length(seq) >= 11").withColumn("seq", F.substring("seq", 11, 30))
+    return R.fa2fq(part, q).select("id", "seq", "qual")
+
+
+@query(f"WITH {REC}, {FEAT}, w AS (SELECT chrom, a, b, row_number() OVER (PARTITION BY chrom ORDER BY a, b, fname, strand) AS k FROM f), m AS (SELECT *, CASE WHEN a + 4 <= lag(b) OVER (PARTITION BY chrom ORDER BY k) THEN 0 ELSE 1 END AS nw FROM w), g AS (SELECT *, sum(nw) OVER (PARTITION BY chrom ORDER BY k) AS island FROM m) SELECT chrom, CAST(min(a) - 1 AS INT) AS start, CAST(max_by(b, k) AS INT) AS \"end\" FROM g GROUP BY chrom, island")
+def merge_slides(spark, sf_dir):
+    from pyspark.sql import Window
+
+    f = features(spark, sf_dir).withColumn("pos", F.row_number().over(Window.partitionBy("chrom").orderBy("start", "end", "name", "strand")))
+    names = f.select("pos", F.concat("chrom", F.lit("_sliding:"), "start", F.lit("-"), "end").alias("name"))
+    return A.merge_slides(names, min_overlap=5)
+
+
+@query(f"WITH {REC} SELECT id || ':5-20' AS name, substr(seq, 5, greatest(0, least(20, length(seq)) - 4)) AS seq FROM r WHERE id = '7' AND length(seq) >= 20 UNION ALL SELECT id || ':9-2', {RC.format('substr(seq, 2, 8)')} FROM r WHERE id = '12'")
+def faidx(spark, sf_dir):
+    return R.faidx(fasta(spark, sf_dir), ["7:5-20", "12:9-2", "none:1-2"]).select("name", "seq")
+
+
+# -- order, samples and splits ---------------------------------------------------------------
+
+
+@query(f"WITH {REC} SELECT id FROM r ORDER BY file_idx, pos LIMIT 25")
+def head_n(spark, sf_dir):
+    return O.head(fasta(spark, sf_dir), 25).select("id")
+
+
+@query(f"WITH {REC}, c AS (SELECT id, length(seq) AS n, sum(length(seq)) OVER (ORDER BY file_idx, pos ROWS UNBOUNDED PRECEDING) AS c FROM r) SELECT id FROM c WHERE c - n < 102400")
+def head_len(spark, sf_dir):
+    return O.head_length(fasta(spark, sf_dir), "100K").select("id")
+
+
+@query(f"WITH {REC}, k AS (SELECT id, row_number() OVER (PARTITION BY file ORDER BY pos) AS a, row_number() OVER (PARTITION BY file ORDER BY pos DESC) AS z FROM r) SELECT id, 'head' AS part FROM k WHERE a BETWEEN 5 AND 12 UNION ALL SELECT id, 'tail' FROM k WHERE z BETWEEN 2 AND 9")
+def range_tail(spark, sf_dir):
+    r = fasta(spark, sf_dir)
+    return O.range_(r, 5, 12).select("id", F.lit("head").alias("part")).union(O.range_(r, -9, -2).select("id", F.lit("tail")))
+
+
+def _sort_query(name, by, order_sql, **how):
+    @query(f"WITH {REC} SELECT id, row_number() OVER (ORDER BY {order_sql}, file_idx, pos) AS rank FROM r")
+    def f(spark, sf_dir):
+        key = O.sort_key(by, **how)
+        return ranked(fasta(spark, sf_dir), key, "file_idx", "pos").select("id", "rank")
+
+    QUERIES[name], ORACLE_SQL[name] = QUERIES.pop("f"), ORACLE_SQL.pop("f")
+
+
+_sort_query("sort_rank_id", "id", "id")
+_sort_query("sort_rank_natural", "id", "CAST(id AS BIGINT)", natural=True)
+_sort_query("sort_rank_length", "length", "length(seq)")
+_sort_query("sort_rank_seq", "seq", "lower(seq)", ignore_case=True)
+
+
+@query(f"WITH {REC} SELECT id FROM r ORDER BY md5(pos || ':' || 11), file_idx, pos LIMIT 100")
+def sample_n(spark, sf_dir):
+    return O.sample_n(fasta(spark, sf_dir), 100).select("id")
+
+
+@query(f"WITH {REC} SELECT id FROM r WHERE CAST('0x' || substr(md5(pos || ':' || 11), 1, 13) AS BIGINT) / 4503599627370496.0 <= 0.1")
+def sample_proportion(spark, sf_dir):
+    return O.sample(fasta(spark, sf_dir), 0.1).select("id")
+
+
+@query(f"WITH {REC} SELECT id, row_number() OVER (ORDER BY md5(file_idx || ':' || pos || ':' || 23), file_idx, pos) AS rank FROM r")
+def shuffle(spark, sf_dir):
+    return ranked(fasta(spark, sf_dir), O.draw(23, "file_idx", "pos"), "file_idx", "pos").select("id", "rank")
+
+
+@query(f"WITH {REC} SELECT id, CAST((row_number() OVER (ORDER BY pos) - 1) // 150 + 1 AS BIGINT) AS part FROM r")
+def split_size(spark, sf_dir):
+    return O.split_size(fasta(spark, sf_dir), 150).select("id", "part")
+
+
+@query(f"WITH {REC} SELECT id, CAST((row_number() OVER (ORDER BY pos) - 1) // ((SELECT count(*) + 6 FROM r) // 7) + 1 AS BIGINT) AS part FROM r")
+def split_parts(spark, sf_dir):
+    return O.split_parts(fasta(spark, sf_dir), 7).select("id", "part")
+
+
+@query(f"WITH {REC} SELECT id, CAST((row_number() OVER (ORDER BY pos) - 1) % 7 + 1 AS BIGINT) AS part FROM r")
+def split_rr(spark, sf_dir):
+    return O.split_round_robin(fasta(spark, sf_dir), 7).select("id", "part")
+
+
+@query(f"WITH {REC} SELECT substr(seq, 1, 3) AS part, count(*) AS count FROM r GROUP BY 1")
+def split_region(spark, sf_dir):
+    return O.split_region(fasta(spark, sf_dir), 1, 3).groupBy("part").agg(F.count("*").alias("count"))
+
+
+@query(f"WITH {REC} SELECT file AS part, count(*) AS count, min_by(id, pos) AS first FROM r GROUP BY 1")
+def split_id(spark, sf_dir):
+    r = O.split_id(fasta(spark, sf_dir).withColumn("id", F.concat("file", F.lit(" "), "id")))
+    return r.groupBy("part").agg(F.count("*").alias("count"), F.regexp_extract(F.min_by("id", "pos"), r" (.*)$", 1).alias("first"))
+
+
+@query(f"""WITH RECURSIVE {REC}, o AS (SELECT file_idx, id, length(seq) AS n, row_number() OVER (PARTITION BY file_idx ORDER BY pos) AS k FROM r), f AS (SELECT file_idx, k, id, CASE WHEN n >= 5000 THEN 0 ELSE n END AS have, CAST(1 AS BIGINT) AS part, CASE WHEN n >= 5000 THEN 2 ELSE 1 END AS nxt FROM o WHERE k = 1
+ UNION ALL SELECT o.file_idx, o.k, o.id, CASE WHEN f.have + o.n >= 5000 THEN 0 ELSE f.have + o.n END, CAST(f.nxt AS BIGINT), CASE WHEN f.have + o.n >= 5000 THEN f.nxt + 1 ELSE f.nxt END FROM f JOIN o ON o.file_idx = f.file_idx AND o.k = f.k + 1) SELECT id, part FROM f""")
+def split_length(spark, sf_dir):
+    return O.split_length(fasta(spark, sf_dir), 5000).select("id", "part")
+
+
+@query(f"WITH {REC} SELECT id, CAST(CASE WHEN pos % 5 = 0 THEN 0 ELSE 1 END AS INT) AS kept FROM r")
+def sana_valid(spark, sf_dir):
+    """Four-line records of which every fifth lacks part of its quality."""
+    from ..operators.sana import sana
+
+    r = records(spark, sf_dir)
+    qual = F.when(F.col("pos") % 5 == 0, F.concat("qual", F.lit("+"))).otherwise(F.col("qual"))
+    text = r.select("id", F.col("id").alias("file"), F.concat(F.lit("@"), "name", F.lit("\n"), "seq", F.lit("\n+\n"), qual, F.lit("\n")).alias("text"))
+    good = sana(text).where("error is null").groupBy(F.col("file").alias("_f")).agg(F.lit(1).alias("kept"))
+    return r.join(good, r.id == good._f, "left").select("id", F.coalesce("kept", F.lit(0)).alias("kept"))
+
+
+@query("""SELECT CAST(l_suppkey AS VARCHAR) AS "Ref", count(*) AS "Count", CAST(sum((l_linenumber = 3)::INT) AS BIGINT) AS "SecCount", CAST(sum((l_linenumber = 4)::INT) AS BIGINT) AS "SupCount" FROM lineitem WHERE l_linenumber <> 5 GROUP BY 1""")
+def bam_count(spark, sf_dir):
+    from ..operators import bam
+
+    return bam.count(alignments(spark, sf_dir))
+
+
+@query("""SELECT 'all' AS "File", round(100.0 * sum((l_linenumber NOT IN (3, 4, 5))::INT) / sum((l_linenumber NOT IN (3, 4))::INT), 6) AS "PrimAlnPerc", round(100.0 * sum((l_linenumber NOT IN (3, 4, 5) AND l_quantity = 1)::INT) / sum((l_linenumber NOT IN (3, 4, 5))::INT), 6) AS "MultimapPerc",
+ CAST(sum((l_linenumber NOT IN (3, 4, 5))::INT) AS BIGINT) AS "PrimAln", CAST(sum((l_linenumber = 3)::INT) AS BIGINT) AS "SecAln", CAST(sum((l_linenumber = 4)::INT) AS BIGINT) AS "SupAln", CAST(sum((l_linenumber = 5)::INT) AS BIGINT) AS "Unmapped", CAST(sum((l_linenumber NOT IN (3, 4))::INT) AS BIGINT) AS "TotalReads", count(*) AS "TotalRecords" FROM lineitem""")
+def bam_stat(spark, sf_dir):
+    from ..operators import bam
+
+    return bam.stat(alignments(spark, sf_dir).withColumn("file", F.lit("all"))).withColumns({c: r6(c) for c in ("PrimAlnPerc", "MultimapPerc")})
+
+
+@query("""SELECT CAST(l_orderkey AS VARCHAR) AS "Read", CAST(l_partkey AS INT) AS "Pos", CAST(l_partkey + 2 * CAST(l_quantity AS INT) + 3 AS INT) AS "EndPos", CAST(2 * CAST(l_quantity AS INT) + 7 AS INT) AS "ReadLen", CAST(2 AS INT) AS "LeftSoftClip", CAST(3 AS INT) AS "RightHardClip", round((1 - 2.0 / (2 * CAST(l_quantity AS INT) + 5)) * 100, 6) AS "Acc" FROM lineitem WHERE l_linenumber <> 5""")
+def bam_fields(spark, sf_dir):
+    from ..operators import bam
+
+    return bam.fields(alignments(spark, sf_dir), ("Read", "Pos", "EndPos", "ReadLen", "LeftSoftClip", "RightHardClip", "Acc")).withColumn("Acc", r6("Acc"))
+
+
+def alignments(spark, sf_dir) -> DataFrame:
+    """Line items as alignments: 2S, some M, 2I, 3D, some M, 3H."""
+    li = table(spark, sf_dir, "lineitem")
+    q = F.col("l_quantity").cast("int")
+    op = lambda n, o: F.struct(F.lit(o).alias("op"), n.cast("int").alias("len"))
+    flags = F.when(F.col("l_linenumber") == 3, 256).when(F.col("l_linenumber") == 4, 2048).when(F.col("l_linenumber") == 5, 4).otherwise(0)
+    cigar = F.array(op(F.lit(2), "S"), op(q, "M"), op(F.lit(2), "I"), op(F.lit(3), "D"), op(q, "M"), op(F.lit(3), "H"))
+    return li.select(F.lit("f").alias("file"), F.col("l_orderkey").cast("string").alias("read"), F.col("l_suppkey").cast("string").alias("ref"), F.lit(100000).alias("ref_len"), F.col("l_partkey").cast("int").alias("pos"), (q - 1).alias("mapq"), flags.alias("flags"), cigar.alias("cigar"), F.lit("*").alias("seq"), F.array().cast("array<int>").alias("qual"), F.create_map(F.lit("NM"), F.lit("2")).alias("tags"))

@@ -1 +1,5 @@
+"""Directories that keep growing, as Structured Streaming queries."""
 
+from .follow import follow, register, tee, watch_stream
+
+__all__ = ["follow", "register", "tee", "watch_stream"]
