@@ -40,7 +40,7 @@ class FxSource(DataSource):
     def schema(self):
         return schema.RECORD
 
-    def reader(self, _schema):
+    def reader(self, schema):
         return _Fx(self.options)
 
 
@@ -60,5 +60,5 @@ class BamSource(DataSource):
     def schema(self):
         return alignments.ALN
 
-    def reader(self, _schema):
+    def reader(self, schema):
         return _Bam(self.options)

@@ -100,7 +100,7 @@ class GrowingSource(DataSource):
     def schema(self):
         return ROWS
 
-    def simpleStreamReader(self, _schema):
+    def simpleStreamReader(self, schema):
         return _Reader(self.options)
 
 
