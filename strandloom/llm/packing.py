@@ -186,7 +186,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end: i
     held = spark.sparkContext.broadcast(runs)
     # ranks within (length, share), then the counts of the shares before
     base = counts.withColumn("base", F.sum("count").over(Window.partitionBy("length").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)))
-    ranked = cut.withColumn("rank", F.row_number().over(Window.partitionBy("length", "share").orderBy("doc_id", "piece")) - 1)
+    ranked = cut.withColumn("rank", F.row_number().over(Window.partitionBy("length", "share").orderBy("doc_id", "piece", "ids_crc32")) - 1)
     ranked = ranked.join(base.select("length", "share", F.coalesce("base", F.lit(0)).alias("base")), ["length", "share"]).withColumn("rank", F.col("rank") + F.col("base"))
 
     def make():
