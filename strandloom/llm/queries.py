@@ -26,5 +26,17 @@ QUERIES = {
     "op10_near_dedup": op10_near_dedup,
 }
 
-#: DuckDB SQL where it can express the query.
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB SQL where it can express the query; the others have trained scores, XXH64, token ids or
+#: encoded files in their rows.
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS best FROM pages)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN n >= 1000 AND page_id <> best THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 1000 AND page_id <> best THEN best END AS refers_to FROM p""",
+    "op4_substring_dedup": """
+        WITH t AS (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+') AS l FROM documents)),
+        x AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS win FROM t),
+        r AS (SELECT doc_id, i, w, n, CASE WHEN i + 19 <= n AND row_number() OVER (PARTITION BY i + 19 <= n, win ORDER BY doc_id, i) > 1 THEN 1 ELSE 0 END AS again FROM x),
+        c AS (SELECT *, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM r),
+        g AS (SELECT doc_id, count(*) AS n_words, CAST(sum(gone) AS BIGINT) AS n_removed, sha256(coalesce(string_agg(w, ' ' ORDER BY i) FILTER (gone = 0), '')) AS kept_sha256 FROM c GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM documents d LEFT JOIN g USING (doc_id)""",
+}
