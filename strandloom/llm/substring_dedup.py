@@ -41,13 +41,13 @@ WORD = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+")
 
 def _store(t: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, t.schema) as w:
         w.write_table(t)
-    return sink.getvalue().to_pybytes()
+    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
 
 
 def _load(blob: bytes) -> pa.Table:
-    return pa.ipc.open_stream(blob).read_all()
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all()
 
 
 def _texts(t: pa.Table, text: str) -> list[bytes]:
@@ -188,10 +188,10 @@ def _by_chunk(df: DataFrame, step, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def repeats(docs: DataFrame, window: int = 20, base: int = 10, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES):
+def repeats(docs: DataFrame, window: int = 20, base: int = 10, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, settle=None):
     """Chunk tables: (settled, open, told, width, bits, buckets). No window of a settled
-    chunk's documents repeats; an open chunk's ``marks`` are its candidate windows and
-    ``told`` the answers for them."""
+    chunk's documents repeats, and of these ``settle`` has made what is stored; an open chunk's
+    ``marks`` are its candidate windows and ``told`` the answers for them."""
     levels = [base]
     while levels[-1] < window:
         levels.append(levels[-1] * 2)
@@ -242,7 +242,7 @@ def repeats(docs: DataFrame, window: int = 20, base: int = 10, doc_id: str = "do
                 part = t.filter(pa.array(opened == is_open))
                 if part.num_rows:
                     flags = _bits(marks[opened[words.doc[twice]]]) if is_open else None
-                    yield pa.RecordBatch.from_pydict({"chunk": [row["chunk"]], "n_bytes": [part.num_rows], "docs": [_store(part)], "marks": pa.array([flags], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"chunk": [row["chunk"]], "n_bytes": [part.num_rows], "docs": [_store(part if is_open or settle is None else settle(part))], "marks": pa.array([flags], pa.binary())})
 
         return step
 
@@ -267,17 +267,22 @@ def covered(words: C.Words, width: int, at: np.ndarray) -> np.ndarray:
 def _apply(docs: DataFrame, finish, schema, window: int, base: int, doc_id: str, text: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``finish(table, texts, removed)`` over all chunks; ``removed`` flags each text's words, or
     is None if no word goes."""
-    settled, opened, told, width, bits, buckets = repeats(docs, window, base, doc_id, text, chunk_bytes)
+
+    def settle(t):
+        return pa.Table.from_batches(finish(t, texts := _texts(t, text), [None] * len(texts)))
+
+    filtered = window > base
+    settled, opened, told, width, bits, buckets = repeats(docs, window, base, doc_id, text, chunk_bytes, settle)
 
     def step(row):
         t = _load(row["docs"])
-        texts = _texts(t, text)
-        if row["marks"] is None:
-            yield from finish(t, texts, [None] * len(texts))
+        if row["marks"] is None and filtered:
+            yield from t.to_batches()
             return
+        texts = _texts(t, text)
         words = C.Words(texts)
         at = _places(words, width)
-        at = at[_flags(row["marks"], len(at))]
+        at = at[_flags(row["marks"], len(at))] if row["marks"] is not None else at
         level = Level(words, width, at, bits)
         later = np.ones(len(at), bool)
         later[level.first] = False

@@ -60,3 +60,10 @@ def test_null_and_equal_ids(spark):
     df = spark.createDataFrame([(None, passage), (3, passage), (3, passage)], "doc_id long, text string").coalesce(1)
     got = sorted((r.doc_id or 0, r.n_removed) for r in S.digest(df).collect())
     assert got == [(0, 0), (3, 25), (3, 25)]
+
+
+def test_one_level_alone(spark):
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert sorted(tuple(r) for r in S.digest(df, window=20, base=20).collect()) == sorted(plain(sorted(rows)))
+    assert sorted(tuple(r) for r in S.digest(df, window=20, base=5).collect()) == sorted(plain(sorted(rows)))
