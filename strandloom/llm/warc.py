@@ -57,7 +57,7 @@ def record(page_id, url: str, payload: bytes | None, digest: str, size: int, ref
     ]
     if payload is None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{json.dumps(refers_to)}>"]
-    return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n", 1, mtime=0)
+    return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n", 6, mtime=0)
 
 
 def parse(member: bytes) -> dict:
@@ -91,7 +91,9 @@ def decide(pages: DataFrame, revisit_from: int = 1000, page_id: str = "page_id",
     mark = F.xxhash64("url")
     # groups of two and more alone need to be met again: few rows
     chosen = rows.where(long).groupBy("group").agg(F.max(F.struct("page_id", mark.alias("mark"))).alias("best"), F.count("*").alias("n")).where("n > 1").select("group", "best")
-    met = rows.join(chosen, "group", "left")
+    # a merge join at every size: repeats grow with the corpus, so that a plan that broadcasts them
+    # on little data would say nothing of the plan on much
+    met = rows.join(chosen.hint("merge"), "group", "left")
     revisit = long & F.col("best").isNotNull() & ~(F.col("page_id").eqNullSafe(F.col("best.page_id")) & (mark == F.col("best.mark")))
     return met.select("page_id", "url", F.when(revisit, F.lit(None)).otherwise(F.col("payload")).alias("payload"), "sha1", "size", F.when(revisit, F.col("best.page_id")).alias("refers_to"))
 
