@@ -147,3 +147,33 @@ def from_fish(hits: DataFrame) -> DataFrame:
     """Local alignment hits as SAM-like rows: the best of a reference is primary."""
     best = F.row_number().over(Window.partitionBy("Ref").orderBy(F.desc("RawScore"), "RefStart"))
     return hits.withColumn("flags", F.when(best > 1, SECONDARY).otherwise(0) + F.when(F.col("Strand") == "-", REVERSE).otherwise(0))
+
+
+TOOLS = {
+    "AlnContext": lambda df, a: aln_context(df, a["Ref"], a.get("LeftShift", -10), a.get("RightShift", 10), a.get("RegexStart"), a.get("RegexEnd"), a.get("Stranded", False), a.get("Invert", False)),
+    "AccStats": lambda df, a: acc_stats(df),
+    "Dump": lambda df, a: fields(df, tuple(a.get("Fields", ("Read", "Ref", "Pos", "EndPos", "MapQual", "Acc", "Match", "Mismatch", "Ins", "Del", "AlnLen")))),
+}
+
+
+def tool_chain(df: DataFrame, steps: list[tuple[str, dict]]) -> DataFrame:
+    """Named tools one after the other, each with its arguments: a chain that reporting tools end."""
+    for name, arguments in steps:
+        if name not in TOOLS:
+            raise ValueError(f"no tool {name}; there are {', '.join(sorted(TOOLS))}")
+        df = TOOLS[name](df, arguments)
+    return df
+
+
+def cigar_of(ref: str, query: str, before: int, after: int) -> tuple[str, int]:
+    """(CIGAR, edit distance) of two gapped strings, with soft clips around."""
+    ops, edits = [], 0
+    for r, q in zip(ref, query, strict=True):
+        op = "I" if r == "-" else "D" if q == "-" else "M"
+        edits += op != "M" or r.upper() != q.upper()
+        if ops and ops[-1][0] == op:
+            ops[-1][1] += 1
+        else:
+            ops.append([op, 1])
+    text = (f"{before}S" if before else "") + "".join(f"{n}{o}" for o, n in ops) + (f"{after}S" if after else "")
+    return text, edits

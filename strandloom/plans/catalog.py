@@ -596,3 +596,62 @@ def alignments(spark, sf_dir) -> DataFrame:
     flags = F.when(F.col("l_linenumber") == 3, 256).when(F.col("l_linenumber") == 4, 2048).when(F.col("l_linenumber") == 5, 4).otherwise(0)
     cigar = F.array(op(F.lit(2), "S"), op(q, "M"), op(F.lit(2), "I"), op(F.lit(3), "D"), op(q, "M"), op(F.lit(3), "H"))
     return li.select(F.lit("f").alias("file"), F.col("l_orderkey").cast("string").alias("read"), F.col("l_suppkey").cast("string").alias("ref"), F.lit(100000).alias("ref_len"), F.col("l_partkey").cast("int").alias("pos"), (q - 1).alias("mapq"), flags.alias("flags"), cigar.alias("cigar"), F.lit("*").alias("seq"), F.array().cast("array<int>").alias("qual"), F.create_map(F.lit("NM"), F.lit("2")).alias("tags"))
+
+
+_ALN = "a AS (SELECT CAST(l_orderkey AS VARCHAR) AS read, CAST(l_suppkey AS VARCHAR) AS ref, l_partkey AS pos, CAST(l_quantity AS INT) AS q, l_linenumber AS k FROM lineitem WHERE l_linenumber <> 5)"
+
+
+@query(f"""WITH {_ALN} SELECT round(avg((1 - 2.0 / (2 * q + 5)) * 100), 6) AS "AccMean", round(sum((1 - 2.0 / (2 * q + 5)) * 100 * (2 * q + 5)) / sum(2 * q + 5), 6) AS "WeightedAccMean" FROM a""")
+def bam_acc_stats(spark, sf_dir):
+    from ..operators import bam
+
+    return bam.tool_chain(alignments(spark, sf_dir), [("AccStats", {})]).select(*[r6(c).alias(c) for c in ("AccMean", "WeightedAccMean")])
+
+
+@query(f"""WITH {_ALN}, m AS (SELECT *, max(pos + 2 * q + 3) OVER (PARTITION BY ref ORDER BY pos, read ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT ref, pos, read, max(q) AS q FROM a GROUP BY ref, pos, read)),
+ l AS (SELECT ref, sum(CASE WHEN before > pos THEN 0 ELSE 1 END) AS loci FROM m GROUP BY ref) SELECT ref, CAST(loci AS BIGINT) AS loci FROM l""")
+def bam_loci(spark, sf_dir):
+    from pyspark.sql import Window
+
+    from ..operators import bam
+
+    # one alignment for each read and place, the longest
+    w = Window.partitionBy("ref", "pos", "read").orderBy(F.desc("mapq"), "flags")
+    a = alignments(spark, sf_dir).where("flags <> 4").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return bam.loci(a).groupBy("ref").agg(F.max("locus").alias("loci"))
+
+
+@query(f"""WITH {_ALN} SELECT read AS "Read", CAST(2 * q - 2 AS INT) AS "Match", 2 AS "Mismatch", 2 AS "Ins", 3 AS "Del", CAST(2 * q + 5 AS INT) AS "AlnLen", CAST(2 * q + 3 AS INT) AS "RefAln", round((2 * q + 3) / 1000.0, 6) AS "RefCov", CASE WHEN k = 3 THEN 1 ELSE 0 END AS "IsSec", CASE WHEN k = 4 THEN 1 ELSE 0 END AS "IsSup" FROM a WHERE q > 30""")
+def bam_dump(spark, sf_dir):
+    from ..operators import bam
+
+    rows = bam.filters(alignments(spark, sf_dir), map_qual=30)
+    return bam.tool_chain(rows, [("Dump", {"Fields": ("Read", "Match", "Mismatch", "Ins", "Del", "AlnLen", "RefAln", "RefCov", "IsSec", "IsSup")})]).withColumn("RefCov", r6("RefCov"))
+
+
+@query(f"""WITH {REC}, x AS (SELECT id, seq, qual FROM r WHERE length(seq) > 0) SELECT id, CAST(min(ascii(c)) - 33 AS INT) AS low, CAST(max(ascii(c)) - 33 AS INT) AS high FROM (SELECT id, unnest(string_split(qual, '')) AS c FROM x) GROUP BY id""")
+def quality_range(spark, sf_dir):
+    """Least and greatest score of each record, which tell encodings apart."""
+    r = records(spark, sf_dir).where("qual <> ''")
+    scores = F.transform(F.array_distinct(F.filter(F.split("qual", ""), lambda c: c != "")), lambda c: F.ascii(c) - 33)
+    return r.select("id", F.array_min(scores).alias("low"), F.array_max(scores).alias("high"))
+
+
+@query(f"WITH {REC} SELECT CAST(CASE WHEN length(seq) = 0 THEN NULL ELSE floor(100.0 * ({_N('G')} + {_N('C')}) / length(seq) / 5) * 5 END AS DOUBLE) AS bin, count(*) AS count FROM r GROUP BY 1")
+def watch_gc(spark, sf_dir):
+    return A.watch(records(spark, sf_dir), "GC", 5.0)
+
+
+@query(f"WITH {REC}, n AS (SELECT name, length(seq) AS len, octet_length(encode(name)) + 2 AS head, (length(seq) + 59) // 60 AS lines, pos FROM r), s AS (SELECT *, head + len + greatest(lines, 1) AS size FROM n), c AS (SELECT *, sum(size) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING) AS upto FROM s) SELECT name, CAST(len AS BIGINT) AS length, CAST(upto - size + head AS BIGINT) AS \"offset\", CAST(least(len, 60) AS BIGINT) AS line_bases, CAST(least(len, 60) + 1 AS BIGINT) AS line_width FROM c")
+def faidx_index(spark, sf_dir):
+    from ..sources.formats import fasta_index
+
+    return fasta_index(fasta(spark, sf_dir), full_head=True)
+
+
+@query(f"WITH {REC}, o AS (SELECT id, name, seq, qual FROM r WHERE pos % 2 = 0) SELECT id, CAST(length('>' || name || chr(10) || regexp_replace(seq, '(.{{60}})', '\\1' || chr(10), 'g')) - CASE WHEN length(seq) > 0 AND length(seq) % 60 = 0 THEN 1 ELSE 0 END AS BIGINT) AS size FROM o")
+def write_fasta_size(spark, sf_dir):
+    """The letters that each record takes in a file wrapped at 60."""
+    from ..sources.formats import as_text_column
+
+    return fasta(spark, sf_dir).where("pos % 2 = 0").select("id", F.length(as_text_column(60)).cast("long").alias("size"))

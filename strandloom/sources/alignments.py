@@ -186,3 +186,15 @@ def index_counts(content: bytes) -> list[tuple[int, int, int]]:
         at += 4 + 8 * struct.unpack_from("<i", content, at)[0]
         out.append((ref, mapped, unmapped))
     return out
+
+
+def read_bai(spark: SparkSession, paths) -> DataFrame:
+    """(file, ref_number, mapped, unmapped) of index files: their summaries, not the records."""
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = index_counts(content)
+                yield pa.RecordBatch.from_pydict({"file": [path] * len(rows), "ref_number": pa.array([r[0] for r in rows], pa.int32()), "mapped": pa.array([r[1] for r in rows], pa.int64()), "unmapped": pa.array([r[2] for r in rows], pa.int64())})
+
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, "file string, ref_number int, mapped long, unmapped long")

@@ -214,3 +214,11 @@ def test_sana(spark):
     assert {r.line for r in rows if r.error} >= {"junk", "@b", "@d", "@e"}
     good = [x for x in sana_fasta([">a", "AC", "", "GT", ">b", ">c", "AC!", "x", ">d", "T"]) if x[4] is None]
     assert [(x[1], x[2]) for x in good] == [("a", "ACGT"), ("d", "T")]
+
+
+def test_digest_of_one_genome_in_four_presentations(spark):
+    one = "TGGTAGGGAGTTGAGTAGCATGGGTATAGTATAGTGTCATGATGCCAGATTTTAAAAAAA"
+    forms = [one, one[1:] + one[:1], iupac.revcomp(one), iupac.revcomp(one[7:] + one[:7])]
+    for k, digest in ((21, "7efd18ce33380268d3aa335ffd2dd1cc"), (51, "39e267864fddeafd7a5cacd77e0a6a11")):
+        got = {A.digest_sum(recs(spark, ("x", s)), circular=True, k=k).first().digest for s in forms}
+        assert got == {f"v0.1_DCD_k{k}_{digest}"}

@@ -131,3 +131,17 @@ def test_growing_folder(spark, tmp_path):
     finally:
         q.stop()
         h.stop()
+
+
+def test_tools_and_index(spark, tmp_path):
+    import struct
+
+    (tmp_path / "x.bam").write_bytes(L.encode_bam(rows(), [("r1", 50), ("r2", 20)]))
+    df = L.read_bam(spark, str(tmp_path / "x.bam"))
+    assert [r.Match for r in bam.tool_chain(df.where("flags = 0"), [("Dump", {})]).collect()] == [4]
+    with pytest.raises(ValueError, match="no tool"):
+        bam.tool_chain(df, [("Nothing", {})])
+    assert bam.cigar_of("AC-GT", "ACCGA", 1, 0) == ("1S2M1I2M", 2)
+    summary = struct.pack("<Ii", 37450, 2) + struct.pack("<QQQQ", 0, 9, 4, 1)
+    (tmp_path / "x.bai").write_bytes(b"BAI\1" + struct.pack("<ii", 2, 2) + struct.pack("<IiQQ", 1, 1, 0, 9) + summary + struct.pack("<iQ", 1, 7) + struct.pack("<ii", 0, 0))
+    assert [(r.ref_number, r.mapped, r.unmapped) for r in L.read_bai(spark, str(tmp_path / "x.bai")).collect()] == [(0, 4, 1), (1, 0, 0)]
