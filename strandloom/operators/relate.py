@@ -135,8 +135,8 @@ def by_features(df: DataFrame, features: DataFrame, up=0, down=0, only_flank=Fal
     if only_flank and (up > 0) == (down > 0):
         raise ValueError("one of up and down for flanks alone")
     f = features.select(F.col("chrom").alias("_c"), F.col("start").alias("_a"), F.col("end").alias("_b"), F.coalesce("strand", F.lit(".")).alias("_t"), F.coalesce("name", F.lit("")).alias("_n"))
-    out = df.join(f, F.col("id") == F.col("_c"))
-    minus, n = F.col("_t") == "-", F.length("seq")
+    out = df.withColumn("_len", F.length("seq")).join(f, F.col("id") == F.col("_c"))
+    minus, n = F.col("_t") == "-", F.col("_len")
     if only_flank:
         a_up, b_up = F.when(minus, F.col("_b") + 1).otherwise(F.col("_a") - up), F.when(minus, F.col("_b") + up).otherwise(F.col("_a") - 1)
         a_dn, b_dn = F.when(minus, F.col("_a") - down).otherwise(F.col("_b") + 1), F.when(minus, F.col("_a") - 1).otherwise(F.col("_b") + down)
@@ -151,7 +151,7 @@ def by_features(df: DataFrame, features: DataFrame, up=0, down=0, only_flank=Fal
     s = F.when(minus, S.revcomp(cut("seq"))).otherwise(cut("seq"))
     q = F.when(F.col("qual").isNotNull(), F.when(minus, F.reverse(cut("qual"))).otherwise(cut("qual")))
     new = F.concat("id", F.lit("_"), "_a", F.lit("-"), "_b", F.lit(":"), "_t", F.lit(note))
-    return out.withColumns({"seq": s, "qual": q, "id": new, "desc": F.col("_n"), "name": F.rtrim(F.concat(new, F.lit(" "), "_n"))}).drop("_c", "_a", "_b", "_t", "_n", "_x", "_y")
+    return out.withColumns({"seq": s, "qual": q, "id": new, "desc": F.col("_n"), "name": F.rtrim(F.concat(new, F.lit(" "), "_n"))}).drop("_c", "_a", "_b", "_t", "_n", "_x", "_y", "_len")
 
 
 def gtf_features(gtf: DataFrame, features=(), chroms=(), tag="gene_id") -> DataFrame:

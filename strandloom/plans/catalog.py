@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as S
 from ..functions import iupac
+from ..functions.layout import spread
 from ..functions.ordering import ranked
 from ..operators import aggregate as A
 from ..operators import order as O
@@ -24,7 +25,7 @@ LANGS = ["de", "en", "es", "fr"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
