@@ -61,6 +61,32 @@ def release(spark: SparkSession, keep: int = 0) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: What a Python worker keeps from task to task, by owner.
+KEPT: dict[str, dict] = {}
+#: Bytes of rows that reach a Python worker at once.
+BATCH_BYTES = "16m"
+
+
+def worker_cache(owner: str) -> dict:
+    """``owner``'s cache in this worker; those of other operators are dropped."""
+    for other in [k for k in KEPT if k != owner]:
+        del KEPT[other]
+    return KEPT.setdefault(owner, {})
+
+
+def tidy() -> None:
+    """Gives memory that a task has freed back to the system; workers live on."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
@@ -92,7 +118,7 @@ def judge_rows(docs: DataFrame, text: str, make, fields: str, rows: int = 512) -
     return map_batches(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), start, schema, rows)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict] | dict | None]], schema: str, rows: int = 2048) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict] | dict | None]], schema: str, rows: int = 1024, owner: str = "") -> DataFrame:
     """``mapInArrow`` by a function of at most ``rows`` rows that returns columns by
     name (a dict) or several such dicts. ``make`` runs once a task."""
     from pyspark.sql.types import StructType, _parse_datatype_string
@@ -101,7 +127,10 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
     kind = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
     arrow = to_arrow_schema(kind)
 
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
     def run(batches):
+        worker_cache(owner)
         step = make()
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
@@ -110,6 +139,8 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
                     cols = [out[f.name] for f in arrow]
                     cols = [c.cast(f.type) if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type, from_pandas=isinstance(c, np.ndarray) and c.dtype.kind == "f") for c, f in zip(cols, arrow, strict=True)]
                     yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], schema=arrow)
+        del step
+        tidy()
 
     return df.mapInArrow(run, kind)
 

@@ -48,9 +48,10 @@ def _byte_letters() -> list[str]:
 
 
 class WordIds(dict):
-    """Little-endian 32-bit ids of a word given as bytes; kept for at most ``most`` words."""
+    """Little-endian 32-bit ids of a word given as bytes; kept for at most ``most`` words and twice as
+    many of the pieces that words split into, which cost more to make and recur more."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -66,7 +67,7 @@ class WordIds(dict):
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        if len(self.parts) >= self.most:
+        if len(self.parts) >= 2 * self.most:
             self.parts.clear()
         text = word.decode()
         if PLAIN.fullmatch(text) and "<|" not in text and len(text) <= 64:
@@ -81,20 +82,17 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-#: A worker keeps its cache from task to task.
-_CACHE: dict[str, WordIds] = {}
-
-
 def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end: int = END, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of whole documents."""
     path = tokenizer or default_tokenizer()
     tail = np.array([end], "<u4").tobytes()
 
     def make():
-        if path not in _CACHE:
-            _CACHE.clear()
-            _CACHE[path] = WordIds(path)
-        words = _CACHE[path]
+        kept = C.worker_cache("packing")  # the next task of this worker may need the same words
+        if path not in kept:
+            kept.clear()
+            kept[path] = WordIds(path)
+        words = kept[path]
 
         def step(batch: pa.RecordBatch):
             rows = []
@@ -107,7 +105,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end:
 
         return step
 
-    return C.map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t")), make, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return C.map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t")), make, "doc_id long, piece int, start long, length long, ids_crc32 long", rows=256, owner="packing")
 
 
 def fullest(room: int, counts: dict[int, int]) -> list[int]:

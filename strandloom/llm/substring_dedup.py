@@ -180,10 +180,14 @@ def _told(level: Level, told, bits: int, buckets: int) -> np.ndarray:
 
 
 def _by_chunk(df: DataFrame, step, schema: str) -> DataFrame:
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", C.BATCH_BYTES)
+
     def run(batches):
+        C.worker_cache("")
         for batch in batches:
             for i in range(batch.num_rows):
                 yield from step(batch.slice(i, 1).to_pylist()[0])
+        C.tidy()
 
     return df.mapInArrow(run, schema)
 
