@@ -222,3 +222,14 @@ def test_digest_of_one_genome_in_four_presentations(spark):
     for k, digest in ((21, "7efd18ce33380268d3aa335ffd2dd1cc"), (51, "39e267864fddeafd7a5cacd77e0a6a11")):
         got = {A.digest_sum(recs(spark, ("x", s)), circular=True, k=k).first().digest for s in forms}
         assert got == {f"v0.1_DCD_k{k}_{digest}"}
+
+
+def test_spread(spark, tmp_path):
+    from strandloom.functions.layout import spread
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    df = spread(spark.read.parquet(str(tmp_path / "one")))
+    assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and df.count() == 100
+    spark.range(100).repartition(9).write.parquet(str(tmp_path / "many"))
+    many = spark.read.parquet(str(tmp_path / "many"))
+    assert spread(many) is many
