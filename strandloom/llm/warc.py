@@ -220,7 +220,7 @@ def read_all(segments: DataFrame, blocks: DataFrame) -> DataFrame:
 
         return step
 
-    return C.map_batches(segments.join(places, "segment").select("data", "captures"), make, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, key string", rows=16)
+    return C.map_batches(segments.join(places.hint("merge"), "segment").select("data", "captures"), make, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, key string", rows=16)
 
 
 def export(segments: DataFrame, folder: str) -> DataFrame:
