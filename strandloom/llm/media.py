@@ -9,8 +9,9 @@ open. A file without restart markers is one interval, and decodes one symbol at
 ``encode`` writes a payload losslessly as a grey baseline JPEG whose unit is the quantised
 coefficient: 64 bytes are one 8x8 block in zigzag order, byte b is coefficient b + 1 (so that
 no zero runs occur), the quantisation table is all ones, and every block is its own restart
-interval, so that blocks decode side by side. Blocks stand in rows of 16; a last row that is not
-full is filled with blocks of byte 0, and a comment segment tells the payload's length.
+interval, so that blocks decode side by side. Blocks stand in rows of 16, and in longer rows where
+16 would make a frame higher than its 16-bit field holds (payloads over 8,387,584 bytes); a last row
+that is not full is filled with blocks of byte 0, and a comment segment tells the payload's length.
 
 Every value is a function of the bytes stored, so equal texts get equal values. Files that do
 not parse give nulls and an error text; null and empty texts are 64 bytes of zero.
@@ -32,6 +33,8 @@ from . import common as C
 #: Zigzag order of an 8x8 block, made by walking its diagonals.
 ZIGZAG = np.array([y * 8 + x for s in range(15) for y, x in sorted(((y, s - y) for y in range(8) if 0 <= s - y < 8), reverse=s % 2 == 0)])
 ROW_BLOCKS = 16
+#: Blocks that the 16 bits of a frame's height or width have room for.
+MOST_BLOCKS = 65535 // 8
 
 # Code lengths of our tables: the category of most text bytes gets the shortest code.
 DC_LENGTHS = {7: 1, 6: 2, 8: 3, 5: 4, 4: 5, 3: 6, 2: 7, 1: 8, 9: 9, 0: 10}
@@ -100,9 +103,14 @@ def _segment(marker: int, body: bytes) -> bytes:
     return bytes((0xFF, marker)) + struct.pack(">H", len(body) + 2) + body
 
 
-def _headers(payload: int, blocks: int) -> bytes:
-    rows = -(-blocks // ROW_BLOCKS)
-    wide = min(blocks, ROW_BLOCKS) * 8
+def _across(blocks: int) -> int:
+    """Blocks in a row: as few over 16 as keep the frame's height within its field."""
+    return max(min(blocks, ROW_BLOCKS), -(-blocks // MOST_BLOCKS))
+
+
+def _headers(payload: int, blocks: int, across: int) -> bytes:
+    rows = -(-blocks // across)
+    wide = across * 8
     dht = b"".join(bytes((cls << 4,)) + b"".join(_table(t)) for cls, t in ((0, DC_LENGTHS), (1, AC_LENGTHS)))
     return (
         b"\xff\xd8" + _segment(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0") + _segment(0xFE, b"payload=%d" % payload) + _segment(0xDB, bytes(1) + bytes([1]) * 64)
@@ -125,12 +133,13 @@ def _pack_bits(bits: np.ndarray, at: np.ndarray, size: np.ndarray, total: int) -
 
 def encode_many(payloads: list[bytes]) -> list[bytes]:
     """Each payload (a positive multiple of 64 bytes) as a JPEG."""
-    full = []
+    full, wide = [], []
     for p in payloads:
         if not p or len(p) % 64:
             raise ValueError("a payload is a positive multiple of 64 bytes")
         n = len(p) // 64
-        full.append(n if n <= ROW_BLOCKS else -(-n // ROW_BLOCKS) * ROW_BLOCKS)
+        wide.append(_across(n))
+        full.append(-(-n // wide[-1]) * wide[-1])
     blocks = np.array(full)
     data = np.frombuffer(b"".join(p + bytes(64 * n - len(p)) for p, n in zip(payloads, full, strict=True)), np.uint8).reshape(-1, 64)
     size, bits = _AC_BITS[1][data], _AC_BITS[0][data]
@@ -158,7 +167,7 @@ def encode_many(payloads: list[bytes]) -> list[bytes]:
     out[tail - 2], out[tail - 1] = 0xFF, 0xD0 + within[marked] % 8
     cut = np.concatenate([[0], (place + width)[end[np.cumsum(blocks) - 1] - 1]])
     scan = out.tobytes()
-    return [_headers(len(p), n) + scan[a:b] + b"\xff\xd9" for p, n, a, b in zip(payloads, full, cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+    return [_headers(len(p), n, w) + scan[a:b] + b"\xff\xd9" for p, n, w, a, b in zip(payloads, full, wide, cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
 # -- decoding ----------------------------------------------------------------------

@@ -84,6 +84,16 @@ def test_payloads_round_trip():
         assert (M.decode(alone) == c).all()
 
 
+def test_payloads_over_the_height_of_rows_of_16():
+    rng = random.Random(2)
+    for n in (16 * 8191, 16 * 8191 + 1, 17 * 8191 + 5):  # 8,387,584 bytes fill rows of 16
+        p = rng.randbytes(64 * n)
+        [f] = M.encode_many([p])
+        [(j, c)] = M.decode_many([f])
+        assert M.payload_of(j, c) == p
+        assert j.width == 8 * -(-n // 8191) and j.height <= 65528
+
+
 def test_broken_files(spark):
     good, _ = colour_jpeg(45, 37, [(1, 1)], 0, 7)
     rows = [(1, good, "a"), (2, None, "b"), (3, b"", "c"), (4, good[:200], "d"), (5, good[: len(good) // 2], "e"), (6, b"\xff\xd8\xff\xd9", "f"), (7, good.replace(b"\xff\xc0", b"\xff\xc2"), "g")]
