@@ -303,9 +303,14 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, k: int, bits: int) -> tup
     marked = C.written(fingerprints(docs, doc_id, text, k), "fingerprints")
     distinct = C.written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     roots = components(links(distinct, distinct.count(), bits))
+    return marked, lowest(distinct, roots)
+
+
+def lowest(distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of every row (fp, rep) of ``distinct``."""
     labelled = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return marked, C.written(labelled.join(lowest, "root").select("fp", "root", "component_id"), "labels")
+    least = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return C.written(labelled.join(least, "root").select("fp", "root", "component_id"), "labels")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 3, bits: int = 3) -> DataFrame:
@@ -317,7 +322,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 3, bits: int = 3) -> DataFrame:
     """One row of ``docs`` for each component: that with its smallest doc_id. Where several rows
     of a component have that id, or none has an id, any one of them by a hash."""
-    marked, label = _labelled(docs, doc_id, text, k, bits)
+    return choose(docs, *_labelled(docs, doc_id, text, k, bits), doc_id, text, lambda texts: fingerprint_texts(texts, k))
+
+
+def choose(docs: DataFrame, marked: DataFrame, label: DataFrame, doc_id: str, text: str, of_texts) -> DataFrame:
+    """The rows that stand for their components; ``of_texts`` gives the fp (uint64) of each text."""
     odd = C.written(marked.groupBy("doc_id").count().where("doc_id is null or count > 1").select(F.col("doc_id").alias("odd_id")), "odd")
     keep = marked.join(label, "fp").where("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("own_id"))
@@ -329,7 +338,7 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     place = docs.columns.index(text)
 
     def make():
-        return lambda batch: {"row": batch.column(0), "own_id": batch.column(1), "fp": fingerprint_texts(C.byte_values(batch.column(0).field(place).cast(pa.binary())), k).view(np.int64)}
+        return lambda batch: {"row": batch.column(0), "own_id": batch.column(1), "fp": of_texts(C.byte_values(batch.column(0).field(place).cast(pa.binary()))).view(np.int64)}
 
     apart = rows.join(odd, met, "left_semi")
     apart = C.map_batches(apart, make, StructType([*apart.schema.fields, StructField("fp", LongType())]))
