@@ -90,6 +90,8 @@ class Index:
             ids.append(END)
         self.hashes, self.terms = self._hash_words(vocab)
         self.shingles = []
+        #: Words in an entry's shingles: an item of fewer than SHINGLE words is one of its own length.
+        self.gram = [min(len(words), SHINGLE) for _, words, _ in entries]
         for _, words, cut in entries:
             grams = [b" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))]
             q = max(1, min(cut - SHINGLE + 1, len(grams)))
@@ -189,7 +191,8 @@ class Index:
                     first = words.first[d] + (p - base[d]) * half
                     last = min(first + 2 * half, words.first[d] + words.count[d])
                     part = words.buf[words.start[first] : words.end[last - 1]].tobytes().split()
-                    grams = {b" ".join(part[j : j + SHINGLE]) for j in range(max(1, len(part) - SHINGLE + 1))}
+                    n = self.gram[entry]
+                    grams = {b" ".join(part[j : j + n]) for j in range(max(1, len(part) - n + 1))}
                     question, answer = self.shingles[entry]
                     q, s = len(question & grams) / len(question), len(answer & grams) / len(answer)
                     if min(q, s) >= overlap:

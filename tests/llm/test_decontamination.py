@@ -48,3 +48,9 @@ def test_contained_items_are_found_and_no_others(spark, part, shard):
     got = {(r.doc_id, r.item_id) for r in D.contained(d, b, part=part, shard_bytes=shard).collect()}
     assert {(x, y) for x, y in got if y != 900 or x == 502} == want
     assert D.contained(d, b.limit(0)).count() == 0 == D.contained(d.limit(0), b).count()
+
+
+def test_items_of_fewer_words_than_a_shingle():
+    index = D.Index([(1, b"Zeta quux"), (2, b"alone"), (3, b"one two three four"), (4, b"alpha beta gamma delta epsilon zeta eta")])
+    texts = [b"much text before zeta, QUUX and behind it", b"zeta then quux apart in this text", b"here it stands alone with others", b"one two three four five", b"one two four three five", b"zeta quux", b"alpha beta gamma delta"]
+    assert set(index.search(texts, 0.5, 0.8)) == {(0, 1), (2, 2), (3, 3), (5, 1)}
