@@ -51,34 +51,64 @@ def common(df: DataFrame, n_files: int, **how) -> DataFrame:
     return keyed.where("file_idx = 0").join(shared, F.col("_k") == F.col("_s"), "left_semi").drop("_k")
 
 
+#: Seeds of up to 2**HOT letters have few values, so their meetings are dealt to SALTS tasks each.
+HOT, SALTS = 4, 16
+
+
+def _contained(holders: DataFrame, held: DataFrame) -> DataFrame:
+    """(key, of, b, len, tag) of every place where a text of ``held`` (tag, of, s) occurs in a record of
+    ``holders`` (key, s) or in its reverse complement; b is the place on the + strand.
+
+    A text of length n meets by its first 2**c letters, c = floor(log2 n): one seed length for each class
+    of lengths, so that short texts do not make the seeds of long ones short. What meets is hashes and
+    places; the holders' letters come back by their key and equality is of SHA-256 digests."""
+    length_class = lambda c: F.length(F.bin(F.length(c))) - 1
+    held = held.withColumns({"cls": length_class("s"), "len": F.length("s"), "digest": F.sha2("s", 256)}).dropDuplicates(["of", "digest"])
+    held = held.withColumn("h", F.xxhash64(F.substring(F.col("s").cast("binary"), F.lit(1), F.expr("shiftleft(1, cls)")))).drop("s")
+    classes = sorted(r[0] for r in held.select("cls").distinct().collect())  # at most 31 numbers
+    salted = held.withColumn("salt", F.explode(F.when(F.col("cls") <= HOT, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    both = holders.select("key", F.posexplode(F.array(F.col("s").cast("binary"), S.revcomp("s").cast("binary"))).alias("minus", "t"))  # bytes: a cut costs its own length
+    n = F.length("t")
+
+    def of_class(c: int) -> Column:
+        seed = lambda i: F.struct(F.lit(c).alias("cls"), i.alias("at"), F.xxhash64(F.substring("t", i, F.lit(1 << c))).alias("h"))
+        return F.when(n >= 1 << c, F.transform(F.sequence(F.lit(1), n - (1 << c) + 1), seed))
+
+    places = [of_class(c) for c in classes]
+    if not places:
+        return holders.crossJoin(held.drop("cls", "digest", "h")).select("key", "of", F.col("len").alias("b"), "len", "tag").limit(0)
+    none = F.array().cast("array<struct<cls:int,at:int,h:bigint>>")
+    seeds = both.select("key", "minus", F.explode(F.concat(*[F.coalesce(x, none) for x in places])).alias("x")).select("key", "minus", "x.*")
+    seeds = seeds.withColumn("salt", F.when(F.col("cls") <= HOT, F.pmod("at", F.lit(SALTS))).otherwise(0))
+    met = seeds.join(salted, ["cls", "h", "salt"]).select("key", "minus", "at", "of", "len", "digest", "tag")
+    met = met.join(holders, "key").where(F.col("at") + F.col("len") - 1 <= F.length("s"))
+    b = F.when(F.col("minus") == 1, F.length("s") - F.col("at") - F.col("len") + 2).otherwise(F.col("at"))
+    t = F.substring(F.col("s").cast("binary"), b, F.col("len")).cast("string")
+    equal = F.sha2(F.when(F.col("minus") == 1, S.revcomp(t)).otherwise(t), 256) == F.col("digest")
+    return met.where(equal).select("key", "of", b.alias("b"), "len", "tag")
+
+
 def common_embedded(df: DataFrame, n_files: int, ignore_case=False, min_len: int = 1) -> DataFrame:
     """Maximal stretches of first-file records that occur in every other file, where either the
-    stretch is a whole record of that file or the whole first record lies within one: (id, start, end,
-    seq). Records meet through the hash of their first ``seed`` letters, not all with all."""
+    stretch is a whole record of that file or the whole first record lies within one, on either strand:
+    (id, start, end, seq). Empty records have no stretch."""
     fold = (lambda c: F.lower(c)) if ignore_case else (lambda c: c)
-    rows = df.select("file_idx", "pos", "id", fold(F.col("seq")).alias("s")).where(F.length("s") >= min_len)
-    seed = rows.agg(F.min(F.length("s"))).first()[0]
-    if not seed:
-        return df.select("id", F.lit(1).alias("start"), F.lit(1).alias("end"), "seq").limit(0)
-    seeds = lambda c, last: F.explode(F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(i.alias("at"), F.xxhash64(F.substring(c, i, F.lit(seed))).alias("h"))))
-    whole = rows.select("file_idx", "pos", "id", "s", F.xxhash64(F.substring("s", 1, seed)).alias("h"))
-    first, others = rows.where("file_idx = 0"), whole.where("file_idx > 0")
-    both = first.select("id", "pos", F.explode(F.array(F.col("s"), S.revcomp("s"))).alias("t"), "s")
-    at = both.withColumn("e", seeds(F.col("t"), F.length("t") - seed + 1)).select("id", "pos", "s", "t", F.col("e.at").alias("at"), F.col("e.h").alias("h"))
-    o = others.select(F.col("file_idx").alias("of"), F.col("s").alias("os"), F.col("h").alias("oh"))
-    inner = at.join(o, (F.col("h") == F.col("oh")) & (F.substring("t", F.col("at"), F.length("os")) == F.col("os")))
-    n = F.length("s")
-    inner = inner.select("id", "pos", "s", "of", F.when(F.col("t") == F.col("s"), F.col("at")).otherwise(n - F.col("at") - F.length("os") + 2).alias("b"), F.length("os").alias("len"))
-    other_at = rows.where("file_idx > 0").select(F.col("file_idx").alias("of"), F.explode(F.array(F.col("s"), S.revcomp("s"))).alias("os"))
-    other_at = other_at.withColumn("e", seeds(F.col("os"), F.length("os") - seed + 1)).select("of", "os", F.col("e.at").alias("at"), F.col("e.h").alias("oh"))
-    outer = whole.where("file_idx = 0").join(other_at, (F.col("h") == F.col("oh")) & (F.substring("os", F.col("at"), F.length("s")) == F.col("s"))).select("id", "pos", "s", "of", F.lit(1).alias("b"), F.length("s").alias("len"))
-    spans = inner.union(outer).withColumn("e", F.col("b") + F.col("len") - 1).select("id", "pos", "s", "of", "b", "e").distinct()
-    # a stretch counts if every other file has one that covers it
-    cand = spans.select("id", "pos", "s", "b", "e").distinct()
-    cover = cand.alias("c").join(spans.alias("o"), (F.col("c.pos") == F.col("o.pos")) & (F.col("o.b") <= F.col("c.b")) & (F.col("o.e") >= F.col("c.e")))
-    kept = cover.groupBy("c.id", "c.pos", "c.s", "c.b", "c.e").agg(F.count_distinct("o.of").alias("n")).where(F.col("n") == n_files - 1).drop("n")
-    w = Window.partitionBy("pos").orderBy("b", F.desc("e")).rowsBetween(Window.unboundedPreceding, -1)
-    kept = kept.withColumn("before", F.max("e").over(w)).where(F.col("before").isNull() | (F.col("e") > F.col("before")))
+    rows = df.select("file_idx", "pos", "id", fold(F.col("seq")).alias("s")).where(F.length("s") >= max(1, min_len))
+    first, others = rows.where("file_idx = 0"), rows.where("file_idx > 0")
+    digest = F.sha2("s", 256)
+    inner = _contained(first.select(F.col("pos").alias("key"), "s"), others.select(F.lit("").alias("tag"), F.col("file_idx").alias("of"), "s"))
+    inner = inner.select(F.col("key").alias("pos"), "of", "b", (F.col("b") + F.col("len") - 1).alias("e"))
+    outer = _contained(others.select(F.struct("file_idx", "pos").alias("key"), "s"), first.select(digest.alias("tag"), F.lit(0).alias("of"), "s"))
+    outer = first.select("pos", digest.alias("tag"), F.length("s").alias("e")).join(outer.select("tag", F.col("key.file_idx").alias("of")).distinct(), "tag").select("pos", "of", F.lit(1).alias("b"), "e")
+    spans = inner.union(outer).distinct()
+    kept = spans.select("pos", "b", "e").distinct()
+    before = lambda *by: F.max("e").over(Window.partitionBy(*by).orderBy("b", F.desc("e")).rowsBetween(Window.unboundedPreceding, -1))
+    maximal = lambda d, *by: d.withColumn("_b", before(*by)).where(F.col("_b").isNull() | (F.col("e") > F.col("_b"))).drop("_b")
+    if n_files > 2:  # a stretch counts if every other file has one that covers it
+        wide = maximal(spans, "pos", "of").select(F.col("pos").alias("_p"), "of", F.col("b").alias("_wb"), F.col("e").alias("_we"))
+        cover = kept.join(wide, (F.col("pos") == F.col("_p")) & (F.col("_wb") <= F.col("b")) & (F.col("_we") >= F.col("e")))
+        kept = cover.groupBy("pos", "b", "e").agg(F.count_distinct("of").alias("_n")).where(F.col("_n") == n_files - 1).drop("_n")
+    kept = maximal(kept, "pos").join(first.select("pos", "id", "s"), "pos")
     return kept.select("id", F.col("b").alias("start"), F.col("e").alias("end"), F.substring("s", F.col("b"), F.col("e") - F.col("b") + 1).alias("seq"))
 
 

@@ -92,11 +92,12 @@ def subseq(df: DataFrame, start: int, end: int, ids=(), region_coord=False) -> D
 
 
 def sliding(df: DataFrame, step: int, window: int, greedy=False, circular=False, suffix="_sliding") -> DataFrame:
-    """Windows at 1, 1 + step, ...; the last ones wrap (circular), are short (greedy) or are left out."""
+    """Windows at 1, 1 + step, ...; the last ones wrap (circular), are short (greedy) or are left out. An
+    empty sequence has one empty window, 1-0, in greedy mode and none else."""
     if step < 1 or window < 1:
         raise ValueError("step and window are 1 or more")
     n = F.length("seq")
-    last = n - 1 if greedy or circular else n - window
+    last = n - 1 if circular else F.greatest(n - 1, F.lit(0)) if greedy else n - window
     at = F.explode(F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(step))).otherwise(F.array().cast("array<int>")))
     src = df.where(n >= window) if circular else df
     out = src.withColumn("_i", at).withColumn("_e", F.when(F.col("_i") + window <= n, F.col("_i") + window).otherwise(F.col("_i") + window - n if circular else n))

@@ -169,10 +169,10 @@ def subseq_features(spark, sf_dir):
     return R.by_features(fasta(spark, sf_dir), features(spark, sf_dir), up=3, down=2).select("id", "seq", F.col("desc").alias("name"))
 
 
-@query(f"""WITH {REC}, w AS (SELECT id, seq, unnest(generate_series(0, length(seq) - 1, 40)) AS i FROM r WHERE length(seq) BETWEEN 1 AND 600)
+@query(f"""WITH {REC}, w AS (SELECT id, seq, unnest(generate_series(0, greatest(length(seq) - 1, 0), 40)) AS i FROM r)
  SELECT id || '_sliding:' || (i + 1) || '-' || least(i + 60, length(seq)) AS id, substr(seq, i + 1, 60) AS seq FROM w""")
 def sliding_greedy(spark, sf_dir):
-    return T.sliding(fasta(spark, sf_dir).where("length(seq) between 1 and 600"), 40, 60, greedy=True).select("id", "seq")
+    return T.sliding(fasta(spark, sf_dir), 40, 60, greedy=True).select("id", "seq")
 
 
 @query(f"""WITH {REC}, w AS (SELECT id, seq, unnest(generate_series(0, length(seq) - 60, 40)) AS i FROM r WHERE length(seq) >= 60)
@@ -293,10 +293,10 @@ def grep_dup_patterns(spark, sf_dir):
     return Q.grep_ids(fasta(spark, sf_dir), twice, duplicates=True).select("id", "seq")
 
 
-@query("SELECT min(o_orderkey) AS first, o_custkey AS id FROM orders WHERE o_custkey % 7 = 3 GROUP BY o_custkey")
+@query("SELECT min(o_orderkey) AS first, o_custkey AS id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer) GROUP BY o_custkey")
 def grep_delete_matched(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("pos"), F.lit(0).alias("file_idx"))
-    p = table(spark, sf_dir, "customer").where("c_custkey % 7 = 3").select(F.col("c_custkey").alias("pattern"))
+    p = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pattern"))
     return Q.grep_first_per_pattern(o, p).select(F.col("pos").alias("first"), "id")
 
 
@@ -401,25 +401,33 @@ def rmdup_report(spark, sf_dir):
     return R.rmdup_report(fasta(spark, sf_dir), by_seq=True)
 
 
-@query(f"WITH {REC}, t AS (SELECT id, substr(seq, 1, 4) AS seq, lang_no FROM (SELECT *, CASE WHEN file IN ('de', 'es') THEN 0 ELSE 1 END AS lang_no FROM r)) SELECT id, seq FROM t WHERE lang_no = 0 AND least(seq, {RC.format('seq')}) IN (SELECT least(seq, {RC.format('seq')}) FROM t WHERE lang_no = 1)")
+def two_files(spark, sf_dir) -> DataFrame:
+    """All records as two files by the parity of their ids, so that copies fall into both."""
+    return fasta(spark, sf_dir).withColumn("file_idx", F.pmod("pos", F.lit(2)).cast("int"))
+
+
+@query(f"WITH {REC} SELECT id, seq FROM r WHERE pos % 2 = 0 AND least(seq, {RC.format('seq')}) IN (SELECT least(seq, {RC.format('seq')}) FROM r WHERE pos % 2 = 1)")
 def common_seq(spark, sf_dir):
-    r = fasta(spark, sf_dir).withColumns({"file_idx": F.when(F.col("file").isin("de", "es"), 0).otherwise(1), "seq": F.substring("seq", 1, 4)})
-    return R.common(r, 2, by_seq=True).select("id", "seq")
+    return R.common(two_files(spark, sf_dir), 2, by_seq=True).select("id", "seq")
 
 
-@query()
+@query(f"""WITH {REC}, a AS (SELECT pos, id, seq, {RC.format('seq')} AS rc, length(seq) AS n FROM r WHERE pos % 2 = 0 AND seq <> ''), b AS (SELECT DISTINCT seq, {RC.format('seq')} AS rc, length(seq) AS n FROM r WHERE pos % 2 = 1 AND seq <> ''),
+ m AS (SELECT a.pos, a.seq, a.n, b.seq AS s, b.rc AS t, b.n AS k FROM a JOIN b ON b.n <= a.n AND (contains(a.seq, b.seq) OR contains(a.seq, b.rc))), w AS (SELECT *, unnest(generate_series(1, n - k + 1)) AS i FROM m),
+ h AS (SELECT pos, i AS b, i + k - 1 AS e FROM w WHERE substr(seq, i, k) IN (s, t) UNION SELECT a.pos, 1, a.n FROM a WHERE EXISTS (SELECT 1 FROM b WHERE b.n >= a.n AND (contains(b.seq, a.seq) OR contains(b.rc, a.seq)))),
+ k AS (SELECT *, max(e) OVER (PARTITION BY pos ORDER BY b, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM h)
+ SELECT a.id, CAST(k.b AS INT) AS start, CAST(k.e AS INT) AS "end", substr(a.seq, k.b, k.e - k.b + 1) AS seq FROM k JOIN a USING (pos) WHERE before IS NULL OR e > before""")
 def common_embedded(spark, sf_dir):
-    r = fasta(spark, sf_dir).withColumns({"file_idx": F.when(F.col("file").isin("de", "es"), 0).otherwise(1)})
-    return R.common_embedded(r, 2, min_len=30)
+    return R.common_embedded(two_files(spark, sf_dir), 2)
 
 
 def parts(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.lit(0).alias("file_idx"), F.col("o_orderkey").alias("pos"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("desc"), F.lit("ACGT").alias("seq"), F.lit(None).cast("string").alias("qual")).where("pos % 3 <> 0")
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.lit(1).alias("file_idx"), F.col("l_orderkey").alias("pos"), F.col("l_orderkey").cast("string").alias("id"), F.lit("").alias("desc"), F.concat(F.lit("GG"), "l_returnflag").alias("seq"), F.lit(None).cast("string").alias("qual")).where("pos % 2 = 0")
-    return o, li
+    """Customers, one record an id, and line items, several an id: ids of either that the other lacks."""
+    o = customers(spark, sf_dir).select("file_idx", "pos", "id", "desc", "seq", "qual")
+    li = table(spark, sf_dir, "lineitem")
+    return o, li.select(F.lit(1).alias("file_idx"), F.col("l_orderkey").alias("pos"), F.col("l_orderkey").cast("string").alias("id"), F.lit("").alias("desc"), F.concat(F.lit("GG"), "l_returnflag").alias("seq"), F.lit(None).cast("string").alias("qual"))
 
 
-_O = "o AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS d FROM orders WHERE o_orderkey % 3 <> 0), l AS (SELECT CAST(l_orderkey AS VARCHAR) AS id, 'GG' || l_returnflag AS s FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 2 = 0)"
+_O = "o AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS d FROM customer), l AS (SELECT CAST(l_orderkey AS VARCHAR) AS id, 'GG' || l_returnflag AS s FROM lineitem)"
 
 
 @query(f"WITH {_O} SELECT id, d || '|' AS descr, 'ACGT' || s AS seq FROM o JOIN l USING (id)")
@@ -438,19 +446,23 @@ def concat_fill(spark, sf_dir):
 
 
 def mates(spark, sf_dir):
-    r = records(spark, sf_dir)
-    return r.where("pos % 3 <> 0"), T.seq(r, reverse=True).where("pos % 4 <> 0")
+    """All documents, and all events as reads of their users; ids repeat in the second file, and it lacks most."""
+    e, user = table(spark, sf_dir, "events"), F.col("user_id").cast("string")
+    return records(spark, sf_dir), e.select(F.lit(1).alias("file_idx"), F.col("event_id").alias("pos"), user.alias("id"), user.alias("name"), F.upper("event_type").alias("seq"), F.lit(None).cast("string").alias("qual"))
+
+
+_MATES = f"WITH {REC}, l AS (SELECT CAST(user_id AS VARCHAR) AS id, event_id AS pos, upper(event_type) AS s FROM events), x AS (SELECT id, seq, row_number() OVER (PARTITION BY id ORDER BY pos) AS k FROM r), y AS (SELECT id, s, row_number() OVER (PARTITION BY id ORDER BY pos) AS k FROM l)"
 
 
-@query(f"WITH {REC} SELECT id, seq, reverse(seq) AS seq2 FROM r WHERE pos % 3 <> 0 AND pos % 4 <> 0")
+@query(f"{_MATES} SELECT id, seq, s AS seq2 FROM x JOIN y USING (id, k)")
 def pair(spark, sf_dir):
     return R.pair(*mates(spark, sf_dir))[0].select("id", "seq", "seq2")
 
 
-@query(f"WITH {REC} SELECT id, 1 AS read FROM r WHERE pos % 3 <> 0 AND pos % 4 = 0 UNION ALL SELECT id, 2 FROM r WHERE pos % 3 = 0 AND pos % 4 <> 0")
+@query(f"{_MATES} SELECT id, seq, 1 AS read FROM x ANTI JOIN y USING (id, k) UNION ALL SELECT id, s, 2 FROM y ANTI JOIN x USING (id, k)")
 def pair_unpaired(spark, sf_dir):
     _, a, b = R.pair(*mates(spark, sf_dir))
-    return a.select("id", F.lit(1).alias("read")).union(b.select("id", F.lit(2)))
+    return a.select("id", "seq", F.lit(1).alias("read")).union(b.select("id", "seq", F.lit(2)))
 
 
 @query(f"WITH {REC}, x AS (SELECT id, qual, seq, substr(seq, 11, 30) AS part FROM r WHERE length(seq) >= 11) SELECT id, part AS seq, substr(qual, strpos(seq, part), length(part)) AS qual FROM x")
@@ -650,9 +662,9 @@ def faidx_index(spark, sf_dir):
     return fasta_index(fasta(spark, sf_dir), full_head=True)
 
 
-@query(f"WITH {REC}, o AS (SELECT id, name, seq, qual FROM r WHERE pos % 2 = 0) SELECT id, CAST(length('>' || name || chr(10) || regexp_replace(seq, '(.{{60}})', '\\1' || chr(10), 'g')) - CASE WHEN length(seq) > 0 AND length(seq) % 60 = 0 THEN 1 ELSE 0 END AS BIGINT) AS size FROM o")
+@query(f"WITH {REC}, o AS (SELECT id, name, seq, qual FROM r) SELECT id, CAST(length('>' || name || chr(10) || regexp_replace(seq, '(.{{60}})', '\\1' || chr(10), 'g')) - CASE WHEN length(seq) > 0 AND length(seq) % 60 = 0 THEN 1 ELSE 0 END AS BIGINT) AS size FROM o")
 def write_fasta_size(spark, sf_dir):
     """The letters that each record takes in a file wrapped at 60."""
     from ..sources.formats import as_text_column
 
-    return fasta(spark, sf_dir).where("pos % 2 = 0").select("id", F.length(as_text_column(60)).cast("long").alias("size"))
+    return fasta(spark, sf_dir).select("id", F.length(as_text_column(60)).cast("long").alias("size"))
