@@ -1,8 +1,26 @@
-"""How rows lie over tasks."""
+"""How rows lie over tasks, and where scratch data go."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+_OWN: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The scratch folder that driver and executors share: ``spark.checkpoint.dir``, or else the context's
+    checkpoint folder. Where neither is set, a local session gets a folder of its own, and a cluster,
+    whose machines share no local folder, an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if "dir" not in _OWN:
+        _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="strandloom-")
+    return _OWN["dir"]
 
 
 def spread(df: DataFrame, mb_a_core: int = 64) -> DataFrame:

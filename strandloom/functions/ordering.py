@@ -6,11 +6,11 @@ window within each share does the rest.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .layout import shared_dir
+
 
 def running(df: DataFrame, value: Column, out: str, by: tuple[str, ...] = (), pos: str = "pos", shares: int | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with the running sum of ``value`` in the order of ``pos`` (numeric) within ``by``."""
@@ -43,7 +43,7 @@ def ranked(df: DataFrame, *order, out: str = "rank") -> DataFrame:
     partition's rows before plus the place in it."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandloom-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     placed = df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()).checkpoint()
     part = F.shiftright("_m", 33)
     sizes = placed.groupBy(part.alias("_p")).count()
