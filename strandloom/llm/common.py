@@ -1,12 +1,12 @@
 """Helpers shared by the corpus operators.
 
-Scratch tables go to the folder that ``spark.checkpoint.dir`` names, which driver
-and executors share; a folder of our own is set only where that is unset.
+Scratch tables go to the folder that ``spark.checkpoint.dir`` names, which driver and executors
+share. They are deleted when the session's JVM ends, or before that by the ``Scratch`` that was open
+when they were written: no operator deletes tables of another's result.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,23 +15,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.layout import spread
+from ..functions.layout import shared_dir, spread
 
-#: Scratch tables written so far by this driver, oldest first.
-_WRITTEN: list[str] = []
-_OWN: dict[str, str] = {}
 
+class Scratch:
+    """The scratch tables written while it is open (``with``), until ``delete``."""
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if "dir" not in _OWN:
-        _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="strandloom-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(_OWN["dir"])
-    return _OWN["dir"]
+    _open: list[Scratch] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        Scratch._open.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        Scratch._open.remove(self)
+
+    def delete(self) -> None:
+        """For callers that have stored every result built on these tables."""
+        while self.paths:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -39,32 +45,20 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    if Scratch._open:
+        Scratch._open[-1].paths.append(path)
     df.write.parquet(path)
-    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def kept(df: DataFrame, tag: str) -> DataFrame:
-    """As ``written``, but ``release`` leaves the table."""
-    out = written(df, tag)
-    _WRITTEN.pop()
-    return out
-
-
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Delete scratch tables, but for the latest ``keep``. Only for callers that
-    have stored every result built on them."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while len(_WRITTEN) > keep:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop(0))
-        path.getFileSystem(conf).delete(path, True)
-
-
 #: What a Python worker keeps from task to task, by owner.
 KEPT: dict[str, dict] = {}
-#: Bytes of rows that reach a Python worker at once.
+#: Bytes of rows that reach a Python worker at once, where the session does not say itself.
 BATCH_BYTES = "16m"
+#: Partitions of an exchange of hashes; each holds its buckets one after the other.
+MOST_PARTITIONS = 8192
 
 
 def worker_cache(owner: str) -> dict:
@@ -118,6 +112,14 @@ def judge_rows(docs: DataFrame, text: str, make, fields: str, rows: int = 512) -
     return map_batches(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), start, schema, rows)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Holds batches of rows for Python workers to ``BATCH_BYTES``. A session's setting of its own stays;
+    without one the setting is for the whole session, for a plan has none of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict] | dict | None]], schema: str, rows: int = 1024, owner: str = "") -> DataFrame:
     """``mapInArrow`` by a function of at most ``rows`` rows that returns columns by
     name (a dict) or several such dicts. ``make`` runs once a task."""
@@ -127,7 +129,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
     kind = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
     arrow = to_arrow_schema(kind)
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    small_batches(df.sparkSession)
 
     def run(batches):
         worker_cache(owner)
@@ -188,32 +190,46 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class SpanHash:
-    """64-bit hashes of any byte spans of a buffer, from prefix sums of a polynomial
-    with an odd base over random byte codes, modulo 2**64."""
+    """64-bit hashes of any byte spans of a buffer, from prefix sums of a polynomial with an odd base
+    over random byte codes, modulo 2**64. Sums are made for ``PIECE`` bytes at a time, and beyond that as
+    far as the spans that start there reach. Texts can be made that collide: what must not err compares
+    words or digests after it."""
 
     BASE = 0x9E3779B97F4A7C15 | 1
+    PIECE = 1 << 20
 
     def __init__(self, buf: np.ndarray, seed: int = 1):
-        n = len(buf)
-        self.inverse = pow(self.BASE, -1, 1 << 64)
-        powers = _powers(self.BASE, n)
-        self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_byte_codes(seed)[buf] * powers, dtype=np.uint64)])
-        self.back = _powers(self.inverse, n + 1)
+        self.buf, self.codes = buf, _byte_codes(seed)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.prefix[end] - self.prefix[start]) * self.back[start] + (end - start).astype(np.uint64))
+        """Of spans whose starts do not descend."""
+        out = np.empty(len(start), np.uint64)
+        inverse = pow(self.BASE, -1, 1 << 64)
+        at = 0
+        while at < len(start):
+            base = int(start[at])
+            to = int(np.searchsorted(start, base + self.PIECE))
+            last = int(end[at:to].max())
+            powers, back = _powers(self.BASE, last - base), _powers(inverse, last - base + 1)
+            prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.codes[self.buf[base:last]] * powers, dtype=np.uint64)])
+            a, b = start[at:to] - base, end[at:to] - base
+            out[at:to] = mix((prefix[b] - prefix[a]) * back[a] + (b - a).astype(np.uint64))
+            at = to
+        return out
 
 
 _POWERS: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
+    """1, base, base**2, ...; those of up to 2 * PIECE places are kept."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        have = np.full(size, base & (2**64 - 1), np.uint64)
+        have = np.full(max(n, 1 << 16), base & (2**64 - 1), np.uint64)
         have[0] = 1
-        _POWERS[base] = have = np.multiply.accumulate(have)
+        have = np.multiply.accumulate(have)
+        if len(have) <= 2 * SpanHash.PIECE:
+            _POWERS[base] = have
     return have[:n]
 
 

@@ -251,7 +251,7 @@ def links(distinct: DataFrame, n_distinct: int, bits: int = 3, block: int = BLOC
                 have.append((k, f))
         yield from flush(have)
 
-    found = C.written(blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(by_bucket, "a long, b long, key long, block long, fps binary"), "links")
+    found = C.written(blobs.repartition(min(buckets, C.MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(by_bucket, "a long, b long, key long, block long, fps binary"), "links")
     # buckets of more than ``block`` fingerprints: block against block, dealt over the cluster
     blocks = found.where("fps is not null")
     x, y = blocks.select("key", F.col("block").alias("i"), F.col("fps").alias("f")), blocks.select("key", F.col("block").alias("j"), F.col("fps").alias("g"))
@@ -265,8 +265,10 @@ def links(distinct: DataFrame, n_distinct: int, bits: int = 3, block: int = BLOC
 
         return step
 
-    pairs = x.join(y, "key").where("i <= j").select("f", "g", (F.col("i") == F.col("j")).alias("same"))
-    far = C.map_batches(pairs.repartition(buckets), make_pairs, "a long, b long")
+    # numbers of blocks meet first, 16 bytes each; the blocks come to their pairs by (key, number)
+    pairs = x.select("key", "i").join(y.select("key", "j"), "key").where("i <= j").join(x, ["key", "i"]).join(y, ["key", "j"])
+    pairs = pairs.select("f", "g", (F.col("i") == F.col("j")).alias("same"))
+    far = C.map_batches(pairs.repartition(min(buckets, C.MOST_PARTITIONS)), make_pairs, "a long, b long")
     near = found.where("fps is null").select("a", "b")
     return near.union(far).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -274,15 +276,14 @@ def links(distinct: DataFrame, n_distinct: int, bits: int = 3, block: int = BLOC
 # -- components ----------------------------------------------------------------
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): each node's smallest reachable node, for nodes that have links, by
-    alternating large-star and small-star rounds."""
+    alternating large-star and small-star rounds, as many as it takes: each but the last
+    brings some node to a smaller one, and their number grows with the logarithm of the nodes."""
     edges = C.written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     last = state(edges)
-    for _ in range(rounds):
-        if not last[0]:
-            break
+    while last[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.where("m < u").select("u", F.col("m").alias("v"))).distinct()
@@ -293,8 +294,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == last:
             break
         last = now
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
