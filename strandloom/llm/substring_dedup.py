@@ -11,10 +11,12 @@ byte planes (about 3 bytes a window). A bucket answers each block with one bit a
 window of text never becomes a row, a phrase that occurs everywhere counts once a chunk, and
 what a task holds is bounded by the bucket size, which sets the number of buckets.
 
-Filter levels use hashes just long enough for the corpus (a false repeat costs a later test);
-the last level uses 62 bits, drawn from other byte codes. The first occurrence of a window is
-the smallest (doc_id, start); documents with equal ids come in chunk order; null ids
-come first. Null and empty texts have no words and are kept as they are.
+Filter levels use hashes just long enough for the corpus: a false repeat there costs a later test and
+nothing else. The last level compares windows by the 128-bit BLAKE2b digests of their words (joined by
+one space, which no word has): equal digests are equal words, for texts that collide cannot be made and
+10^13 windows meet by chance once in 10^12 runs. The first occurrence of a window is the smallest
+(doc_id, start); documents with equal ids come in chunk order; null ids come first. Null and empty
+texts have no words and are kept as they are.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from . import common as C
 
 CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 24 << 20
+#: Bits of the last level's hashes: the first half of a digest, beside which its rest travels.
+EXACT = 64
 CHUNK = "chunk long, n_bytes long, docs binary, marks binary"
 WORD = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+")
 
@@ -93,13 +97,34 @@ def chunks(docs: DataFrame, doc_id: str, text: str, chunk_bytes: int = CHUNK_BYT
     return docs.mapInArrow(run, CHUNK)
 
 
+def window_digests(words: C.Words, width: int, at: np.ndarray) -> np.ndarray:
+    """A row of two 64-bit halves of the BLAKE2b digest of each window."""
+    raw, blake = words.buf.tobytes(), hashlib.blake2b
+    ends = words.end[at + width - 1].tolist()
+    told = b"".join([blake(raw[a:b], digest_size=16).digest() for a, b in zip(words.start[at].tolist(), ends, strict=True)])
+    return np.frombuffer(told, "<u8").reshape(-1, 2)
+
+
 class Level:
-    """One chunk's windows of ``width`` words at the places in ``at``."""
+    """One chunk's windows of ``width`` words at the places in ``at``: their distinct hashes of ``bits``
+    bits in order or, with bits = EXACT, their digests as ``distinct`` and ``rest``; ``first`` is the first
+    place of each, ``which`` the one of each place, ``times`` how often it stands there."""
 
     def __init__(self, words: C.Words, width: int, at: np.ndarray, bits: int):
         self.at = at
-        h = C.SpanHash(words.buf, seed=width).of(words.start[at], words.end[at + width - 1]) >> np.uint64(64 - bits) if len(at) else np.zeros(0, np.uint64)
-        self.distinct, self.first, self.which = np.unique(h, return_index=True, return_inverse=True)
+        h = np.zeros((len(at), 2), np.uint64)
+        if len(at) and bits == EXACT:
+            h = window_digests(words, width, at)
+        elif len(at):
+            h[:, 0] = C.SpanHash(words.buf, seed=width).of(words.start[at], words.end[at + width - 1]) >> np.uint64(64 - bits)
+        order = np.lexsort((h[:, 1], h[:, 0])) if bits == EXACT else np.argsort(h[:, 0], kind="stable")
+        ordered = h[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (ordered[1:] != ordered[:-1]).any(axis=1)
+        self.first = order[new]
+        self.distinct, self.rest = ordered[new, 0], ordered[new, 1]
+        self.which = np.empty(len(at), np.int64)
+        self.which[order] = np.cumsum(new) - 1
         self.times = np.bincount(self.which, minlength=len(self.distinct))
 
 
@@ -123,7 +148,7 @@ def _blocks(chunk: int, level: Level, ids: np.ndarray | None, bits: int, buckets
         h = level.distinct[a:b]
         parts = [np.concatenate([h[:1], np.diff(h)])]
         if ids is not None:
-            parts.append(ids[level.first[a:b]].view(np.uint64))
+            parts += [level.rest[a:b], ids[level.first[a:b]].view(np.uint64)]
         yield int(bucket[a]), chunk, C.pack(np.concatenate(parts))
 
 
@@ -131,13 +156,14 @@ def answer(have: list[tuple[int, bytes]], last: bool) -> list[tuple[int, bytes]]
     """For each block a bit a hash: whether another block has it, or at the last level
     whether another has it with a smaller (doc id, chunk)."""
     values = [C.unpack(b) for _, b in have]
-    sizes = np.array([len(v) // (1 + last) for v in values])
+    sizes = np.array([len(v) // (3 if last else 1) for v in values])
     h = np.concatenate([np.cumsum(v[:n], dtype=np.uint64) for v, n in zip(values, sizes, strict=True)])
     if last:
-        ids = np.concatenate([v[n:].view(np.int64) for v, n in zip(values, sizes, strict=True)])
+        rest = np.concatenate([v[n : 2 * n] for v, n in zip(values, sizes, strict=True)])
+        ids = np.concatenate([v[2 * n :].view(np.int64) for v, n in zip(values, sizes, strict=True)])
         chunk = np.repeat(np.array([c for c, _ in have]), sizes)
-        order = np.lexsort((chunk, ids, h))
-        told = np.concatenate([[False], h[order][1:] == h[order][:-1]])
+        order = np.lexsort((chunk, ids, rest, h))
+        told = np.concatenate([[False], (h[order][1:] == h[order][:-1]) & (rest[order][1:] == rest[order][:-1])])
     else:
         order = np.argsort(h, kind="stable")
         same = h[order][1:] == h[order][:-1]
@@ -165,7 +191,7 @@ def answers(blocks: DataFrame, buckets: int, last: bool) -> DataFrame:
                 have.append((chunk, block))
         yield from flush(now, have)
 
-    told = blocks.select("bucket", "chunk", "block").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "chunk long, bucket long, told binary")
+    told = blocks.select("bucket", "chunk", "block").repartition(min(buckets, C.MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(run, "chunk long, bucket long, told binary")
     return told.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "told")).alias("told"))
 
 
@@ -180,7 +206,7 @@ def _told(level: Level, told, bits: int, buckets: int) -> np.ndarray:
 
 
 def _by_chunk(df: DataFrame, step, schema: str) -> DataFrame:
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", C.BATCH_BYTES)
+    C.small_batches(df.sparkSession)
 
     def run(batches):
         C.worker_cache("")
@@ -256,8 +282,8 @@ def repeats(docs: DataFrame, window: int = 20, base: int = 10, doc_id: str = "do
         state = C.written(_by_chunk(state.join(told, "chunk", "left"), extend(width, short), CHUNK), "level")
         settled.append(state.where("marks is null"))
         state = state.where("marks is not null")
-    told = answers(_by_chunk(state, blocks_of(window, 62, True), "bucket long, chunk long, block binary"), buckets, True)
-    return settled, state, told, window, 62, buckets
+    told = answers(_by_chunk(state, blocks_of(window, EXACT, True), "bucket long, chunk long, block binary"), buckets, True)
+    return settled, state, told, window, EXACT, buckets
 
 
 def covered(words: C.Words, width: int, at: np.ndarray) -> np.ndarray:

@@ -67,3 +67,15 @@ def test_one_level_alone(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     assert sorted(tuple(r) for r in S.digest(df, window=20, base=20).collect()) == sorted(plain(sorted(rows)))
     assert sorted(tuple(r) for r in S.digest(df, window=20, base=5).collect()) == sorted(plain(sorted(rows)))
+
+
+def test_colliding_words_stay(spark):
+    """The Thue-Morse word of two letters and its counterpart collide in any polynomial hash modulo 2**64."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    lead = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{lead} {word}"), (2, f"{lead} {other}"), (3, f"{lead} {other}"), (4, f"{other} {lead}"), (5, f"{word} {lead}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in S.digest(df).collect()) == [(1, 0), (2, 0), (3, 20), (4, 0), (5, 0)]
