@@ -13,9 +13,12 @@ question, and of its answer, occur in the passage. An item's answer is its last
 last third of its words where that leaves too little. Words are runs of letters, digits and
 non-ASCII characters, in lower case.
 
-The index is broadcast in shards of at most ``shard_bytes`` of item text, counted first, and every
-passage meets every shard. Null and empty texts contain nothing and are found nowhere; equal
-items are found each for itself.
+The index is broadcast in shards of about ``shard_bytes`` of item text, counted first, and every
+passage meets every shard. Document frequencies, the number of parts, their mean and greatest length
+are Spark aggregates over all parts of the benchmark, so that scores and passages do not depend on how
+many shards there are. Null and empty texts contain nothing and are found nowhere; equal items are
+found each for itself; items with a null id are found under null. An item of fewer than five words is
+compared by shingles of its own length.
 """
 
 from __future__ import annotations
@@ -36,38 +39,69 @@ SHINGLE = 5
 BLANK = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 SENTENCE = re.compile(r"[.?!:\n]+")
 END = 1 << 60
+#: Sums of equal terms in another order may differ by so much: of doubles, and of the float32 bounds.
+SLACK, BOUND_SLACK = 1e-9, 1e-4
 
 
 def plain(text: bytes) -> bytes:
     return text.decode().lower().encode().translate(BLANK)
 
 
-class Index:
-    """Impacts of the terms of item parts, with maxima by term and by block."""
-
-    def __init__(self, items: list[tuple[int, bytes]], part: int = 256, k1: float = 1.2, b: float = 0.75, blocks: int = 64):
-        entries = []  # (item, words, words of its question)
-        for item, text in items:
-            words = plain(text).split()
-            if not words:
-                continue
-            spans = [m.end() for m in SENTENCE.finditer(text.decode())]
-            cut = max((n for n in (len(plain(text.decode()[:e].encode()).split()) for e in spans) if SHINGLE <= n <= len(words) - SHINGLE), default=-(-2 * len(words) // 3))
-            for at in range(0, len(words), part):
-                piece = words[at : at + part]
-                if at and len(piece) < SHINGLE:
-                    continue
-                entries.append((item, piece, cut - at if 0 < cut - at < len(piece) else -(-2 * len(piece) // 3)))
-        # neighbours share words, so that block maxima are tight
-        entries.sort(key=lambda e: (min(e[1], key=lambda w: (-len(w), w)), e[0]))
-        self.items = [e[0] for e in entries]
-        self.longest = max((len(e[1]) for e in entries), default=0)
+def parts_of(text: bytes, part: int) -> list[tuple[list[bytes], int]]:
+    """An item's parts: their words, and how many of these are its question's."""
+    words = plain(text).split()
+    if not words:
+        return []
+    raw = text.decode()
+    spans = [m.end() for m in SENTENCE.finditer(raw)]
+    cut = max((n for n in (len(plain(raw[:e].encode()).split()) for e in spans) if SHINGLE <= n <= len(words) - SHINGLE), default=-(-2 * len(words) // 3))
+    out = []
+    for at in range(0, len(words), part):
+        piece = words[at : at + part]
+        if at == 0 or len(piece) >= SHINGLE:
+            out.append((piece, cut - at if 0 < cut - at < len(piece) else -(-2 * len(piece) // 3)))
+    return out
+
+
+class Counts:
+    """What scores need of the whole benchmark: the number of parts, their mean and greatest length, and
+    how many parts have each word."""
+
+    def __init__(self, n: int, mean: float, longest: int, df: dict[bytes, int]):
+        self.n, self.mean, self.longest, self.df = n, mean, longest, df
+
+    @classmethod
+    def of(cls, entries: list[tuple]) -> Counts:
         df: dict[bytes, int] = {}
         for _, words, _ in entries:
             for w in set(words):
                 df[w] = df.get(w, 0) + 1
-        vocab = sorted(df)
-        n, mean = len(entries), np.mean([len(e[1]) for e in entries]) if entries else 1.0
+        sizes = [len(e[1]) for e in entries]
+        return cls(len(entries), sum(sizes) / len(sizes) if sizes else 1.0, max(sizes, default=0), df)
+
+
+def weights(words: list[bytes], counts: Counts, k1: float = 1.2, b: float = 0.75) -> dict[bytes, float]:
+    """A part's BM25 weight for each of its words, over their sum."""
+    tf: dict[bytes, int] = {}
+    for w in words:
+        tf[w] = tf.get(w, 0) + 1
+    got = {w: math.log(1 + (counts.n - counts.df[w] + 0.5) / (counts.df[w] + 0.5)) * f * (k1 + 1) / (f + k1 * (1 - b + b * len(words) / counts.mean)) for w, f in tf.items()}
+    total = sum(got.values())
+    return {w: x / total for w, x in got.items()}
+
+
+class Index:
+    """Impacts of the terms of item parts (item, words, words of the question), with maxima by term and
+    by block. ``counts`` are the whole benchmark's; without them the parts given are all."""
+
+    def __init__(self, entries: list[tuple[int, list[bytes], int]], counts: Counts | None = None, blocks: int = 64):
+        # neighbours share words, so that block maxima are tight
+        entries = sorted(entries, key=lambda e: (min(e[1], key=lambda w: (-len(w), w)), e[0] is not None, e[0] or 0))
+        counts = counts or Counts.of(entries)
+        self.items = [e[0] for e in entries]
+        self.longest = counts.longest
+        vocab = sorted({w for _, words, _ in entries for w in words})
+        n = len(entries)
         number = {w: i for i, w in enumerate(vocab)}
         self.per_block = max(1, -(-n // blocks))
         self.n_blocks = -(-n // self.per_block) if n else 0
@@ -75,20 +109,17 @@ class Index:
         self.ids: list[list[int]] = [[] for _ in vocab]
         self.impact: list[list[float]] = [[] for _ in vocab]
         for e, (_, words, _) in enumerate(entries):
-            tf: dict[bytes, int] = {}
-            for w in words:
-                tf[w] = tf.get(w, 0) + 1
-            weight = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * f * (k1 + 1) / (f + k1 * (1 - b + b * len(words) / mean)) for w, f in tf.items()}
-            total = sum(weight.values())
-            for w, x in weight.items():
+            for w, x in weights(words, counts).items():
                 t = number[w]
                 self.ids[t].append(e)
-                self.impact[t].append(x / total)
-                self.bound[t, e // self.per_block] = max(self.bound[t, e // self.per_block], np.nextafter(np.float32(x / total), np.float32(2)))
+                self.impact[t].append(x)
+                self.bound[t, e // self.per_block] = max(self.bound[t, e // self.per_block], np.nextafter(np.float32(x), np.float32(2)))
         self.most = self.bound.max(axis=1) if n else np.zeros(len(vocab), np.float32)
         for ids in self.ids:
             ids.append(END)
         self.hashes, self.terms = self._hash_words(vocab)
+        #: Words by themselves, should two of them share a hash.
+        self.number = number if len(np.unique(self.hashes)) < len(self.hashes) else None
         self.shingles = []
         #: Words in an entry's shingles: an item of fewer than SHINGLE words is one of its own length.
         self.gram = [min(len(words), SHINGLE) for _, words, _ in entries]
@@ -108,7 +139,8 @@ class Index:
         return h[order], order
 
     def wand(self, terms: list[int], theta: float) -> list[tuple[int, float]]:
-        """All entries whose score for a query of these terms is ``theta`` or more."""
+        """All entries whose score for a query of these terms is ``theta`` or more, but for the last bits of a sum."""
+        theta -= SLACK
         lists = [[0, self.ids[t], self.impact[t], float(self.most[t]), self.bound[t], 0] for t in terms]
         for x in lists:
             x[0] = x[1][0]
@@ -144,6 +176,9 @@ class Index:
 
     def term_of(self, words: C.Words) -> np.ndarray:
         """Each word's term, or -1."""
+        if self.number is not None:
+            raw = words.buf.tobytes()
+            return np.array([self.number.get(raw[a:b], -1) for a, b in zip(words.start.tolist(), words.end.tolist(), strict=True)], np.int64)
         h = C.SpanHash(words.buf, seed=8).of(words.start, words.end)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         return np.where(self.hashes[at] == h, self.terms[at], -1)
@@ -174,7 +209,7 @@ class Index:
         key = np.unique(np.concatenate(pair) * width + np.concatenate(terms))
         passage, term = key // width, key % width
         cut = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
-        keep = np.add.reduceat(self.most[term], cut) >= threshold
+        keep = np.add.reduceat(self.most[term], cut) >= threshold - BOUND_SLACK
         size = np.diff(np.concatenate([cut, [len(key)]]))
         left = np.repeat(keep, size)
         passage, term, size = passage[left], term[left], size[keep]
@@ -184,7 +219,7 @@ class Index:
         for lo, hi in C.slices(size.tolist(), 1 << 15):
             a, b = cut[lo], cut[hi - 1] + size[hi - 1]
             sums = np.add.reduceat(self.bound[term[a:b]], cut[lo:hi] - a, axis=0)
-            for i in (lo + np.flatnonzero(sums.max(axis=1) >= threshold - 1e-5)).tolist():
+            for i in (lo + np.flatnonzero(sums.max(axis=1) >= threshold - BOUND_SLACK)).tolist():
                 p = passage[cut[i]]
                 for entry, score in self.wand(term[cut[i] : cut[i] + size[i]].tolist(), threshold):
                     d = int(np.searchsorted(base, p, "right") - 1)
@@ -201,13 +236,37 @@ class Index:
         return found
 
 
+def _parts(benchmark: DataFrame, part: int, item_id: str, item_text: str) -> DataFrame:
+    """(item, words joined by blanks, cut, shard key) of every part of every item."""
+
+    def make():
+        def step(batch: pa.RecordBatch):
+            rows = [(i, b" ".join(words).decode(), cut) for i, t in zip(batch.column(0).to_pylist(), C.byte_values(batch.column(1)), strict=True) for words, cut in parts_of(t, part)]
+            return {"item": pa.array([r[0] for r in rows], pa.int64()), "words": pa.array([r[1] for r in rows], pa.string()), "cut": pa.array([r[2] for r in rows], pa.int64())}
+
+        return step
+
+    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("binary").alias("t"))
+    return C.map_batches(items, make, "item long, words string, cut long")
+
+
 def _indexes(benchmark: DataFrame, part: int, shard_bytes: int, item_id: str, item_text: str) -> list:
-    """The broadcast index of each shard of the items."""
-    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("binary").alias("t")).where("t is not null")
-    shards = max(1, -(-(items.agg(F.sum(F.length("t"))).first()[0] or 0) // shard_bytes))
-    share = lambda s: items.where(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == s).collect()
-    context = benchmark.sparkSession.sparkContext
-    return [context.broadcast(Index([(r["i"], bytes(r["t"])) for r in share(s)], part)) for s in range(shards)]
+    """The broadcast index of each shard of the items' parts."""
+    parts = C.written(_parts(benchmark, part, item_id, item_text), "benchmark")
+    size = F.size(F.split("words", " "))
+    n, mean, longest, total = parts.agg(F.count("*"), F.avg(size), F.max(size), F.sum(F.octet_length("words"))).first()
+    shards = max(1, -(-(total or 0) // shard_bytes))
+    terms = lambda rows: rows.select(F.explode(F.array_distinct(F.split("words", " "))).alias("w"))
+    df = terms(parts).groupBy("w").agg(F.count("*").alias("n"))
+    df = df if shards == 1 else C.written(df, "frequencies")
+    out = []
+    for s in range(shards):
+        own = parts.where(F.pmod(F.xxhash64("item", "words"), F.lit(shards)) == s)
+        # both of about ``shard_bytes`` at most: a shard's parts and its words
+        entries = [(r["item"], r["words"].encode().split(), r["cut"]) for r in own.collect()]
+        counts = {r["w"].encode(): r["n"] for r in df.join(terms(own).distinct(), "w", "left_semi").collect()}
+        out.append(benchmark.sparkSession.sparkContext.broadcast(Index(entries, Counts(n, mean or 1.0, longest or 0, counts))))
+    return out
 
 
 def _finder(index, threshold: float, overlap: float):

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -5,6 +6,10 @@ import pytest
 from strandloom.llm import decontamination as D
 
 
+def index_of(items, **how):
+    return D.Index([(i, words, cut) for i, t in items for words, cut in D.parts_of(t, 256)], **how)
+
+
 def world(n_items=60):
     rng = random.Random(6)
     vocab = [f"w{i}" for i in range(900)]
@@ -16,7 +21,7 @@ def world(n_items=60):
 
 def test_wand_retrieves_what_exhaustive_scoring_does():
     rng, some, items = world()
-    index = D.Index([(i, t.encode()) for i, t in items], blocks=7)
+    index = index_of([(i, t.encode()) for i, t in items], blocks=7)
     names = sorted({w for _, t in items for w in D.plain(t.encode()).split()})
     for _ in range(200):
         words = some(80) + items[rng.randrange(len(items))][1].split()[: rng.randint(0, 60)]
@@ -28,29 +33,52 @@ def test_wand_retrieves_what_exhaustive_scoring_does():
             assert want <= got <= {e for e, s in enumerate(scores) if s >= theta - 1e-9}
 
 
-@pytest.mark.parametrize("part,shard", [(256, 1 << 20), (20, 500)])
-def test_contained_items_are_found_and_no_others(spark, part, shard):
-    rng, some, items = world()
-    items += [(900, " ".join(some(700))), (901, None), (902, ""), (903, "Tiny item"), (7, items[7][1])]
-    docs, want = [], set()
-    for i in range(120):
-        words = some(rng.choice([5, 200, 3000]))
+def plain_hits(docs, items, part, threshold=0.5, overlap=0.8, k1=1.2, b=0.75):
+    """{(doc, item): best score} by scoring every part against every passage."""
+    parts = [(i, w, cut) for i, t in items if t for w, cut in D.parts_of(t.encode(), part)]
+    n, mean = len(parts), sum(len(w) for _, w, _ in parts) / max(len(parts), 1)
+    df = {w: sum(w in set(ws) for _, ws, _ in parts) for w in {w for _, ws, _ in parts for w in ws}}
+    half, out = max([32] + [len(w) for _, w, _ in parts]), {}
+    for doc, text in docs:
+        words = D.plain((text or "").encode()).split()
+        for p in range(max(1, -(-len(words) // half) - 1)):
+            here = words[p * half : (p + 2) * half]
+            for item, ws, cut in parts:
+                weight = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * ws.count(w) * (k1 + 1) / (ws.count(w) + k1 * (1 - b + b * len(ws) / mean)) for w in set(ws)}
+                score = sum(x for w, x in weight.items() if w in set(here)) / sum(weight.values())
+                if score < threshold:
+                    continue
+                k = min(5, len(ws))
+                grams = [tuple(ws[j : j + k]) for j in range(len(ws) - k + 1)]
+                q = max(1, min(cut - 4, len(grams)))
+                have = {tuple(here[j : j + k]) for j in range(max(1, len(here) - k + 1))}
+                if all(len(x & have) >= overlap * len(x) for x in (set(grams[:q]), set(grams[q:]) or set(grams))):
+                    out[doc, item] = max(out.get((doc, item), 0), score)
+    return out
+
+
+@pytest.mark.parametrize("part", [256, 20])
+def test_contained_equals_brute_force_in_any_number_of_shards(spark, part):
+    rng, some, items = world(30)
+    items += [(900, " ".join(some(700))), (901, None), (902, ""), (903, "Tiny item"), (None, "no id but text of some length here"), (7, items[7][1])]
+    docs = []
+    for i in range(24):
+        words = some(rng.choice([5, 200, 900]))
         if i % 3 == 0:
-            k = rng.randrange(60)
             at = rng.randint(0, len(words))
-            words[at:at] = items[k][1].upper().replace(".", "!?").split()
-            want.add((i, k))
+            words[at:at] = items[rng.randrange(30)][1].upper().replace(".", "!?").split()
         docs.append((i, ", ".join(words)))
-    docs += [(500, None), (501, ""), (None, items[3][1]), (502, items[60][1]), (503, " ".join(items[5][1].split()[:6]))]
-    want |= {(None, 3), (502, 900)}
+    docs += [(500, None), (501, ""), (None, items[3][1]), (502, items[30][1]), (503, " ".join(items[5][1].split()[:6])), (504, "a tiny ITEM, and no id but text of some length here")]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.doc_id, r.item_id) for r in D.contained(d, b, part=part, shard_bytes=shard).collect()}
-    assert {(x, y) for x, y in got if y != 900 or x == 502} == want
+    found = lambda shard: {(r.doc_id, r.item_id): round(r.score, 9) for r in D.contained(d, b, part=part, shard_bytes=shard).collect()}
+    want = {k: round(v, 9) for k, v in plain_hits(docs, items, part).items()}
+    assert len(want) > 9 and {(None, 3), (502, 900), (504, 903), (504, None)} <= set(want)
+    assert found(16 << 20) == want == found(500)
     assert D.contained(d, b.limit(0)).count() == 0 == D.contained(d.limit(0), b).count()
 
 
 def test_items_of_fewer_words_than_a_shingle():
-    index = D.Index([(1, b"Zeta quux"), (2, b"alone"), (3, b"one two three four"), (4, b"alpha beta gamma delta epsilon zeta eta")])
+    index = index_of([(1, b"Zeta quux"), (2, b"alone"), (3, b"one two three four"), (4, b"alpha beta gamma delta epsilon zeta eta")])
     texts = [b"much text before zeta, QUUX and behind it", b"zeta then quux apart in this text", b"here it stands alone with others", b"one two three four five", b"one two four three five", b"zeta quux", b"alpha beta gamma delta"]
     assert set(index.search(texts, 0.5, 0.8)) == {(0, 1), (2, 2), (3, 3), (5, 1)}
