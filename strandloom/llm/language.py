@@ -1,16 +1,16 @@
 """Language identification with a blended-spectrum presence kernel.
 
-A text's features are which byte 2-, 3- and 4-grams of its lower-cased UTF-8 it has,
-within a vocabulary of the most telling n-grams of the training texts. The kernel of two
-texts is the cosine of those presence sets. Nystrom landmarks (training texts drawn evenly
-from the languages) turn kernel rows into coordinates in which one ridge regression a
-language, one against the rest, is solved in closed form. Scoring is two matrix products a
-batch: presence by landmark features, then kernel rows by weights.
-
-Training takes at most ``max_rows`` labelled rows, chosen by a hash of the id and spread
-over the languages; fewer rare languages than ``max_languages`` are learned. Predictions read
-whole texts and nothing else. A null text or one without a letter is ``und`` with score 0;
-where nothing could be learned every text is ``und``.
+A text's features are which byte 2-, 3- and 4-grams of its lower-cased UTF-8 it has, hashed to
+2**20 slots; none is left out. The kernel of two texts is the cosine of those presence sets. Nystrom
+landmarks (training texts drawn evenly from the languages) turn kernel rows into coordinates in which
+one ridge regression a language, one against the rest, is solved in closed form. Scoring is two matrix
+products a batch: presence by landmark features (slots that no landmark has add to a text's norm
+alone), then kernel rows by weights.
+
+Training takes at most ``max_rows`` labelled rows (or ``LEAST_ROWS`` a language, where that is more) and
+``max_bytes`` of their text, chosen by a hash of the id and spread over the languages; every language is
+learned. Predictions read whole texts and nothing else. A null text or one without a letter is ``und``
+with score 0; where nothing could be learned every text is ``und``.
 """
 
 from __future__ import annotations
@@ -18,13 +18,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 
 ORDERS = (2, 3, 4)
 TABLE_BITS = 20
+#: So many rows of each language are drawn at least, as far as there are.
+LEAST_ROWS = 8
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -44,27 +46,34 @@ def lowered(texts: list[bytes]) -> list[bytes]:
 
 
 class Presence:
-    """0/1 rows of vocabulary n-grams of texts. ``column`` maps table slots to columns, with
-    the last column for all others."""
+    """0/1 rows of the n-gram slots of texts, and how many slots each text has. ``column`` maps slots to
+    columns, with the last column for all others."""
 
     def __init__(self, column: np.ndarray, width: int):
         self.column, self.width = column, width
+        self._last = np.zeros(1 << TABLE_BITS, np.int32)
 
-    def rows(self, texts: list[bytes]) -> np.ndarray:
-        out = np.zeros((len(texts), self.width + 1), np.uint8)
-        for lo, hi in C.slices([len(t) for t in texts], 1 << 18):
-            size = np.fromiter((len(t) + 1 for t in texts[lo:hi]), np.int64, hi - lo)
-            buf = np.frombuffer(b"\0".join(texts[lo:hi]) + b"\0", np.uint8)
-            base = np.repeat(np.arange(lo, hi) * (self.width + 1), size)
-            for order in ORDERS:
-                slots = gram_slots(buf, order)
-                out.ravel()[base[: len(slots)] + self.column[slots]] = 1
-        return out[:, : self.width]
+    def __getstate__(self):
+        return self.column, self.width
 
+    def __setstate__(self, state):
+        self.__init__(*state)
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.float32)
-    return x / np.maximum(np.sqrt(x.sum(axis=1, keepdims=True)), 1)
+    def slots(self, text: bytes) -> np.ndarray:
+        """The distinct slots of a text's n-grams."""
+        buf = np.frombuffer(text, np.uint8)
+        every = np.concatenate([gram_slots(buf, o) for o in ORDERS])
+        number = np.arange(len(every), dtype=np.int32)
+        self._last[every] = number  # of equal slots the last stays
+        return every[self._last[every] == number]
+
+    def rows(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        out, size = np.zeros((len(texts), self.width + 1), np.uint8), np.zeros(len(texts))
+        for i, t in enumerate(texts):
+            slots = self.slots(t)
+            out[i, self.column[slots]] = 1
+            size[i] = len(slots)
+        return out[:, : self.width], size
 
 
 class Model:
@@ -73,74 +82,74 @@ class Model:
     def __init__(self, languages, presence=None, landmarks=None, weights=None):
         self.languages, self.presence, self.landmarks, self.weights = languages, presence, landmarks, weights
 
+    def kernel(self, texts: list[bytes]) -> np.ndarray:
+        """The kernel of each lower-cased text with each landmark."""
+        out = [np.zeros((0, len(self.landmarks)), np.float32)]
+        for lo, hi in C.slices([len(t) + 100_000 for t in texts], 1 << 22):
+            rows, size = self.presence.rows(texts[lo:hi])
+            out.append(rows.astype(np.float32) @ self.landmarks.T / np.sqrt(np.maximum(size, 1))[:, None].astype(np.float32))
+        return np.concatenate(out)
+
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """A row of one-against-rest outputs for each lower-cased text."""
-        out = []
-        for lo, hi in C.slices([len(t) + 20_000 for t in texts], 1 << 22):
-            kernel = _unit(self.presence.rows(texts[lo:hi])) @ self.landmarks.T
-            out.append(np.concatenate([kernel, np.ones((hi - lo, 1), np.float32)], axis=1) @ self.weights)
-        return np.concatenate(out)
+        kernel = self.kernel(texts)
+        return np.concatenate([kernel, np.ones((len(texts), 1), np.float32)], axis=1) @ self.weights
 
 
-def fit(texts: list[bytes], langs: list[str], columns: int = 6144, landmarks: int = 96, ridge: float = 1e-2) -> Model:
+def fit(texts: list[bytes], langs: list[str], landmarks: int = 96, ridge: float = 1e-2) -> Model:
     languages = sorted(set(langs))
     if not languages:
         return Model([])
     texts = lowered(texts)
     y = np.array([languages.index(x) for x in langs])
-    # document frequency of each slot within each language
-    df = np.zeros((len(languages), 1 << TABLE_BITS), np.float32)
-    for t, k in zip(texts, y.tolist(), strict=True):
-        buf = np.frombuffer(t + b"\0", np.uint8)
-        df[k, np.unique(np.concatenate([gram_slots(buf, o) for o in ORDERS]))] += 1
-    rate = df / np.maximum(np.bincount(y, minlength=len(languages)), 1)[:, None]
-    telling = rate.max(axis=0) - 0.5 * rate.min(axis=0) + rate.std(axis=0)
-    telling[df.sum(axis=0) < 2] = 0
-    best = np.argsort(-telling, kind="stable")[:columns]
-    best = best[telling[best] > 0]
-    column = np.full(1 << TABLE_BITS, len(best), np.int32)
-    column[best] = np.arange(len(best))
-    presence = Presence(column, len(best))
-    x = _unit(presence.rows(texts))
     # landmarks: evenly from the languages, in the given order
     rank = np.zeros(len(y), np.int64)
     for k in range(len(languages)):
         rank[y == k] = np.arange((y == k).sum())
-    chosen = np.lexsort((y, rank))[:landmarks]
-    z = x[chosen]
+    chosen = np.lexsort((y, rank))[: max(landmarks, 2 * len(languages))]
+    every = Presence(np.zeros(1 << TABLE_BITS, np.int32), 0)
+    known = np.unique(np.concatenate([every.slots(texts[i]) for i in chosen]))
+    column = np.full(1 << TABLE_BITS, len(known), np.int32)
+    column[known] = np.arange(len(known))
+    presence = Presence(column, len(known))
+    rows, size = presence.rows([texts[i] for i in chosen])
+    z = rows.astype(np.float32) / np.sqrt(np.maximum(size, 1))[:, None].astype(np.float32)
     values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
     keep = values > 1e-6 * values.max() if values.max() > 0 else values > 0
     root = vectors[:, keep] / np.sqrt(values[keep])
-    coordinates = np.concatenate([(x @ z.T) @ root, np.ones((len(x), 1))], axis=1)
+    model = Model(languages, presence, z)
+    coordinates = np.concatenate([model.kernel(texts) @ root, np.ones((len(texts), 1))], axis=1)
     target = np.where(y[:, None] == np.arange(len(languages)), 1.0, -1.0)
     # each language counts alike
     share = (1.0 / np.bincount(y, minlength=len(languages)))[y][:, None] * len(y) / len(languages)
     penalty = ridge * len(y) * np.eye(coordinates.shape[1])
     penalty[-1, -1] = 0
     solved = np.linalg.solve(coordinates.T @ (share * coordinates) + penalty + 1e-9 * np.eye(len(penalty)), coordinates.T @ (share * target))
-    weights = np.concatenate([root @ solved[:-1], solved[-1:]]).astype(np.float32)
-    return Model(languages, presence, z, weights)
+    model.weights = np.concatenate([root @ solved[:-1], solved[-1:]]).astype(np.float32)
+    return model
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = 4000, max_languages: int = 200) -> Model:
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = 4000, max_bytes: int = 64 << 20) -> Model:
     """A model of the rows that are not held out and have text and lang."""
     rows = docs.select(F.col(doc_id).alias("i"), F.col(text).cast("binary").alias("t"), F.col(lang).alias("l"), C.held_out(doc_id).alias("h")).where("not h and t is not null and l is not null")
-    counts = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_languages).collect()
+    counts = rows.groupBy("l").count().collect()  # a row for each language
     if not counts:
         return Model([])
-    each = max_rows / len(counts)
-    # a hashed share of each language, of about ``each`` rows; the final limit is the bound
+    each = max(LEAST_ROWS, max_rows / len(counts))
+    # a hashed share of each language, of about ``each`` rows; the final limits are the bounds
     shares = docs.sparkSession.createDataFrame([(r["l"], min(1.0, each / r["count"])) for r in counts], "l string, share double")
     u = F.pmod(F.xxhash64(F.col("i").cast("string"), F.lit("language sample")), F.lit(1 << 30)) / (1 << 30)
     sample = rows.withColumn("u", u).join(F.broadcast(shares), "l").where("u < share").select("l", "t", (F.col("u") / F.col("share")).alias("o"))
-    got = sample.orderBy("o", "l", "t").limit(max_rows).collect()
+    sample = sample.orderBy("o", "l", "t").limit(max(max_rows, LEAST_ROWS * len(counts)))
+    upto = F.sum(F.length("t")).over(Window.orderBy("o", "l", "t").rowsBetween(Window.unboundedPreceding, 0))  # over the sample alone
+    got = sample.withColumn("upto", upto).where(F.col("upto") <= max_bytes).select("l", "t").collect()
     return fit([bytes(r["t"]) for r in got], [r["l"] for r in got])
 
 
 def judge(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Each row of ``docs`` as struct ``row``, with lang_pred and lang_score (the best
     language's share)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2**20 slots and landmarks x columns floats
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**20 slots, and the landmarks' n-grams by the landmarks
 
     def make():
         m = shared.value

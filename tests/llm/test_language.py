@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from strandloom.llm import language as L
 
 SYLLABLES = {"aa": ["the", "ing", "tion", "ed", "wh"], "bb": ["sch", "ü", "ung", "ein", "pf"], "cc": ["ñ", "ción", "os", "ll", "que"]}
@@ -36,12 +38,57 @@ def test_nothing_learned(spark):
     assert L.predict(df.limit(0), L.train(df.limit(0))).count() == 0
 
 
-def test_presence_equals_plain_sets():
-    texts = ["abcab", "", "zz", "abc" * 50]
-    model = L.fit([t.encode() for t in texts] * 3, ["p", "q", "p", "q"] * 3)
-    got = model.presence.rows([t.encode() for t in texts])
-    for t, row in zip(texts, got):
-        raw = t.encode() + b"\0"
-        slots = {int(L.gram_slots(L.np.frombuffer(raw[i : i + n], L.np.uint8), n)[0]) for n in L.ORDERS for i in range(len(raw) - n + 1)}
-        cols = {int(model.presence.column[s]) for s in slots} - {model.presence.width}
-        assert cols <= set(L.np.flatnonzero(row).tolist())
+def plain_slots(text):
+    """Slots of all n-grams, one by one."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return {int(L.gram_slots(raw[i : i + n], n)[0]) for n in L.ORDERS for i in range(len(raw) - n + 1)}
+
+
+def plain_kernel(left, right):
+    left, right = [plain_slots(t) for t in left], [plain_slots(t) for t in right]
+    return np.array([[len(a & b) / max(1, len(a) * len(b)) ** 0.5 for b in right] for a in left])
+
+
+def test_kernel_equals_plain_sets_and_texts_do_not_touch():
+    data = rows()
+    learned = [t.lower() for _, t, _ in data[:40]]
+    model = L.fit([t.encode() for t in learned], [lang for _, _, lang in data[:40]], landmarks=20)
+    marks = [learned[i] for i in np.flatnonzero(np.isclose(model.kernel([t.encode() for t in learned]).max(axis=1), 1, atol=1e-5))]
+    assert len(set(marks)) == 20
+    texts = ["", "x", "zz", "abc" * 50, *learned, "the \u00fcber \u03a9 text" * 300]
+    got = model.kernel([t.encode() for t in texts])
+    want = plain_kernel(texts, marks)
+    assert got.shape == want.shape
+    assert np.allclose(np.sort(got, axis=1), np.sort(want, axis=1), atol=1e-5)
+    alone = np.concatenate([model.kernel([t.encode()]) for t in texts])
+    assert np.allclose(alone, got, atol=1e-6)
+
+
+def test_weights_equal_the_ridge_of_the_whole_kernel():
+    """With every training text a landmark, Nystrom is exact: f = K a + b with (K + penalty / share) a = y - b, sum a = 0."""
+    data = rows()[:60]
+    texts, langs = [t.lower() for _, t, _ in data], [lang for _, _, lang in data]
+    ridge, n = 1e-2, len(data)
+    model = L.fit([t.encode() for t in texts], langs, landmarks=n, ridge=ridge)
+    share = np.array([n / 3 / langs.count(x) for x in langs])
+    k = plain_kernel(texts, texts)
+    system = np.zeros((n + 1, n + 1))
+    system[:n, :n], system[:n, n], system[n, :n] = k + np.diag(ridge * n / share), 1, 1
+    new = [t.lower() for _, t, _ in rows()[60:120]]
+    between, got = plain_kernel(new, texts), model.scores([t.encode() for t in new])
+    for c, lang in enumerate(model.languages):
+        y = np.where(np.array(langs) == lang, 1.0, -1.0)
+        solved = np.linalg.solve(system, np.append(y, 0))
+        assert np.allclose(got[:, c], between @ solved[:n] + solved[n], atol=5e-3)
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    langs = [a + b for a in letters[:16] for b in letters[:16]]
+    words = {lang: ["".join(rng.choices(letters, k=6)) for _ in range(5)] for lang in langs}
+    data = [(i, " ".join(rng.choices(words[lang], k=30)), lang) for i, lang in enumerate(langs * 3)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = L.train(df, max_rows=300)
+    learnable = {lang for i, _, lang in data if __import__("zlib").crc32(str(i).encode()) % 4 != 2}
+    assert set(model.languages) == learnable and len(learnable) > 250
