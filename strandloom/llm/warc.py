@@ -6,15 +6,16 @@ and index live in tables, whose binary columns Spark writes to any store; ``expo
 the segments as files where there is a file system to take them.
 
 The index is sorted by reversed-host key (``com,example,www)/path``), page id last, and cut
-into compressed blocks; a sparse directory has each block's first key. A lookup searches the
-directory by bisection, reads the one or two blocks that can hold the key, searches within, and
-reads the record's range of its segment. Reading everything goes the same way: every block gives
-the places of its captures, which meet their segments, of which each record's range is read.
+into compressed blocks of ``BLOCK_ROWS`` captures, or of more where there would be over ``MOST_BLOCKS``; a
+sparse directory has each block's first and last key, and so is bounded. A lookup searches the directory
+by bisection, reads the blocks that can hold the key, searches within, and reads the record's range of
+its segment. Many lookups go the same way at once: each key is bisected in the broadcast directory, keys
+meet their blocks, are bisected there, and the places found meet their segments.
 
 Of records with equal payloads of ``revisit_from`` bytes and more, the one with the largest page
 id is the response; others are revisits that refer to it and hold no payload. Equal page ids
-with equal payloads: one of them by a hash of the url. Null payloads count as empty and null urls
-as "". Rows with a null page id are written and read as any.
+with equal payloads: one of them by a hash of the url; of rows that repeat as a whole, any one. Null
+payloads count as empty and null urls as "". Rows with a null page id are written and read as any.
 """
 
 from __future__ import annotations
@@ -26,13 +27,14 @@ import json
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 
 SEGMENT_BYTES = 1 << 20
 BLOCK_ROWS = 2000
+MOST_BLOCKS = 100_000
 CAPTURES = "key string, segment long, offset long, length long"
 
 
@@ -86,16 +88,29 @@ def parse(member: bytes) -> dict:
 def decide(pages: DataFrame, revisit_from: int = 1000, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, payload or null, sha1, size, refers_to, revisit) of every row."""
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumns({"sha1": F.sha1("payload"), "size": F.length("payload").cast("long"), "group": F.sha2("payload", 256)})
-    long = F.col("size") >= revisit_from
-    mark = F.xxhash64("url")
-    # groups of two and more alone need to be met again: few rows
-    chosen = rows.where(long).groupBy("group").agg(F.max(F.struct("page_id", mark.alias("mark"))).alias("best"), F.count("*").alias("n")).where("n > 1").select("group", "best")
-    # a merge join at every size: repeats grow with the corpus, so that a plan that broadcasts them
-    # on little data would say nothing of the plan on much
+    long, mark = F.col("size") >= revisit_from, F.xxhash64("url")
+    # a short row's group is its own: no key holds more rows than payloads repeat
+    rows = rows.withColumns({"sha1": F.sha1("payload"), "size": F.length("payload").cast("long")})
+    rows = rows.withColumns({"mark": mark, "task": F.spark_partition_id(), "group": F.when(long, F.sha2("payload", 256)).otherwise(F.concat(F.lit("short "), F.xxhash64("url", "page_id", "size").cast("string")))})
+    # groups of two and more alone need to be met again; digests and ids are counted, no payload moves
+    alike = rows.where(long).groupBy("group", "page_id", "mark").agg(F.count("*").alias("n"))
+    chosen = alike.groupBy("group").agg(F.max(F.struct("page_id", "mark", "n")).alias("best"), F.sum("n").alias("n")).where("n > 1").select("group", "best")
+    chosen = C.written(chosen, "repeats")
+    # repeats grow with the corpus, so that no bound of theirs allows a broadcast
     met = rows.join(chosen.hint("merge"), "group", "left")
-    revisit = long & F.col("best").isNotNull() & ~(F.col("page_id").eqNullSafe(F.col("best.page_id")) & (mark == F.col("best.mark")))
-    return met.select("page_id", "url", F.when(revisit, F.lit(None)).otherwise(F.col("payload")).alias("payload"), "sha1", "size", F.when(revisit, F.col("best.page_id")).alias("refers_to"))
+    is_best = F.col("page_id").eqNullSafe(F.col("best.page_id")) & (F.col("mark") == F.col("best.mark"))
+    met = met.withColumn("revisit", long & F.col("best").isNotNull() & ~is_best)
+    if chosen.where("best.n > 1").head(1):  # whole rows repeat: one of them stays a response
+        tied = (F.col("best.n") > 1) & ~F.col("revisit")
+        tied = F.coalesce(tied, F.lit(False))
+        # one of each scanning task's rows, then one of these
+        rest = met.where(tied).repartition("group", "task")
+        rest = rest.withColumn("k", F.row_number().over(Window.partitionBy("group", "task").orderBy("page_id")))
+        rest = rest.withColumn("share", F.when(F.col("k") == 1, -1).otherwise(F.col("task")))
+        rest = rest.withColumn("j", F.row_number().over(Window.partitionBy("group", "share").orderBy("task", "k")))
+        rest = rest.withColumn("revisit", (F.col("share") >= 0) | (F.col("j") > 1)).select(*met.columns)
+        met = met.where(~tied).unionByName(rest)
+    return met.select("page_id", "url", F.when(F.col("revisit"), F.lit(None)).otherwise(F.col("payload")).alias("payload"), "sha1", "size", F.when(F.col("revisit"), F.col("best.page_id")).alias("refers_to"))
 
 
 def write(decided: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -126,29 +141,32 @@ def write(decided: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> tuple[DataF
     return stored.select("segment", "data"), stored.select("segment", F.explode("captures").alias("c")).select("c.key", "segment", "c.offset", "c.length")
 
 
-def index(captures: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The index's blocks: (first, last, rows, block). Sorted by key over all partitions; a block
+def index(captures: DataFrame, block_rows: int | None = None) -> DataFrame:
+    """The index's blocks: (id, first, last, rows, block). Sorted by key over all partitions; a block
     is compressed lines of one capture each."""
+    block_rows = block_rows or max(BLOCK_ROWS, -(-captures.count() // MOST_BLOCKS))
 
     def run(batches):
-        lines: list = []
+        from pyspark import TaskContext
+
+        number, lines = TaskContext.get().partitionId() << 32, []
 
         def close():
             packed = zlib.compress("\n".join(json.dumps(x) for x in lines).encode(), 6)
-            return pa.RecordBatch.from_pydict({"first": [lines[0][0]], "last": [lines[-1][0]], "rows": pa.array([len(lines)], pa.int64()), "block": [packed]})
+            return pa.RecordBatch.from_pydict({"id": pa.array([number], pa.int64()), "first": [lines[0][0]], "last": [lines[-1][0]], "rows": pa.array([len(lines)], pa.int64()), "block": [packed]})
 
         for batch in batches:
             for x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 lines.append(x)
                 if len(lines) >= block_rows:
                     yield close()
-                    lines = []
+                    number, lines = number + 1, []
         if lines:
             yield close()
 
     n = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = captures.select("key", "segment", "offset", "length").repartitionByRange(n, "key", "segment", "offset").sortWithinPartitions("key", "segment", "offset")
-    return C.written(ordered.mapInArrow(run, "first string, last string, rows long, block binary"), "cdx")
+    return C.written(ordered.mapInArrow(run, "id long, first string, last string, rows long, block binary"), "cdx")
 
 
 def captures_of(block: bytes) -> list[tuple[str, int, int, int]]:
@@ -156,53 +174,80 @@ def captures_of(block: bytes) -> list[tuple[str, int, int, int]]:
 
 
 class Directory:
-    """The sparse directory on the driver: first and last key of each block, in key order.
-    One entry for ``BLOCK_ROWS`` captures."""
+    """The sparse directory: first and last key and number of each block, in key order. At most
+    ``MOST_BLOCKS`` entries and one a partition."""
 
     def __init__(self, blocks: DataFrame):
-        self.blocks = blocks
-        rows = sorted((r["first"], r["last"]) for r in blocks.select("first", "last").collect())
-        self.first, self.last = [a for a, _ in rows], [b for _, b in rows]
-
-    def block_keys(self, prefix: str) -> list[str]:
-        """First keys of the blocks that can hold keys with this prefix."""
-        lo = max(0, bisect.bisect_left(self.last, prefix))
-        hi = bisect.bisect_right(self.first, prefix + "\U0010ffff")
-        return self.first[lo:hi]
-
-    def lookup(self, prefix: str) -> list[tuple[str, int, int, int]]:
-        keys = self.block_keys(prefix)
-        if not keys:
-            return []
+        self.rows = sorted((r["first"], r["last"], r["id"]) for r in blocks.select("first", "last", "id").collect())
+        self.first, self.last, self.id = ([r[i] for r in self.rows] for i in range(3))
+
+    def blocks_of(self, prefix: str, whole: bool = False) -> list[int]:
+        """The blocks that can hold keys with this prefix, or with ``whole`` this key alone."""
+        lo = bisect.bisect_left(self.last, prefix)
+        hi = bisect.bisect_right(self.first, prefix if whole else prefix + "\U0010ffff")
+        return self.id[lo:hi]
+
+    def lookup(self, blocks: DataFrame, prefix: str) -> list[tuple[str, int, int, int]]:
+        """The captures with this prefix, from the blocks that can hold them."""
+        ids = self.blocks_of(prefix)
         found = []
-        for r in self.blocks.where(F.col("first").isin(keys)).select("block").toLocalIterator():
-            rows = captures_of(r["block"])
-            at = bisect.bisect_left(rows, (prefix,))
-            while at < len(rows) and rows[at][0].startswith(prefix):
-                found.append(rows[at])
-                at += 1
+        for r in blocks.where(F.col("id").isin(ids)).select("block").toLocalIterator() if ids else ():
+            found += within(captures_of(r["block"]), prefix)
         return sorted(found)
 
 
-def fetch(segments: DataFrame, captures: list[tuple[str, int, int, int]]) -> list[dict]:
-    """The records at these captures, each by the range read of its segment."""
-    out = []
-    for key, segment, offset, length in captures:
-        row = segments.where(F.col("segment") == segment).select(F.substring("data", F.lit(offset + 1), F.lit(length)).alias("m")).first()
-        out.append(parse(bytes(row["m"])) | {"key": key})
-    return out
+def within(rows: list[tuple[str, int, int, int]], prefix: str, whole: bool = False) -> list[tuple[str, int, int, int]]:
+    """The captures of an opened block with this prefix (or key), by bisection."""
+    at = end = bisect.bisect_left(rows, (prefix,))
+    while end < len(rows) and (rows[end][0] == prefix if whole else rows[end][0].startswith(prefix)):
+        end += 1
+    return rows[at:end]
 
 
-def read_all(segments: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Every capture of the index with what its record tells."""
+def capture_key(page_id: str, url: str) -> Column:
+    """The index's key of a page."""
+    return F.concat(surt(F.coalesce(F.col(url), F.lit(""))), F.lit(" "), F.coalesce(F.col(page_id).cast("long").cast("string"), F.lit("null")))
+
+
+def locate(keys: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The captures of every key in ``keys`` (column key), by directory, block and bisection; a key that
+    the index lacks has none."""
+    held = blocks.sparkSession.sparkContext.broadcast(Directory(blocks))
+
+    def bisected():
+        def step(batch: pa.RecordBatch):
+            met = [(i, k) for k in batch.column(0).to_pylist() for i in held.value.blocks_of(k, whole=True)]
+            return {"id": pa.array([i for i, _ in met], pa.int64()), "key": pa.array([k for _, k in met], pa.string())}
+
+        return step
+
+    # a block has a bounded number of captures, so its list of different keys is one
+    wanted = C.map_batches(keys.select("key").where("key is not null").distinct(), bisected, "id long, key string").groupBy("id").agg(F.collect_list("key").alias("keys"))
+
+    def search():
+        def step(batch: pa.RecordBatch):
+            for block, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = captures_of(block)
+                found = [x for k in wanted for x in within(rows, k, whole=True)]
+                yield {c: pa.array([x[i] for x in found], t) for i, (c, t) in enumerate((("key", pa.string()), ("segment", pa.int64()), ("offset", pa.int64()), ("length", pa.int64())))}
+
+        return step
+
+    return C.map_batches(blocks.join(wanted.hint("merge"), "id").select("block", "keys"), search, CAPTURES, rows=16)
+
+
+def fetch(segments: DataFrame, captures: list[tuple[str, int, int, int]]) -> list[dict]:
+    """The records at these captures (as many as the caller holds), each by the range read of its segment."""
+    if not captures:
+        return []
+    places = segments.sparkSession.createDataFrame(captures, CAPTURES)
+    rows = segments.join(F.broadcast(places), "segment").select("key", "segment", "offset", F.expr("substring(data, cast(offset + 1 as int), cast(length as int))").alias("m")).collect()
+    at = {(r["key"], r["segment"], r["offset"]): bytes(r["m"]) for r in rows}
+    return [parse(at[c[:3]]) | {"key": c[0]} for c in captures]
 
-    def open_blocks(batches):
-        for batch in batches:
-            for block in batch.column(0).to_pylist():
-                key, segment, offset, length = (list(x) for x in zip(*captures_of(block), strict=True))
-                yield pa.RecordBatch.from_pydict({"key": key, "segment": pa.array(segment, pa.int64()), "offset": pa.array(offset, pa.int64()), "length": pa.array(length, pa.int64())})
 
-    places = blocks.select("block").mapInArrow(open_blocks, CAPTURES)
+def read(segments: DataFrame, places: DataFrame) -> DataFrame:
+    """What the records at ``places`` (CAPTURES) tell, each read by its range."""
     # a segment has a bounded number of captures, so its list is one
     places = places.groupBy("segment").agg(F.collect_list(F.struct("key", "offset", "length")).alias("captures"))
 
@@ -220,6 +265,7 @@ def read_all(segments: DataFrame, blocks: DataFrame) -> DataFrame:
 
         return step
 
+    # captures grow with the corpus, so that no bound of theirs allows a broadcast
     return C.map_batches(segments.join(places.hint("merge"), "segment").select("data", "captures"), make, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, key string", rows=16)
 
 
@@ -243,5 +289,7 @@ def export(segments: DataFrame, folder: str) -> DataFrame:
 
 
 def op1_warc(spark, sf_dir: str) -> DataFrame:
-    segments, captures = write(decide(C.table(spark, sf_dir, "pages")))
-    return read_all(segments, index(captures)).drop("url", "key")
+    pages = C.table(spark, sf_dir, "pages")
+    segments, captures = write(decide(pages))
+    keys = pages.select(capture_key("page_id", "url").alias("key"))
+    return read(segments, locate(keys, index(captures))).drop("url", "key")

@@ -1,6 +1,6 @@
 import gzip
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from strandloom.llm import warc as W
 
@@ -36,15 +36,20 @@ def test_round_trip_and_lookup(spark, tmp_path):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     segments, captures = W.write(W.decide(df), segment_bytes=20_000)
     blocks = W.index(captures, block_rows=25)
-    got = W.read_all(segments, blocks).collect()
+    got = W.read(segments, captures).collect()
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=key) == sorted(plain(rows), key=key)
     assert sorted(r.url for r in got) == sorted(u or "" for _, u, _ in rows)
+    asked = df.select(W.capture_key("page_id", "url").alias("key"))
+    told = W.read(segments, W.locate(asked.union(asked.limit(5)), blocks)).collect()
+    assert Counter(map(tuple, told)) == Counter(map(tuple, got))
+    few = df.where("page_id in (5, 1003, 2000)").select(W.capture_key("page_id", "url").alias("key")).union(spark.createDataFrame([("no,such)/ 1",), (None,)], "key string"))
+    assert sorted(r.page_id for r in W.read(segments, W.locate(few, blocks)).collect()) == [5, 1003, 1003, 2000]
     directory = W.Directory(blocks)
     assert directory.first == sorted(directory.first) and len(directory.first) >= 10
-    found = W.fetch(segments, directory.lookup("com,example,www3)/p/"))
+    found = W.fetch(segments, directory.lookup(blocks, "com,example,www3)/p/"))
     assert {r["page_id"] for r in found} == {i for i in range(300) if i % 7 == 3}
-    assert directory.lookup("zz") == []
-    one = W.fetch(segments, directory.lookup("com,example,www5)/p/5?"))
+    assert directory.lookup(blocks, "zz") == []
+    one = W.fetch(segments, directory.lookup(blocks, "com,example,www5)/p/5?"))
     assert [r["payload"].decode() for r in one] == ["<html>5" * 5]
     files = W.export(segments, str(tmp_path)).collect()
     text = b"".join(gzip.open(f.path).read() for f in files)
@@ -54,4 +59,15 @@ def test_round_trip_and_lookup(spark, tmp_path):
 def test_no_pages(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     segments, captures = W.write(W.decide(df))
-    assert W.read_all(segments, W.index(captures)).count() == 0
+    assert W.read(segments, W.locate(df.select(W.capture_key("page_id", "url").alias("key")), W.index(captures))).count() == 0
+
+
+def test_whole_rows_that_repeat(spark):
+    """One of the rows with the largest page id stays the response, wherever they lie."""
+    rows = [(1, "http://a.b/1", BIG)] * 3 + [(2, "http://a.b/2", BIG)] * 9 + [(3, "u", "y" * 2000)] + [(4, "v", "short")] * 2 + [(None, None, "z" * 1500)] * 3
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    decided = W.decide(df)
+    segments, captures = W.write(decided)
+    got = W.read(segments, W.locate(df.select(W.capture_key("page_id", "url").alias("key")), W.index(captures, block_rows=2)))
+    told = Counter((r.page_id, r.record_type, r.refers_to) for r in got.collect())
+    assert told == {(1, "revisit", 2): 3, (2, "response", None): 1, (2, "revisit", 2): 8, (3, "response", None): 1, (4, "response", None): 2, (None, "response", None): 1, (None, "revisit", None): 2}
