@@ -49,6 +49,13 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP), "")
 
 
+def template_words(text: str) -> list[str]:
+    """A template's words on the driver, by ``words_of``'s rule."""
+    import re
+
+    return [w for w in re.split(GAP, text.translate(str.maketrans(UPPER, LOWER))) if w]
+
+
 def _gram(words: Column, at: Column, k: int) -> list[Column]:
     return [F.get(words, at + j) for j in range(k)]
 
@@ -68,15 +75,14 @@ def _all(tests: list[Column]) -> Column:
     return out
 
 
-def base(docs: DataFrame, phrases, doc_id: str, text: str) -> DataFrame:
-    """doc_key, doc_id, n_words and what the phrases tell of each row."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).select("doc_id", doc_key("doc_id", "t").alias("doc_key"), words_of(F.col("t")).alias("words"))
+def base(words: str, phrases) -> list[Column]:
+    """n_words and what the phrases tell of each row."""
     # most texts lack a phrase's words and need no search
-    rows = rows.withColumns({f"p{i}": F.when(_all([F.array_contains("words", w) for w in p.split()]), phrase_places(F.col("words"), p)).otherwise(F.array().cast("array<int>")) for i, (p, _) in enumerate(phrases)})
-    places = [F.col(f"p{i}") for i in range(len(phrases))]
+    none = F.array().cast("array<int>")
+    places = [F.when(_all([F.array_contains(words, w) for w in p.split()]), phrase_places(F.col(words), p)).otherwise(none) for p, _ in phrases]
     every = F.concat(*places)
     found = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.size(x) > 0, F.lit(label)) for x, (_, label) in zip(places, phrases, strict=True)]))))
-    return rows.select("doc_key", "doc_id", F.size("words").cast("long").alias("n_words"), F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), found.alias("base"))
+    return [F.size(words).cast("long").alias("n_words"), F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), found.alias("base")]
 
 
 def doc_key(doc_id: str, text: str) -> Column:
@@ -92,17 +98,23 @@ def template_grams(spark, templates, k: int) -> DataFrame:
     return rows.select("template", "label", "positions", "at", F.slice("w", F.col("at") + 1, k).alias("gram"), F.xxhash64(*_gram(F.col("w"), F.col("at"), k)).alias("hash"))
 
 
-def votes(docs: DataFrame, templates, k: int, doc_id: str, text: str) -> DataFrame:
-    """(doc_key, template, label, positions, pos, at) of all equal grams."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).select(doc_key("doc_id", "t").alias("doc_key"), words_of(F.col("t")).alias("words"))
+#: What ``met`` carries of each document.
+FACTS = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base")
+
+
+def met(docs: DataFrame, phrases, templates, k: int, doc_id: str, text: str) -> DataFrame:
+    """Words and hashes of every document, made once: a row (template, label, positions, pos, at) for each
+    gram that a template has too, and one with a null template and the document's facts for each document."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).select("doc_id", doc_key("doc_id", "t").alias("doc_key"), words_of(F.col("t")).alias("words"))
     hashes = F.when(F.size("words") >= k, F.transform(F.sequence(F.lit(0), F.size("words") - k), lambda i: F.xxhash64(*_gram(F.col("words"), i, k)))).otherwise(F.array().cast("array<bigint>"))
-    rolled = rows.withColumn("hashes", hashes).select("doc_key", "words", F.posexplode_outer("hashes").alias("pos", "hash"))
-    met = rolled.join(F.broadcast(template_grams(docs.sparkSession, templates, k)), "hash")
-    # equality as two bounds, which the planner does not make a key of the join; generated code then
-    # reads the words in place, where a lambda would have the array copied to every position
+    # a null behind a document's hashes: the one row that every document has
+    rolled = rows.select("doc_key", "doc_id", "words", *base("words", phrases), F.posexplode(F.concat(hashes, F.array(F.lit(None).cast("bigint")))).alias("pos", "hash"))
+    got = rolled.join(F.broadcast(template_grams(docs.sparkSession, templates, k)), "hash", "left")
+    # equality as two bounds: generated code then reads the words in place, where a lambda would have
+    # the array copied to every position
     here = F.slice("words", F.col("pos") + 1, k)
     equal = (here <= F.col("gram")) & (here >= F.col("gram"))
-    return met.where(equal).select("doc_key", "template", "label", "positions", "pos", "at").distinct()
+    return got.where(F.col("hash").isNull() | (F.col("template").isNotNull() & equal)).select("doc_key", *[F.when(F.col("template").isNull(), F.col(c)).alias(c) for c in FACTS], "template", "label", "positions", "pos", "at")
 
 
 def spans(hits: DataFrame, k: int, drift: int = 3, coverage: float = 0.6, stretch: float = 1.5) -> DataFrame:
@@ -117,8 +129,10 @@ def spans(hits: DataFrame, k: int, drift: int = 3, coverage: float = 0.6, stretc
 
 def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, k: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document: counts and places of phrases, labels, score, and the spans."""
-    found = spans(votes(docs, templates, k, doc_id, text), k).groupBy("doc_key").agg(F.collect_set("label").alias("own"), F.max("share").alias("share"), F.sort_array(F.collect_list(F.struct("first", "last", "label", "share"))).alias("spans"))
-    out = base(docs, phrases, doc_id, text).join(found, "doc_key", "left")
+    rows = C.written(met(docs, phrases, templates, k, doc_id, text), "licenses")
+    votes = rows.where("template is not null").select("doc_key", "template", "label", "positions", "pos", "at").distinct()
+    found = spans(votes, k).groupBy("doc_key").agg(F.collect_set("label").alias("own"), F.max("share").alias("share"), F.sort_array(F.collect_list(F.struct("first", "last", "label", "share"))).alias("spans"))
+    out = rows.where("template is null").select("doc_key", *FACTS).join(found, "doc_key", "left")
     text_of = lambda c: F.array_join(c, ",")
     none = F.array().cast("array<string>")
     return out.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .decontamination import op8_decontamination
 from .language import op3_language_id
-from .licenses import op9_license_scan
+from .licenses import GAP, LOWER, TEMPLATES, UPPER, op9_license_scan, template_words
 from .media import op6_media
 from .near_dedup import op10_near_dedup
 from .packing import op7_best_fit_packing
@@ -26,9 +26,36 @@ QUERIES = {
     "op10_near_dedup": op10_near_dedup,
 }
 
+
+
+def _templates(k: int = 4) -> str:
+    """Rows (template, label, positions, place, gram) of the license templates."""
+    rows = []
+    for i, (label, text) in enumerate(TEMPLATES):
+        words = template_words(text)
+        n = len(words) - k + 1
+        rows += [f"({i}, '{label}', {n}, {at}, '{' '.join(words[at : at + k])}')" for at in range(n)]
+    return ", ".join(rows)
+
+
 #: DuckDB SQL where it can express the query; the others have trained scores, XXH64, token ids or
 #: encoded files in their rows.
 ORACLE_SQL: dict[str, str] = {
+    "op9_license_scan": f"""
+        WITH t(template, label, positions, place, gram) AS (VALUES {_templates()}),
+        d AS (SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{GAP}') IF x <> ''] AS l FROM documents),
+        w AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS i FROM d),
+        g AS (SELECT *, lead(x, 1) OVER o AS x1, lead(x, 2) OVER o AS x2, lead(x, 3) OVER o AS x3 FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        p AS (SELECT doc_id, i, CASE WHEN x = 'mit' AND x1 = 'license' THEN 'mit' WHEN x = 'apache' AND x1 = 'license' THEN 'apache' WHEN x = 'general' AND x1 = 'public' AND x2 = 'license' THEN 'gpl' END AS label FROM g),
+        b AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS own FROM p WHERE label IS NOT NULL GROUP BY doc_id),
+        v AS (SELECT doc_id, template, label, positions, i AS pos, place, i - place AS d FROM g JOIN t ON gram = x || ' ' || x1 || ' ' || x2 || ' ' || x3),
+        a AS (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY doc_id, template ORDER BY d) <= 3 THEN 0 ELSE 1 END AS fresh FROM (SELECT DISTINCT doc_id, template, d FROM v)),
+        s AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY d) AS island FROM a),
+        m AS (SELECT v.doc_id, v.label, v.positions, count(DISTINCT place) / v.positions AS share, max(pos) - min(pos) + 4 AS width FROM v JOIN s ON v.doc_id = s.doc_id AND v.template = s.template AND v.d = s.d GROUP BY v.doc_id, v.template, v.label, v.positions, s.island),
+        o AS (SELECT doc_id, list(DISTINCT label) AS own, max(share) AS share FROM m WHERE share >= 0.6 AND width <= 1.5 * (positions + 3) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(l) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(array_to_string(list_sort(b.own), ','), '') AS base_labels,
+        coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.own, []), coalesce(o.own, [])))), ','), '') AS labels, greatest(coalesce(o.share, 0.0), CASE WHEN n_base > 0 THEN 0.5 ELSE 0.0 END) AS score
+        FROM d LEFT JOIN b USING (doc_id) LEFT JOIN o USING (doc_id)""",
     "op1_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS best FROM pages)
         SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN n >= 1000 AND page_id <> best THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 1000 AND page_id <> best THEN best END AS refers_to FROM p""",

@@ -4,8 +4,8 @@ A rule (host, path prefix) fits its host and all subdomains; of the rules that f
 longest wins: the longest host, then the longest path. Urls without a fitting rule are judged by
 a logistic regression on hashed character 3- to 5-grams of host and path, trained on the small
 labelled table below. All of it is Spark columns but the scoring of distinct-free n-grams, which
-is one Arrow batch function. Null urls and urls without ``://`` have an empty host and path; an
-empty host is allowed, as there is nothing to judge.
+is one Arrow batch function. Null urls and urls without ``://`` have an empty host and path, which
+the model judges like any other.
 """
 
 from __future__ import annotations
@@ -122,7 +122,7 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = 0.5, page_id: str =
             hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             row, slot, value = features([judged(h, p) for h, p in zip(hosts, paths, strict=True)])
             p = 1 / (1 + np.exp(-(np.bincount(row, value * weights[slot], len(hosts)) + weights[-1])))
-            own = ["block" if s >= threshold and h else "allow" for s, h in zip(p.tolist(), hosts, strict=True)]
+            own = ["block" if s >= threshold else "allow" for s in p.tolist()]
             return {c: batch.column(c) for c in ("page_id", "host", "path", "rule")} | {"verdict": [v or o for v, o in zip(batch.column(4).to_pylist(), own, strict=True)], "score": p}
 
         return step
