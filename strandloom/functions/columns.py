@@ -34,6 +34,17 @@ def revcomp(seq, rna: bool = False) -> Column:
     return F.reverse(complement(seq, rna))
 
 
+def revcomp_dna(seq) -> Column:
+    """In upper case, with N for every letter but A, C, G and T."""
+    return F.reverse(F.translate(F.regexp_replace(F.translate(col(seq), "acgt", "ACGT"), "[^ACGT]", "N"), "ACGT", "TGCA"))
+
+
+def uuid7() -> Column:
+    """A UUID of version 7: the query's time in milliseconds, then random bits."""
+    time, rest = F.lpad(F.lower(F.hex(F.unix_millis(F.current_timestamp()))), 12, "0"), F.expr("uuid()")
+    return F.concat(F.substring(time, 1, 8), F.lit("-"), F.substring(time, 9, 4), F.lit("-7"), F.substring(rest, 16, 21))
+
+
 def strand_key(seq) -> Column:
     """The same for a sequence and its reverse complement."""
     return F.least(col(seq), revcomp(seq))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN["dir"]
 
 
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, deleted when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def spread(df: DataFrame, mb_a_core: int = 64) -> DataFrame:
     """A table of few files and little data dealt over all cores: one row group is one task's, however
     long each row's work takes. Larger tables, and those of as many files as cores, stay as they lie."""

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from .layout import shared_dir
 
 
+#: Files whose edges are broadcast; more meet their records in a shuffled join.
+FEW = 10_000
+
+
 def running(df: DataFrame, value: Column, out: str, by: tuple[str, ...] = (), pos: str = "pos", shares: int | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with the running sum of ``value`` in the order of ``pos`` (numeric) within ``by``."""
     shares = shares or max(8, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -19,9 +23,13 @@ def running(df: DataFrame, value: Column, out: str, by: tuple[str, ...] = (), po
     edge = df.groupBy(*keys).agg(F.min(pos).alias("_lo"), F.max(pos).alias("_hi"))
     on = F.lit(True)
     edge = edge.select(*[F.col(b).alias(f"_e_{b}") for b in by], "_lo", "_hi")
+    # a row for each of ``by``: few files' edges are broadcast after they are counted, so that no sequence moves for them
+    few = edge.limit(FEW + 1).collect()
+    small = len(few) <= FEW
+    edge = df.sparkSession.createDataFrame(few, edge.schema) if small else edge
     for b in by:
         on = on & F.col(b).eqNullSafe(F.col(f"_e_{b}"))
-    marked = df.join(F.broadcast(edge) if not by else edge, on).drop(*[f"_e_{b}" for b in by])
+    marked = df.join(F.broadcast(edge) if small else edge, on).drop(*[f"_e_{b}" for b in by])
     marked = marked.withColumn("_s", F.floor((F.col(pos) - F.col("_lo")).cast("double") * shares / (F.col("_hi") - F.col("_lo") + 1)).cast("int")).withColumn("_v", value).drop("_lo", "_hi")
     total = marked.groupBy(*by, "_s").agg(F.sum("_v").alias("_t"))
     before = total.withColumn("_b", F.coalesce(F.sum("_t").over(Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -30,6 +38,7 @@ def running(df: DataFrame, value: Column, out: str, by: tuple[str, ...] = (), po
     for b in by:
         on = on & F.col(b).eqNullSafe(F.col(f"_e_{b}"))
     within = Window.partitionBy(*by, "_s").orderBy(pos, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    before = F.broadcast(before) if small and len(few) * shares <= FEW * 64 else before
     return marked.withColumn("_w", F.sum("_v").over(within)).join(before, on).withColumn(out, F.col("_w") + F.col("_b")).select(*df.columns, out)
 
 

@@ -7,6 +7,8 @@ import struct
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,10 +16,12 @@ from ..functions import columns as S
 from ..functions import iupac
 
 
-def stats(df: DataFrame, by: str = "file") -> DataFrame:
-    """Number, sum, least, mean and greatest length, by file."""
-    n = F.length("seq").cast("long")
-    return df.groupBy(by).agg(F.count("*").alias("num_seqs"), F.sum(n).alias("sum_len"), F.min(n).alias("min_len"), F.avg(n).alias("avg_len"), F.max(n).alias("max_len"))
+def stats(df: DataFrame, by: str = "file", kinds: bool = False) -> DataFrame:
+    """Number, sum, least, mean and greatest length, by file; with ``kinds`` the format and type of its
+    first record before these ("" for an empty sequence's type)."""
+    n, at = F.length("seq").cast("long"), F.struct("file_idx", "pos")
+    first = [F.min_by(F.when(F.col("qual").isNull(), "FASTA").otherwise("FASTQ"), at).alias("format"), F.min_by(F.coalesce(S.guess_type("seq"), F.lit("")), at).alias("type")] if kinds else []
+    return df.groupBy(by).agg(*first, F.count("*").alias("num_seqs"), F.sum(n).alias("sum_len"), F.min(n).alias("min_len"), F.avg(n).alias("avg_len"), F.max(n).alias("max_len"))
 
 
 def _lengths(df: DataFrame, by: str) -> DataFrame:
@@ -76,6 +80,11 @@ def stats_all(df: DataFrame, by: str = "file", gaps: str = "- .", qual_base=33)
 # -- order-independent digest -------------------------------------------------------------
 
 
+def _ordered(h: int) -> int:
+    """An unsigned 64-bit number as a signed one of the same order."""
+    return h - (1 << 63)
+
+
 def _xx(data: bytes) -> int:
     import xxhash
 
@@ -85,16 +94,17 @@ def _xx(data: bytes) -> int:
 def digest_sum(df: DataFrame, by: str = "file", circular=False, k: int = 1000, remove_gaps=False, gaps="- \t.*", rna2dna=False, single_strand=False, kind="DNA", every=False) -> DataFrame:
     """A digest of each file's sequences that does not depend on their order (nor, for circular ones,
     on start and strand): XXH64 of each sequence, sorted, hashed together with the length and number.
-    Hashes are made by record; a file's sorted hashes meet in one group of 8 bytes a record."""
+    Hashes are made by record and sorted by Spark, which spills; a file's digest is a chain over its
+    sorted hashes, so that one task streams them, 8 bytes a record (or base) and a batch at a time."""
     letter = {"DNA": "D", "RNA": "R", "Protein": "P"}.get(kind, "N")
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf("array<bigint>")
     def hashes(seq: pd.Series) -> pd.Series:
         out = []
         for s in seq:
             raw = (s or "").encode()
             if not circular:
-                out.append(struct.pack("<Q", _xx(raw)))
+                out.append([_ordered(_xx(raw))])
                 continue
             if len(raw) < k:
                 raise ValueError("a sequence is shorter than k")
@@ -105,23 +115,46 @@ def digest_sum(df: DataFrame, by: str = "file", circular=False, k: int = 1000, r
             if not single_strand:
                 other = [_xx(back[i : i + k]) for i in range(n)]
                 own = [min(own[i], other[(n - i - k) % n]) for i in range(n)]
-            out.append(np.sort(np.array(own, "<u8")).tobytes())
+            out.append([_ordered(h) for h in own])
         return pd.Series(out)
 
     s = F.lower(F.coalesce("seq", F.lit("")))
     s = F.translate(s, gaps, "") if remove_gaps else s
     s = F.translate(s, "u", "t") if rna2dna and kind != "RNA" else s
-    rows = df.select(F.col(by), s.alias("s")).withColumn("h", hashes("s")).select(by, "h", F.length("s").cast("long").alias("n"))
+    rows = df.select(F.col(by), s.alias("s")).select(by, F.length("s").cast("long").alias("n"), F.posexplode(hashes("s")).alias("i", "h")).select(by, "h", F.when(F.col("i") == 0, F.col("n")).alias("n"))
     prefix = f"v0.1_{letter}{'C' if circular else 'L'}{'S' if single_strand or not circular else 'D'}_k{k if circular else 0}_"
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = np.sort(np.concatenate([np.frombuffer(h, "<u8") for h in pdf["h"]]))
-        total = int(pdf["n"].sum())
-        digest = _xx(own.astype("<u8").tobytes() + struct.pack("<QQ", total, len(pdf)))
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "digest": [prefix + hashlib.md5(struct.pack("<Q", digest)).hexdigest()], "num_seqs": [len(pdf)], "sum_len": [total]})
+    def fold(batches):
+        import xxhash
+
+        now, state, total, count = None, None, 0, 0
+
+        def close():
+            state.update(struct.pack("<QQ", total, count))
+            told = prefix + hashlib.md5(struct.pack("<Q", state.intdigest())).hexdigest()
+            return pa.RecordBatch.from_arrays([now, pa.array([told]), pa.array([count], pa.int64()), pa.array([total], pa.int64())], names=[by, "digest", "num_seqs", "sum_len"])
+
+        for batch in batches:
+            keys = batch.column(0)
+            at = 0
+            while at < batch.num_rows:
+                end = at + 1
+                while end < batch.num_rows and keys[end] == keys[at]:
+                    end += 1
+                if now is None or now[0] != keys[at]:
+                    if now is not None:
+                        yield close()
+                    now, state, total, count = keys.slice(at, 1), xxhash.xxh64(seed=0), 0, 0
+                part = batch.slice(at, end - at)
+                state.update((part.column(1).to_numpy().view(np.uint64) ^ np.uint64(1 << 63)).astype("<u8").tobytes())
+                count += part.num_rows - part.column(2).null_count
+                total += pa.compute.sum(part.column(2)).as_py() or 0
+                at = end
+        if now is not None:
+            yield close()
 
     kind_of = dict(df.dtypes)[by]
-    out = rows.groupBy(by).applyInPandas(fold, f"`{by}` {kind_of}, digest string, num_seqs long, sum_len long")
+    out = rows.repartition(by).sortWithinPartitions(by, "h").mapInArrow(fold, f"`{by}` {kind_of}, digest string, num_seqs long, sum_len long")
     return out if every else out.select("digest", by)
 
 

@@ -87,6 +87,12 @@ def stat(df: DataFrame, map_qual=0, by: str = "file") -> DataFrame:
     return rows.select(S.share(F.col("PrimAln"), total).alias("PrimAlnPerc"), S.share(F.col("_m"), F.col("PrimAln")).alias("MultimapPerc"), "PrimAln", "SecAln", "SupAln", "Unmapped", total.alias("TotalReads"), "TotalRecords", F.col(by).alias("File"))
 
 
+def coverage_share(df: DataFrame, field: str = "ReadCov", least: float = 80.0) -> DataFrame:
+    """The percentage of mapped records whose field reaches ``least``, as a coverage histogram's title has it."""
+    v = _fields()[field]
+    return df.where(~flag(UNMAPPED)).agg(S.share(F.count(F.when(v >= least, 1)), F.count(v)).alias("share"))
+
+
 def acc_stats(df: DataFrame) -> DataFrame:
     """Mean accuracy, and weighted by alignment length."""
     known = _fields()

@@ -135,6 +135,13 @@ def split_length(df: DataFrame, length: str | int) -> DataFrame:
     return df.join(told, (F.col("file_idx") == F.col("_f")) & (F.col("pos") == F.col("_p"))).drop("_f", "_p")
 
 
+def split_pairs(first: DataFrame, second: DataFrame, split, *how) -> DataFrame:
+    """Two files of mates split alike, told apart by ``read``: each by its own record numbers, so that
+    mates in the same place go to the same part."""
+    one, two = (split(f, *how).withColumn("read", F.lit(i)) for i, f in ((1, first), (2, second)))
+    return one.unionByName(two)
+
+
 def part_name(prefix: str, part: Column, width: int = 3, extension: str = "") -> Column:
     text = part.cast("string")
     return F.concat(F.lit(prefix), F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text), F.lit(extension))

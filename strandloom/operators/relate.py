@@ -37,9 +37,12 @@ def rmdup_rejected(df: DataFrame, **how) -> DataFrame:
 
 
 def rmdup_report(df: DataFrame, **how) -> DataFrame:
-    """(count, ids in order) of every key that repeats, most frequent first."""
-    rows = _keyed(df, dedup_key(**how)).groupBy("_k").agg(F.count("*").alias("count"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_idx", "pos", "id"))), lambda x: x["id"]), ", ").alias("ids"), F.min("pos").alias("_o"))
-    return rows.where("count > 1").orderBy(F.desc("count"), "_o").select("count", "ids")
+    """(count, ids in order) of every key that repeats, most frequent first. Keys are counted before any
+    id is gathered; a key's ids are one value, as the report has them in one line."""
+    keyed = _keyed(df, dedup_key(**how)).select("_k", "file_idx", "pos", "id")
+    again = keyed.groupBy("_k").agg(F.count("*").alias("_n")).where("_n > 1").select("_k")
+    rows = keyed.join(again, "_k", "left_semi").groupBy("_k").agg(F.count("*").alias("count"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_idx", "pos", "id"))), lambda x: x["id"]), ", ").alias("ids"), F.min("pos").alias("_o"))
+    return rows.orderBy(F.desc("count"), "_o").select("count", "ids")
 
 
 def common(df: DataFrame, n_files: int, **how) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
@@ -13,10 +14,6 @@ from pyspark.sql.types import BooleanType
 from ..functions import columns as S
 from ..functions import iupac
 
-#: A list of up to so many patterns becomes one expression, longer ones a join.
-IN_PLACE = 64
-
-
 def grep_ids(df: DataFrame, patterns: DataFrame, key: str = "id", invert=False, ignore_case=False, duplicates=False) -> DataFrame:
     """Records whose whole key is in ``patterns`` (column ``pattern``), each once, or with
     ``duplicates`` as often as the list has it. Spark broadcasts a small list by its own size check."""
@@ -92,9 +89,20 @@ def grep(df: DataFrame, patterns, key: str | None = None, invert=False, by_seq=F
     return df.where(~hit if invert else hit)
 
 
+def grep_first(df: DataFrame, patterns: list[str], key: str | None = None, by_seq=False, **how) -> DataFrame:
+    """As ``grep``, but each pattern is used up by the first record that it matches: a record comes once,
+    if it is the first of any. Patterns are as many as a caller writes, and so are the rows that come."""
+    key = key or ("seq" if by_seq or how.get("degenerate") or how.get("mismatches") or how.get("region") else "id")
+    numbers = F.array(*[F.when(match(F.col(key), [p], by_seq=key == "seq", **how), F.lit(i)) for i, p in enumerate(patterns)])
+    hits = df.select("file_idx", "pos", F.explode(F.array_compact(numbers)).alias("_n"))
+    first = hits.groupBy("_n").agg(F.min(F.struct("file_idx", "pos")).alias("_f")).select(F.col("_f.file_idx").alias("_fi"), F.col("_f.pos").alias("_fp")).distinct()
+    return df.join(first, (F.col("file_idx") == F.col("_fi")) & (F.col("pos") == F.col("_fp")), "left_semi")
+
+
 # -- locate -----------------------------------------------------------------------------
 
-HITS = "array<struct<patternName:string,pattern:string,strand:string,start:int,end:int,matched:string>>"
+#: Places that leave a worker at once.
+AT_ONCE = 20_000
 
 
 def find_all(seq: str, name: str, pattern: str, regex=False, degenerate=False, ignore_case=False, both=True, greedy=True, mismatches=0, circular=False) -> list[dict]:
@@ -142,12 +150,25 @@ def locate(df: DataFrame, patterns: dict[str, str], only_positive=False, non_gre
     """seqID, patternName, pattern, strand, start, end, matched: a row for each place. Arrow
     batches search; overlapping places count unless ``non_greedy``."""
     items = list(patterns.items())
+    fields = ("patternName", "pattern", "strand", "start", "end", "matched")
+    types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
 
-    @F.pandas_udf(HITS)
-    def places(seq: pd.Series) -> pd.Series:
-        return pd.Series([[h for name, p in items for h in find_all(s or "", name, p, both=not only_positive, greedy=not non_greedy, **how)] for s in seq])
+    def run(batches):
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *[pa.array([r[1][f] for r in rows], t) for f, t in zip(fields, types, strict=True)]], names=["seqID", *fields])
 
-    return df.select(F.col("id").alias("seqID"), F.explode(places("seq")).alias("h")).select("seqID", "h.*")
+        rows: list[tuple] = []
+        for batch in batches:
+            for i, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for name, p in items:
+                    rows += [(i, h) for h in find_all(s or "", name, p, both=not only_positive, greedy=not non_greedy, **how)]
+                    while len(rows) >= AT_ONCE:
+                        yield batch_of(rows[:AT_ONCE])
+                        del rows[:AT_ONCE]
+        if rows:
+            yield batch_of(rows)
+
+    return df.select("id", "seq").mapInArrow(run, "seqID string, patternName string, pattern string, strand string, start int, end int, matched string")
 
 
 def as_bed(hits: DataFrame) -> DataFrame:
@@ -336,6 +357,11 @@ def fish(df: DataFrame, queries: dict[str, str], **how) -> DataFrame:
     return df.select(F.explode(hits("id", "seq")).alias("h")).select("h.*")
 
 
+def amplicon_bed(hits: DataFrame) -> DataFrame:
+    """BED6+1 of amplicons: the seventh column is the amplicon."""
+    return hits.select("chrom", "start", "end", F.col("primer").alias("name"), "score", "strand", "amplicon")
+
+
 def fish_none(df: DataFrame, queries: dict[str, str], **how) -> DataFrame:
     """Records without any hit."""
     return df.join(fish(df, queries, **how).select(F.col("Ref").alias("_r")).distinct(), F.col("id") == F.col("_r"), "left_anti")

@@ -162,8 +162,8 @@ def go_template(replacement: str) -> str:
 
 def replace(df: DataFrame, pattern: str, replacement: str = "", by_seq=False, ignore_case=False, kv: DataFrame | None = None, keep_untouched=False, keep_key=False, key_group=1, miss="", nr_width=1, matched: Column | None = None) -> DataFrame:
     """Edits names (or sequences) by a regular expression. In names ``{nr}`` is the record's number
-    in its file, ``{fn}`` ``{fbn}`` ``{fbne}`` its file, and ``{kv}`` the value in ``kv`` (k, v; the last of a
-    repeated k wins by order of v) of the captured key."""
+    in its file, ``{fn}`` ``{fbn}`` ``{fbne}`` its file, and ``{kv}`` the value in ``kv`` (k, v) of the captured
+    key: of a repeated k the one of the greatest ``n``, if there is that column, or else the greatest v."""
     java = ("(?i)" if ignore_case else "") + re.sub(r"\(\?P<", "(?<", pattern)
     hit = F.coalesce(matched, F.lit(False)) if matched is not None else F.lit(True)
     if by_seq:
@@ -179,11 +179,11 @@ def replace(df: DataFrame, pattern: str, replacement: str = "", by_seq=False, ig
         sign = put(sign, "{nr}", F.lpad(F.col("_nr").cast("string"), nr_width, "0") if nr_width > 1 else F.col("_nr").cast("string"))
         sign = F.when(F.length(F.col("_nr").cast("string")) > nr_width, put(F.lit(template), "{nr}", F.col("_nr").cast("string"))).otherwise(sign) if nr_width > 1 else sign
     base = F.regexp_extract("file", r"([^/]*)$", 1)
-    for key, value in (("{uuid}", F.expr("uuid()")), ("{fn}", F.col("file")), ("{fbne}", F.regexp_extract(base, r"^([^.]*)", 1)), ("{fbn}", base)):
+    for key, value in (("{uuid}", S.uuid7()), ("{fn}", F.col("file")), ("{fbne}", F.regexp_extract(base, r"^([^.]*)", 1)), ("{fbn}", base)):
         if key in lower:
             sign = put(sign, key, literal(value))
     if "{kv}" in lower:
-        pairs = kv.groupBy("k").agg(F.max("v").alias("_v")).withColumnRenamed("k", "_k")
+        pairs = kv.groupBy("k").agg((F.max_by("v", "n") if "n" in kv.columns else F.max("v")).alias("_v")).withColumnRenamed("k", "_k")
         keys = F.regexp_extract_all("name", F.lit(java), F.lit(key_group))
         df = df.withColumn("_key", F.when(F.size(keys) == 1, F.element_at(keys, 1)).otherwise(F.when(F.size(keys) > 1, F.raise_error(F.lit("a name matches more than once")))))
         df = df.join(pairs, F.col("_key") == F.col("_k"), "left")
@@ -283,7 +283,7 @@ def convert(df: DataFrame, source: str, target: str = "Sanger", force=False) ->
 
 def guess_encoding(df: DataFrame, records: int = 1000, b_most_common: int = 2, b_fraction: float = 0.1) -> list[str]:
     """Encodings that the first records' qualities allow; the query reads that many records only."""
-    rows = [r["qual"] or "" for r in df.select("qual").limit(records).collect()]
+    rows = [r["qual"] or "" for r in df.select("file_idx", "pos", "qual").orderBy("file_idx", "pos").limit(records).collect()]
     seen = [q for q in rows if q]
     if not seen:
         return []

@@ -366,11 +366,6 @@ def amplicon_exact(spark, sf_dir):
     return Q.amplicon(fasta(spark, sf_dir), [("p", "GATTA", "TAATG")], only_positive=True).select("chrom", "start", "end", "amplicon")
 
 
-@query()
-def amplicon_mismatch(spark, sf_dir):
-    return Q.amplicon(fasta(spark, sf_dir), [("p", "GATTACA", "TAATGCA")], mismatches=1)
-
-
 @query()
 def fish(spark, sf_dir):
     # whole sequences against one short query
@@ -668,3 +663,8 @@ def write_fasta_size(spark, sf_dir):
     from ..sources.formats import as_text_column
 
     return fasta(spark, sf_dir).select("id", F.length(as_text_column(60)).cast("long").alias("size"))
+
+
+from . import alignments as _alignments  # noqa: E402, F401 - these modules register their queries here
+from . import files as _files  # noqa: E402, F401
+from . import records as _records  # noqa: E402, F401

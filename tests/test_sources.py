@@ -145,3 +145,61 @@ def test_tools_and_index(spark, tmp_path):
     summary = struct.pack("<Ii", 37450, 2) + struct.pack("<QQQQ", 0, 9, 4, 1)
     (tmp_path / "x.bai").write_bytes(b"BAI\1" + struct.pack("<ii", 2, 2) + struct.pack("<IiQQ", 1, 1, 0, 9) + summary + struct.pack("<iQ", 1, 7) + struct.pack("<ii", 0, 0))
     assert [(r.ref_number, r.mapped, r.unmapped) for r in L.read_bai(spark, str(tmp_path / "x.bai")).collect()] == [(0, 4, 1), (1, 0, 0)]
+
+
+def test_one_fastq_file_is_read_by_many_tasks(spark, tmp_path):
+    """Qualities that begin with @, or are @ alone, empty records and partition edges everywhere."""
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(600):
+        n = rng.choice([0, 1, 1, 2, 30])
+        rows.append((f"r{i} d@{i}", "".join(rng.choices("ACGT", k=n)), "".join(rng.choices("@@@+I5", k=n))))
+    path = str(tmp_path / "one.fq")
+    text = "".join(f"@{n}\n{s}\n+\n{q}\n" for n, s, q in rows)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (300, 1024, 1 << 20):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            for content in (text, text.rstrip("\n") if rows[-1][1] else text, "\n" + text + "\n\n"):
+                with open(path, "w") as f:
+                    f.write(content)
+                df = formats.read_fastq_lines(spark, path)
+                assert [(r.name, r.seq, r.qual) for r in df.orderBy("pos").collect()] == rows
+            assert size == 1 << 20 or spark.read.option("lineSep", "\n@").text(path).rdd.getNumPartitions() > 10
+        for bad in ("@a\nAC\n+\nI\n", "@a\nAC\n+\n", "@a\nAC\nGT\n+\nIIII\n", "@a\nAC\nx\nII\n"):
+            with open(path, "w") as f:
+                f.write(bad)
+            with pytest.raises(Exception, match="FASTQ"):
+                formats.read_fastq_lines(spark, path).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_ranges_by_index(spark, tmp_path):
+    seqs = {"a": "ACGT" * 40, "b": "", "c": "GATTACA", "d": "T" * 120}
+    path = str(tmp_path / "x.fa")
+    with open(path, "w") as f:
+        for n, s in seqs.items():
+            f.write(f">{n} desc\n" + "".join(s[i : i + 60] + "\n" for i in range(0, len(s), 60)) + ("" if s else "\n"))
+    r = formats.read_fasta(spark, path).coalesce(1)
+    formats.write_fai(formats.fasta_index(r), str(tmp_path / "x.fai"))
+    index = formats.read_fai(spark, str(tmp_path / "x.fai"))
+    asked = [("c", 2, 4), ("a", 55, 130), ("none", 1, 2), ("d", 120, 500), ("a", 1, 60), ("b", 1, 1)]
+    assert formats.fetch_ranges(spark, path, index, asked) == [("c:2-4", "ATT"), ("a:55-130", seqs["a"][54:130]), ("d:120-120", "T"), ("a:1-60", seqs["a"][:60])]
+
+
+def test_streams_lists_and_folders(spark, tmp_path):
+    import io
+
+    got = formats.from_stream(spark, io.StringIO(">a x\nAC\nGT\n>b\n\n"), batch=1)
+    assert [(r.pos, r.id, r.desc, r.seq) for r in got.orderBy("pos").collect()] == [(0, "a", "x", "ACGT"), (1, "b", "", "")]
+    assert formats.from_stream(spark, io.StringIO("")).count() == 0
+    for name in ("u.fa", "v.fq.gz", "w.txt", "sub/z.fasta"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("")
+    found = [p.rsplit("/", 1)[1] for p in formats.list_files(spark, str(tmp_path))]
+    assert sorted(found) == ["u.fa", "v.fq.gz", "z.fasta"]
+    (tmp_path / "list").write_text("a.fa\n\n b.fa \n")
+    assert formats.read_list(spark, str(tmp_path / "list")) == ["a.fa", "b.fa"]
