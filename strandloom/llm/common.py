@@ -7,7 +7,6 @@ when they were written: no operator deletes tables of another's result.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.layout import shared_dir, spread
+from ..functions.layout import scratch_path, spread
 
 
 class Scratch:
@@ -44,9 +43,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: cuts the
     lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    path = scratch_path(spark, tag)
     if Scratch._open:
         Scratch._open[-1].paths.append(path)
     df.write.parquet(path)
