@@ -108,7 +108,11 @@ def met(docs: DataFrame, phrases, templates, k: int, doc_id: str, text: str) ->
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).select("doc_id", doc_key("doc_id", "t").alias("doc_key"), words_of(F.col("t")).alias("words"))
     hashes = F.when(F.size("words") >= k, F.transform(F.sequence(F.lit(0), F.size("words") - k), lambda i: F.xxhash64(*_gram(F.col("words"), i, k)))).otherwise(F.array().cast("array<bigint>"))
     # a null behind a document's hashes: the one row that every document has
-    rolled = rows.select("doc_key", "doc_id", "words", *base("words", phrases), F.posexplode(F.concat(hashes, F.array(F.lit(None).cast("bigint")))).alias("pos", "hash"))
+    # facts are made before positions are: a projection beside an explode runs for each of its rows. The outer
+    # explode, since a plain one has the planner filter by the size of its array below the words, which it would
+    # then split anew for every position
+    facts = rows.select("doc_key", "doc_id", "words", *base("words", phrases), F.concat(hashes, F.array(F.lit(None).cast("bigint"))).alias("hashes"))
+    rolled = facts.select("doc_key", *FACTS, "words", F.posexplode_outer("hashes").alias("pos", "hash"))
     got = rolled.join(F.broadcast(template_grams(docs.sparkSession, templates, k)), "hash", "left")
     # equality as two bounds: generated code then reads the words in place, where a lambda would have
     # the array copied to every position
