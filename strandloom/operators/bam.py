@@ -149,10 +149,16 @@ def bundle(df: DataFrame, least: int) -> DataFrame:
     return placed.join(told, ["ref", "locus"])
 
 
-def from_fish(hits: DataFrame) -> DataFrame:
-    """Local alignment hits as SAM-like rows: the best of a reference is primary."""
-    best = F.row_number().over(Window.partitionBy("Ref").orderBy(F.desc("RawScore"), "RefStart"))
-    return hits.withColumn("flags", F.when(best > 1, SECONDARY).otherwise(0) + F.when(F.col("Strand") == "-", REVERSE).otherwise(0))
+def from_fish(hits: DataFrame, refs: DataFrame) -> DataFrame:
+    """Hits of ``search.fish`` (with letters) as alignment records; the best of each query in a reference is
+    primary, others are secondary. ``refs`` are the records searched, for their lengths."""
+    best = F.row_number().over(Window.partitionBy("Ref", "Query").orderBy(F.desc("RawScore"), "RefStart", "Strand"))
+    flags = F.when(best > 1, SECONDARY).otherwise(0) + F.when(F.col("Strand") == "-", REVERSE).otherwise(0)
+    length, op = F.regexp_extract_all("Cigar", F.lit(r"(\d+)([MIDS])"), 1), F.regexp_extract_all("Cigar", F.lit(r"(\d+)([MIDS])"), 2)
+    cigar = F.zip_with(op, length, lambda o, n: F.struct(o.alias("op"), n.cast("int").alias("len")))
+    at = refs.select(F.col("id").alias("Ref"), F.length("seq").alias("ref_len"))
+    rows = hits.withColumns({"flags": flags, "cigar": cigar}).join(at, "Ref")
+    return rows.select(F.lit("fish").alias("file"), F.col("Query").alias("read"), F.col("Ref").alias("ref"), "ref_len", F.col("RefStart").alias("pos"), F.round("MapQual").cast("int").alias("mapq"), "flags", "cigar", F.col("Letters").alias("seq"), F.array().cast("array<int>").alias("qual"), F.create_map(F.lit("NM"), F.col("Edits").cast("string")).alias("tags"))
 
 
 TOOLS = {
@@ -169,17 +175,3 @@ def tool_chain(df: DataFrame, steps: list[tuple[str, dict]]) -> DataFrame:
             raise ValueError(f"no tool {name}; there are {', '.join(sorted(TOOLS))}")
         df = TOOLS[name](df, arguments)
     return df
-
-
-def cigar_of(ref: str, query: str, before: int, after: int) -> tuple[str, int]:
-    """(CIGAR, edit distance) of two gapped strings, with soft clips around."""
-    ops, edits = [], 0
-    for r, q in zip(ref, query, strict=True):
-        op = "I" if r == "-" else "D" if q == "-" else "M"
-        edits += op != "M" or r.upper() != q.upper()
-        if ops and ops[-1][0] == op:
-            ops[-1][1] += 1
-        else:
-            ops.append([op, 1])
-    text = (f"{before}S" if before else "") + "".join(f"{n}{o}" for o, n in ops) + (f"{after}S" if after else "")
-    return text, edits

@@ -171,6 +171,20 @@ def locate(df: DataFrame, patterns: dict[str, str], only_positive=False, non_gre
     return df.select("id", "seq").mapInArrow(run, "seqID string, patternName string, pattern string, strand string, start int, end int, matched string")
 
 
+def cigar_of(ref: str, query: str, before: int, after: int) -> tuple[str, int]:
+    """(CIGAR, edit distance) of two gapped strings, with soft clips around."""
+    ops, edits = [], 0
+    for r, q in zip(ref, query, strict=True):
+        op = "I" if r == "-" else "D" if q == "-" else "M"
+        edits += op != "M" or r.upper() != q.upper()
+        if ops and ops[-1][0] == op:
+            ops[-1][1] += 1
+        else:
+            ops.append([op, 1])
+    text = (f"{before}S" if before else "") + "".join(f"{n}{o}" for o, n in ops) + (f"{after}S" if after else "")
+    return text, edits
+
+
 def as_bed(hits: DataFrame) -> DataFrame:
     return hits.select(F.col("seqID").alias("chrom"), (F.col("start") - 1).alias("start"), "end", F.col("patternName").alias("name"), F.lit(0).alias("score"), "strand")
 
@@ -265,9 +279,32 @@ def amplicon(df: DataFrame, primers: list[tuple[str, str, str]], mismatches=0, r
 # -- fish: local alignment ---------------------------------------------------------------
 
 
+#: Cells of a matrix at once; longer references are aligned in tiles.
+CELLS = 1 << 21
+
+
 def smith_waterman(ref: str, query: str, match_=4, mismatch=-4, gap_open=-2, gap_extend=-1) -> tuple[int, int, int, int, int, str, str] | None:
     """Best local alignment with affine gaps: (score, ref start, ref end, query start, query end, aligned
-    ref, aligned query). Rows go over the query, vectors over the reference."""
+    ref, aligned query); of equal scores the one that ends first in the query, then in the reference.
+
+    An alignment of positive score spans at most ``reach`` letters of the reference, as each one beyond the
+    query's costs a gap. So tiles that overlap by that give what the whole matrix would, in bounded memory."""
+    reach = len(query) + len(query) * match_ // -gap_extend + 1
+    tile = max(reach, CELLS // (len(query) + 1))
+    best = None
+    for at in range(0, len(ref), tile):
+        lo = max(0, at - reach)
+        got = _align(ref[lo : at + tile], query, at - lo, match_, mismatch, gap_open, gap_extend)
+        if got:
+            got = (got[0], got[1] + lo, got[2] + lo, *got[3:])
+            if best is None or (-got[0], got[4], got[2]) < (-best[0], best[4], best[2]):
+                best = got
+    return best
+
+
+def _align(ref: str, query: str, after: int, match_, mismatch, gap_open, gap_extend) -> tuple[int, int, int, int, int, str, str] | None:
+    """The best alignment that ends behind ``after`` letters of the reference. Rows go over the query, vectors
+    over the reference."""
     n, m = len(ref), len(query)
     if not n or not m:
         return None
@@ -278,7 +315,6 @@ def smith_waterman(ref: str, query: str, match_=4, mismatch=-4, gap_open=-2, gap
     up = np.full(n + 1, low, np.int64)
     step = gap_extend * np.arange(n + 1)
     ups = np.zeros((m + 1, n + 1), np.int64)
-    lefts = np.zeros((m + 1, n + 1), np.int64)
     for i in range(1, m + 1):
         up = np.maximum(up, h[i - 1] + gap_open) + gap_extend
         ups[i] = up
@@ -288,13 +324,14 @@ def smith_waterman(ref: str, query: str, match_=4, mismatch=-4, gap_open=-2, gap
         run = np.maximum.accumulate(best + gap_open - step)
         left = np.full(n + 1, low, np.int64)
         left[1:] = run[:-1] + step[1:]
-        lefts[i] = left
         h[i] = np.maximum(best, left)
         h[i, 0] = 0
-    score = int(h.max())
+    ends = h[:, after:]
+    score = int(ends.max())
     if score <= 0:
         return None
-    i, j = (int(x) for x in np.unravel_index(int(h.argmax()), h.shape))
+    i, j = (int(x) for x in np.unravel_index(int(ends.argmax()), ends.shape))
+    j += after
     ie, je, a, b = i, j, [], []
     while i and j and h[i, j] > 0:
         if h[i, j] == h[i - 1, j - 1] + (match_ if r[j - 1] == q[i - 1] else mismatch):
@@ -321,7 +358,8 @@ def smith_waterman(ref: str, query: str, match_=4, mismatch=-4, gap_open=-2, gap
 
 
 def fish_one(name: str, ref: str, queries: dict[str, str], params=(4, -4, -2, -1), min_qual=5.0, stranded=False, every=False, ranges=None) -> list[dict]:
-    """All hits of short queries in one reference, best score first."""
+    """All hits of short queries in one reference, best score first; with each its CIGAR, edits and the query's
+    letters as aligned, which make it an alignment record."""
     out = []
     n = len(ref)
     spans = [(max(0, a + n if a < 0 else a), min(n, b + n if b < 0 else b)) for a, b in ((x or 0, n if y is None else y) for x, y in (ranges or [(0, None)]))]
@@ -338,7 +376,7 @@ def fish_one(name: str, ref: str, queries: dict[str, str], params=(4, -4, -2, -1
                 score, rs, re_, qs, qe, x, y = got
                 same = sum(c.upper() == d.upper() for c, d in zip(x, y))
                 share = score / null
-                out.append({"Ref": name, "RefStart": a + rs, "RefEnd": a + re_, "Query": qname, "QueryStart": qs, "QueryEnd": qe, "Strand": strand, "MapQual": 60.0 if share >= 1 else round(-10 * float(np.log10(1 - share)), 2), "RawScore": score, "Acc": round(100 * same / len(x), 2), "ClipAcc": round(100 * same / (len(x) + len(q) - (qe - qs)), 2), "QueryCov": round(100 * (qe - qs) / len(q), 2)})
+                out.append({"Ref": name, "RefStart": a + rs, "RefEnd": a + re_, "Query": qname, "QueryStart": qs, "QueryEnd": qe, "Strand": strand, "MapQual": 60.0 if share >= 1 else round(-10 * float(np.log10(1 - share)), 2), "RawScore": score, "Acc": round(100 * same / len(x), 2), "ClipAcc": round(100 * same / (len(x) + len(q) - (qe - qs)), 2), "QueryCov": round(100 * (qe - qs) / len(q), 2), **dict(zip(("Cigar", "Edits"), cigar_of(x, y, qs, len(q) - qe), strict=True)), "Letters": q})
                 if every:
                     todo += [(a, a + rs), (a + re_, b)]
     return sorted(out, key=lambda r: -r["RawScore"])
@@ -347,10 +385,11 @@ def fish_one(name: str, ref: str, queries: dict[str, str], params=(4, -4, -2, -1
 FISH = "array<struct<Ref:string,RefStart:int,RefEnd:int,Query:string,QueryStart:int,QueryEnd:int,Strand:string,MapQual:double,RawScore:int,Acc:double,ClipAcc:double,QueryCov:double>>"
 
 
-def fish(df: DataFrame, queries: dict[str, str], **how) -> DataFrame:
-    """Local alignments of short queries in every record, in Arrow batches."""
+def fish(df: DataFrame, queries: dict[str, str], letters=False, **how) -> DataFrame:
+    """Local alignments of short queries in every record, in Arrow batches; with ``letters`` the columns Cigar,
+    Edits and Letters too, for ``bam.from_fish``."""
 
-    @F.pandas_udf(FISH)
+    @F.pandas_udf(FISH[:-2] + ",Cigar:string,Edits:int,Letters:string>>" if letters else FISH)
     def hits(ids: pd.Series, seqs: pd.Series) -> pd.Series:
         return pd.Series([fish_one(i, s or "", queries, **how) for i, s in zip(ids, seqs)])
 

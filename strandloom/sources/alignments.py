@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -89,29 +89,40 @@ def parse_bam(content: bytes) -> Iterator[dict]:
         yield {"read": name, "ref": refs[ref][0] if ref >= 0 else None, "ref_len": refs[ref][1] if ref >= 0 else None, "pos": pos, "mapq": mapq, "flags": flags, "cigar": cigar, "seq": seq, "qual": [] if qual and qual[0] == 255 else qual, "tags": _tags(b[at:])}
 
 
-def encode_bam(rows: list[dict], refs: list[tuple[str, int]], header: str = "") -> bytes:
-    """A BAM file of records in the given order."""
+def _record(r: dict, number: dict[str, int]) -> bytes:
+    name, seq = r["read"].encode() + b"\0", "" if r["seq"] in (None, "*") else r["seq"]
+    cigar = b"".join(struct.pack("<I", c["len"] << 4 | OPS.index(c["op"])) for c in r["cigar"] or [])
+    codes = [BASES.index(c) if c in BASES else 15 for c in seq.upper()] + [0]
+    packed = bytes(codes[i] << 4 | codes[i + 1] for i in range(0, len(seq), 2))
+    qual = bytes(r["qual"]) if r["qual"] else b"\xff" * len(seq)
+    tags = b"".join(k.encode() + (b"i" + struct.pack("<i", int(v)) if v.lstrip("-").isdigit() else b"Z" + v.encode() + b"\0") for k, v in (r["tags"] or {}).items())
+    body = struct.pack("<iiBBHHHiiii", number.get(r["ref"], -1), r["pos"], len(name), r["mapq"], 0, len(r["cigar"] or []), r["flags"], len(seq), -1, -1, 0) + name + cigar + packed + qual + tags
+    return struct.pack("<i", len(body)) + body
+
+
+def _bgzf(part: bytes) -> bytes:
+    d = zlib.compressobj(6, zlib.DEFLATED, -15)
+    z = d.compress(part) + d.flush()
+    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(z) + 25) + z + struct.pack("<II", zlib.crc32(part), len(part))
+
+
+def bam_blocks(rows: Iterable[dict], refs: list[tuple[str, int]], header: str = "", size: int = 60_000) -> Iterator[bytes]:
+    """The blocks of a BAM file of records in the given order, as they fill."""
     number = {n: i for i, (n, _) in enumerate(refs)}
     text = (header or "@HD\tVN:1.6\n" + "".join(f"@SQ\tSN:{n}\tLN:{k}\n" for n, k in refs)).encode()
-    out = [b"BAM\1", struct.pack("<i", len(text)), text, struct.pack("<i", len(refs))]
-    for n, k in refs:
-        out += [struct.pack("<i", len(n) + 1), n.encode(), b"\0", struct.pack("<i", k)]
+    have = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(refs))
+    have += b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", k) for n, k in refs)
     for r in rows:
-        name, seq = r["read"].encode() + b"\0", "" if r["seq"] in (None, "*") else r["seq"]
-        cigar = b"".join(struct.pack("<I", c["len"] << 4 | OPS.index(c["op"])) for c in r["cigar"] or [])
-        codes = [BASES.index(c) if c in BASES else 15 for c in seq.upper()] + [0]
-        packed = bytes(codes[i] << 4 | codes[i + 1] for i in range(0, len(seq), 2))
-        qual = bytes(r["qual"]) if r["qual"] else b"\xff" * len(seq)
-        tags = b"".join(k.encode() + (b"i" + struct.pack("<i", int(v)) if v.lstrip("-").isdigit() else b"Z" + v.encode() + b"\0") for k, v in (r["tags"] or {}).items())
-        body = struct.pack("<iiBBHHHiiii", number.get(r["ref"], -1), r["pos"], len(name), r["mapq"], 0, len(r["cigar"] or []), r["flags"], len(seq), -1, -1, 0) + name + cigar + packed + qual + tags
-        out += [struct.pack("<i", len(body)), body]
-    raw, packed = b"".join(out), []
-    for at in [*range(0, len(raw), 60_000), None]:
-        part = b"" if at is None else raw[at : at + 60_000]
-        d = zlib.compressobj(6, zlib.DEFLATED, -15)
-        z = d.compress(part) + d.flush()
-        packed.append(b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(z) + 25) + z + struct.pack("<II", zlib.crc32(part), len(part)))
-    return b"".join(packed)
+        have += _record(r, number)
+        while len(have) > size:
+            yield _bgzf(have[:size])
+            have = have[size:]
+    yield _bgzf(have)
+    yield _bgzf(b"")
+
+
+def encode_bam(rows: Iterable[dict], refs: list[tuple[str, int]], header: str = "") -> bytes:
+    return b"".join(bam_blocks(rows, refs, header))
 
 
 def read_bam(spark: SparkSession, paths) -> DataFrame:
@@ -136,6 +147,34 @@ def read_bam(spark: SparkSession, paths) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, ALN)
 
 
+def write_bam(df: DataFrame, refs: list[tuple[str, int]], folder: str) -> DataFrame:
+    """Alignment records as BAM files, one a partition in its order, where tasks see ``folder`` as a file
+    system (a shared mount); (path, records) of each. ``refs`` (name, length) is the header's list."""
+
+    def run(batches):
+        import os
+        import uuid
+
+        n = 0
+
+        def rows():
+            nonlocal n
+            for batch in batches:
+                for r in batch.to_pylist():
+                    n += 1
+                    yield r | {"tags": dict(r["tags"] or ())}
+
+        os.makedirs(folder, exist_ok=True)
+        path = f"{folder}/{uuid.uuid4().hex}.bam"
+        with open(path + ".part", "wb") as f:
+            for block in bam_blocks(rows(), refs):
+                f.write(block)
+        os.replace(path + ".part", path)
+        yield pa.RecordBatch.from_pydict({"path": [path], "records": pa.array([n], pa.int64())})
+
+    return df.select("read", "ref", "pos", "mapq", "flags", "cigar", "seq", "qual", "tags").mapInArrow(run, "path string, records long")
+
+
 def sam_rows(lines: DataFrame, refs: DataFrame | None = None) -> DataFrame:
     """SAM lines (``value``) as alignment records; ``refs`` (ref, ref_len) tells lengths."""
     c = F.col("c")

@@ -5,7 +5,8 @@ import lzma
 
 import pytest
 
-from strandloom.operators import bam
+from strandloom.operators import bam, search
+from strandloom.operators.search import cigar_of
 from strandloom.sources import alignments as L
 from strandloom.sources import formats, read_bed, read_fasta, read_fx, read_gtf, read_kv, read_patterns, read_primers, read_tab, register, write_fx, write_tsv
 from strandloom.streaming import follow, watch_stream
@@ -141,7 +142,7 @@ def test_tools_and_index(spark, tmp_path):
     assert [r.Match for r in bam.tool_chain(df.where("flags = 0"), [("Dump", {})]).collect()] == [4]
     with pytest.raises(ValueError, match="no tool"):
         bam.tool_chain(df, [("Nothing", {})])
-    assert bam.cigar_of("AC-GT", "ACCGA", 1, 0) == ("1S2M1I2M", 2)
+    assert cigar_of("AC-GT", "ACCGA", 1, 0) == ("1S2M1I2M", 2)
     summary = struct.pack("<Ii", 37450, 2) + struct.pack("<QQQQ", 0, 9, 4, 1)
     (tmp_path / "x.bai").write_bytes(b"BAI\1" + struct.pack("<ii", 2, 2) + struct.pack("<IiQQ", 1, 1, 0, 9) + summary + struct.pack("<iQ", 1, 7) + struct.pack("<ii", 0, 0))
     assert [(r.ref_number, r.mapped, r.unmapped) for r in L.read_bai(spark, str(tmp_path / "x.bai")).collect()] == [(0, 4, 1), (1, 0, 0)]
@@ -203,3 +204,27 @@ def test_streams_lists_and_folders(spark, tmp_path):
     assert sorted(found) == ["u.fa", "v.fq.gz", "z.fasta"]
     (tmp_path / "list").write_text("a.fa\n\n b.fa \n")
     assert formats.read_list(spark, str(tmp_path / "list")) == ["a.fa", "b.fa"]
+
+
+def test_fish_hits_as_bam_files(spark, tmp_path):
+    kind = "file string, file_idx int, pos long, id string, `desc` string, name string, seq string, qual string"
+    refs = spark.createDataFrame([("f", 0, i, n, "", n, s, None) for i, (n, s) in enumerate([("r1", "TTGATTACATTTTGATTCCATT"), ("r2", "CCCCCCCC"), ("r3", "TGTAATC")])], kind)
+    hits = search.fish(refs, {"q": "GATTACA"}, letters=True, every=True, min_qual=2.0)
+    records = bam.from_fish(hits, refs)
+    L.write_bam(records.coalesce(1), [("r1", 22), ("r2", 8), ("r3", 7)], str(tmp_path / "out")).collect()
+    got = sorted((r.ref, r.pos, r.flags, "".join(f"{c.len}{c.op}" for c in r.cigar), r.seq, r.tags["NM"], r.ref_len) for r in L.read_bam(spark, str(tmp_path / "out")).collect())
+    assert ("r1", 2, 0, "7M", "GATTACA", "0", 22) in got and ("r3", 0, 16, "7M", "TGTAATC", "0", 7) in got
+    assert [x[2] for x in got if x[0] == "r1"].count(0) == 1 and all(x[0] != "r2" for x in got)
+
+
+def test_local_alignment_in_tiles(monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    for _ in range(60):
+        query = "".join(rng.choices("ACG", k=rng.randint(1, 9)))
+        ref = "".join(rng.choices("ACG", k=rng.randint(1, 400)))
+        monkeypatch.setattr(search, "CELLS", 1 << 21)
+        whole = search.smith_waterman(ref, query)
+        monkeypatch.setattr(search, "CELLS", 1)
+        assert search.smith_waterman(ref, query) == whole
