@@ -289,6 +289,9 @@ def decode(j: Jpeg, cache: dict | None = None) -> np.ndarray:
     full, direct = _tables(j, {} if cache is None else cache)
     across, total, blocks, _ = j.layout()
     raw, begin, _ = _intervals(np.frombuffer(j.data, np.uint8), j.scan)
+    # a block takes two bits at least, so that a header alone cannot ask for memory
+    if 2 * total * len(blocks) > 8 * len(raw):
+        raise Malformed("data ends early")
     each = j.restart or total
     n = -(-total // each)
     if len(begin) < n:

@@ -114,3 +114,12 @@ def test_query_columns(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
     assert got[2][2:] == got[6][2:] and got[2].feature != got[5].feature
     assert M.read_back(M.stored(df.limit(0))).count() == 0
+
+
+def test_header_of_more_than_the_data_holds(spark):
+    """65528 x 65528 pixels in a file of a few bytes: an error row, and no memory asked for."""
+    good = M.encode_many([bytes(range(64)) * 9])[0]
+    at = good.index(b"\xff\xc0")
+    bad = good[: at + 5] + (65528).to_bytes(2, "big") * 2 + good[at + 9 :]
+    rows = M.describe(spark.createDataFrame([(1, bytearray(good)), (2, bytearray(bad))], "id long, image binary")).select("row.id", "width", "error").collect()
+    assert sorted((r.id, r.width, r.error) for r in rows) == [(1, M.Jpeg(good).width, None), (2, None, "data ends early")]

@@ -41,3 +41,39 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert seen["substring_dedup"][1].n_chars == len(seen["substring_dedup"][1].text)
     assert set(seen["benchmark_decontamination"]) == {0, 1, 3}
     assert docs.select("doc_id").distinct().count() > 100
+
+
+def scratch(spark):
+    import os
+
+    from strandloom.functions.layout import shared_dir
+
+    return set(os.listdir(shared_dir(spark).replace("file://", "").replace("file:", "")))
+
+
+def test_stages_delete_their_own_scratch_alone(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    frame = N.near_duplicates(docs)
+    before = scratch(spark)
+    out = P.run(spark, SF)
+    left = scratch(spark) - before
+    assert {x.rsplit("-", 1)[0] for x in left} == {"pieces", "counts"}
+    assert out.count() > 100 and frame.count() == docs.count()
+
+
+def test_stages_of_no_documents_and_of_null_texts(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    nulls = spark.createDataFrame([(1, None, None, None, None), (2, None, "en", "x", 3), (None, None, None, None, None)], docs.schema)
+    for name, start in (("none", docs.limit(0)), ("nulls", nulls)):
+        for stage, f in P.STAGES:
+            start.write.parquet(f"{tmp_path}/{name}-{stage}")
+            kept = spark.read.parquet(f"{tmp_path}/{name}-{stage}")
+            got = f(spark, kept, SF).collect()
+            if name == "none" or stage == "language_id":
+                assert got == []
+            elif stage == "simhash_near_dedup":
+                assert [r.doc_id for r in got] == [1]
+            elif stage == "best_fit_packing":
+                assert sorted((r.length, r.offset) for r in got) == [(1, 0), (1, 1), (1, 2)]
+            else:
+                assert len(got) == 3 and {r.text for r in got} == {None}
