@@ -8,8 +8,9 @@ length is reached or no candidate is left.
 Documents are kept in *chunks* (compressed rows of about 2 MB of text). For each level a
 chunk sends each hash bucket one block: its sorted distinct window hashes, as compressed
 byte planes (about 3 bytes a window). A bucket answers each block with one bit a hash. So a
-window of text never becomes a row, a phrase that occurs everywhere counts once a chunk, and
-what a task holds is bounded by the bucket size, which sets the number of buckets.
+phrase that occurs everywhere counts once a chunk, and what a task holds is bounded by the bucket
+size, which sets the number of buckets. A block is a row of many windows as long as a chunk's windows
+outnumber the buckets; beyond that (some 10 TB) rows come to hold about one window each.
 
 Filter levels use hashes just long enough for the corpus: a false repeat there costs a later test and
 nothing else. The last level compares windows by the 128-bit BLAKE2b digests of their words (joined by
