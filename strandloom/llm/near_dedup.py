@@ -43,6 +43,15 @@ ONE = np.uint64(1)
 # -- fingerprints -------------------------------------------------------------
 
 
+def majority(h: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """SimHash of each group of hashes (``n`` of them, one at least, from ``start``): the bits set in over half of them."""
+    bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    cuts = np.unique(np.concatenate([start, np.arange(0, len(h), 128)]))
+    part = np.add.reduceat(bits, cuts, axis=0, dtype=np.uint8).astype(np.int64)
+    ones = np.add.reduceat(part, np.searchsorted(cuts, start), axis=0)
+    return np.packbits(ones * 2 > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
 def fingerprint_texts(texts: list[bytes], k: int = 3, seed: int = 42) -> np.ndarray:
     """For each text the majority bits (as uint64) of the XXH64 hashes of its k-word
     shingles, repeats included."""
@@ -57,11 +66,7 @@ def fingerprint_texts(texts: list[bytes], k: int = 3, seed: int = 42) -> np.ndar
         at = np.arange(n.sum()) - np.repeat(offset, n) + np.repeat(words.first, n)
         last = at + np.repeat(np.minimum(words.count, k), n) - 1
         h = C.xxh64_spans(words.buf, words.start[at], words.end[last], seed)
-        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        cuts = np.unique(np.concatenate([offset[some], np.arange(0, len(h), 128)]))
-        part = np.add.reduceat(bits, cuts, axis=0, dtype=np.uint8).astype(np.int64)
-        ones = np.add.reduceat(part, np.searchsorted(cuts, offset[some]), axis=0)
-        out[lo + some] = np.packbits(ones * 2 > n[some, None], axis=1, bitorder="little").view("<u8").ravel()
+        out[lo + some] = majority(h, offset[some], n[some])
     return out
 
 

@@ -1,7 +1,11 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline as P
+from strandloom.llm import common as C
 from strandloom.llm import near_copies as M
+from strandloom.llm import near_dedup as N
 
 
 def plain_set(text):
@@ -63,3 +67,51 @@ def test_odd_ids(spark):
     got = sorted(((r.doc_id or 0), r.text or "") for r in M.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == sorted([(1, long + " a"), (3, "other words here now ok"), (3, "quite different words there ok"), (0, "lonely text"), (7, "")])
     assert M.representatives(spark.createDataFrame(rows, "doc_id long, text string").limit(0)).count() == 0
+
+
+def test_candidates_come_by_simhash():
+    """Fingerprints as plain loops make them; pairs of 0.8 to 0.95 are near and share a key, unrelated ones are not near."""
+    texts = [t.encode() for _, t in planted(6) if t and len(t) > 100]
+    h, size = M.shingle_sets(texts)
+    sims = M.sketches(h, size)
+    own = h[: size[0]]
+    for salt, sim in zip(M._SALT, sims[0], strict=True):
+        mixed = [int(x) for x in C.mix(own ^ salt)]
+        assert int(sim) == sum((2 * sum(x >> bit & 1 for x in mixed) > len(mixed)) << bit for bit in range(64))
+    keys, sets = M.sim_keys(sims, N.Golay()), [plain_set(t.decode()) for t in texts]
+    close, far = [], []
+    for i in range(len(texts)):
+        for j in range(i):
+            s, met = jaccard(sets[i], sets[j]), bool(M.near(sims[i, :2], sims[j, :2]))
+            if 0.8 <= s < 0.95:
+                close.append(met and (keys[i] == keys[j]).any())
+            elif s < 0.1:
+                far.append(met)
+    assert len(close) > 100 and sum(close) >= 0.98 * len(close) and not any(far)
+
+
+def test_one_first_fingerprint_for_several_sets(spark):
+    """Nodes that share a first fingerprint are candidates, whatever the others are, and those near them too."""
+    rows = [(1, 5, 0), (2, 5, 2**64 - 1), (3, 4, 0), (4, 0xAAAAAAAAAAAAAAAA, 0x5555555555555555)]
+    sims = lambda a, b: np.array([a] + [b] * (M.SIMS - 1), "<u8").tobytes()
+    df = spark.createDataFrame([(fp, int(np.uint64(a).view(np.int64)), sims(a, b)) for fp, a, b in rows] + [(0, None, None)], "fp long, sim long, sims binary")
+    got = sorted((r.node, r.root) for r in N.components(M.candidates(df, len(rows))).collect())
+    assert got == [(1, 1), (2, 1), (3, 1)]
+
+
+def test_large_runs_equal_small_ones(monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**64, (12, 2), dtype=np.uint64)
+    sims = np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, (12, 2), dtype=np.uint64)) for _ in range(30)])
+    keys = np.zeros(len(sims), np.uint32)
+    reached = []
+    for most in (10**6, 64):
+        monkeypatch.setattr(M, "SMALL", most)
+        label = {int(x): int(x) for x in sims[:, 0]}
+        for a, b in M.bucket_links(keys, sims).tolist():
+            label = {x: label[a] if y == label[b] else y for x, y in label.items()}
+        groups = {}
+        for x, y in label.items():
+            groups.setdefault(y, set()).add(x)
+        reached.append(sorted(map(sorted, groups.values())))
+    assert reached[0] == reached[1] and len(reached[0]) == 12
