@@ -39,10 +39,24 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+#: Bytes of inputs for which a scratch table of few files has one.
+FILE_BYTES = 32 << 20
+
+
+def few(df: DataFrame) -> int:
+    """How many files are few for ``df``: one for each ``FILE_BYTES`` that its plan reads, or one a core."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    read = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return min(max(df.sparkSession.sparkContext.defaultParallelism, -(-read // FILE_BYTES)), 2**31 - 1)
+
+
+def written(df: DataFrame, tag: str, in_few: bool = False) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: cuts the
-    lineage and survives lost executors."""
+    lineage and survives lost executors. ``in_few``: in few files, each of which is several calls of its store,
+    and on a local disk as many processes that an executor starts. Tasks then run several
+    partitions in turn, so not for rows that their task numbers or sorts."""
     spark = df.sparkSession
+    df = df.coalesce(few(df)) if in_few else df
     path = scratch_path(spark, tag)
     if Scratch._open:
         Scratch._open[-1].paths.append(path)

@@ -9,8 +9,8 @@ bits or fewer of their first two fingerprints (128 bits) are candidates. Two set
 differ in 0.15 of the bits (a smaller share above that): 19 of 128 on average with a standard deviation
 of 4, where unrelated ones differ in 64 with one of 5.7.
 
-A bucket gives a spanning forest of its candidates, so links grow with the nodes and not with their
-pairs; the sets of each component of candidates are then compared, and pairs of similarity
+A bucket links its candidates to the least one that they are connected to, so links grow with the nodes
+and not with their pairs; the sets of each component of candidates are then compared, and pairs of similarity
 ``least`` and more are linked. No bucket is capped: large components are compared block against
 block over the cluster.
 
@@ -163,6 +163,21 @@ def bucket_links(keys: np.ndarray, sims: np.ndarray) -> np.ndarray:
     return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
 
 
+def stars(pairs: np.ndarray) -> np.ndarray:
+    """Each row that these pairs connect with the least one that it is connected to."""
+    ends, pairs = np.unique(pairs, return_inverse=True)
+    a, b = pairs.reshape(-1, 2).T
+    label, last = np.arange(len(ends)), None
+    while last is None or (label != last).any():
+        last = label.copy()
+        least = np.minimum(label[a], label[b])
+        for x in (a, b, last[a], last[b]):
+            np.minimum.at(label, x, least)
+        label = label[label]
+    other = label != np.arange(len(ends))
+    return np.stack([ends[other], ends[label[other]]], axis=1)
+
+
 def sim_links(distinct: DataFrame, n: int) -> DataFrame:
     """(a, b): first fingerprints, linked so that all near nodes which share a key are connected."""
     buckets = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * KEYS // 500_000))
@@ -187,7 +202,7 @@ def sim_links(distinct: DataFrame, n: int) -> DataFrame:
     def by_bucket(batches):
         def flush(have):
             if have:
-                pairs = bucket_links(np.concatenate([np.frombuffer(x[0], "<u4") for x in have]), np.concatenate([np.frombuffer(x[1], "<u8") for x in have]).reshape(-1, 2)).view(np.int64)
+                pairs = stars(bucket_links(np.concatenate([np.frombuffer(x[0], "<u4") for x in have]), np.concatenate([np.frombuffer(x[1], "<u8") for x in have]).reshape(-1, 2))).view(np.int64)
                 yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
         now, have = None, []
@@ -262,10 +277,10 @@ def verified(docs: DataFrame, distinct: DataFrame, groups: DataFrame, doc_id: st
         return step
 
     sets = C.map_batches(rows, make_sets, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
-    sets = C.written(sets.join(groups, "node"), "sets")
+    sets = C.written(sets.join(groups, "node"), "sets", in_few=True)
     sizes = sets.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("set")) / BLOCK_BYTES)).cast("long").alias("n"))
     dealt = sets.join(sizes, "root").select("root", "node", "set", F.pmod(F.xxhash64("node"), "n").alias("i"))
-    blocks = C.written(dealt.groupBy("root", "i").agg(F.collect_list(F.struct("node", "set")).alias("f")), "blocks")
+    blocks = C.written(dealt.groupBy("root", "i").agg(F.collect_list(F.struct("node", "set")).alias("f")), "blocks", in_few=True)
     right = blocks.select("root", F.col("i").alias("j"), F.col("f").alias("g"))
     alone = blocks.select("f", F.lit(None).cast(blocks.schema["f"].dataType).alias("g"))
     pairs = alone.union(blocks.join(right, "root").where("i < j").select("f", "g"))
@@ -285,8 +300,8 @@ def verified(docs: DataFrame, distinct: DataFrame, groups: DataFrame, doc_id: st
 
 def labelled(docs: DataFrame, doc_id: str, text: str, k: int, least: float) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp) of every row, and (fp, root, component_id) of every node."""
-    marked = C.written(nodes(docs, doc_id, text, k), "nodes")
-    distinct = C.written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("sim").alias("sim"), F.first("sims").alias("sims")), "distinct")
+    marked = C.written(nodes(docs, doc_id, text, k), "nodes", in_few=True)
+    distinct = C.written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("sim").alias("sim"), F.first("sims").alias("sims")), "distinct", in_few=True)
     groups = N.components(candidates(distinct, distinct.count()))
     roots = N.components(verified(docs, distinct, groups, doc_id, text, k, least))
     return marked.select("doc_id", "fp"), N.lowest(distinct.select("fp", "rep"), roots)

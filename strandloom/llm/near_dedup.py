@@ -285,7 +285,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): each node's smallest reachable node, for nodes that have links, by
     alternating large-star and small-star rounds, as many as it takes: each but the last
     brings some node to a smaller one, and their number grows with the logarithm of the nodes."""
-    edges = C.written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    edges = C.written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", in_few=True)
     state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     last = state(edges)
     while last[0]:
@@ -294,7 +294,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.where("m < u").select("u", F.col("m").alias("v"))).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = C.written(small, "stars")
+        edges = C.written(small, "stars", in_few=True)
         now = state(edges)
         if now == last:
             break
@@ -314,7 +314,7 @@ def lowest(distinct: DataFrame, roots: DataFrame) -> DataFrame:
     """(fp, root, component_id) of every row (fp, rep) of ``distinct``."""
     labelled = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return C.written(labelled.join(least, "root").select("fp", "root", "component_id"), "labels")
+    return C.written(labelled.join(least, "root").select("fp", "root", "component_id"), "labels", in_few=True)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 3, bits: int = 3) -> DataFrame:
@@ -331,7 +331,7 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def choose(docs: DataFrame, marked: DataFrame, label: DataFrame, doc_id: str, text: str, of_texts) -> DataFrame:
     """The rows that stand for their components; ``of_texts`` gives the fp (uint64) of each text."""
-    odd = C.written(marked.groupBy("doc_id").count().where("doc_id is null or count > 1").select(F.col("doc_id").alias("odd_id")), "odd")
+    odd = C.written(marked.groupBy("doc_id").count().where("doc_id is null or count > 1").select(F.col("doc_id").alias("odd_id")), "odd", in_few=True)
     keep = marked.join(label, "fp").where("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("own_id"))
     if not odd.head(1):

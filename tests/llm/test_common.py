@@ -40,3 +40,11 @@ def test_scratch_is_deleted_by_its_owner_alone(spark):
     mine.delete()
     assert not os.path.exists(first) and c.count() == 5
     del b
+
+
+def test_scratch_tables_have_few_files(spark):
+    """A small table of many partitions is not as many files."""
+    cores = spark.sparkContext.defaultParallelism
+    kept = C.written(spark.range(0, 5000, 1, 3).repartition(90, "id"), "many")
+    got = C.written(kept.repartition(90, "id"), "few", in_few=True)
+    assert len(kept.inputFiles()) > cores >= len(got.inputFiles()) and got.count() == 5000

@@ -115,3 +115,11 @@ def test_large_runs_equal_small_ones(monkeypatch):
             groups.setdefault(y, set()).add(x)
         reached.append(sorted(map(sorted, groups.values())))
     assert reached[0] == reached[1] and len(reached[0]) == 12
+
+
+def test_a_group_gives_as_many_links_as_rows():
+    rng = np.random.default_rng(4)
+    pairs = np.concatenate([rng.integers(g * 100, g * 100 + 40, (300, 2), dtype=np.uint64) for g in range(5)] + [np.array([[7000, 7001], [7002, 7001], [7003, 7002]], np.uint64)])
+    got = M.stars(pairs[rng.permutation(len(pairs))])
+    assert len(got) <= 5 * 39 + 3 and {tuple(x) for x in got.tolist() if x[0] > 6999} == {(7001, 7000), (7002, 7000), (7003, 7000)}
+    assert all(a // 100 == b // 100 and a > b for a, b in got.tolist()) and len(M.stars(np.zeros((0, 2), np.uint64))) == 0
