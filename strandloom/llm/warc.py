@@ -95,7 +95,7 @@ def decide(pages: DataFrame, revisit_from: int = 1000, page_id: str = "page_id",
     # groups of two and more alone need to be met again; digests and ids are counted, no payload moves
     alike = rows.where(long).groupBy("group", "page_id", "mark").agg(F.count("*").alias("n"))
     chosen = alike.groupBy("group").agg(F.max(F.struct("page_id", "mark", "n")).alias("best"), F.sum("n").alias("n")).where("n > 1").select("group", "best")
-    chosen = C.written(chosen, "repeats")
+    chosen = C.written(chosen, "repeats", in_few=True)
     # repeats grow with the corpus, so that no bound of theirs allows a broadcast
     met = rows.join(chosen.hint("merge"), "group", "left")
     is_best = F.col("page_id").eqNullSafe(F.col("best.page_id")) & (F.col("mark") == F.col("best.mark"))
@@ -137,7 +137,7 @@ def write(decided: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> tuple[DataF
         if members:
             yield close()
 
-    stored = C.written(rows.mapInArrow(run, "segment long, data binary, captures array<struct<key:string,offset:bigint,length:bigint>>"), "warc")
+    stored = C.written(rows.coalesce(C.few(rows)).mapInArrow(run, "segment long, data binary, captures array<struct<key:string,offset:bigint,length:bigint>>"), "warc")
     return stored.select("segment", "data"), stored.select("segment", F.explode("captures").alias("c")).select("c.key", "segment", "c.offset", "c.length")
 
 
@@ -164,7 +164,7 @@ def index(captures: DataFrame, block_rows: int | None = None) -> DataFrame:
         if lines:
             yield close()
 
-    n = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = min(int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), C.few(captures))
     ordered = captures.select("key", "segment", "offset", "length").repartitionByRange(n, "key", "segment", "offset").sortWithinPartitions("key", "segment", "offset")
     return C.written(ordered.mapInArrow(run, "id long, first string, last string, rows long, block binary"), "cdx")
 

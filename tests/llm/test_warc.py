@@ -71,3 +71,18 @@ def test_whole_rows_that_repeat(spark):
     got = W.read(segments, W.locate(df.select(W.capture_key("page_id", "url").alias("key")), W.index(captures, block_rows=2)))
     told = Counter((r.page_id, r.record_type, r.refers_to) for r in got.collect())
     assert told == {(1, "revisit", 2): 3, (2, "response", None): 1, (2, "revisit", 2): 8, (3, "response", None): 1, (4, "response", None): 2, (None, "response", None): 1, (None, "revisit", None): 2}
+
+
+def test_archives_are_few_files(spark, monkeypatch):
+    """A small table of many partitions becomes as many segments and blocks as cores, not as partitions, with places that hold."""
+    rows = [(i, f"http://h{i % 7}.example.com/{i}", "word " * (i % 5) + str(i)) for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(60)
+    pages = W.C.written(pages, "pages")
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(W.C, "FILE_BYTES", 1 << 40)
+    segments, captures = W.write(W.decide(pages))
+    assert segments.select("segment").distinct().count() == segments.count() <= cores
+    blocks = W.index(captures)
+    assert len(blocks.inputFiles()) <= cores
+    got = W.read(segments, W.locate(pages.select(W.capture_key("page_id", "url").alias("key")), blocks))
+    assert sorted((r.page_id, r.payload_bytes) for r in got.collect()) == sorted((i, len(h)) for i, _, h in rows)
