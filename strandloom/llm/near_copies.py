@@ -9,8 +9,9 @@ bits or fewer of their first two fingerprints (128 bits) are candidates. Two set
 differ in 0.15 of the bits (a smaller share above that): 19 of 128 on average with a standard deviation
 of 4, where unrelated ones differ in 64 with one of 5.7.
 
-A bucket links its candidates to the least one that they are connected to, so links grow with the nodes
-and not with their pairs; the sets of each component of candidates are then compared, and pairs of similarity
+A bucket links its candidates to the least one that they are connected to, and leaves out what the keys
+of its first two fingerprints connect in other buckets. So links grow with the nodes and not with their pairs,
+nor with how many keys these share; the sets of each component of candidates are then compared, and pairs of similarity
 ``least`` and more are linked. No bucket is capped: large components are compared block against
 block over the cluster.
 
@@ -81,8 +82,8 @@ def sketches(h: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def sim_keys(sims: np.ndarray, golay: N.Golay) -> np.ndarray:
-    """``KEYS`` keys of each row of fingerprints, each with its number in front."""
-    out = np.empty((len(sims), KEYS), np.uint32)
+    """The keys of each row of fingerprints, ``KEYS`` of all ``SIMS``, each with its number in front."""
+    out = np.empty((len(sims), sims.shape[1] * len(N.SEGMENTS) * PIECES), np.uint32)
     at = 0
     for sim in sims.T:
         parts = [((sim >> np.uint64(s)) & np.uint64((1 << w) - 1)).astype(np.int64) for s, w in N.SEGMENTS]
@@ -139,41 +140,71 @@ def forest(sims: np.ndarray) -> tuple[list[int], list[int]]:
     return a, b
 
 
-def bucket_links(keys: np.ndarray, sims: np.ndarray) -> np.ndarray:
-    """Links that connect all rows which share a key and are near: pairs of first fingerprints."""
+def near_rows(keys: np.ndarray, sims: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links, as row numbers, that connect all rows which share a key and are near."""
     order = np.lexsort((sims[:, 1], sims[:, 0], keys))
     keys, sims = keys[order], sims[order]
     change = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     size = np.diff(np.concatenate([change, [len(keys)]]))
-    run = np.repeat(size, size)
-    small = run <= SMALL
+    small = np.flatnonzero(np.repeat(size, size) <= SMALL)
     k, f = keys[small], sims[small]
-    ends = [np.zeros((0, 2), np.uint64)]
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for d in range(1, SMALL):
         at = np.flatnonzero(k[d:] == k[:-d])
         if not len(at):
             break
         at = at[near(f[at], f[at + d])]
-        ends.append(np.stack([f[at, 0], f[at + d, 0]], axis=1))
+        a.append(small[at])
+        b.append(small[at + d])
     for at, n in zip(change[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-        own = sims[at : at + n]
-        a, b = forest(own)
-        ends.append(np.stack([own[a, 0], own[b, 0]], axis=1))
-    pairs = np.sort(np.concatenate(ends), axis=1)
-    return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+        x, y = forest(sims[at : at + n])
+        a.append(at + np.array(x, np.int64))
+        b.append(at + np.array(y, np.int64))
+    return order[np.concatenate(a)], order[np.concatenate(b)]
 
 
-def stars(pairs: np.ndarray) -> np.ndarray:
-    """Each row that these pairs connect with the least one that it is connected to."""
-    ends, pairs = np.unique(pairs, return_inverse=True)
-    a, b = pairs.reshape(-1, 2).T
-    label, last = np.arange(len(ends)), None
+def connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` places the least one that these links connect it to."""
+    label, last = np.arange(n), None
     while last is None or (label != last).any():
         last = label.copy()
         least = np.minimum(label[a], label[b])
         for x in (a, b, last[a], last[b]):
             np.minimum.at(label, x, least)
         label = label[label]
+    return label
+
+
+def bucket_links(keys: np.ndarray, sims: np.ndarray, golay: N.Golay | None = None) -> np.ndarray:
+    """Pairs of first fingerprints; those of all buckets connect all rows which share a key and are near.
+
+    Near rows that share a key are connected by that key's bucket and need no link of a key with a higher
+    number. The two fingerprints at hand give the keys of the lowest numbers, so rows that these connect here
+    count as one when a higher number links them. A link is left out only for what lower numbers
+    connect, and of the first number none is left out."""
+    a, b = near_rows(keys, sims)
+    number = keys[a] >> np.uint32(12 + PIECE)
+    rows = np.unique(np.concatenate([a, b]))
+    ends, end = np.unique(sims[rows], axis=0, return_inverse=True)
+    a, b = (end.ravel()[np.searchsorted(rows, x)] for x in (a, b))
+    label, own = np.arange(len(ends)), sim_keys(ends, golay or N.Golay())
+    pairs = []
+    for i in range(own.shape[1] + 1):
+        at = number == i if i < own.shape[1] else number >= i
+        root = connected(len(ends), label[a[at]], label[b[at]])
+        new = np.flatnonzero(root != np.arange(len(ends)))
+        pairs.append(np.stack([ends[new, 0], ends[root[new], 0]], axis=1))
+        label = root[label]
+        if i < own.shape[1]:
+            label = connected(len(ends), *(label[x] for x in near_rows(own[:, i], ends)))[label]
+    pairs = np.sort(np.concatenate(pairs), axis=1)
+    return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+
+
+def stars(pairs: np.ndarray) -> np.ndarray:
+    """Each row that these pairs connect with the least one that it is connected to."""
+    ends, pairs = np.unique(pairs, return_inverse=True)
+    label = connected(len(ends), *pairs.reshape(-1, 2).T)
     other = label != np.arange(len(ends))
     return np.stack([ends[other], ends[label[other]]], axis=1)
 
@@ -200,9 +231,12 @@ def sim_links(distinct: DataFrame, n: int) -> DataFrame:
     blobs = C.map_batches(distinct.where("sim is not null").select("sims"), make, "bucket long, keys binary, sims binary", rows=5_000)
 
     def by_bucket(batches):
+        golay = N.Golay()
+
         def flush(have):
             if have:
-                pairs = stars(bucket_links(np.concatenate([np.frombuffer(x[0], "<u4") for x in have]), np.concatenate([np.frombuffer(x[1], "<u8") for x in have]).reshape(-1, 2))).view(np.int64)
+                keys, sims = np.concatenate([np.frombuffer(x[0], "<u4") for x in have]), np.concatenate([np.frombuffer(x[1], "<u8") for x in have]).reshape(-1, 2)
+                pairs = stars(bucket_links(keys, sims, golay)).view(np.int64)
                 yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
         now, have = None, []

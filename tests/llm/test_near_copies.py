@@ -123,3 +123,26 @@ def test_a_group_gives_as_many_links_as_rows():
     got = M.stars(pairs[rng.permutation(len(pairs))])
     assert len(got) <= 5 * 39 + 3 and {tuple(x) for x in got.tolist() if x[0] > 6999} == {(7001, 7000), (7002, 7000), (7003, 7000)}
     assert all(a // 100 == b // 100 and a > b for a, b in got.tolist()) and len(M.stars(np.zeros((0, 2), np.uint64))) == 0
+
+
+def test_links_do_not_grow_with_shared_keys():
+    """All buckets together connect what brute force connects, by a few links a row, and twice the group gives about twice the links."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**64, M.SIMS, dtype=np.uint64)
+    flips = np.packbits(rng.random((800, M.SIMS, 64)) < 0.08, axis=2).view("<u8")[..., 0]
+    alone = rng.integers(0, 2**64, (50, M.SIMS), dtype=np.uint64)
+    made = []
+    for n in (400, 800):
+        sims = np.concatenate([base ^ flips[:n], alone, alone[:20] ^ flips[:20]])
+        keys = M.sim_keys(sims, N.Golay())
+        bucket = (C.mix(keys.astype(np.uint64)) % np.uint64(97)).ravel()
+        row, links = np.repeat(np.arange(len(sims)), M.KEYS), []
+        for at in (np.flatnonzero(bucket == i) for i in range(97)):
+            links.append(M.stars(M.bucket_links(keys.ravel()[at], sims[row[at], :2])))
+        made.append(sum(map(len, links)))
+        a, b = (np.array(x) for x in zip(*((i, j) for i in range(len(sims)) for j in range(i) if M.near(sims[i, :2], sims[j, :2]) and (keys[i] == keys[j]).any()), strict=True))
+        assert len(a) > 20 * len(sims)
+        plain = M.stars(np.stack([sims[a, 0], sims[b, 0]], axis=1))
+        assert sorted(map(tuple, M.stars(np.concatenate(links)).tolist())) == sorted(map(tuple, plain.tolist()))
+        assert made[-1] < 12 * n, made
+    assert made[1] < 2.5 * made[0], made
