@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import op8_decontamination
+from .divergence import LEAST_DOCS, PRIOR, SCALE, TOP, op13_source_divergence
 from .language import op3_language_id
 from .licenses import GAP, LOWER, TEMPLATES, UPPER, op9_license_scan, template_words
 from .media import op6_media
@@ -24,10 +25,10 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_substring_dedup": op4_substring_dedup,
     "op10_near_dedup": op10_near_dedup,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 
-
 def _templates(k: int = 4) -> str:
     """Rows (template, label, positions, place, gram) of the license templates."""
     rows = []
@@ -66,4 +67,20 @@ ORACLE_SQL: dict[str, str] = {
         c AS (SELECT *, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM r),
         g AS (SELECT doc_id, count(*) AS n_words, CAST(sum(gone) AS BIGINT) AS n_removed, sha256(coalesce(string_agg(w, ' ' ORDER BY i) FILTER (gone = 0), '')) AS kept_sha256 FROM c GROUP BY doc_id)
         SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM documents d LEFT JOIN g USING (doc_id)""",
+    "op13_source_divergence": rf"""
+        WITH d AS (SELECT row_number() OVER () AS nr, coalesce(lang, '') AS lang, coalesce(source, '') AS source, string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x40\x5B-\x60\x7B-\x7F]+') AS l FROM documents),
+        w AS (SELECT nr, lang, source, term FROM (SELECT nr, lang, source, unnest(l) AS term FROM d) WHERE term <> ''),
+        k AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT nr) >= {LEAST_DOCS}),
+        v AS (SELECT lang, count(*) AS V FROM k GROUP BY lang),
+        c AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN k ON w.lang = k.lang AND w.term = k.term GROUP BY w.lang, w.source, w.term),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        gn AS (SELECT g.lang, g.source, coalesce(any_value(V), 0) AS V, coalesce(sum(c.n), 0) AS N FROM g LEFT JOIN v ON g.lang = v.lang LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY g.lang, g.source),
+        ln AS (SELECT lang, sum(N) AS N FROM gn GROUP BY lang),
+        p AS (SELECT gn.lang, gn.source, k.term, coalesce(c.n, 0) AS n, 1 + ({SCALE}::HUGEINT * (coalesce(c.n, 0) + {PRIOR})) // (gn.N + {PRIOR} * gn.V) AS p FROM gn JOIN k ON gn.lang = k.lang LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = k.term),
+        q AS (SELECT x.lang, x.term, 1 + ({SCALE}::HUGEINT * (x.n + {PRIOR})) // (ln.N + {PRIOR} * v.V) AS q FROM (SELECT lang, term, sum(n) AS n FROM p GROUP BY lang, term) x JOIN ln ON x.lang = ln.lang JOIN v ON x.lang = v.lang),
+        f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+        s AS (SELECT a.lang, a.source, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+        t AS (SELECT p.lang, p.source, p.term AS item, p - q AS value FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE n > 0 AND p > q),
+        r AS (SELECT lang, source, 'pair' AS part, item, value FROM s UNION ALL SELECT lang, source, 'term', item, value FROM t)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) WHERE part = 'pair' OR rank <= {TOP}""",
 }

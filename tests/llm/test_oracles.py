@@ -24,4 +24,4 @@ def test_query_equals_sql(spark, name):
 
 
 def test_every_query_is_registered():
-    assert sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [n for i in range(1, 11) for n in QUERIES if n.startswith(f"op{i}_")]
+    assert sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [n for i in range(1, 14) for n in QUERIES if n.startswith(f"op{i}_")]
