@@ -10,9 +10,11 @@ from .media import op6_media
 from .near_dedup import op10_near_dedup
 from .packing import op7_best_fit_packing
 from .quality import op5_quality
+from .sharding import op12_resharding
 from .substring_dedup import op4_substring_dedup
 from .url_filter import op2_url_filter
 from .warc import op1_warc
+from .whitening import op11_whitening
 
 QUERIES = {
     "op1_warc": op1_warc,
@@ -25,6 +27,8 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_substring_dedup": op4_substring_dedup,
     "op10_near_dedup": op10_near_dedup,
+    "op11_whitening": op11_whitening,
+    "op12_resharding": op12_resharding,
     "op13_source_divergence": op13_source_divergence,
 }
 
