@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import bam
-from .catalog import REC, AVGQ, _ALN, alignments, query, r6, records
+from .catalog import AVGQ, LANGS, REC, _ALN, alignments, query, r6, records
 
 #: Left and right soft clips of the reads.
 LEFT, RIGHT = "ACGT", "GG"
@@ -83,3 +83,31 @@ def scan_sam(spark, sf_dir):
     as_sam(reads(spark, sf_dir).where("seq <> 'ACGTGG'")).write.option("compression", "gzip").text(path)
     text = F.array_join(F.transform("cigar", lambda x: F.concat(x["len"].cast("string"), x["op"])), "")
     return read_sam(spark, path).select("read", "seq", text.alias("cigar"), "pos", "flags")
+
+
+def cigar_text():
+    return F.array_join(F.transform("cigar", lambda x: F.concat(x["len"].cast("string"), x["op"])), "").alias("cigar")
+
+
+@query(f"""WITH {REC} SELECT id AS read, file AS ref, 5000 AS ref_len, 'ACGT' || seq || 'GG' AS seq, '4S' || length(seq) || 'M2S' AS cigar, CAST(pos AS INT) AS pos, CASE WHEN pos % 2 = 1 THEN 16 ELSE 0 END AS flags FROM r""")
+def scan_bam(spark, sf_dir):
+    """One BAM file of all reads, read by splits of 64 KB."""
+    from ..functions.layout import scratch_path
+    from ..sources.alignments import read_bam, write_bam
+
+    path = scratch_path(spark, "bam") + ".bam"
+    write_bam(reads(spark, sf_dir), [(lang, 5000) for lang in LANGS], path, single=True)
+    return read_bam(spark, path, split_bytes=64 << 10).select("read", "ref", "ref_len", "seq", cigar_text(), "pos", "flags")
+
+
+@query(f"""WITH {_ALN.replace(" WHERE l_linenumber <> 5", "")} SELECT read, ref, 100000 AS ref_len, CAST(pos AS INT) AS pos, q - 1 AS mapq, CASE k WHEN 3 THEN 256 WHEN 4 THEN 2048 WHEN 5 THEN 4 ELSE 0 END AS flags, '2S' || q || 'M2I3D' || q || 'M3H' AS cigar, '2' AS nm FROM a""")
+def write_bam(spark, sf_dir):
+    """A folder of BAM files, one a task, of all line items, read back; suppliers are the header's references."""
+    from ..functions.layout import scratch_path
+    from ..sources import alignments as L
+    from .catalog import table
+
+    path = scratch_path(spark, "bams")
+    refs = [(str(r.s_suppkey), 100_000) for r in table(spark, sf_dir, "supplier").select("s_suppkey").orderBy("s_suppkey").collect()]
+    L.write_bam(alignments(spark, sf_dir), refs, path)
+    return L.read_bam(spark, path).select("read", "ref", "ref_len", "pos", "mapq", "flags", cigar_text(), F.col("tags")["NM"].alias("nm"))

@@ -1,11 +1,15 @@
-"""SAM and BAM files, in the standard library alone."""
+"""SAM and BAM files: BAM in splits of bytes, by records; a file or a folder of files written with a commit."""
 
 from __future__ import annotations
 
+import json
 import struct
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,14 +21,6 @@ BASES = "=ACMGRSVTWYHKDBN"
 ALN = "file string, " + schema.ALN
 
 
-def bgzf_blocks(content: bytes) -> Iterator[bytes]:
-    at = 0
-    while at < len(content):
-        d = zlib.decompressobj(31)
-        yield d.decompress(content[at:]) + d.flush()
-        at = len(content) - len(d.unused_data)
-
-
 def _tags(raw: bytes) -> dict[str, str]:
     out, at = {}, 0
     sizes = {"A": "c", "c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
@@ -47,46 +43,58 @@ def _tags(raw: bytes) -> dict[str, str]:
     return out
 
 
-class Refill:
-    """Bytes of consecutive blocks, held only as long as they are needed."""
-
-    def __init__(self, blocks: Iterator[bytes]):
-        self.blocks, self.have = blocks, b""
-
-    def take(self, n: int) -> bytes:
-        while len(self.have) < n:
-            more = next(self.blocks, None)
-            if more is None:
-                if self.have:
-                    raise ValueError("BAM ends early")
-                return b""
-            self.have += more
-        out, self.have = self.have[:n], self.have[n:]
-        return out
-
-
-def parse_bam(content: bytes) -> Iterator[dict]:
-    src = Refill(bgzf_blocks(content))
-    if src.take(4) != b"BAM\1":
-        raise ValueError("no BAM")
-    src.take(struct.unpack("<i", src.take(4))[0])
-    refs = []
-    for _ in range(struct.unpack("<i", src.take(4))[0]):
-        name = src.take(struct.unpack("<i", src.take(4))[0])[:-1].decode()
-        refs.append((name, struct.unpack("<i", src.take(4))[0]))
-    while size := src.take(4):
-        b = src.take(struct.unpack("<i", size)[0])
+#: Two letters a byte.
+PAIRS = [a + b for a in BASES for b in BASES]
+
+
+class Decoder:
+    """Record bytes as Arrow batches with the columns of ``ALN``."""
+
+    def __init__(self, path: str, refs: list[tuple[str, int]]):
+        self.path, self.refs = path, refs
+        self.clear()
+
+    def clear(self) -> None:
+        self.plain: list[tuple] = []
+        self.cigar: list[int] = []
+        self.qual: list[bytes] = []
+        self.sizes: list[tuple[int, int, int]] = []  # of CIGAR, qualities and tags
+        self.tags: list[tuple[str, str]] = []
+        self.bytes = 0
+
+    def add(self, b: bytes) -> None:
         ref, pos, n_name, mapq, _, n_cigar, flags, n_seq, *_ = struct.unpack_from("<iiBBHHHiiii", b)
-        at = 32
-        name = b[at : at + n_name - 1].decode()
-        at += n_name
-        cigar = [{"op": OPS[x & 15], "len": x >> 4} for x in struct.unpack_from(f"<{n_cigar}I", b, at)]
+        at = 32 + n_name
+        name = b[32 : at - 1].decode()
+        cigar = struct.unpack_from(f"<{n_cigar}I", b, at)
         at += 4 * n_cigar
-        seq = "".join([BASES[x >> 4] + BASES[x & 15] for x in b[at : at + (n_seq + 1) // 2]])[:n_seq]
+        seq = "".join(map(PAIRS.__getitem__, b[at : at + (n_seq + 1) // 2]))[:n_seq]
         at += (n_seq + 1) // 2
-        qual = list(b[at : at + n_seq])
-        at += n_seq
-        yield {"read": name, "ref": refs[ref][0] if ref >= 0 else None, "ref_len": refs[ref][1] if ref >= 0 else None, "pos": pos, "mapq": mapq, "flags": flags, "cigar": cigar, "seq": seq, "qual": [] if qual and qual[0] == 255 else qual, "tags": _tags(b[at:])}
+        qual = b[at : at + n_seq] if n_seq and b[at] != 255 else b""
+        tags = _tags(b[at + n_seq :])
+        ref_name, ref_len = self.refs[ref] if ref >= 0 else (None, None)
+        self.plain.append((name, ref_name, ref_len, pos, mapq, flags, seq))
+        self.cigar += cigar
+        self.qual.append(qual)
+        self.tags += tags.items()
+        self.sizes.append((n_cigar, len(qual), len(tags)))
+        self.bytes += len(b)
+
+    def batch(self) -> pa.RecordBatch:
+        n = len(self.plain)
+        ends = np.concatenate([np.zeros((1, 3), np.int64), np.cumsum(np.array(self.sizes, np.int64).reshape(n, 3), axis=0)]).astype(np.int32)
+        c = np.array(self.cigar, np.uint32)
+        ops = pa.DictionaryArray.from_arrays(pa.array((c & 15).astype(np.int32)), pa.array(list(OPS))).dictionary_decode()
+        cigar = pa.StructArray.from_arrays([ops, pa.array((c >> 4).astype(np.int32))], names=["op", "len"])
+        qual = pa.array(np.frombuffer(b"".join(self.qual), np.uint8).astype(np.int32))
+        keys, values = pa.array([k for k, _ in self.tags], pa.string()), pa.array([v for _, v in self.tags], pa.string())
+        read, ref, ref_len, pos, mapq, flags, seq = zip(*self.plain, strict=True) if n else [()] * 7
+        ints = lambda x: pa.array(x, pa.int32())
+        text = lambda x: pa.array(x, pa.string())
+        lists = lambda j, values: pa.ListArray.from_arrays(pa.array(ends[:, j]), values)
+        columns = [text([self.path] * n), text(read), text(ref), ints(ref_len), ints(pos), ints(mapq), ints(flags), lists(0, cigar), text(seq), lists(1, qual), pa.MapArray.from_arrays(pa.array(ends[:, 2]), keys, values)]
+        self.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["file", "read", "ref", "ref_len", "pos", "mapq", "flags", "cigar", "seq", "qual", "tags"])
 
 
 def _record(r: dict, number: dict[str, int]) -> bytes:
@@ -106,73 +114,70 @@ def _bgzf(part: bytes) -> bytes:
     return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(z) + 25) + z + struct.pack("<II", zlib.crc32(part), len(part))
 
 
-def bam_blocks(rows: Iterable[dict], refs: list[tuple[str, int]], header: str = "", size: int = 60_000) -> Iterator[bytes]:
-    """The blocks of a BAM file of records in the given order, as they fill."""
-    number = {n: i for i, (n, _) in enumerate(refs)}
+def header_bytes(refs: list[tuple[str, int]], header: str = "") -> bytes:
     text = (header or "@HD\tVN:1.6\n" + "".join(f"@SQ\tSN:{n}\tLN:{k}\n" for n, k in refs)).encode()
     have = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(refs))
-    have += b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", k) for n, k in refs)
-    for r in rows:
-        have += _record(r, number)
-        while len(have) > size:
-            yield _bgzf(have[:size])
-            have = have[size:]
-    yield _bgzf(have)
-    yield _bgzf(b"")
+    return have + b"".join(struct.pack("<i", len(n.encode()) + 1) + n.encode() + b"\0" + struct.pack("<i", k) for n, k in refs)
 
 
-def encode_bam(rows: Iterable[dict], refs: list[tuple[str, int]], header: str = "") -> bytes:
-    return b"".join(bam_blocks(rows, refs, header))
+#: The empty block that ends a file.
+END = _bgzf(b"")
 
 
-def read_bam(spark: SparkSession, paths) -> DataFrame:
-    """Records of BAM files in any store; a file is one task's, its records leave in batches."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+def blocks_of(parts: Iterable[bytes], size: int = 60_000) -> Iterator[bytes]:
+    """BGZF blocks of the data, as they fill."""
+    have = b""
+    for part in parts:
+        have += part
+        while len(have) > size:
+            yield _bgzf(have[:size])
+            have = have[size:]
+    if have:
+        yield _bgzf(have)
+
 
-    kind = to_arrow_schema(_parse_datatype_string(ALN))
+def bam_blocks(rows: Iterable[dict], refs: list[tuple[str, int]], header: str = "", size: int = 60_000) -> Iterator[bytes]:
+    """The blocks of a BAM file of records in the given order, as they fill."""
+    number = {n: i for i, (n, _) in enumerate(refs)}
+    yield from blocks_of(chain([header_bytes(refs, header)], (_record(r, number) for r in rows)), size)
+    yield END
 
-    def run(batches):
-        for batch in batches:
-            for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows: list[dict] = []
-                for r in parse_bam(content):
-                    rows.append(r | {"file": path, "tags": list(r["tags"].items())})
-                    if len(rows) == 2000:
-                        yield pa.RecordBatch.from_pylist(rows, schema=kind)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, ALN)
+def encode_bam(rows: Iterable[dict], refs: list[tuple[str, int]], header: str = "") -> bytes:
+    return b"".join(bam_blocks(rows, refs, header))
 
 
-def write_bam(df: DataFrame, refs: list[tuple[str, int]], folder: str) -> DataFrame:
-    """Alignment records as BAM files, one a partition in its order, where tasks see ``folder`` as a file
-    system (a shared mount); (path, records) of each. ``refs`` (name, length) is the header's list."""
+def read_bam(spark: SparkSession, paths, split_bytes: int = 64 << 20, region: tuple[str, int, int] | None = None) -> DataFrame:
+    """Records of BAM files (paths, folders, globs), by splits of ``split_bytes`` that read their own part of a file; of a
+    region (reference, start, end; 0-based, half-open) those parts alone that the ``.bai`` beside each file names."""
+    from .python_sources import BamSource
 
-    def run(batches):
-        import os
-        import uuid
+    spark.dataSource.register(BamSource)
+    reader = spark.read.format("bam").option("path", paths if isinstance(paths, str) else ",".join(paths)).option("splitBytes", split_bytes)
+    if region is None:
+        return reader.load()
+    name, start, end = region
+    rows = reader.option("region", f"{name}:{start}-{end}").load()
+    span = F.aggregate("cigar", F.lit(0), lambda n, x: n + F.when(x["op"].isin("M", "D", "N", "=", "X"), x["len"]).otherwise(0))
+    return rows.where((F.col("ref") == name) & (F.col("pos") < end) & (F.col("pos") + F.greatest(span, F.lit(1)) > start))
 
-        n = 0
 
-        def rows():
-            nonlocal n
-            for batch in batches:
-                for r in batch.to_pylist():
-                    n += 1
-                    yield r | {"tags": dict(r["tags"] or ())}
+def write_bam(df: DataFrame, refs: list[tuple[str, int]], path: str, single: bool = False, header: str = "") -> None:
+    """Alignment records as BAM: a folder of files, one a partition in its order, or with ``single`` one file in the order of
+    partitions. ``refs`` (name, length) is the header's list. Tasks write under names of their own; what shows in the end is the
+    commit of one attempt a partition, or nothing.
 
-        os.makedirs(folder, exist_ok=True)
-        path = f"{folder}/{uuid.uuid4().hex}.bam"
-        with open(path + ".part", "wb") as f:
-            for block in bam_blocks(rows(), refs):
-                f.write(block)
-        os.replace(path + ".part", path)
-        yield pa.RecordBatch.from_pydict({"path": [path], "records": pa.array([n], pa.int64())})
+    One file is put together by tasks that copy parts to their places, known from the parts' sizes; its store must be a
+    mount that can write at a place."""
+    from .python_sources import BamSource, assemble
 
-    return df.select("read", "ref", "pos", "mapq", "flags", "cigar", "seq", "qual", "tags").mapInArrow(run, "path string, records long")
+    spark = df.sparkSession
+    spark.dataSource.register(BamSource)
+    rows = df.select("read", "ref", "pos", "mapq", "flags", "cigar", "seq", "qual", "tags")
+    folder = f"{path}.parts-{uuid.uuid4().hex}" if single else path
+    rows.write.format("bam").option("path", folder).option("refs", json.dumps(refs)).option("header", header).option("bare", single).mode("append").save()
+    if single:
+        assemble(spark, folder, path, b"".join(blocks_of([header_bytes(refs, header)])), END)
 
 
 def sam_rows(lines: DataFrame, refs: DataFrame | None = None) -> DataFrame:
@@ -207,6 +212,37 @@ def as_sam(df: DataFrame) -> DataFrame:
     return df.select(F.concat_ws("\t", "read", F.col("flags").cast("string"), F.coalesce("ref", F.lit("*")), (F.col("pos") + 1).cast("string"), F.col("mapq").cast("string"), cigar, F.lit("*"), F.lit("0"), F.lit("0"), "seq", qual, tags).alias("value"))
 
 
+def region_chunks(content: bytes, ref: int, start: int, end: int) -> list[tuple[tuple[int, int], tuple[int, int]]]:
+    """Virtual offsets (from, to) of a .bai file that hold the records of a region, merged where they touch. Bins are the
+    format's: 8 for each one above, from 2^29 letters down to 2^14."""
+    if content[:4] != b"BAI\1":
+        raise ValueError("no BAI")
+    at, chunks, floor = 8, [], 0
+    bins = {0}
+    for level in range(1, 6):
+        shift, first = 29 - 3 * level, (8**level - 1) // 7
+        bins |= set(range(first + (start >> shift), first + (max(end - 1, start) >> shift) + 1))
+    for number in range(struct.unpack_from("<i", content, 4)[0]):
+        n_bins = struct.unpack_from("<i", content, at)[0]
+        at += 4
+        for _ in range(n_bins):
+            b, n = struct.unpack_from("<Ii", content, at)
+            if number == ref and b in bins:
+                chunks += [struct.unpack_from("<QQ", content, at + 8 + 16 * i) for i in range(n)]
+            at += 8 + 16 * n
+        n_steps = struct.unpack_from("<i", content, at)[0]
+        if number == ref and n_steps:
+            floor = struct.unpack_from("<Q", content, at + 4 + 8 * min(start >> 14, n_steps - 1))[0]
+        at += 4 + 8 * n_steps
+    out: list[list[int]] = []
+    for a, b in sorted(c for c in chunks if c[1] > floor):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [((a >> 16, a & 0xFFFF), (b >> 16, b & 0xFFFF)) for a, b in out]
+
+
 def index_counts(content: bytes) -> list[tuple[int, int, int]]:
     """(reference number, mapped, unmapped) from a .bai file's summary bins."""
     if content[:4] != b"BAI\1":

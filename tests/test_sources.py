@@ -211,7 +211,7 @@ def test_fish_hits_as_bam_files(spark, tmp_path):
     refs = spark.createDataFrame([("f", 0, i, n, "", n, s, None) for i, (n, s) in enumerate([("r1", "TTGATTACATTTTGATTCCATT"), ("r2", "CCCCCCCC"), ("r3", "TGTAATC")])], kind)
     hits = search.fish(refs, {"q": "GATTACA"}, letters=True, every=True, min_qual=2.0)
     records = bam.from_fish(hits, refs)
-    L.write_bam(records.coalesce(1), [("r1", 22), ("r2", 8), ("r3", 7)], str(tmp_path / "out")).collect()
+    L.write_bam(records.coalesce(1), [("r1", 22), ("r2", 8), ("r3", 7)], str(tmp_path / "out"))
     got = sorted((r.ref, r.pos, r.flags, "".join(f"{c.len}{c.op}" for c in r.cigar), r.seq, r.tags["NM"], r.ref_len) for r in L.read_bam(spark, str(tmp_path / "out")).collect())
     assert ("r1", 2, 0, "7M", "GATTACA", "0", 22) in got and ("r3", 0, 16, "7M", "TGTAATC", "0", 7) in got
     assert [x[2] for x in got if x[0] == "r1"].count(0) == 1 and all(x[0] != "r2" for x in got)
