@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,13 @@ from pyspark.sql.types import BooleanType
 
 from ..functions import columns as S
 from ..functions import iupac
+from . import chunks as K
+from . import patterns as P
+
+#: Lists of more patterns are searched by an automaton, in one pass a text; more expressions than that are joined into
+#: alternations of so many.
+FEW, JOINED = 8, 500
+
 
 def grep_ids(df: DataFrame, patterns: DataFrame, key: str = "id", invert=False, ignore_case=False, duplicates=False) -> DataFrame:
     """Records whose whole key is in ``patterns`` (column ``pattern``), each once, or with
@@ -53,9 +61,20 @@ def hamming_places(seq: bytes, pattern: bytes, most: int) -> np.ndarray:
 
 
 def match(df_key: Column, patterns, regex=False, by_seq=False, degenerate=False, ignore_case=False, both_strands=True, circular=False, region=None, mismatches=0) -> Column:
-    """Whether a key (id, name or sequence) matches any of a few patterns."""
+    """Whether a key (id, name or sequence) matches any pattern."""
     by_seq = by_seq or degenerate or mismatches > 0 or region is not None
     tests = []
+    patterns = list(patterns)
+    if len(patterns) > FEW and by_seq and not regex:
+        whole = [p for p in patterns if p]
+        for s in [df_key, S.revcomp(df_key)] if both_strands else [df_key]:
+            s = S.subseq(s, *region) if region else F.concat(s, s) if circular else s
+            tests.append(P.any_within(s, whole, mismatches=mismatches, degenerate=degenerate, ignore_case=ignore_case))
+        patterns = [""] * (len(whole) < len(patterns))
+    elif len(patterns) > FEW and regex and not degenerate:
+        # expressions without groups of their own, flags or references can stand in one alternation
+        free = [p for p in patterns if p and not re.search(r"\\\d|\\k|\(\?|\\Q", p)]
+        patterns = [p for p in patterns if p not in set(free)] + ["|".join(f"(?:{p})" for p in free[a : a + JOINED]) for a in range(0, len(free), JOINED)]
     for p in patterns:
         if p == "":
             tests.append(df_key == "")
@@ -146,29 +165,85 @@ def _occurrences(s: str, p: str) -> list[int]:
     return out
 
 
-def locate(df: DataFrame, patterns: dict[str, str], only_positive=False, non_greedy=False, **how) -> DataFrame:
+_HIT = ("patternName", "pattern", "strand", "start", "end", "matched")
+_HIT_TYPES = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
+
+
+def find_listed(seq: str, items: list[tuple[str, str]], told: P.Patterns, both=True, greedy=True, ignore_case=False, circular=False) -> Iterator[dict]:
+    """What ``find_all`` gives for each pattern of a list, by its automaton."""
+    n = len(seq)
+    for strand in ("+-" if both else "+") if n else "":
+        s = seq if strand == "+" else iupac.revcomp(seq)
+        s = s + s if circular else s
+        shown = s.lower() if ignore_case else s
+        for i, starts in told.places(s):
+            (name, pattern), last = items[i], -1
+            for a in starts:
+                if a < n and (greedy or a >= last):
+                    b = last = a + len(pattern)
+                    start, end = (a + 1, b) if strand == "+" else (n - b + 1, n - a)
+                    if start < 1:
+                        start, end = start + n, end + n
+                    yield {"patternName": name, "pattern": pattern, "strand": strand, "start": start, "end": end, "matched": shown[a:b]}
+
+
+def _searcher(items: list[tuple[str, str]], both: bool, greedy: bool, **how):
+    """A function from a text to its hits: pattern by pattern, or for long lists by automata."""
+    regex = how.get("regex", False)
+    if len(items) <= FEW or regex:
+        return lambda seq: (h for name, p in items for h in find_all(seq, name, p, both=both, greedy=greedy, **how))
+    parts, at = [], 0
+    for shard in P.shards([p for _, p in items]):
+        parts.append(items[at : at + len(shard)])
+        at += len(shard)
+    fold, circular = how.get("ignore_case", False), how.get("circular", False)
+    of = {k: how[k] for k in ("mismatches", "degenerate", "ignore_case") if k in how}
+
+    def search(seq):
+        for part in parts:
+            yield from find_listed(seq, part, P.Patterns.kept([p for _, p in part], **of), both, greedy, fold, circular)
+
+    return search
+
+
+def locate(df: DataFrame, patterns: dict[str, str], only_positive=False, non_greedy=False, chunk: int | None = None, **how) -> DataFrame:
     """seqID, patternName, pattern, strand, start, end, matched: a row for each place. Arrow
-    batches search; overlapping places count unless ``non_greedy``."""
+    batches search; overlapping places count unless ``non_greedy``.
+
+    ``chunk``: letters of a sequence that a task takes at once, for genomes; the rows are the same for each length. Regular expressions
+    have no longest hit and ``non_greedy`` looks back at the hit before, so both need whole records."""
     items = list(patterns.items())
-    fields = ("patternName", "pattern", "strand", "start", "end", "matched")
-    types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
+    both, greedy = not only_positive, not non_greedy
+    if chunk and (how.get("regex") or non_greedy):
+        raise ValueError("chunks are for hits of fixed length, overlapping ones too")
+    circular = how.pop("circular", False) if chunk else False
+    search = _searcher(items, both, greedy, **how)
 
-    def run(batches):
-        def batch_of(rows):
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *[pa.array([r[1][f] for r in rows], t) for f, t in zip(fields, types, strict=True)]], names=["seqID", *fields])
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *[pa.array([r[1][f] for r in rows], t) for f, t in zip(_HIT, _HIT_TYPES, strict=True)]], names=["seqID", *_HIT])
 
+    def run(batches):
         rows: list[tuple] = []
         for batch in batches:
-            for i, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for name, p in items:
-                    rows += [(i, h) for h in find_all(s or "", name, p, both=not only_positive, greedy=not non_greedy, **how)]
-                    while len(rows) >= AT_ONCE:
-                        yield batch_of(rows[:AT_ONCE])
-                        del rows[:AT_ONCE]
+            for i, s, *place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for h in search(s or ""):
+                    if place:
+                        at, own = place
+                        if h["start"] > own:  # the next chunk's
+                            continue
+                        h["start"], h["end"] = h["start"] + at, h["end"] + at
+                    rows.append((i, h))
+                    if len(rows) >= AT_ONCE:
+                        yield batch_of(rows)
+                        rows = []
         if rows:
             yield batch_of(rows)
 
-    return df.select("id", "seq").mapInArrow(run, "seqID string, patternName string, pattern string, strand string, start int, end int, matched string")
+    kind = "seqID string, patternName string, pattern string, strand string, start int, end int, matched string"
+    if not chunk:
+        return df.select("id", "seq").mapInArrow(run, kind)
+    longest = max([1, *(len(p) for _, p in items)])
+    return K.chunks(df, chunk, longest - 1, circular).select("id", "letters", "at", "own").mapInArrow(run, kind)
 
 
 def cigar_of(ref: str, query: str, before: int, after: int) -> tuple[str, int]:

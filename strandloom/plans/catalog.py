@@ -666,5 +666,6 @@ def write_fasta_size(spark, sf_dir):
 
 
 from . import alignments as _alignments  # noqa: E402, F401 - these modules register their queries here
+from . import listed as _listed  # noqa: E402, F401
 from . import files as _files  # noqa: E402, F401
 from . import records as _records  # noqa: E402, F401
