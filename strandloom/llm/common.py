@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.layout import scratch_path, spread
@@ -101,6 +101,29 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+#: A text that a sample cuts counts for at most this part of the sample's bytes.
+SAMPLE_PART = 64
+
+
+def within_bytes(rows: DataFrame, keys: list[str], order: list[str], text: str, group: str, groups: int, max_rows: int, max_bytes: int) -> list:
+    """At most ``max_rows`` rows, the first in ``order``, of at most ``max_bytes`` of text, collected. Rows are chosen by
+    keys and lengths alone; texts of the chosen ones are fetched afterwards, so that no task gathers more than the result.
+    Each of ``groups`` values of ``group`` has its own part of the bytes. A text of more than a ``SAMPLE_PART``-th of the bytes, or a
+    quarter of a group's, is cut to as many characters as surely fit: no text, however long, leaves a group without rows.
+    Rows equal in ``keys`` and text count once."""
+    own = max_bytes // max(1, groups)
+    one = max(4, min(max_bytes // SAMPLE_PART, own // 4))
+    keyed = rows.withColumns({"_d": F.xxhash64(text), "_n": F.octet_length(text)})
+    keys, held = [*keys, "_d"], F.least(F.col("_n"), F.lit(one))
+    thin = keyed.select(*keys, *[c for c in [*order, group, "_n"] if c not in keys]).distinct().orderBy(*order, "_d").limit(max_rows)
+    upto = F.sum(held).over(Window.partitionBy(group).orderBy(*order, "_d").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = thin.withColumn("_upto", upto).where(F.col("_upto") <= own).select(*[F.col(k).alias(f"_c{i}") for i, k in enumerate(keys)])
+    same = [F.col(k).eqNullSafe(F.col(f"_c{i}")) for i, k in enumerate(keys)]
+    cut = F.when(F.col("_n") > one, F.substring(F.col(text).cast("string"), 1, one // 4)).otherwise(F.col(text).cast("string"))
+    met = keyed.join(F.broadcast(chosen), same).withColumn(text, cut.cast("binary"))  # at most max_rows keys
+    return met.dropDuplicates(keys).select(*rows.columns).orderBy(*order, text).collect()
+
+
 def judge_rows(docs: DataFrame, text: str, make, fields: str, rows: int = 512) -> DataFrame:
     """``docs`` as a struct column ``row``, beside columns (``fields``) made from each whole
     text. ``make`` runs once a task and returns a function of the texts (bytes, null as None)

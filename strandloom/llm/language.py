@@ -8,8 +8,8 @@ products a batch: presence by landmark features (slots that no landmark has add
 alone), then kernel rows by weights.
 
 Training takes at most ``max_rows`` labelled rows (or ``LEAST_ROWS`` a language, where that is more) and
-``max_bytes`` of their text, chosen by a hash of the id and spread over the languages; every language is
-learned. Predictions read whole texts and nothing else. A null text or one without a letter is ``und``
+``max_bytes`` of their text, each language its part, chosen by a hash of the id and spread over the languages; of a text
+longer than a 64th of the bytes or a quarter of its language's part the beginning is learned from. Every language is learned. Predictions read whole texts and nothing else. A null text or one without a letter is ``und``
 with score 0; where nothing could be learned every text is ``und``.
 """
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -139,10 +139,8 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     # a hashed share of each language, of about ``each`` rows; the final limits are the bounds
     shares = docs.sparkSession.createDataFrame([(r["l"], min(1.0, each / r["count"])) for r in counts], "l string, share double")
     u = F.pmod(F.xxhash64(F.col("i").cast("string"), F.lit("language sample")), F.lit(1 << 30)) / (1 << 30)
-    sample = rows.withColumn("u", u).join(F.broadcast(shares), "l").where("u < share").select("l", "t", (F.col("u") / F.col("share")).alias("o"))
-    sample = sample.orderBy("o", "l", "t").limit(max(max_rows, LEAST_ROWS * len(counts)))
-    upto = F.sum(F.length("t")).over(Window.orderBy("o", "l", "t").rowsBetween(Window.unboundedPreceding, 0))  # over the sample alone
-    got = sample.withColumn("upto", upto).where(F.col("upto") <= max_bytes).select("l", "t").collect()
+    sample = rows.withColumn("u", u).join(F.broadcast(shares), "l").where("u < share").select("i", "l", "t", (F.col("u") / F.col("share")).alias("o"))
+    got = C.within_bytes(sample, ["i", "l"], ["o", "l"], "t", "l", len(counts), max(max_rows, LEAST_ROWS * len(counts)), max_bytes)
     return fit([bytes(r["t"]) for r in got], [r["l"] for r in got])
 
 

@@ -5,7 +5,8 @@ structure in bins, and, where asked for, categorical metadata columns. The machi
 linear score the pairwise interactions of all features through factors of low rank, in linear
 time: half of (sum of v x)^2 minus the sum of (v x)^2, for each factor. It is trained by Adam on
 logistic loss over at most ``max_rows`` labelled rows that are not held out and ``max_bytes`` of their
-text, chosen by a hash of the id, half of each label at most where there are enough; the constant is
+text, chosen by a hash of the id, half of each label at most where there are enough (of a text longer than a 64th of the bytes
+the beginning); the constant is
 then set so that scores are probabilities under the labels' true shares. An id that ``labels`` has
 with both labels counts as 1; one that ``documents`` has several times trains with each text.
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -167,9 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, meta: tuple[str, ...] = (), doc_id
     limit = F.when(F.col("y") == 1, F.lit(min(1.0, each / share.get(1, 1)))).otherwise(F.lit(min(1.0, each / share.get(0, 1))))
     sample = known.withColumn("u", u).where(F.col("u") < limit).orderBy("u", "k").limit(max_rows)
     rows = docs.select(F.col(doc_id).alias("k"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("t"), F.array(*[F.col(c).cast("string") for c in meta]).alias("m"))
-    drawn = rows.join(F.broadcast(sample), "k").orderBy("u", "k", "t").limit(max_rows)  # the sample has max_rows ids
-    upto = F.sum(F.length("t")).over(Window.orderBy("u", "k", "t").rowsBetween(Window.unboundedPreceding, 0))  # over the sample alone
-    got = drawn.withColumn("upto", upto).where(F.col("upto") <= max_bytes).collect()
+    drawn = rows.join(F.broadcast(sample), "k").select("k", "u", "y", "t", "m")  # the sample has max_rows ids
+    got = C.within_bytes(drawn, ["k", "m"], ["u", "k"], "t", "y", len(share), max_rows, max_bytes)
     return fit([bytes(r["t"]) for r in got], np.array([r["y"] for r in got]), share.get(1, 0) / sum(share.values()), [tuple(r["m"]) for r in got] if meta else None)
 
 

@@ -92,3 +92,16 @@ def test_every_language_is_learned(spark):
     model = L.train(df, max_rows=300)
     learnable = {lang for i, _, lang in data if __import__("zlib").crc32(str(i).encode()) % 4 != 2}
     assert set(model.languages) == learnable and len(learnable) > 250
+
+
+def test_long_texts_do_not_empty_the_sample(spark):
+    """Whichever rows come first in the sample's order, some are of 2 MB where 1 MB is the bound."""
+    short = {"en": "the cat sat on the mat and the dog ran with it ", "fr": "le chat est assis sur le tapis et le chien avec lui "}
+    rows = [(i, lang * 0 + short[lang] * (45_000 if i % 10 == 0 else 2), lang) for i in range(200) for lang in ("en" if i % 2 else "fr",)]
+    rows += [(1000 + i, short["en"] * 45_000, "en") for i in range(5)]
+    model = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_bytes=1 << 20)
+    assert model.languages == ["en", "fr"]
+    got = L.predict(spark.createDataFrame([(1, "the dog sat on the mat"), (2, "le chien est sur le tapis")], "doc_id long, text string"), model).collect()
+    assert [r.lang_pred for r in sorted(got)] == ["en", "fr"]
+    only_long = L.train(spark.createDataFrame([r for r in rows if len(r[1]) > 10**6], "doc_id long, text string, lang string"), max_bytes=1 << 20)
+    assert only_long.languages == ["en", "fr"]

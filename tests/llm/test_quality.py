@@ -120,8 +120,20 @@ def test_an_id_with_both_labels_counts_as_one(spark):
     assert one.constant == two.constant and (one.linear == two.linear).all()
 
 
-def test_sample_is_bounded_in_bytes(spark):
+def test_sample_is_bounded_in_bytes(spark, monkeypatch):
     docs, labels = corpus(200)
     d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
-    machine = Q.train(d, spark.createDataFrame(labels, "doc_id long, quality int"), max_bytes=3000)
-    assert 0 < np.count_nonzero(machine.linear) < np.count_nonzero(Q.train(d, spark.createDataFrame(labels, "doc_id long, quality int")).linear)
+    taken, fit = [], Q.fit
+    monkeypatch.setattr(Q, "fit", lambda texts, *rest: taken.append(texts) or fit(texts, *rest))
+    for most in (3000, 64 << 20):
+        Q.train(d, spark.createDataFrame(labels, "doc_id long, quality int"), max_bytes=most)
+    assert 1500 < sum(map(len, taken[0])) <= 3000 < sum(map(len, taken[1]))
+
+
+def test_long_texts_do_not_empty_the_sample(spark):
+    rows = [(i, ("good prose indeed " if i % 2 else "junk $$$ click ") * (90_000 if i % 10 < 2 else 3)) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    machine = Q.train(spark.createDataFrame(rows, "doc_id long, text string"), labels, max_bytes=1 << 20)
+    fresh = spark.createDataFrame([(1, "good prose indeed"), (2, "junk $$$ click")], "doc_id long, text string")
+    good, junk = (r.score for r in sorted(Q.score(fresh, machine).collect()))
+    assert good > 0.9 and junk < 0.1
