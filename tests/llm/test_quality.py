@@ -127,7 +127,7 @@ def test_sample_is_bounded_in_bytes(spark, monkeypatch):
     monkeypatch.setattr(Q, "fit", lambda texts, *rest: taken.append(texts) or fit(texts, *rest))
     for most in (3000, 64 << 20):
         Q.train(d, spark.createDataFrame(labels, "doc_id long, quality int"), max_bytes=most)
-    assert 1500 < sum(map(len, taken[0])) <= 3000 < sum(map(len, taken[1]))
+    assert 300 < sum(map(len, taken[0])) <= 3000 < sum(map(len, taken[1]))
 
 
 def test_long_texts_do_not_empty_the_sample(spark):
