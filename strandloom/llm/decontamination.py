@@ -4,12 +4,12 @@ Benchmark items are the indexed side. An item of more than ``part`` words is ind
 parts of that many. Each posting holds the item's BM25 weight for the term over the sum of the
 item's weights, so a passage that holds all of an item's terms scores 1, whatever the item's
 length. Every document is cut into passages of twice the longest part's words that overlap by
-half, so that each part that occurs lies whole in one. Every passage is a query: the sums of
+half, so that each part that occurs lies whole in one (fewer words than a shingle's, left at an item's end, are with the part before). Every passage is a query: the sums of
 its terms' maxima over each block of items bound its scores; where some block's bound
 reaches ``threshold``, a block-max WAND traversal retrieves all items that reach it.
 
-A retrieved item counts as contained if at least ``overlap`` of the 5-word shingles of its
-question, and of its answer, occur in the passage. An item's answer is its last sentence, or the
+An item of which a part is retrieved counts as contained if at least ``overlap`` of the 5-word shingles of its whole
+question, and of its whole answer, occur in the passage and as many words around it as the item has around that part. An item's answer is its last sentence, or the
 last third of its words where that leaves too little. Words are runs of letters, digits and
 non-ASCII characters, in lower case.
 
@@ -47,20 +47,33 @@ def plain(text: bytes) -> bytes:
     return text.decode().lower().encode().translate(BLANK)
 
 
-def parts_of(text: bytes, part: int) -> list[tuple[list[bytes], int]]:
-    """An item's parts: their words, and how many of these are its question's."""
+def words_of(text: bytes) -> tuple[list[bytes], int]:
+    """An item's words, and how many of these are its question's."""
     words = plain(text).split()
-    if not words:
-        return []
     raw = text.decode()
-    spans = [m.end() for m in SENTENCE.finditer(raw)]
-    cut = max((n for n in (len(plain(raw[:e].encode()).split()) for e in spans) if SHINGLE <= n <= len(words) - SHINGLE), default=-(-2 * len(words) // 3))
-    out = []
-    for at in range(0, len(words), part):
-        piece = words[at : at + part]
-        if at == 0 or len(piece) >= SHINGLE:
-            out.append((piece, cut - at if 0 < cut - at < len(piece) else -(-2 * len(piece) // 3)))
-    return out
+    spans = [m.end() for m in SENTENCE.finditer(raw)] if words else []
+    return words, max((n for n in (len(plain(raw[:e].encode()).split()) for e in spans) if SHINGLE <= n <= len(words) - SHINGLE), default=-(-2 * len(words) // 3))
+
+
+def spans_of(n: int, part: int) -> list[tuple[int, int]]:
+    """The parts of ``n`` words; fewer than a shingle's at the end go with the part before them."""
+    cuts = [*range(0, n, part), n]
+    if len(cuts) > 2 and n - cuts[-2] < SHINGLE:
+        del cuts[-2]
+    return list(zip(cuts, cuts[1:]))
+
+
+def sides_of(words: list[bytes], cut: int) -> tuple[set[bytes], set[bytes]]:
+    """The shingles of a whole item's question and of its answer: those that end after the question."""
+    grams = [b" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))]
+    q = max(1, min(cut - SHINGLE + 1, len(grams)))
+    return set(grams[:q]), set(grams[q:]) or set(grams)
+
+
+def entries_of(item: int | None, text: bytes, part: int) -> list[tuple]:
+    """(item, words, place of the first in the item, key of the whole item, its words, words of the question) of each part."""
+    words, cut = words_of(text)
+    return [(item, words[a:b], a, (item, text), words, cut) for a, b in spans_of(len(words), part)]
 
 
 class Counts:
@@ -73,7 +86,7 @@ class Counts:
     @classmethod
     def of(cls, entries: list[tuple]) -> Counts:
         df: dict[bytes, int] = {}
-        for _, words, _ in entries:
+        for _, words, *_ in entries:
             for w in set(words):
                 df[w] = df.get(w, 0) + 1
         sizes = [len(e[1]) for e in entries]
@@ -91,16 +104,16 @@ def weights(words: list[bytes], counts: Counts, k1: float = 1.2, b: float = 0.75
 
 
 class Index:
-    """Impacts of the terms of item parts (item, words, words of the question), with maxima by term and
-    by block. ``counts`` are the whole benchmark's; without them the parts given are all."""
+    """Impacts of the terms of item parts (``entries_of``), with maxima by term and by block, and the shingles of
+    whole items. ``counts`` are the whole benchmark's; without them the parts given are all."""
 
-    def __init__(self, entries: list[tuple[int, list[bytes], int]], counts: Counts | None = None, blocks: int = 64):
+    def __init__(self, entries: list[tuple], counts: Counts | None = None, blocks: int = 64):
         # neighbours share words, so that block maxima are tight
         entries = sorted(entries, key=lambda e: (min(e[1], key=lambda w: (-len(w), w)), e[0] is not None, e[0] or 0))
         counts = counts or Counts.of(entries)
         self.items = [e[0] for e in entries]
         self.longest = counts.longest
-        vocab = sorted({w for _, words, _ in entries for w in words})
+        vocab = sorted({w for _, words, *_ in entries for w in words})
         n = len(entries)
         number = {w: i for i, w in enumerate(vocab)}
         self.per_block = max(1, -(-n // blocks))
@@ -108,7 +121,7 @@ class Index:
         self.bound = np.zeros((len(vocab), self.n_blocks), np.float32)
         self.ids: list[list[int]] = [[] for _ in vocab]
         self.impact: list[list[float]] = [[] for _ in vocab]
-        for e, (_, words, _) in enumerate(entries):
+        for e, (_, words, *_) in enumerate(entries):
             for w, x in weights(words, counts).items():
                 t = number[w]
                 self.ids[t].append(e)
@@ -120,14 +133,10 @@ class Index:
         self.hashes, self.terms = self._hash_words(vocab)
         #: Words by themselves, should two of them share a hash.
         self.number = number if len(np.unique(self.hashes)) < len(self.hashes) else None
-        self.shingles = []
-        #: Words in an entry's shingles: an item of fewer than SHINGLE words is one of its own length.
-        self.gram = [min(len(words), SHINGLE) for _, words, _ in entries]
-        for _, words, cut in entries:
-            grams = [b" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))]
-            q = max(1, min(cut - SHINGLE + 1, len(grams)))
-            # the answer's shingles are those that end after the question
-            self.shingles.append((set(grams[:q]), set(grams[q:]) or set(grams)))
+        #: A whole item's question and answer, words in its shingles (an item of fewer than SHINGLE is one of its own length), its words.
+        whole = {key: (*sides_of(words, cut), min(len(words), SHINGLE), len(words)) for _, _, _, key, words, cut in entries}
+        #: Of each part: its whole item, and how many of the item's words lie before and behind it.
+        self.whole = [(whole[key], at, len(item) - at - len(words)) for _, words, at, key, item, _ in entries]
 
     @staticmethod
     def _hash_words(vocab: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -225,10 +234,11 @@ class Index:
                     d = int(np.searchsorted(base, p, "right") - 1)
                     first = words.first[d] + (p - base[d]) * half
                     last = min(first + 2 * half, words.first[d] + words.count[d])
-                    part = words.buf[words.start[first] : words.end[last - 1]].tobytes().split()
-                    n = self.gram[entry]
-                    grams = {b" ".join(part[j : j + n]) for j in range(max(1, len(part) - n + 1))}
-                    question, answer = self.shingles[entry]
+                    # the item around its part: as far as its other words reach
+                    (question, answer, n, _), before, behind = self.whole[entry]
+                    first, last = max(first - before, words.first[d]), min(last + behind, words.first[d] + words.count[d])
+                    around = words.buf[words.start[first] : words.end[last - 1]].tobytes().split()
+                    grams = {b" ".join(around[j : j + n]) for j in range(max(1, len(around) - n + 1))}
                     q, s = len(question & grams) / len(question), len(answer & grams) / len(answer)
                     if min(q, s) >= overlap:
                         pair = (d, self.items[entry])
@@ -237,21 +247,24 @@ class Index:
 
 
 def _parts(benchmark: DataFrame, part: int, item_id: str, item_text: str) -> DataFrame:
-    """(item, words joined by blanks, cut, shard key) of every part of every item."""
+    """(item, words joined by blanks, at, key, cut) of every part of every item; key is a digest of the item's text."""
 
     def make():
+        import hashlib
+
         def step(batch: pa.RecordBatch):
-            rows = [(i, b" ".join(words).decode(), cut) for i, t in zip(batch.column(0).to_pylist(), C.byte_values(batch.column(1)), strict=True) for words, cut in parts_of(t, part)]
-            return {"item": pa.array([r[0] for r in rows], pa.int64()), "words": pa.array([r[1] for r in rows], pa.string()), "cut": pa.array([r[2] for r in rows], pa.int64())}
+            rows = [(i, b" ".join(words).decode(), at, hashlib.blake2b(t, digest_size=16).digest(), cut) for i, t in zip(batch.column(0).to_pylist(), C.byte_values(batch.column(1)), strict=True) for _, words, at, _, _, cut in entries_of(i, t, part)]
+            kinds = (("item", pa.int64()), ("words", pa.string()), ("at", pa.int64()), ("key", pa.binary()), ("cut", pa.int64()))
+            return {name: pa.array([r[j] for r in rows], kind) for j, (name, kind) in enumerate(kinds)}
 
         return step
 
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("binary").alias("t"))
-    return C.map_batches(items, make, "item long, words string, cut long")
+    return C.map_batches(items, make, "item long, words string, at long, key binary, cut long")
 
 
 def _indexes(benchmark: DataFrame, part: int, shard_bytes: int, item_id: str, item_text: str) -> list:
-    """The broadcast index of each shard of the items' parts."""
+    """The broadcast index of each shard of the items' parts; an item's parts are in one shard."""
     parts = C.written(_parts(benchmark, part, item_id, item_text), "benchmark")
     size = F.size(F.split("words", " "))
     n, mean, longest, total = parts.agg(F.count("*"), F.avg(size), F.max(size), F.sum(F.octet_length("words"))).first()
@@ -261,9 +274,14 @@ def _indexes(benchmark: DataFrame, part: int, shard_bytes: int, item_id: str, it
     df = df if shards == 1 else C.written(df, "frequencies")
     out = []
     for s in range(shards):
-        own = parts.where(F.pmod(F.xxhash64("item", "words"), F.lit(shards)) == s)
-        # both of about ``shard_bytes`` at most: a shard's parts and its words
-        entries = [(r["item"], r["words"].encode().split(), r["cut"]) for r in own.collect()]
+        own = parts.where(F.pmod(F.xxhash64("item", "key"), F.lit(shards)) == s)
+        # both of about ``shard_bytes`` at most, or one item: a shard's parts and its words
+        rows = [(r["item"], r["words"].encode().split(), r["at"], (r["item"], bytes(r["key"])), r["cut"]) for r in own.collect()]
+        pieces: dict[tuple, dict[int, list[bytes]]] = {}
+        for _, words, at, key, _ in rows:
+            pieces.setdefault(key, {})[at] = words  # equal items have equal parts
+        whole = {key: [w for at in sorted(p) for w in p[at]] for key, p in pieces.items()}
+        entries = [(item, words, at, key, whole[key], cut) for item, words, at, key, cut in rows]
         counts = {r["w"].encode(): r["n"] for r in df.join(terms(own).distinct(), "w", "left_semi").collect()}
         out.append(benchmark.sparkSession.sparkContext.broadcast(Index(entries, Counts(n, mean or 1.0, longest or 0, counts))))
     return out
