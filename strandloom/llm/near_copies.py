@@ -1,7 +1,7 @@
 """Near copies: SimHash finds them, the exact Jaccard similarity of word shingles tells them.
 
 A text's set holds the hashes of its shingles of ``k`` words, in lower case; a text of fewer words
-is one shingle. Texts of equal sets are one node. A set has ``SIMS`` SimHash fingerprints of 64 bits,
+is one shingle. A shingle's hash mixes the XXH64 of its words, each by its place. Texts of equal sets are one node. A set has ``SIMS`` SimHash fingerprints of 64 bits,
 each over hashes of its own. Every fingerprint is cut into the segments of ``near_dedup``; a key is the
 Golay index of one segment, so that segments near the same codeword agree, with ``PIECE`` bits of
 the segment after it, ``PIECES`` such keys a segment. Nodes that share a key and differ in ``NEAR``
@@ -37,6 +37,8 @@ BLOCK, BLOCK_BYTES = 256, 1 << 20
 #: Runs of one key up to this size are compared all at once.
 SMALL = 64
 
+#: Odd factors of a word's places in a shingle.
+_PLACE = np.random.Generator(np.random.PCG64(11)).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALT = np.random.Generator(np.random.PCG64(10)).integers(0, 2**64, SIMS, dtype=np.uint64)
 
 
@@ -50,7 +52,12 @@ def shingle_sets(texts: list[bytes], k: int = 5) -> tuple[np.ndarray, np.ndarray
     doc = np.repeat(np.arange(len(texts)), n)
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(words.first, n)
     last = at + np.repeat(np.minimum(words.count, k), n) - 1
-    h = C.SpanHash(words.buf, seed=10).of(words.start[at], words.end[last]) if len(at) else np.zeros(0, np.uint64)
+    word = C.xxh64_spans(words.buf, words.start, words.end, seed=10)
+    h = np.zeros(len(at), np.uint64)
+    for j in range(k):
+        there = at + j <= last
+        h += np.where(there, C.mix(word[np.minimum(at + j, last)] + _PLACE[j]) * _PLACE[j], np.uint64(0))
+    h = C.mix(h)
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     new = np.ones(len(h), bool)

@@ -146,3 +146,16 @@ def test_links_do_not_grow_with_shared_keys():
         assert sorted(map(tuple, M.stars(np.concatenate(links)).tolist())) == sorted(map(tuple, plain.tolist()))
         assert made[-1] < 12 * n, made
     assert made[1] < 2.5 * made[0], made
+
+
+def test_texts_made_to_collide_stay_two(spark):
+    """Words of the letters a and b in the order of the Thue-Morse sequence and its complement: polynomial hashes modulo a power of two
+    give both one value."""
+    for n in (1024, 2048, 4096):
+        one = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+        other = one.translate(str.maketrans("ab", "ba"))
+        texts = [f"the first words {w} and then some more words" for w in (one, other)]
+        nodes = M.text_nodes([t.encode() for t in texts])
+        assert nodes[0] != nodes[1]
+    docs = spark.createDataFrame([(1, texts[0]), (2, texts[1])], "doc_id long, text string")
+    assert M.representatives(docs).count() == 2
