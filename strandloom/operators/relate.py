@@ -79,7 +79,8 @@ def _contained(holders: DataFrame, held: DataFrame) -> DataFrame:
 
     places = [of_class(c) for c in classes]
     if not places:
-        return holders.crossJoin(held.drop("cls", "digest", "h")).select("key", "of", F.col("len").alias("b"), "len", "tag").limit(0)
+        kinds = {f.name: f.dataType for f in held.schema} | {"b": "int", "len": "int"}
+        return holders.where(F.lit(False)).select("key", *[F.lit(None).cast(kinds[c]).alias(c) for c in ("of", "b", "len", "tag")])
     none = F.array().cast("array<struct<cls:int,at:int,h:bigint>>")
     seeds = both.select("key", "minus", F.explode(F.concat(*[F.coalesce(x, none) for x in places])).alias("x")).select("key", "minus", "x.*")
     seeds = seeds.withColumn("salt", F.when(F.col("cls") <= HOT, F.pmod("at", F.lit(SALTS))).otherwise(0))
