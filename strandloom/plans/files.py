@@ -9,8 +9,9 @@ from ..functions.layout import scratch_path
 from ..operators import order as O
 from ..operators import relate as R
 from ..operators import transform as T
+from ..sources import faidx
 from ..sources import formats as X
-from .catalog import FEAT, REC, fasta, features, query, records, table
+from .catalog import FEAT, RC, REC, fasta, features, query, records, table
 
 
 def lines(df: DataFrame, spark, tag: str, one_file=False, compression="none") -> str:
@@ -127,11 +128,25 @@ def scan_stream(spark, sf_dir):
 
 @query(f"""WITH {REC}, q AS (SELECT CAST(i AS VARCHAR) AS id FROM generate_series(0, 49) t(i)) SELECT id || ':' || 5 || '-' || least(70, length(seq)) AS name, substr(seq, 5, least(70, length(seq)) - 4) AS seq FROM r JOIN q USING (id) WHERE length(seq) >= 5""")
 def faidx_ranges(spark, sf_dir):
-    """Fifty regions, as a caller writes them, asked of one file by its index."""
-    r = fasta(spark, sf_dir).withColumn("name", F.col("id"))
-    path = scratch_path(spark, "indexed")
-    X.as_text(r.coalesce(1).sortWithinPartitions("pos")).write.text(path)
-    index = scratch_path(spark, "fai")
-    X.write_fai(X.fasta_index(r), index)
-    told = X.fetch_ranges(spark, X.list_files(spark, path, r"\.txt$")[0], X.read_fai(spark, index), [(str(i), 5, 70) for i in range(50)])
-    return spark.createDataFrame(told, "name string, seq string")
+    """Fifty regions, as a caller writes them, asked of a folder of files by their index."""
+    return faidx.read_ranges(given(spark, sf_dir), faidx.requests(spark, [f"{i}:5-70" for i in range(50)])).select(F.concat(F.substring_index("name", "-", 1), F.lit("-"), F.length("seq") + 4).alias("name"), "seq").where("seq <> ''")
+
+
+def given(spark, sf_dir) -> DataFrame:
+    """The index of files that many tasks wrote, wrapped at 60."""
+    path = scratch_path(spark, "given")
+    X.write_fx(fasta(spark, sf_dir).withColumn("name", F.col("id")), path)
+    return faidx.index_files(spark, path)
+
+
+@query(f"WITH {REC} SELECT id AS name, CAST(length(seq) AS BIGINT) AS length, CAST(least(length(seq), 60) AS BIGINT) AS line_bases, CAST(least(length(seq), 60) + 1 AS BIGINT) AS line_width FROM r")
+def faidx_given(spark, sf_dir):
+    return given(spark, sf_dir).select("name", "length", "line_bases", "line_width")
+
+
+@query(f"WITH {REC}, q AS (SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS request, CAST(l_partkey % (SELECT count(*) FROM documents) AS VARCHAR) AS id, 1 + l_suppkey % 90 AS a, 1 + l_partkey % 70 AS b FROM lineitem) SELECT request, CASE WHEN a > b THEN {RC.format('substr(seq, b, a - b + 1)')} ELSE substr(seq, a, b - a + 1) END AS seq FROM r JOIN q USING (id)")
+def faidx_table(spark, sf_dir):
+    """A region for each line item, many of the minus strand, as a table of requests."""
+    n = table(spark, sf_dir, "documents").count()
+    asked = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("request"), (F.col("l_partkey") % n).cast("string").alias("name"), (F.col("l_suppkey") % 90 + 1).cast("long").alias("first"), (F.col("l_partkey") % 70 + 1).cast("long").alias("last"))
+    return faidx.read_ranges(given(spark, sf_dir), asked).select("request", "seq")
