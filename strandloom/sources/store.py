@@ -38,6 +38,16 @@ def files(paths) -> list[tuple[str, int]]:
     return out
 
 
+def below(root: str, regexp: str) -> list[tuple[str, int]]:
+    """(path, bytes) of the files at any depth of a folder whose paths match, by name; none if there is no folder."""
+    from pyarrow import fs
+
+    store, place = at(root)
+    before = root[: len(root) - len(place)] if "://" in root and root.endswith(place) else ""
+    found = store.get_file_info(fs.FileSelector(place, allow_not_found=True, recursive=True))
+    return sorted((before + f.path, f.size) for f in found if f.type == fs.FileType.File and re.search(regexp, f.path))
+
+
 def splits(size: int, most: int) -> list[tuple[int, int]]:
     return [(a, min(a + most, size)) for a in range(0, size, most)]
 

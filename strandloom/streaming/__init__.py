@@ -1,5 +1,5 @@
 """Directories that keep growing, as Structured Streaming queries."""
 
-from .follow import follow, register, tee, watch_stream
+from .follow import Reports, follow, register, stop_when_idle, tee, watch_stream
 
-__all__ = ["follow", "register", "tee", "watch_stream"]
+__all__ = ["Reports", "follow", "register", "stop_when_idle", "tee", "watch_stream"]
