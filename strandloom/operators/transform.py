@@ -207,9 +207,32 @@ def rename(df: DataFrame, separator="_", start=2, first_too=False, by_name=False
     return out.withColumn("id", new).withColumn("name", F.rtrim(F.concat("id", F.lit(" "), "desc"))).drop("_k")
 
 
-def mutate(df: DataFrame, points=(), deletion=None, insertion=None, matched: Column | None = None) -> DataFrame:
+def selected(df: DataFrame, patterns, by_name=False, use_regexp=False, ignore_case=False, invert=False, out: str = "_hit") -> DataFrame:
+    """``df`` with whether a record's id (or name) is one of the patterns, or is matched by one of the expressions. Patterns
+    are a list, or a table (pattern) of any size that ids meet in a join; expressions are a list."""
+    target = F.col("name" if by_name else "id")
+    if use_regexp:
+        # each in a group of its own, so that an alternative or an anchor stays within it
+        hit = F.lit(False) if not patterns else target.rlike(("(?i)" if ignore_case else "") + "|".join(f"(?:{p})" for p in patterns))
+        return df.withColumn(out, F.coalesce(hit, F.lit(False)) != F.lit(invert))
+    fold = F.lower if ignore_case else (lambda c: c)
+    if isinstance(patterns, DataFrame):
+        keys = patterns.select(fold(F.col("pattern")).alias("_pattern")).where("_pattern is not null").distinct()
+        return df.join(keys, fold(target) == F.col("_pattern"), "left").withColumn(out, F.col("_pattern").isNotNull() != F.lit(invert)).drop("_pattern")
+    hit = fold(target).isin([p.lower() if ignore_case else p for p in patterns])
+    return df.withColumn(out, F.coalesce(hit, F.lit(False)) != F.lit(invert))
+
+
+def mutate(df: DataFrame, points=(), deletion=None, insertion=None, matched: Column | None = None, patterns=None, **how) -> DataFrame:
     """Point mutations (position, base), then a deletion (start, end) or an insertion (position,
-    bases; after it, 0 before all). Places out of range leave a record as it is."""
+    bases; after it, 0 before all). Places out of range leave a record as it is, and so do records that
+    ``patterns`` (with the options of ``selected``) do not choose."""
+    if patterns is not None:
+        marked = selected(df, patterns, **how)
+        chosen = F.col("_hit") if matched is None else F.col("_hit") & matched
+        return mutate(marked, points, deletion, insertion, chosen).drop("_hit")
+    if how:
+        raise TypeError(f"{', '.join(how)} without patterns")
     if deletion and insertion:
         raise ValueError("deletion or insertion, not both")
     s = F.col("seq")
@@ -293,6 +316,21 @@ def guess_encoding(df: DataFrame, records: int = 1000, b_most_common: int = 2, b
     return ["Illumina-1.5+"] if "Illumina-1.5+" in out and common >= b_fraction else out
 
 
+def guess_encodings(df: DataFrame, by=("file",), b_most_common: int = 2, b_fraction: float = 0.1) -> DataFrame:
+    """``guess_encoding`` over all records of each group: (by, low, high, encodings), comma-joined in the order of
+    ``ENCODINGS``. Ties between frequent letters go to the smaller one; groups without qualities have no row."""
+    letters = F.array_distinct(F.filter(F.split("qual", ""), lambda c: c != ""))
+    n = lambda c: F.length("qual") - F.length(F.replace(F.col("qual"), c, F.lit("")))
+    b = n(F.lit("B"))
+    before = F.size(F.filter(letters, lambda c: (n(c) > b) | ((n(c) == b) & (c < "B"))))
+    frequent = (b > 0) & (before < b_most_common)
+    told = df.where("qual <> ''").groupBy(*by).agg(F.min(F.ascii(F.array_min(letters))).alias("low"), F.max(F.ascii(F.array_max(letters))).alias("high"), F.avg(frequent.cast("int")).alias("_b"))
+    top = lambda name, off: 74 if name == "Illumina-1.8+" else 73 if off == 33 else 105
+    allowed = F.array_compact(F.array(*[F.when((F.col("low") >= off + least) & (F.col("high") <= top(name, off)), name) for name, (off, least, _) in ENCODINGS.items()]))
+    one = F.array_contains(allowed, "Illumina-1.5+") & (F.col("_b") >= b_fraction)
+    return told.select(*by, "low", "high", F.when(one, "Illumina-1.5+").otherwise(F.array_join(allowed, ",")).alias("encodings"))
+
+
 def head_genome(df: DataFrame, min_words: int = 1) -> DataFrame:
     """The first records whose descriptions share their leading words with the first record's, as
     many as the second shares."""

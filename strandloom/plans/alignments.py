@@ -111,3 +111,37 @@ def write_bam(spark, sf_dir):
     refs = [(str(r.s_suppkey), 100_000) for r in table(spark, sf_dir, "supplier").select("s_suppkey").orderBy("s_suppkey").collect()]
     L.write_bam(alignments(spark, sf_dir), refs, path)
     return L.read_bam(spark, path).select("read", "ref", "ref_len", "pos", "mapq", "flags", cigar_text(), F.col("tags")["NM"].alias("nm"))
+
+
+_PLACED = "SELECT file AS ref, CASE WHEN pos % 7 = 0 THEN 0 ELSE 1 END AS placed, CASE WHEN pos % 5 = 0 THEN 0 ELSE 1 END AS mapped FROM r"
+
+
+def indexed(spark, sf_dir) -> str:
+    """A BAM file of which every seventh read has no place and every fifth of the others is not mapped, with an index of its counts."""
+    from ..functions.layout import scratch_path
+    from ..sources import alignments as L
+    from ..sources import store
+
+    path = scratch_path(spark, "indexed") + ".bam"
+    out = F.col("pos") % 7 == 0
+    placed = reads(spark, sf_dir).withColumn("flags", F.when(out | (F.col("pos") % 5 == 0), 4).otherwise(F.col("flags"))).withColumn("ref", F.when(~out, F.col("ref")).otherwise("*"))
+    L.write_bam(placed, [(lang, 5000) for lang in LANGS], path, single=True)
+    counts = L.read_bam(spark, path, split_bytes=64 << 10).groupBy("ref").agg(F.sum((~bam.flag(4)).cast("long")).alias("mapped"), F.sum(bam.flag(4).cast("long")).alias("unmapped"))
+    told = {r.ref: (r.mapped, r.unmapped) for r in counts.collect()}  # a row for each reference of the header
+    with store.open_new(path + ".bai") as f:
+        f.write(L.encode_summary([told.get(lang) for lang in LANGS], sum(sum(n) for ref, n in told.items() if ref not in LANGS)))
+    return path + ".bai"
+
+
+@query(f"""WITH {REC}, p AS ({_PLACED}), t AS (SELECT count(*) FILTER (placed = 1 AND mapped = 1) AS a, count(*) FILTER (placed = 0) AS u FROM p) SELECT round(100.0 * a / (a + u), 6) AS "AlnPerc", a AS "Aligned", u AS "Unmapped", a + u AS "TotalRec" FROM t""")
+def bam_index_stat(spark, sf_dir):
+    from ..sources.alignments import index_stat
+
+    return index_stat(spark, indexed(spark, sf_dir)).select(r6("AlnPerc").alias("AlnPerc"), "Aligned", "Unmapped", "TotalRec")
+
+
+@query(f"""WITH {REC}, p AS ({_PLACED}) SELECT ref AS "Ref", count(*) FILTER (mapped = 1) AS "Count" FROM p WHERE placed = 1 GROUP BY 1""")
+def bam_index_count(spark, sf_dir):
+    from ..sources.alignments import index_count
+
+    return index_count(spark, indexed(spark, sf_dir)).select("Ref", "Count")

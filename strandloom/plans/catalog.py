@@ -669,3 +669,4 @@ from . import alignments as _alignments  # noqa: E402, F401 - these modules regi
 from . import listed as _listed  # noqa: E402, F401
 from . import files as _files  # noqa: E402, F401
 from . import records as _records  # noqa: E402, F401
+from . import streams as _streams  # noqa: E402, F401

@@ -155,3 +155,28 @@ def replace_uuid(spark, sf_dir):
     r = T.replace(fasta(spark, sf_dir), ".+", "{uuid}")
     form = r"^[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
     return r.agg(F.count("*").alias("records"), F.count_distinct("id").alias("distinct_ids"), F.count(F.when(~F.col("id").rlike(form), 1)).alias("other"))
+
+
+_CUT = "CASE WHEN length(seq) >= 3 AND {} THEN substr(seq, 1, 2) || 'N' || substr(seq, 4) ELSE seq END AS seq"
+
+
+@query(f"WITH {REC} SELECT id, {_CUT.format('NOT EXISTS (SELECT 1 FROM labels WHERE CAST(doc_id AS VARCHAR) = id)')} FROM r")
+def mutate_unlisted(spark, sf_dir):
+    """Records that a table of ids does not have."""
+    listed = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("pattern"))
+    return T.mutate(fasta(spark, sf_dir), points=((3, "N"),), patterns=listed, invert=True).select("id", "seq")
+
+
+@query(f"WITH {REC} SELECT id, {_CUT.format(chr(40) + 'regexp_matches(id, ' + chr(39) + '^1.*[02468]$' + chr(39) + ') OR contains(name, ' + chr(39) + ' de ' + chr(39) + '))')} FROM r")
+def mutate_by_regexp(spark, sf_dir):
+    return T.mutate(fasta(spark, sf_dir), points=((3, "N"),), patterns=[r"^1\d*[02468] ", " DE "], by_name=True, use_regexp=True, ignore_case=True).select("id", "seq")
+
+
+@query(f"""WITH {REC}, q AS (SELECT lang, unnest(string_split(translate(seq, 'ACGT', CASE lang WHEN 'de' THEN 'h^TJ' WHEN 'es' THEN 'hBBf' WHEN 'en' THEN 'J?5+' ELSE 'I?5+' END), '')) AS c FROM (SELECT file AS lang, seq FROM r WHERE seq <> ''))
+ SELECT lang AS file, min(ascii(c)) AS low, max(ascii(c)) AS high, CASE lang WHEN 'de' THEN 'Solexa,Illumina-1.3+,Illumina-1.5+' WHEN 'es' THEN 'Illumina-1.5+' WHEN 'en' THEN 'Illumina-1.8+' ELSE 'Sanger,Illumina-1.8+' END AS encodings FROM q WHERE c <> '' GROUP BY lang""")
+def quality_guess(spark, sf_dir):
+    """Encodings that the qualities of each file allow, which are written in four of them."""
+    r = fasta(spark, sf_dir)
+    as_ = lambda to: F.translate("seq", "ACGT", to)
+    qual = F.when(F.col("file") == "de", as_("h^TJ")).when(F.col("file") == "es", as_("hBBf")).when(F.col("file") == "en", as_("J?5+")).otherwise(as_("I?5+"))
+    return T.guess_encodings(r.withColumn("qual", qual))

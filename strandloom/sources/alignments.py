@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
+from . import bgzf, store
 
 OPS = "MIDNSHP=X"
 BASES = "=ACMGRSVTWYHKDBN"
@@ -243,24 +244,75 @@ def region_chunks(content: bytes, ref: int, start: int, end: int) -> list[tuple[
     return [((a >> 16, a & 0xFFFF), (b >> 16, b & 0xFFFF)) for a, b in out]
 
 
-def index_counts(content: bytes) -> list[tuple[int, int, int]]:
-    """(reference number, mapped, unmapped) from a .bai file's summary bins."""
+def index_summary(content: bytes) -> tuple[list[tuple[int, int, int] | None], int | None]:
+    """(mapped, unmapped) of each reference from a .bai file's summary bins, or None without one, with the reference's
+    number first; and the records without a place, or None in an index that does not have them."""
     if content[:4] != b"BAI\1":
         raise ValueError("no BAI")
     n, at, out = struct.unpack_from("<i", content, 4)[0], 8, []
     for ref in range(n):
-        mapped = unmapped = 0
+        told = None
         bins = struct.unpack_from("<i", content, at)[0]
         at += 4
         for _ in range(bins):
             number, chunks = struct.unpack_from("<Ii", content, at)
             at += 8
             if number == 37450:
-                mapped, unmapped = struct.unpack_from("<QQ", content, at + 16)
+                told = (ref, *struct.unpack_from("<QQ", content, at + 16))
             at += 16 * chunks
         at += 4 + 8 * struct.unpack_from("<i", content, at)[0]
-        out.append((ref, mapped, unmapped))
-    return out
+        out.append(told)
+    return out, struct.unpack_from("<Q", content, at)[0] if len(content) >= at + 8 else None
+
+
+def index_counts(content: bytes) -> list[tuple[int, int, int]]:
+    """(reference number, mapped, unmapped) from a .bai file's summary bins."""
+    return [x or (i, 0, 0) for i, x in enumerate(index_summary(content)[0])]
+
+
+def encode_summary(counts: list[tuple[int, int] | None], unplaced: int | None) -> bytes:
+    """A .bai of summaries alone: counts without chunks."""
+    one = lambda c: struct.pack("<i", 0) if c is None else struct.pack("<iIiQQQQ", 1, 37450, 2, 0, 0, *c)
+    return b"BAI\1" + struct.pack("<i", len(counts)) + b"".join(one(c) + struct.pack("<i", 0) for c in counts) + (b"" if unplaced is None else struct.pack("<Q", unplaced))
+
+
+def _by_index(spark: SparkSession, paths, rows_of, kind: str) -> DataFrame:
+    names = [part.split()[0] for part in kind.split(",")]
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows := rows_of(path.removesuffix(".bai"), content):
+                    yield pa.RecordBatch.from_pydict({n: list(c) for n, c in zip(names, zip(*rows, strict=True), strict=True)})
+
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, kind)
+
+
+def index_stat(spark: SparkSession, paths) -> DataFrame:
+    """(AlnPerc, Aligned, Unmapped, TotalRec, File) of .bai files, a row for each; no record is read. Unmapped are the records
+    without a place; an index that does not count them is an error."""
+
+    def rows_of(path, content):
+        counts, unplaced = index_summary(content)
+        if unplaced is None:
+            raise ValueError(f"the index of {path} does not count unmapped records")
+        return [(sum(c[1] for c in counts if c), unplaced, path)]
+
+    told = _by_index(spark, paths, rows_of, "Aligned long, Unmapped long, File string")
+    total = F.col("Aligned") + F.col("Unmapped")
+    return told.select(F.coalesce(F.try_divide(F.col("Aligned") * 100.0, total), F.lit(0.0)).alias("AlnPerc"), "Aligned", "Unmapped", total.alias("TotalRec"), "File")
+
+
+def index_count(spark: SparkSession, paths) -> DataFrame:
+    """(Ref, Count, File) of the references that .bai files count; names are in the headers of the BAM files beside them."""
+
+    def rows_of(path, content):
+        size = store.files([path])[0][1]
+        with store.open_file(path) as f:
+            names = [n for n, _ in bgzf.header(bgzf.Stream(bgzf.Window(f, size), 0))[1]]
+        return [(names[c[0]], c[1], path) for c in index_summary(content)[0] if c]
+
+    return _by_index(spark, paths, rows_of, "Ref string, Count long, File string")
 
 
 def read_bai(spark: SparkSession, paths) -> DataFrame:
