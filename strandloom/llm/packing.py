@@ -11,13 +11,15 @@ Pieces meet the plan by their rank among the pieces of their length. Ranks come
 counts by (share of ids, length) and a row number within each share, so a length that a third
 of all pieces has is ranked in many tasks.
 
-A word's ids do not depend on other words, so each distinct word of a worker is tokenised
-once (a bounded cache) and a document's ids are the joined ids of its words. Null and empty
-texts are one end id. Rows with equal or null ids are packed each for itself.
+Where a tokenizer's steps are those of ``APART``, a word's ids do not depend on other words, so each
+distinct word of a worker is tokenised once (a bounded cache) and a document's ids are the joined ids of its
+words; any other tokenizer gets whole texts. Null and empty texts are one end id, and bytes that are no UTF-8
+count as U+FFFD. Rows with equal or null ids are packed each for itself.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 
@@ -33,6 +35,30 @@ SIZE, END = 4096, 1
 PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
+#: The steps of a tokenizer file that keep words apart (fixed values).
+APART = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
+
+
+def keeps_apart(path: str) -> bool:
+    """Whether a tokenizer's words can be tokenised each for itself: its steps are known to keep them apart, and no
+    token is added that could hold a blank or plain letters."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    added = [t["content"] for t in told.get("added_tokens") or ()]
+    return told["model"].get("type") == "BPE" and not told["model"].get("dropout") and all(told.get(k) == v for k, v in APART.items()) and all(t.startswith("<|") and not re.search(r"\s", t) for t in added)
+
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -55,6 +81,9 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.whole.no_truncation()
+        self.whole.no_padding()
+        self.apart = keeps_apart(path)
         self.model, self.letters, self.parts, self.most = self.whole.model, _byte_letters(), {}, most
 
     def part(self, p: str) -> bytes:
@@ -69,16 +98,21 @@ class WordIds(dict):
             self.clear()
         if len(self.parts) >= 2 * self.most:
             self.parts.clear()
-        text = word.decode()
+        text = word.decode(errors="replace")
         if PLAIN.fullmatch(text) and "<|" not in text and len(text) <= 64:
             ids = b"".join(map(self.part, PIECES.findall(text.lower())))
         else:
-            ids = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = self.encoded(text)
         if len(word) <= 64:
             self[word] = ids
         return ids
 
+    def encoded(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def of(self, text: bytes) -> bytes:
+        if not self.apart:
+            return self.encoded(text.decode(errors="replace"))
         return b"".join(map(self.__getitem__, text.split()))
 
 

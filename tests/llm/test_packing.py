@@ -68,3 +68,32 @@ def test_pack(spark):
         assert at <= 4096
     assert len(bins) <= 2 + -(-sum(r.length for r in got) // 4096)
     assert P.pack(df.limit(0)).count() == 0
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    dealt = json.load(open(P.default_tokenizer(), encoding="utf-8"))
+    assert P.keeps_apart(P.default_tokenizer())
+    paths = [public_tokenizers.path("byte_bpe_50k.json")]
+    for name, change in {"cased": {"normalizer": None}, "blank": {"added_tokens": [*dealt["added_tokens"], {**dealt["added_tokens"][-1], "id": 0, "content": "two words"}]}, "cut": {"truncation": {"direction": "Right", "max_length": 3, "strategy": "LongestFirst", "stride": 0}}}.items():
+        paths.append(str(tmp_path / f"{name}.json"))
+        json.dump(dealt | change, open(paths[-1], "w", encoding="utf-8"))
+    rng = random.Random(5)
+    letters = list("aB c\n\t  é'sXYZ09-<|>") + ["two words", "ǅ", "漢", "e\u0301"]
+    for path in paths:
+        assert not P.keeps_apart(path)
+        words, whole = P.WordIds(path), Tokenizer.from_file(path)
+        whole.no_truncation()
+        for _ in range(60):
+            text = "".join(rng.choices(letters, k=rng.randint(0, 30)))
+            assert np.frombuffer(words.of(text.encode()), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_bytes_that_are_no_text():
+    words, whole = P.WordIds(P.default_tokenizer()), Tokenizer.from_file(P.default_tokenizer())
+    for raw in (b"\xff", b"ab\xc3 cd\xe2\x82", b"\x80\n\xf0\x9f plain"):
+        want = whole.encode(raw.decode(errors="replace"), add_special_tokens=False).ids
+        assert np.frombuffer(words.of(raw), "<u4").tolist() == want
