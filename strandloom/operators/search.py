@@ -187,6 +187,29 @@ def find_listed(seq: str, items: list[tuple[str, str]], told: P.Patterns, both=T
                     yield {"patternName": name, "pattern": pattern, "strand": strand, "start": start, "end": end, "matched": shown[a:b]}
 
 
+def near_columns(seq: str, told: P.Patterns, both=True, ignore_case=False) -> Iterator[tuple[np.ndarray, str, np.ndarray, np.ndarray, str, np.ndarray]]:
+    """The hits of ``find_listed`` with mismatches, a strand's as arrays: pattern numbers, strand, starts and ends on the + strand, the
+    letters searched and the places in them."""
+    n = len(seq)
+    for strand in ("+-" if both else "+") if n else "":
+        s = seq if strand == "+" else iupac.revcomp(seq)
+        who, a = told.near(s)
+        b = a + told.sizes[who]
+        start, end = (a + 1, b) if strand == "+" else (n - b + 1, n - a)
+        yield who, strand, start, end, s.lower() if ignore_case else s, a
+
+
+def letters_at(texts: list[tuple[bytes, np.ndarray, np.ndarray]]) -> pa.Array:
+    """The substrings of each text (starts, lengths) as one column."""
+    base = np.cumsum([0, *[len(t) for t, _, _ in texts]])
+    first = np.concatenate([a + x for (_, a, _), x in zip(texts, base)])
+    size = np.concatenate([k for _, _, k in texts])
+    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+    places = np.repeat(first - ends[:-1], size) + np.arange(ends[-1])
+    letters = np.frombuffer(b"".join(t for t, _, _ in texts), np.uint8)[places]
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(letters))
+
+
 def _searcher(items: list[tuple[str, str]], both: bool, greedy: bool, **how):
     """A function from a text to its hits: pattern by pattern, or for long lists by automata."""
     regex = how.get("regex", False)
@@ -239,11 +262,53 @@ def locate(df: DataFrame, patterns: dict[str, str], only_positive=False, non_gre
         if rows:
             yield batch_of(rows)
 
+    mismatches, fold = how.get("mismatches", 0), how.get("ignore_case", False)
+    arrays = mismatches and len(items) > FEW and greedy and not (how.get("regex") or how.get("degenerate") or how.get("circular")) and all(p.isascii() for _, p in items)
+
+    def run_arrays(batches):
+        """The same for lists with mismatches, whose hits may be more than the letters: columns, no objects for each hit."""
+        parts = [(items[a : a + len(x)], x) for x, a in zip(shards, np.cumsum([0, *map(len, shards)]))]
+        labels = [(pa.array([n for n, _ in part], pa.string()), pa.array([p for _, p in part], pa.string())) for part, _ in parts]
+        for batch in batches:
+            for (part, listed), (names, patterns) in zip(parts, labels):
+                told, found, n = P.Patterns.kept(listed, mismatches=mismatches, ignore_case=fold), [], 0
+                for i, s, *place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if s and not s.isascii():  # places in bytes are not those in letters; once for all shards
+                        if listed is not shards[0]:
+                            continue
+                        yield from run(iter([pa.RecordBatch.from_arrays([pa.array([x], c.type) for x, c in zip((i, s, *place), batch.columns)], names=batch.schema.names)]))
+                        continue
+                    at, own = place or (0, len(s or ""))
+                    for who, strand, start, end, text, a in near_columns(s or "", told, both, fold):
+                        mine = start <= own
+                        if not mine.all():
+                            who, start, end, a = who[mine], start[mine], end[mine], a[mine]
+                        for x in range(0, len(who), AT_ONCE):
+                            y = slice(x, x + AT_ONCE)
+                            low, high = int(a[y].min()), int((a[y] + end[y] - start[y]).max()) + 1
+                            found.append((i, who[y], strand, start[y] + at, end[y] + at, text[low:high].encode(), a[y] - low, end[y] - start[y] + 1))
+                            n += len(who[y])
+                            if n >= AT_ONCE:
+                                yield hits_of(found, names, patterns)
+                                found, n = [], 0
+                if found:
+                    yield hits_of(found, names, patterns)
+
+    def hits_of(found, names, patterns):
+        ids, who, strands, start, end, texts, a, k = zip(*found)
+        each = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in who]))
+        who = pa.array(np.concatenate(who))
+        ints = lambda x: pa.array(np.concatenate(x).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()).take(each), names.take(who), patterns.take(who), pa.array(strands, pa.string()).take(each), ints(start), ints(end), letters_at(list(zip(texts, a, k)))], names=["seqID", *_HIT])
+
+    if arrays:
+        shards = P.shards([p for _, p in items])
+    take = run_arrays if arrays else run
     kind = "seqID string, patternName string, pattern string, strand string, start int, end int, matched string"
     if not chunk:
-        return df.select("id", "seq").mapInArrow(run, kind)
+        return df.select("id", "seq").mapInArrow(take, kind)
     longest = max([1, *(len(p) for _, p in items)])
-    return K.chunks(df, chunk, longest - 1, circular).select("id", "letters", "at", "own").mapInArrow(run, kind)
+    return K.chunks(df, chunk, longest - 1, circular).select("id", "letters", "at", "own").mapInArrow(take, kind)
 
 
 def cigar_of(ref: str, query: str, before: int, after: int) -> tuple[str, int]:

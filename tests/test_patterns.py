@@ -79,3 +79,22 @@ def test_a_long_record_is_spread_over_tasks(spark):
     assert sorted((r.start, r.strand) for r in got) == sorted((h["start"], h["strand"]) for h in search.find_all(text, "p", "GATTACAGA"))
     with pytest.raises(ValueError):
         search.locate(df, {"p": "A+"}, chunk=10, regex=True)
+
+
+@pytest.mark.parametrize("fold", [False, True])
+def test_lists_with_mismatches_are_compared_as_arrays(spark, monkeypatch, fold):
+    """All patterns at once, in whole words of eight letters and parts of one, in two shards, beside a text of wide letters."""
+    text = genome(900)
+    rng = random.Random(5)
+    items = {f"p{i}": text[a : a + k] for i, (a, k) in enumerate((rng.randrange(800), k) for k in (3, 7, 8, 12, 16, 17, 40, 12, 15, 24))}
+    told = P.Patterns(list(items.values()), 2, ignore_case=fold)
+    low = text.lower() if fold else text
+    want = [(i, a) for i, p in enumerate(told.patterns) for a in search.hamming_places(low.encode(), p.encode(), 2).tolist()]
+    monkeypatch.setattr(P, "HITS", 50)
+    monkeypatch.setattr(P, "PAIRS", 20)
+    assert list(zip(*(x.tolist() for x in told.near(text)))) == want
+    monkeypatch.setattr(P, "LETTERS", 60)
+    rows = [record(1, text), record(2, "ACGTé" + text[:50]), record(3, "")]
+    got = search.locate(spark.createDataFrame(rows, schema.RECORD), items, mismatches=2, ignore_case=fold).collect()
+    hits = [(r[3], *h.values()) for r in rows for n, p in items.items() if r[6].isascii() for h in search.find_all(r[6], n, p, mismatches=2, ignore_case=fold)]
+    assert sorted(tuple(r) for r in got if r.seqID != "s2") == sorted(hits) and len({tuple(r) for r in got}) == len(got)
