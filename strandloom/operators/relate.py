@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as S
+from . import embedded
 
 
 def dedup_key(by_seq=False, by_name=False, ignore_case=False, only_positive=False) -> Column:
@@ -54,42 +55,44 @@ def common(df: DataFrame, n_files: int, **how) -> DataFrame:
     return keyed.where("file_idx = 0").join(shared, F.col("_k") == F.col("_s"), "left_semi").drop("_k")
 
 
-#: Seeds of up to 2**HOT letters have few values, so their meetings are dealt to SALTS tasks each.
-HOT, SALTS = 4, 16
+#: Texts that a task's list holds at most, and how long they are at most; others meet by anchors.
+LISTED, SHORT = 100_000, 31
+
+
+def _listed(df: DataFrame) -> tuple[list, int]:
+    """((of, s) of the short texts, how long these are at most): as many lengths as ``LISTED`` has room for."""
+    texts = df.where(F.length("s") <= SHORT).select("of", "s").distinct()
+    room, longest = LISTED, 0
+    for n, count in sorted(texts.groupBy(F.length("s")).count().collect()):  # a row for each length
+        room -= count
+        if room < 0:
+            return texts.where(F.length("s") <= longest).collect(), longest
+        longest = n
+    return texts.collect(), SHORT
 
 
 def _contained(holders: DataFrame, held: DataFrame) -> DataFrame:
     """(key, of, b, len, tag) of every place where a text of ``held`` (tag, of, s) occurs in a record of
     ``holders`` (key, s) or in its reverse complement; b is the place on the + strand.
 
-    A text of length n meets by its first 2**c letters, c = floor(log2 n): one seed length for each class
-    of lengths, so that short texts do not make the seeds of long ones short. What meets is hashes and
+    A text and its reverse complement meet + strands by an anchor each (``embedded``). What meets is hashes and
     places; the holders' letters come back by their key and equality is of SHA-256 digests."""
-    length_class = lambda c: F.length(F.bin(F.length(c))) - 1
-    held = held.withColumns({"cls": length_class("s"), "len": F.length("s"), "digest": F.sha2("s", 256)}).dropDuplicates(["of", "digest"])
-    held = held.withColumn("h", F.xxhash64(F.substring(F.col("s").cast("binary"), F.lit(1), F.expr("shiftleft(1, cls)")))).drop("s")
-    classes = sorted(r[0] for r in held.select("cls").distinct().collect())  # at most 31 numbers
-    salted = held.withColumn("salt", F.explode(F.when(F.col("cls") <= HOT, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    both = holders.select("key", F.posexplode(F.array(F.col("s").cast("binary"), S.revcomp("s").cast("binary"))).alias("minus", "t"))  # bytes: a cut costs its own length
-    n = F.length("t")
-
-    def of_class(c: int) -> Column:
-        seed = lambda i: F.struct(F.lit(c).alias("cls"), i.alias("at"), F.xxhash64(F.substring("t", i, F.lit(1 << c))).alias("h"))
-        return F.when(n >= 1 << c, F.transform(F.sequence(F.lit(1), n - (1 << c) + 1), seed))
-
-    places = [of_class(c) for c in classes]
-    if not places:
-        kinds = {f.name: f.dataType for f in held.schema} | {"b": "int", "len": "int"}
-        return holders.where(F.lit(False)).select("key", *[F.lit(None).cast(kinds[c]).alias(c) for c in ("of", "b", "len", "tag")])
-    none = F.array().cast("array<struct<cls:int,at:int,h:bigint>>")
-    seeds = both.select("key", "minus", F.explode(F.concat(*[F.coalesce(x, none) for x in places])).alias("x")).select("key", "minus", "x.*")
-    seeds = seeds.withColumn("salt", F.when(F.col("cls") <= HOT, F.pmod("at", F.lit(SALTS))).otherwise(0))
-    met = seeds.join(salted, ["cls", "h", "salt"]).select("key", "minus", "at", "of", "len", "digest", "tag")
-    met = met.join(holders, "key").where(F.col("at") + F.col("len") - 1 <= F.length("s"))
-    b = F.when(F.col("minus") == 1, F.length("s") - F.col("at") - F.col("len") + 2).otherwise(F.col("at"))
-    t = F.substring(F.col("s").cast("binary"), b, F.col("len")).cast("string")
-    equal = F.sha2(F.when(F.col("minus") == 1, S.revcomp(t)).otherwise(t), 256) == F.col("digest")
-    return met.where(equal).select("key", "of", b.alias("b"), "len", "tag")
+    held = held.withColumns({"len": F.length("s"), "digest": F.unhex(F.sha2("s", 256))}).dropDuplicates(["of", "digest"])
+    length_class = F.length(F.bin(F.length("s"))) - 1
+    classes = sorted(r[0] for r in held.select(length_class).distinct().collect())  # at most 31 numbers
+    both = held.select("tag", "of", "len", "digest", F.col("s").rlike("[Uu]").alias("u"), F.posexplode(F.array("s", S.revcomp("s"))).alias("minus", "s"))
+    # a text with a U is no reverse complement; any other is one of what its own is, with a U for a T as well
+    both = both.withColumn("digest", F.when(F.col("minus") == 0, F.col("digest")).when(~F.col("u"), F.unhex(F.sha2("s", 256)))).drop("u").where("digest is not null")
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in both.schema if f.name != "s")
+    told = both.mapInArrow(embedded.first_anchors, f"{kind}, cls int, h long, off int")
+    key = holders.schema["key"].dataType.simpleString()
+    seeds = holders.select("key", "s").mapInArrow(embedded.anchors(classes), f"key {key}, cls int, h long, at int")
+    met = seeds.join(told, ["cls", "h"]).select("key", "minus", (F.col("at") - F.col("off") + 1).alias("b"), "of", "len", "digest", "tag").where("b > 0")
+    met = met.join(holders, "key").where(F.col("b") + F.col("len") - 1 <= F.octet_length("s"))
+    t = F.substring(F.col("s").cast("binary"), F.col("b"), F.col("len")).cast("string")
+    t = F.when((F.col("minus") == 1) & t.rlike("[Uu]"), F.translate(t, "Uu", "Tt")).otherwise(t)
+    equal = F.unhex(F.sha2(t, 256)) == F.col("digest")
+    return met.where(equal).select("key", "of", "b", "len", "tag")
 
 
 def common_embedded(df: DataFrame, n_files: int, ignore_case=False, min_len: int = 1) -> DataFrame:
@@ -99,19 +102,33 @@ def common_embedded(df: DataFrame, n_files: int, ignore_case=False, min_len: int
     fold = (lambda c: F.lower(c)) if ignore_case else (lambda c: c)
     rows = df.select("file_idx", "pos", "id", fold(F.col("seq")).alias("s")).where(F.length("s") >= max(1, min_len))
     first, others = rows.where("file_idx = 0"), rows.where("file_idx > 0")
-    digest = F.sha2("s", 256)
-    inner = _contained(first.select(F.col("pos").alias("key"), "s"), others.select(F.lit("").alias("tag"), F.col("file_idx").alias("of"), "s"))
+    held = others.select(F.lit("").alias("tag"), F.col("file_idx").alias("of"), "s")
+    short, longest = _listed(held)
+    inner = _contained(first.select(F.col("pos").alias("key"), "s"), held.where(F.length("s") > longest))
     inner = inner.select(F.col("key").alias("pos"), "of", "b", (F.col("b") + F.col("len") - 1).alias("e"))
-    outer = _contained(others.select(F.struct("file_idx", "pos").alias("key"), "s"), first.select(digest.alias("tag"), F.lit(0).alias("of"), "s"))
-    outer = first.select("pos", digest.alias("tag"), F.length("s").alias("e")).join(outer.select("tag", F.col("key.file_idx").alias("of")).distinct(), "tag").select("pos", "of", F.lit(1).alias("b"), "e")
-    spans = inner.union(outer).distinct()
+    digest = F.unhex(F.sha2("s", 256))
+    whole = first.select(digest.alias("tag"), F.lit(0).alias("of"), "s")
+    few, most = _listed(whole)
+    outer = _contained(others.select(F.struct("file_idx", "pos").alias("key"), "s"), whole.where(F.length("s") > most)).select("tag", F.col("key.file_idx").alias("of"))
+    if few:
+        outer = outer.union(others.select("file_idx", "s").mapInArrow(embedded.found_in([r.s for r in few]), "s string, of int").select(digest, "of"))
+    outer = first.select("pos", digest.alias("tag"), F.length("s").alias("e")).join(outer.distinct(), "tag").select("pos", "of", F.lit(1).alias("b"), "e")
+    spans = inner.union(outer)
+    if n_files == 2:
+        each = spans.groupBy("pos").agg(F.collect_set(F.struct("b", "e")).alias("spans"))
+        taken = first.join(each, "pos", "left").select("id", "s", "spans")
+        return taken.mapInArrow(embedded.maximal_stretches([r.s for r in short]), "id string, start int, end int, seq string")
+    by_file: dict[int, list[str]] = {}
+    for r in short:
+        by_file.setdefault(r.of, []).append(r.s)
+    spans = spans.union(first.select("pos", "s").mapInArrow(embedded.all_spans(by_file), "pos long, of int, b int, e int")).distinct()
     kept = spans.select("pos", "b", "e").distinct()
     before = lambda *by: F.max("e").over(Window.partitionBy(*by).orderBy("b", F.desc("e")).rowsBetween(Window.unboundedPreceding, -1))
     maximal = lambda d, *by: d.withColumn("_b", before(*by)).where(F.col("_b").isNull() | (F.col("e") > F.col("_b"))).drop("_b")
-    if n_files > 2:  # a stretch counts if every other file has one that covers it
-        wide = maximal(spans, "pos", "of").select(F.col("pos").alias("_p"), "of", F.col("b").alias("_wb"), F.col("e").alias("_we"))
-        cover = kept.join(wide, (F.col("pos") == F.col("_p")) & (F.col("_wb") <= F.col("b")) & (F.col("_we") >= F.col("e")))
-        kept = cover.groupBy("pos", "b", "e").agg(F.count_distinct("of").alias("_n")).where(F.col("_n") == n_files - 1).drop("_n")
+    # a stretch counts if every other file has one that covers it
+    wide = maximal(spans, "pos", "of").select(F.col("pos").alias("_p"), "of", F.col("b").alias("_wb"), F.col("e").alias("_we"))
+    cover = kept.join(wide, (F.col("pos") == F.col("_p")) & (F.col("_wb") <= F.col("b")) & (F.col("_we") >= F.col("e")))
+    kept = cover.groupBy("pos", "b", "e").agg(F.count_distinct("of").alias("_n")).where(F.col("_n") == n_files - 1).drop("_n")
     kept = maximal(kept, "pos").join(first.select("pos", "id", "s"), "pos")
     return kept.select("id", F.col("b").alias("start"), F.col("e").alias("end"), F.substring("s", F.col("b"), F.col("e") - F.col("b") + 1).alias("seq"))
 

@@ -233,3 +233,51 @@ def test_spread(spark, tmp_path):
     spark.range(100).repartition(9).write.parquet(str(tmp_path / "many"))
     many = spark.read.parquet(str(tmp_path / "many"))
     assert spread(many) is many
+
+
+def test_common_embedded_at_random(spark, monkeypatch):
+    """Two and three files, listed texts and anchored ones, on both strands; seeds that move are fewer than the letters."""
+    import random
+
+    from strandloom.operators import embedded
+
+    rng = random.Random(4)
+    letters = lambda n, of="ACGTU": "".join(rng.choices(of, weights=[9] * (len(of) - 1) + [1], k=n))
+    base = [letters(rng.randrange(60, 300)) for _ in range(8)]
+
+    def some(i):
+        out = []
+        for n in range(14):
+            s = rng.choice(base)
+            a, k = rng.randrange(len(s) - 20), rng.choice([1, 3, 8, 15, 31, 32, 33, 70, 300])
+            s = s[a : a + k] if n % 4 else letters(3) + s + letters(5)
+            out.append((f"f{i}r{n}", iupac.revcomp(s) if n % 3 == 0 else s))
+        return out
+
+    def brute(files):
+        out = []
+        for name, s in files[0]:
+            per = []
+            for f in files[1:]:
+                spans = set()
+                for _, t in f:
+                    if len(t) <= len(s):
+                        spans |= {(b, b + len(t)) for b in range(len(s) - len(t) + 1) if t in (s[b : b + len(t)], iupac.revcomp(s[b : b + len(t)]))}
+                    if len(s) <= len(t) and any(s in (t[b : b + len(s)], iupac.revcomp(t[b : b + len(s)])) for b in range(len(t) - len(s) + 1)):
+                        spans.add((0, len(s)))
+                per.append(spans)
+            kept = [x for x in set().union(*per) if all(any(a <= x[0] and x[1] <= b for a, b in spans) for spans in per)]
+            out += [(name, b + 1, e, s[b:e]) for b, e in kept if not any((x, y) != (b, e) and x <= b and e <= y for x, y in kept)]
+        return sorted(out)
+
+    for listed in (100_000, 6):
+        monkeypatch.setattr(R, "LISTED", listed)
+        for n in (2, 3):
+            files = [some(i) for i in range(n)]
+            df = recs(spark, *files[0], file=0)
+            for i, f in enumerate(files[1:], 1):
+                df = df.union(recs(spark, *f, file=i))
+            assert sorted(one(R.common_embedded(df, n), "id", "start", "end", "seq")) == brute(files)
+    text = letters(4000, "ACGT")
+    sent = sum(len(least[0]) for c in range(5, 12) for laid in [embedded.Laid([text])] for least in [embedded.least_places(laid, c, *embedded.sums_of(laid))])
+    assert sent < 0.4 * len(text)
