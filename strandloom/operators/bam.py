@@ -119,13 +119,20 @@ def top(df: DataFrame, field: str, k: int = 100) -> DataFrame:
     return df.orderBy(_fields()[field].desc(), "read").limit(k)
 
 
+def reference_end() -> Column:
+    return F.col("pos") + S.cigar_sum("MDN=X")
+
+
+def locus_of(places: DataFrame) -> DataFrame:
+    """(ref, pos, read, end, ..) with ``locus``; rows may be narrow, since a reference's are sorted in one task."""
+    w = Window.partitionBy("ref").orderBy("pos", "read")
+    out = places.withColumn("_before", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    return out.withColumn("locus", F.sum(F.when(F.col("_before") > F.col("pos"), 0).otherwise(1)).over(w)).drop("_before")
+
+
 def loci(df: DataFrame) -> DataFrame:
     """Mapped records with ``locus``: overlapping alignments of a reference share one."""
-    w = Window.partitionBy("ref").orderBy("pos", "read")
-    end = F.col("pos") + S.cigar_sum("MDN=X")
-    out = df.where(~flag(UNMAPPED)).withColumn("_e", end)
-    out = out.withColumn("_before", F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    return out.withColumn("locus", F.sum(F.when(F.col("_before") > F.col("pos"), 0).otherwise(1)).over(w)).drop("_e", "_before")
+    return locus_of(df.where(~flag(UNMAPPED)).withColumn("end", reference_end())).drop("end")
 
 
 def bundle(df: DataFrame, least: int) -> DataFrame:

@@ -281,3 +281,10 @@ def test_common_embedded_at_random(spark, monkeypatch):
     text = letters(4000, "ACGT")
     sent = sum(len(least[0]) for c in range(5, 12) for laid in [embedded.Laid([text])] for least in [embedded.least_places(laid, c, *embedded.sums_of(laid))])
     assert sent < 0.4 * len(text)
+
+
+def test_loci_of_narrow_rows(spark):
+    from strandloom.operators import bam
+
+    places = spark.createDataFrame([("x", 0, "a", 10), ("x", 4, "b", 6), ("x", 9, "c", 12), ("x", 12, "d", 20), ("y", 3, "e", 5)], "ref string, pos int, read string, end int")
+    assert {r.read: r.locus for r in bam.locus_of(places).collect()} == {"a": 1, "b": 1, "c": 1, "d": 2, "e": 1}
