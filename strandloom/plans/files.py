@@ -39,7 +39,7 @@ def scan_fastq_gz(spark, sf_dir):
 def scan_fastq_split(spark, sf_dir):
     """One file, cut into many tasks; half the letters have the quality that headers begin with."""
     path = scratch_path(spark, "fastq")
-    X.write_fx(records(spark, sf_dir).withColumn("qual", F.translate("seq", "ACGT", "@?5+")).coalesce(1), path)
+    X.write_one(records(spark, sf_dir).withColumn("qual", F.translate("seq", "ACGT", "@?5+")), path)
     return X.read_fastq_lines(spark, path).select("name", "seq", "qual")
 
 

@@ -228,3 +228,14 @@ def test_local_alignment_in_tiles(monkeypatch):
         whole = search.smith_waterman(ref, query)
         monkeypatch.setattr(search, "CELLS", 1)
         assert search.smith_waterman(ref, query) == whole
+
+
+def test_one_file_is_written_by_many_tasks(spark, tmp_path):
+    rows = [("f", 0, i, f"r{i}", "", f"r{i}", "ACGT" * i, "@?5+" * i) for i in range(40)]
+    df = spark.createDataFrame(rows, "file string, file_idx int, pos long, id string, desc string, name string, seq string, qual string").repartitionByRange(5, "pos").sortWithinPartitions("pos")
+    path = str(tmp_path / "one.fastq")
+    formats.write_one(df, path)
+    with open(path) as f:
+        assert f.read() == "".join(f"@{r[5]}\n{r[6]}\n+\n{r[7]}\n" for r in rows)
+    assert [p.name for p in tmp_path.iterdir()] == ["one.fastq"] and df.rdd.getNumPartitions() == 5
+    assert sorted((r.name, r.seq) for r in formats.read_fastq_lines(spark, path).collect()) == sorted((r[5], r[6]) for r in rows)
