@@ -12,11 +12,14 @@ import re
 import struct
 import zlib
 
+import numpy as np
+
 MAGIC = b"\x1f\x8b\x08\x04"
 #: The most bytes that a block has, bytes read at once, records in a row that make a boundary.
 BLOCK, READ, CHAIN = 1 << 16, 1 << 20, 8
 #: Bytes of a tag's value by its type letter (fixed values).
 TAG_BYTES = {65: 1, 99: 1, 67: 1, 115: 2, 83: 2, 105: 4, 73: 4, 102: 4}
+_SIZE = struct.Struct("<i")
 _NAME = re.compile(rb"[!-~]*\0")
 
 
@@ -196,8 +199,9 @@ def begins(stream: Stream, at: int, refs: list[tuple[str, int]], chain: int = CH
     return True
 
 
-def records(window: Window, start: int, end: int, exact: tuple[int, int] | None = None):
-    """(references, iterator of (virtual offset, record bytes)) of the split; ``exact``: a virtual offset to begin at."""
+def runs(window: Window, start: int, end: int, exact: tuple[int, int] | None = None):
+    """(references, iterator of runs of whole records) of the split: (data, where each record's size begins in them, and its virtual
+    offset as an array of blocks and one of places). ``exact``: a virtual offset to begin at."""
     first = Stream(window, 0)
     _, refs = header(first)
 
@@ -223,7 +227,41 @@ def records(window: Window, start: int, end: int, exact: tuple[int, int] | None
                 if stream.at > READ:
                     stream.drop()
         while (where := stream.offset()) is not None and where[0] < end:
-            yield where, stream.take(struct.unpack("<i", stream.take(4))[0])
+            data = stream.data
+            while len(data) - stream.at < READ and stream.next < end and stream.more():
+                pass
+            stream.need(4)
+            if (n := _SIZE.unpack_from(data, stream.at)[0]) >= 32:
+                stream.need(4 + n)
+            stop = next((p for p, o in stream.blocks if o >= end), len(data))
+            found, at = [], stream.at
+            while at < stop and len(data) - at >= 4:
+                n = _SIZE.unpack_from(data, at)[0]
+                if n < 32:
+                    raise ValueError("no BAM record where one should be")
+                if len(data) - at < 4 + n:
+                    break
+                found.append(at)
+                at += 4 + n
+            starts = np.array(found, np.int64)
+            places, blocks = (np.array(x, np.int64) for x in zip(*stream.blocks, strict=True))
+            of = np.searchsorted(places, starts, "right") - 1
+            run = bytes(data[stream.at : at])
+            yield run, starts - stream.at, blocks[of], starts - places[of]
+            stream.at = at
+            stream.drop()
 
     header_end = first.offset() or (window.size, 0)
     return refs, own()
+
+
+def records(window: Window, start: int, end: int, exact: tuple[int, int] | None = None):
+    """(references, iterator of (virtual offset, record bytes)) of the split."""
+    refs, found = runs(window, start, end, exact)
+
+    def each():
+        for data, starts, blocks, places in found:
+            for a, b, block, place in zip(starts.tolist(), [*starts[1:].tolist(), len(data)], blocks.tolist(), places.tolist(), strict=True):
+                yield (block, place), data[a + 4 : b]
+
+    return refs, each()

@@ -55,8 +55,8 @@ class _Split(InputPartition):
 
 
 class _Bam(DataSourceReader):
-    #: Records, or bytes of them, that leave a task at once.
-    ROWS, BYTES = 10_000, 16 << 20
+    #: Records that leave a task at once, of those of one run.
+    ROWS = 10_000
 
     def __init__(self, options):
         self.paths, self.most, self.region = options["path"], int(options.get("splitBytes", 64 << 20)), options.get("region")
@@ -81,18 +81,17 @@ class _Bam(DataSourceReader):
         with store.open_file(partition.path) as f:
             window = bgzf.Window(f, partition.size)
             if partition.exact:
-                refs, found = bgzf.records(window, 0, partition.size, partition.start)
+                refs, found = bgzf.runs(window, 0, partition.size, partition.start)
             else:
-                refs, found = bgzf.records(window, partition.start, partition.end)
+                refs, found = bgzf.runs(window, partition.start, partition.end)
             out = alignments.Decoder(partition.path, refs)
-            for offset, record in found:
-                if partition.exact and offset >= partition.end:
+            for data, starts, blocks, places in found:
+                if partition.exact:  # virtual offsets grow with the records
+                    starts = starts[: ((blocks < partition.end[0]) | ((blocks == partition.end[0]) & (places < partition.end[1]))).sum()]
+                for i in range(0, len(starts), self.ROWS):
+                    yield out.batch(data, starts[i : i + self.ROWS])
+                if len(starts) < len(blocks):
                     break
-                out.add(record)
-                if len(out.plain) >= self.ROWS or out.bytes >= self.BYTES:
-                    yield out.batch()
-            if out.plain:
-                yield out.batch()
 
 
 class _Written(WriterCommitMessage):
@@ -119,9 +118,8 @@ class _BamWriter(DataSourceArrowWriter):
             if not self.bare:
                 yield alignments.header_bytes(self.refs, self.header)
             for batch in iterator:
-                for r in batch.to_pylist():
-                    n += 1
-                    yield alignments._record(r | {"tags": dict(r["tags"] or ())}, number)
+                n += len(batch)
+                yield alignments.encode_records(batch, number)
 
         partition = context.partitionId() if context else 0
         path = f"{self.pending}/{partition}-{uuid.uuid4().hex}"
