@@ -9,7 +9,7 @@ from ..functions.layout import scratch_path
 from ..operators import order as O
 from ..operators import relate as R
 from ..operators import transform as T
-from ..sources import faidx
+from ..sources import faidx, store
 from ..sources import formats as X
 from .catalog import FEAT, RC, REC, fasta, features, query, records, table
 
@@ -120,10 +120,11 @@ def write_tsv(spark, sf_dir):
 
 @query(f"WITH {REC} SELECT id, seq FROM r")
 def scan_stream(spark, sf_dir):
-    """The records as an open text stream on the driver, as standard input is."""
-    rows = X.as_text(fasta(spark, sf_dir)).toLocalIterator()
-    stream = (line + "\n" for r in rows for line in r["value"].split("\n"))
-    return X.from_stream(spark, stream, batch=5000).select("id", "seq")
+    """The records as an open text stream on the driver, as standard input is of a file that tasks wrote."""
+    path = scratch_path(spark, "stdin")
+    X.write_one(fasta(spark, sf_dir), path)
+    with open(store.at(path)[1]) as stream:
+        return X.from_stream(spark, stream, batch=5000).select("id", "seq")
 
 
 @query(f"""WITH {REC}, q AS (SELECT CAST(i AS VARCHAR) AS id FROM generate_series(0, 49) t(i)) SELECT id || ':' || 5 || '-' || least(70, length(seq)) AS name, substr(seq, 5, least(70, length(seq)) - 4) AS seq FROM r JOIN q USING (id) WHERE length(seq) >= 5""")
