@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import columns as S
+from ..functions.layout import scratch_path
 from . import store
 from .formats import ID
 
@@ -203,21 +204,21 @@ def requests(spark: SparkSession, asked: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, ASKED)
 
 
-def _fetch(batches):
-    """Letters of byte ranges; neighbours come out of one reading."""
+def _fetch(batches, files: list[str]):
+    """Letters of byte ranges of the numbered files; neighbours come out of one reading."""
     path, f, at, held = None, None, 0, b""
     try:
         for batch in batches:
             texts, size, begin = [], 0, 0
-            cols = {n: batch.column(n).to_pylist() for n in ("file", "from", "to")}
-            for i, (file, a, b) in enumerate(zip(cols["file"], cols["from"], cols["to"], strict=True)):
+            cols = {n: batch.column(n).to_pylist() for n in ("number", "from", "to")}
+            for i, (file, a, b) in enumerate(zip(cols["number"], cols["from"], cols["to"], strict=True)):
                 if a is None or b is None or b < a:
                     texts.append("")
                     continue
                 if file != path:
                     if f is not None:
                         f.close()
-                    path, f, held = file, store.open_file(file), b""
+                    path, f, held = file, store.open_file(files[file]), b""
                 if not (at <= a and b < at + len(held)):
                     f.seek(a)
                     at, held = a, f.read(max(b - a + 1, NEAR))
@@ -238,19 +239,33 @@ def _with(batch, begin: int, texts: list[str]):
     return pa.RecordBatch.from_arrays([part.column("request"), part.column("name"), part.column("flip"), pa.array(texts, pa.string())], names=["request", "name", "flip", "seq"])
 
 
-def read_ranges(index: DataFrame, asked: DataFrame) -> DataFrame:
+#: Requests that a task sorts.
+TASK = 1 << 20
+
+
+def read_ranges(index: DataFrame, asked: DataFrame, task: int = TASK) -> DataFrame:
     """(request, name, seq) of the regions of a table (request, name, first, last; 1-based), which may be as large as any:
     null bounds are the record's own, an end behind it is cut, first > last asks for the reverse complement, and a region that
     starts behind the record is empty. A name that the index lacks has no row. Requests meet the index by name and
-    are dealt over tasks by their place in the files, where each reads its bytes only."""
+    are dealt over tasks by their place in the files, some ``task`` each however many there are, where each reads its bytes only.
+    The index is stored once in the shared folder, with its files by number: a list of paths is what the driver gets of it."""
+    spark = asked.sparkSession
+    path = scratch_path(spark, "index")
+    index.select("name", "file", "length", "offset", "line_bases", "line_width").write.parquet(path)
+    stored = spark.read.parquet(path)
+    files = sorted(r[0] for r in stored.select("file").distinct().collect())
+    numbers = F.broadcast(spark.createDataFrame(list(enumerate(files)), "number int, file string"))
+    index = stored.join(numbers, "file").drop("file")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-asked.count() // task))
     n = F.col("length")
-    rows = asked.select("request", "name", "first", "last").join(index.select("name", "file", "length", "offset", "line_bases", "line_width"), "name")
+    rows = asked.select("request", "name", "first", "last").join(index, "name")
     b, e = F.greatest(F.coalesce("first", F.lit(1)), F.lit(1)), F.coalesce("last", n)
     flip = F.col("first").isNotNull() & (b > e)
     rows = rows.withColumns({"flip": flip, "lo": F.when(flip, F.greatest(e, F.lit(1))).otherwise(b), "hi": F.least(F.when(flip, b).otherwise(e), n)})
     place = lambda c: F.when((F.col("lo") <= F.col("hi")) & (F.col("line_bases") > 0), F.col("offset") + F.floor((F.col(c) - 1) / F.col("line_bases")) * F.col("line_width") + (F.col(c) - 1) % F.col("line_bases"))
     label = F.when(F.col("first").isNull() & F.col("last").isNull(), F.col("name")).otherwise(F.concat("name", F.lit(":"), b, F.lit("-"), e))
-    rows = rows.select("request", label.alias("name"), "flip", "file", place("lo").cast("long").alias("from"), place("hi").cast("long").alias("to"))
-    dealt = rows.repartitionByRange("file", "from", "request").sortWithinPartitions("file", "from", "to")
-    told = dealt.mapInArrow(_fetch, "request long, name string, flip boolean, seq string")
+    rows = rows.select("request", label.alias("name"), "flip", "number", place("lo").cast("long").alias("from"), place("hi").cast("long").alias("to"))
+    # a number of tasks that is given is not merged to fewer, larger ones
+    dealt = rows.repartitionByRange(tasks, "number", "from", "request").sortWithinPartitions("number", "from", "to")
+    told = dealt.mapInArrow(lambda batches: _fetch(batches, files), "request long, name string, flip boolean, seq string")
     return told.select("request", "name", F.when(F.col("flip"), S.revcomp("seq")).otherwise(F.col("seq")).alias("seq"))

@@ -110,3 +110,18 @@ def test_no_files_and_no_requests(spark, tmp_path):
     index = faidx.index_files(spark, str(tmp_path / "x.fa"))
     assert index.count() == 0
     assert faidx.read_ranges(index, spark.createDataFrame([], faidx.ASKED)).count() == 0
+
+
+def test_tasks_of_ranges_grow_in_number_not_in_size(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.fa").write_bytes(made(i, 7, b"\n").replace(b">r", b">f%dr" % i))
+    index = faidx.index_files(spark, str(tmp_path))
+    lengths = {r.name: r.length for r in index.collect()}
+    asked = spark.createDataFrame([(i, f"f{i % 3}r{i % 12}", 1, 1 + i % 9) for i in range(3000)], faidx.ASKED)
+    told = faidx.read_ranges(index, asked, task=100)
+    assert told.rdd.getNumPartitions() == 30  # and they are not merged again
+    sizes = told.rdd.glom().map(len).collect()
+    assert sum(sizes) == 3000 and max(sizes) < 300
+    got = {r.request: r.seq for r in told.collect()}
+    assert all(len(got[i]) == min(1 + i % 9, lengths[f"f{i % 3}r{i % 12}"]) for i in range(3000))
+    assert got == {r.request: r.seq for r in faidx.read_ranges(index, asked).collect()}
