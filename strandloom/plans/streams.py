@@ -19,7 +19,7 @@ def grown(spark, sf_dir) -> str:
 
 @query(f"WITH {REC} SELECT name, seq, qual FROM r")
 def follow_folder(spark, sf_dir):
-    """Micro-batches of at most 64 MB, cut into splits of 64 KB, written as they come."""
+    """Micro-batches of at most 64 MB, cut into splits of 64 KB that tasks share, written as they come."""
     path, out = scratch_path(spark, "followed"), scratch_path(spark, "progress")
     stream = streaming.follow(spark, grown(spark, sf_dir), regexp=r"part-.*\.txt$", maxBytes=64 << 20, splitBytes=64 << 10)
     running = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", out).start()

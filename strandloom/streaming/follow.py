@@ -14,6 +14,7 @@ header), so that the end found in a file that grows never moves back, and a quer
 from __future__ import annotations
 
 import io
+import math
 import os
 import time
 from collections.abc import Callable, Iterator
@@ -107,6 +108,8 @@ class _Range(InputPartition):
 class _Reader(DataSourceStreamReader):
     #: Rows, and bytes of lines, that leave a task at once.
     BATCH, BYTES = 5000, 8 << 20
+    #: Bytes of a task that starting it does not weigh on.
+    WIDE = 64 << 20
 
     def __init__(self, options):
         self.root = options["path"].rstrip("/")
@@ -116,6 +119,7 @@ class _Reader(DataSourceStreamReader):
         self.last = options.get("final", "false").lower() == "true"
         self.gaps = options.get("gaps", "false").lower() == "true"
         self.most, self.split = int(options.get("maxBytes", str(1 << 60))), int(options.get("splitBytes", str(64 << 20)))
+        self.tasks = int(options.get("maxTasks", str(1 << 60)))
         self.done: dict[str, int] | None = None
 
     def initialOffset(self):
@@ -140,13 +144,12 @@ class _Reader(DataSourceStreamReader):
         return end
 
     def partitions(self, start, end):
+        """A task has one split, or where the batch has more of them than ``maxTasks`` those that follow each other in a file, up to ``WIDE`` bytes."""
         self.done = dict(end)
-        out = []
-        for path, to in sorted(end.items()):
-            at = start.get(path, 0)
-            at = 0 if at > to else at
-            out += [_Range(path, at, to, at + a, at + b) for a, b in store.splits(to - at, self.split)]
-        return out
+        new = [(path, 0 if start.get(path, 0) > to else start.get(path, 0), to) for path, to in sorted(end.items())]
+        share = min(sum(to - at for _, at, to in new) / self.tasks, max(self.WIDE, self.split))
+        step = self.split * max(1, math.ceil(share / self.split))
+        return [_Range(path, at, to, at + a, at + b) for path, at, to in new for a, b in store.splits(to - at, step)]
 
     def read(self, partition):
         if partition is None:  # what a task gets where nothing is to be read
@@ -200,8 +203,10 @@ def register(spark: SparkSession) -> None:
 def follow(spark: SparkSession, folder: str, kind: str = "fastq", **options) -> DataFrame:
     """The stream of a folder's records and rejects; ``number`` is the line counted from ``start_byte``, where a task
     began. Options: regexp, delta (bytes that a file has to grow by), final (what is there is complete), gaps,
-    maxBytes (of a batch), splitBytes (of a task)."""
+    maxBytes (of a batch), splitBytes (what files are cut into), maxTasks (of a batch, else two a core; with more splits, a task
+    reads several that follow each other; beside it each file that grew has a task at least)."""
     register(spark)
+    options = {"maxTasks": 2 * spark.sparkContext.defaultParallelism} | options
     reader = spark.readStream.format("growing_fx").option("path", folder).option("kind", kind)
     for k, v in options.items():
         reader = reader.option(k, str(v))

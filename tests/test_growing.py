@@ -168,3 +168,32 @@ def test_idle_stop_and_a_process_that_ends(spark, tmp_path):
     assert not query.isActive and spark.sql("select * from pid").count() == 1
     with pytest.raises(ValueError):
         stop_when_idle(query)
+
+
+@pytest.mark.parametrize("most", [1, 3, 7, 1000])
+def test_a_task_reads_several_splits_where_there_are_many(tmp_path, monkeypatch, most):
+    rng = random.Random(12)
+    (tmp_path / "a.fq").write_text(fastq(rng, 90))
+    (tmp_path / "b.fq").write_text(fastq(rng, 40, 90))
+    r = reader(tmp_path, splitBytes=30, maxTasks=most)
+    parts = r.partitions({}, r.latestOffset())
+    assert len(parts) <= most + 2 if most < 1000 else len(parts) > 60
+    assert all((p.start - p.low) % 30 == 0 for p in parts)
+    want = [f"r{i} x" for i in range(130)]
+    assert [x["name"] for x in read(r, {})[1]] == want
+    monkeypatch.setattr(_Reader, "WIDE", 90)
+    r = reader(tmp_path, splitBytes=30, maxTasks=most)
+    assert max(p.end - p.start for p in r.partitions({}, r.latestOffset())) <= 90
+    assert [x["name"] for x in read(r, {})[1]] == want
+
+
+def test_tasks_of_a_batch_do_not_grow_with_it(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.fq").write_text(fastq(random.Random(3), 300))
+    seen = []
+    query = tee(follow(spark, str(tmp_path / "in"), splitBytes=60), lambda batch, _: seen.append((batch.rdd.getNumPartitions(), batch.count())), checkpoint=str(tmp_path / "cp"))
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert sum(n for _, n in seen) == 300 and max(k for k, _ in seen) <= 2 * spark.sparkContext.defaultParallelism + 1
