@@ -1,13 +1,15 @@
 """Texts within texts: short ones by lists that tasks hold, long ones by anchors that few places have.
 
 A list of texts of one length is a sorted table of their letters, eight a word, which every place of a record is looked up in; its
-hits stay in the task that has the record. A longer text meets by one anchor: of its first 2**c letters, c = floor(log2 n),
-the window of more than half as many letters with the least hash. Wherever the text occurs, the same window is the least one among those
-around it, so that holders send only places that are the least of some row of windows: about 4 / 2**c of all.
+hits stay in the task that has the record. A longer text is told by four hashes: of its first 2**c letters, c = floor(log2 n),
+the window of more than half as many letters with the least hash (its anchor); its first and its last 2**c letters; and the whole. Wherever the text
+occurs, the same window is the least one among those around it. Holders look the four up in one table of bits, the anchors first, about
+4 / 2**c of all places, and send only stretches for which all four have their bits, with digests that tell what is equal.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -72,8 +74,8 @@ class Listed:
             out = (out ^ out >> np.uint64(29)) * odd + w
         return out
 
-    def hits(self, laid: Laid) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(length, places within one text each, the texts of the list as bytes rows) by rising length."""
+    def hits(self, laid: Laid) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(length, places within one text each, which text of the list each is, these texts as bytes rows) by rising length."""
         if not laid.n:
             return
         longest = max((t[0] for t in self.tables), default=0)
@@ -86,16 +88,19 @@ class Listed:
             at = np.flatnonzero(some[(key * _MIX >> np.uint64(44)).astype(np.int64)] & (left >= size))
             place = np.minimum(np.searchsorted(keys, key[at]), len(keys) - 1)
             same = np.logical_and.reduce([v[at] == words[place, j] for j, v in enumerate(views)])
-            yield size, at[same], words[place[same]]
+            yield size, at[same], place[same], words
 
 
-def hashes(laid: Laid, k: int, sums: np.ndarray, inverse: np.ndarray) -> np.ndarray:
-    """Of each window of k letters, never 0."""
-    h = (sums[k:] - sums[:-k]) * inverse[: laid.n - k + 1]
+def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ h >> np.uint64(32)) * _MIX
     return np.maximum(h ^ h >> np.uint64(29), np.uint64(1))
 
 
+def hashes(laid: Laid, k: int, sums: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    """Of each window of k letters, never 0."""
+    return mixed((sums[k:] - sums[:-k]) * inverse[: laid.n - k + 1])
+
+
 def sums_of(laid: Laid) -> tuple[np.ndarray, np.ndarray]:
     powers = np.cumprod(np.full(laid.n, _ODD)) * _INVERSE
     inverse = np.cumprod(np.full(laid.n, _INVERSE)) * _ODD
@@ -131,14 +136,84 @@ def least_places(laid: Laid, c: int, sums, inverse) -> tuple[np.ndarray, np.ndar
     return at, h[at]
 
 
-def anchors(classes: list[int]):
-    """A function of batches (key, s): (key, cls, h, at), what holders send."""
+def packed(hashes: pa.Table) -> pa.Table:
+    """(piece, bit) of one piece of a table of 2**16 bits a piece, as one row (piece, bits)."""
+    bits = np.zeros(1 << 16, np.uint8)
+    bits[hashes.column("bit").to_numpy()] = 1
+    return pa.table({"piece": hashes.column("piece").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+
+#: What is added to the hashes of anchors, beginnings, ends and whole texts, so that one table of bits serves them.
+ANCHOR, HEAD, TAIL, WHOLE = (np.uint64(i * 0x1D8E4E27C47D124F & (1 << 64) - 1) for i in range(4))
+#: Pairs of a beginning and an end that are looked at together.
+PAIRS = 1 << 20
+
+
+def stretches(laid: Laid, c: int, sums, inverse, marked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, lengths) of what may be a text of class c: its anchor, beginning, end and whole have their bits in ``marked``."""
+    mask, n, w = np.uint64(8 * len(marked) - 1), 1 << c, shape(c)[1]
+
+    def known(h, what):
+        bit = (h + what & mask).astype(np.int64)
+        return marked[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1
+
+    def some_of(places, before, after):
+        """Of each place where n letters begin within a text: whether one of ``places`` is at -before to after - 1."""
+        upto = np.zeros(laid.n + 1, np.int64)
+        upto[places + 1] = 1
+        upto, x = np.cumsum(upto), np.arange(laid.n - n + 1)
+        return np.flatnonzero((upto[np.minimum(x + after, laid.n)] > upto[np.maximum(x - before, 0)]) & (x + n <= laid.ends[laid.owner[: len(x)]]))
+
+    of = lambda x, size: mixed((sums[x + size] - sums[x]) * inverse[x])
+    at, h = least_places(laid, c, sums, inverse)
+    at = at[known(h, ANCHOR)]
+    if not len(at):
+        return
+    heads = some_of(at, 0, w)
+    heads = heads[known(of(heads, n), HEAD)]
+    if not len(heads):
+        return
+    tails = some_of(heads, n - 1, 1)
+    tails = tails[known(of(tails, n), TAIL)]
+    low = np.searchsorted(tails, heads)
+    count = np.searchsorted(tails, np.minimum(heads + n, laid.ends[laid.owner[heads]] - n + 1)) - low
+    total = np.cumsum(count)
+    x = 0
+    while x < len(heads):
+        done = int(total[x - 1]) if x else 0
+        y = max(x + 1, int(np.searchsorted(total, done + PAIRS, "right")))
+        many = count[x:y]
+        b = np.repeat(heads[x:y], many)
+        size = tails[np.arange(len(b)) + np.repeat(low[x:y] - (total[x:y] - many - done), many)] + n - b
+        same = known(of(b, size), WHOLE)
+        yield b[same], size[same]
+        x = y
+
+
+def rows_of(at: list[int]) -> Iterator[tuple[int, int, int]]:
+    """Rising numbers as rows of equal steps: (first, step, how many)."""
+    first, step, n = at[0], 1, 1
+    for x, y in zip(at, at[1:]):
+        if n == 1:
+            step, n = y - x, 2
+        elif y - x == step:
+            n += 1
+        else:
+            yield first, step, n
+            first, step, n = y, 1, 1
+    yield first, step, n
+
+
+def places(classes: list[int], marked: np.ndarray):
+    """A function of batches (key, s): (key, b, step, n, len, minus, digest), b from 1, of what may be a text of ``marked``, as it is (minus 0) and
+    with T for U (1). Places of one content in a record are rows of equal steps, so that a run of one letter or one line is one."""
+    as_dna = bytes.maketrans(b"Uu", b"Tt")
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in groups(texts):
-                laid = Laid(texts[a:b])
+            for x, y in groups(texts):
+                laid = Laid(texts[x:y])
                 longest = int(laid.sizes.max(initial=0))
                 if not longest:
                     continue
@@ -146,25 +221,37 @@ def anchors(classes: list[int]):
                 for c in classes:
                     if longest < 1 << c:
                         continue
-                    at, h = least_places(laid, c, sums, inverse)
-                    own = laid.owner[at]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own + a)), pa.array(np.full(len(at), c, np.int32)), pa.array(h.view(np.int64)), pa.array((at - laid.starts[own]).astype(np.int32))], names=["key", "cls", "h", "at"])
+                    for b, size in stretches(laid, c, sums, inverse, marked):
+                        same = defaultdict(list)
+                        for i, k, o in zip(b.tolist(), size.tolist(), laid.owner[b].tolist()):
+                            same[o, laid.raw[i : i + k]].append(i)
+                        rows = []
+                        for (o, t), at in same.items():
+                            digests = hashlib.sha256(t).digest(), hashlib.sha256(t.translate(as_dna)).digest()
+                            rows += [(o, first - int(laid.starts[o]) + 1, step, n, len(t), minus, digests[minus]) for first, step, n in rows_of(at) for minus in (0, 1)]
+                        if rows:
+                            own, *ints, digest = zip(*rows)
+                            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.array(own) + x)), *(pa.array(v, pa.int32()) for v in ints), pa.array(digest, pa.binary())], names=["key", "b", "step", "n", "len", "minus", "digest"])
 
     return run
 
 
-def first_anchors(batches):
-    """Batches (.., s) with a text's class, its anchor's hash and place beside them, in place of the text."""
+def told(batches):
+    """Batches (.., s) with a text's class and four hashes beside them, in place of the text."""
     for batch in batches:
         rows = []
         for s in batch.column(batch.num_columns - 1).to_pylist():
-            c = len(s.encode()).bit_length() - 1
-            laid = Laid([s.encode()[: 1 << c].decode("latin-1")]) if not s.isascii() else Laid([s[: 1 << c]])
-            h = hashes(laid, shape(c)[0], *sums_of(laid))[: shape(c)[1]]
-            rows.append((c, h.argmin(), h.min()))
-        cls, off, h = zip(*rows) if rows else ((), (), ())
-        columns = [pa.array(cls, pa.int32()), pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(np.array(off, np.int32))]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], "cls", "h", "off"])
+            laid = Laid([s])
+            c = laid.n.bit_length() - 1
+            sums, inverse = sums_of(laid)
+            (k, w), n = shape(c), 1 << c
+            ends = np.array([0, laid.n - n, 0])
+            three = mixed((sums[ends + [n, n, laid.n]] - sums[ends]) * inverse[ends])
+            anchor = mixed((sums[k : k + w] - sums[:w]) * inverse[:w]).min(keepdims=True)
+            rows.append((c, *(np.concatenate([anchor, three]) + np.array([ANCHOR, HEAD, TAIL, WHOLE]))))
+        cls, *four = zip(*rows) if rows else ((),) * 5
+        columns = [pa.array(cls, pa.int32()), *(pa.array(np.array(h, np.uint64).view(np.int64)) for h in four)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], "cls", "anchor", "head", "tail", "whole"])
 
 
 def spans_of(texts: list[str], listed: Listed) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, Laid]]:
@@ -173,7 +260,7 @@ def spans_of(texts: list[str], listed: Listed) -> Iterator[tuple[int, np.ndarray
 
     laid = Laid(texts)
     for minus, way in enumerate((laid, Laid([iupac.revcomp(t) for t in texts]))):
-        for size, at, _ in listed.hits(way):
+        for size, at, *_ in listed.hits(way):
             own = laid.owner[at]
             b = at - laid.starts[own]
             b = laid.sizes[own] - b - size if minus else b
@@ -196,7 +283,7 @@ def all_spans(by_file: dict[int, list[str]]):
 
 
 def maximal_stretches(texts_of_other: list[str]):
-    """A function of batches (id, s, spans): (id, start, end, seq) of stretches that lie in no longer one. Hits of the list and the
+    """A function of batches (id, s, spans: b, step, n, len): (id, start, end, seq) of stretches that lie in no longer one. Hits of the list and the
     given spans meet here, so that the many short ones never move."""
     from .search import letters_at
 
@@ -211,8 +298,8 @@ def maximal_stretches(texts_of_other: list[str]):
                     far[at] = np.maximum(far[at], at + size)
                 for i, spans in enumerate(given[x:y]):
                     for span in spans or ():
-                        at = laid.starts[i] + span["b"] - 1
-                        far[at] = max(far[at], laid.starts[i] + span["e"])
+                        at = laid.starts[i] + span["b"] - 1 + span["step"] * np.arange(span["n"])
+                        far[at] = np.maximum(far[at], at + span["len"])
                 at = np.flatnonzero(far)
                 end = far[at]
                 at, end = (z[np.diff(np.maximum.accumulate(end), prepend=0) > 0] for z in (at, end))
@@ -235,8 +322,10 @@ def found_in(texts: list[str]):
                 for of in set(ofs[x:y]):
                     mine = [t for t, o in zip(held[x:y], ofs[x:y]) if o == of]
                     for way in (Laid(mine), Laid([iupac.revcomp(t) for t in mine])):
-                        for size, _, words in listed.hits(way):
-                            for row in np.unique(words, axis=0):
+                        for size, _, which, words in listed.hits(way):
+                            there = np.zeros(len(words), bool)
+                            there[which] = True
+                            for row in words[there]:
                                 seen.add((row.tobytes()[:size].decode(), of))
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in seen], pa.string()), pa.array([o for _, o in seen], pa.int32())], names=["s", "of"])

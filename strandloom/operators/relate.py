@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as S
+from ..functions.layout import scratch_path
 from . import embedded
 
 
@@ -71,28 +73,41 @@ def _listed(df: DataFrame) -> tuple[list, int]:
     return texts.collect(), SHORT
 
 
+def _stored(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: for rows that many jobs read."""
+    path = scratch_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _marked(told: DataFrame) -> np.ndarray:
+    """A bit for each hash of ``told`` by its lower bits: 128 bits a row, 2**28 (32 MB) at most; with more rows more stretches pass."""
+    bits = min(max((128 * told.count()).bit_length(), 16), 28)
+    h = told.select(F.explode(F.array("anchor", "head", "tail", "whole")).alias("h"))
+    piece = F.shiftrightunsigned("h", 16).bitwiseAND((1 << bits - 16) - 1)
+    rows = h.select(piece.alias("piece"), F.col("h").bitwiseAND(65535).cast("int").alias("bit")).distinct()
+    out = np.zeros((1 << bits - 16, 8192), np.uint8)
+    for r in rows.groupBy("piece").applyInArrow(embedded.packed, "piece long, bits binary").collect():
+        out[r.piece] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
 def _contained(holders: DataFrame, held: DataFrame) -> DataFrame:
-    """(key, of, b, len, tag) of every place where a text of ``held`` (tag, of, s) occurs in a record of
-    ``holders`` (key, s) or in its reverse complement; b is the place on the + strand.
-
-    A text and its reverse complement meet + strands by an anchor each (``embedded``). What meets is hashes and
-    places; the holders' letters come back by their key and equality is of SHA-256 digests."""
-    held = held.withColumns({"len": F.length("s"), "digest": F.unhex(F.sha2("s", 256))}).dropDuplicates(["of", "digest"])
-    length_class = F.length(F.bin(F.length("s"))) - 1
-    classes = sorted(r[0] for r in held.select(length_class).distinct().collect())  # at most 31 numbers
-    both = held.select("tag", "of", "len", "digest", F.col("s").rlike("[Uu]").alias("u"), F.posexplode(F.array("s", S.revcomp("s"))).alias("minus", "s"))
+    """(key, of, b, step, n, len, tag) of every place where a text of ``held`` (tag, of, s) occurs in a record of
+    ``holders`` (key, s) or in its reverse complement: n places on the + strand from b on, step letters apart.
+
+    A text and its reverse complement meet + strands by hashes whose bits the holders' tasks have (``embedded``). What passes there meets
+    by SHA-256 digests; no letters move, and neither does a place for each text that is like it in part."""
+    told = held.select("tag", "of", F.col("s").rlike("[Uu]").alias("u"), F.posexplode(F.array("s", S.revcomp("s"))).alias("minus", "s"))
     # a text with a U is no reverse complement; any other is one of what its own is, with a U for a T as well
-    both = both.withColumn("digest", F.when(F.col("minus") == 0, F.col("digest")).when(~F.col("u"), F.unhex(F.sha2("s", 256)))).drop("u").where("digest is not null")
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in both.schema if f.name != "s")
-    told = both.mapInArrow(embedded.first_anchors, f"{kind}, cls int, h long, off int")
+    told = told.where((F.col("minus") == 0) | ~F.col("u")).select("tag", "of", "minus", F.unhex(F.sha2("s", 256)).alias("digest"), "s")
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in told.schema if f.name != "s")
+    told = told.mapInArrow(embedded.told, f"{kind}, cls int, anchor long, head long, tail long, whole long")
+    told = _stored(told.dropDuplicates(["of", "minus", "digest"]), "told")
+    classes = sorted(r[0] for r in told.select("cls").distinct().collect())  # at most 31 numbers
     key = holders.schema["key"].dataType.simpleString()
-    seeds = holders.select("key", "s").mapInArrow(embedded.anchors(classes), f"key {key}, cls int, h long, at int")
-    met = seeds.join(told, ["cls", "h"]).select("key", "minus", (F.col("at") - F.col("off") + 1).alias("b"), "of", "len", "digest", "tag").where("b > 0")
-    met = met.join(holders, "key").where(F.col("b") + F.col("len") - 1 <= F.octet_length("s"))
-    t = F.substring(F.col("s").cast("binary"), F.col("b"), F.col("len")).cast("string")
-    t = F.when((F.col("minus") == 1) & t.rlike("[Uu]"), F.translate(t, "Uu", "Tt")).otherwise(t)
-    equal = F.unhex(F.sha2(t, 256)) == F.col("digest")
-    return met.where(equal).select("key", "of", "b", "len", "tag")
+    met = holders.select("key", "s").mapInArrow(embedded.places(classes, _marked(told)), f"key {key}, b int, step int, n int, len int, minus int, digest binary")
+    return met.join(told.select("minus", "digest", "of", "tag"), ["minus", "digest"]).select("key", "of", "b", "step", "n", "len", "tag")
 
 
 def common_embedded(df: DataFrame, n_files: int, ignore_case=False, min_len: int = 1) -> DataFrame:
@@ -101,26 +116,28 @@ def common_embedded(df: DataFrame, n_files: int, ignore_case=False, min_len: int
     (id, start, end, seq). Empty records have no stretch."""
     fold = (lambda c: F.lower(c)) if ignore_case else (lambda c: c)
     rows = df.select("file_idx", "pos", "id", fold(F.col("seq")).alias("s")).where(F.length("s") >= max(1, min_len))
+    rows = _stored(rows, "texts")
     first, others = rows.where("file_idx = 0"), rows.where("file_idx > 0")
     held = others.select(F.lit("").alias("tag"), F.col("file_idx").alias("of"), "s")
     short, longest = _listed(held)
     inner = _contained(first.select(F.col("pos").alias("key"), "s"), held.where(F.length("s") > longest))
-    inner = inner.select(F.col("key").alias("pos"), "of", "b", (F.col("b") + F.col("len") - 1).alias("e"))
+    inner = inner.select(F.col("key").alias("pos"), "of", "b", "step", "n", "len")
     digest = F.unhex(F.sha2("s", 256))
     whole = first.select(digest.alias("tag"), F.lit(0).alias("of"), "s")
     few, most = _listed(whole)
     outer = _contained(others.select(F.struct("file_idx", "pos").alias("key"), "s"), whole.where(F.length("s") > most)).select("tag", F.col("key.file_idx").alias("of"))
     if few:
         outer = outer.union(others.select("file_idx", "s").mapInArrow(embedded.found_in([r.s for r in few]), "s string, of int").select(digest, "of"))
-    outer = first.select("pos", digest.alias("tag"), F.length("s").alias("e")).join(outer.distinct(), "tag").select("pos", "of", F.lit(1).alias("b"), "e")
+    outer = first.select("pos", digest.alias("tag"), F.length("s").alias("len")).join(outer.distinct(), "tag").select("pos", "of", *(F.lit(1).alias(c) for c in ("b", "step", "n")), "len")
     spans = inner.union(outer)
     if n_files == 2:
-        each = spans.groupBy("pos").agg(F.collect_set(F.struct("b", "e")).alias("spans"))
+        each = spans.groupBy("pos").agg(F.collect_set(F.struct("b", "step", "n", "len")).alias("spans"))
         taken = first.join(each, "pos", "left").select("id", "s", "spans")
         return taken.mapInArrow(embedded.maximal_stretches([r.s for r in short]), "id string, start int, end int, seq string")
     by_file: dict[int, list[str]] = {}
     for r in short:
         by_file.setdefault(r.of, []).append(r.s)
+    spans = spans.withColumn("b", F.explode(F.expr("sequence(b, b + step * (n - 1), step)"))).select("pos", "of", "b", (F.col("b") + F.col("len") - 1).alias("e"))
     spans = spans.union(first.select("pos", "s").mapInArrow(embedded.all_spans(by_file), "pos long, of int, b int, e int")).distinct()
     kept = spans.select("pos", "b", "e").distinct()
     before = lambda *by: F.max("e").over(Window.partitionBy(*by).orderBy("b", F.desc("e")).rowsBetween(Window.unboundedPreceding, -1))

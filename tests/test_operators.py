@@ -283,6 +283,44 @@ def test_common_embedded_at_random(spark, monkeypatch):
     assert sent < 0.4 * len(text)
 
 
+def test_common_embedded_of_one_anchor(spark):
+    """Many texts that begin alike meet many records that have the beginning: what moves follows the rows, not the pairs."""
+    import random
+
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choices("ACGT", k=n))
+    start, m = letters(32), 120
+    texts = [start + letters(6) for _ in range(m)]
+    holders = [letters(9) + start + letters(20) for _ in range(m - 10)] + [letters(9) + t + letters(14) for t in texts[:10]]
+    df = recs(spark, *[(f"a{i}", s) for i, s in enumerate(holders)], file=0).union(recs(spark, *[(f"b{i}", s if i % 2 else iupac.revcomp(s)) for i, s in enumerate(texts)], file=1))
+    sc = spark.sparkContext
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    sc.setJobGroup("one_anchor", "common_embedded")
+    try:
+        got = sorted(one(R.common_embedded(df, 2, min_len=32), "id", "start", "end", "seq"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got == sorted((f"a{i}", 10, 47, s[9:47]) for i, s in enumerate(holders) if s[9:47] in texts) and len(got) >= 10
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup("one_anchor") for s in sc.statusTracker().getJobInfo(j).stageIds}
+    sent = sum(sc._jsc.sc().statusStore().lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+    assert 0 < sent < m * m / 2
+
+
+def test_rows_of_places(spark):
+    from strandloom.operators import embedded
+
+    assert list(embedded.rows_of([3, 4, 5, 9, 11, 13, 20])) == [(3, 1, 3), (9, 2, 3), (20, 1, 1)]
+    for c in ("A", "AT", "ACG"):  # long runs, held and holding
+        df = recs(spark, ("x", "C" + c * 200 + "GG" + c * 30), ("y", c * 20), file=0).union(recs(spark, ("p", c * 35), ("q", c * 40), file=1))
+        n = len(c)
+        got = sorted(one(R.common_embedded(df, 2, min_len=20), "id", "start", "end"))
+        text = "C" + c * 200 + "GG" + c * 30
+        spans = {(b + 1, b + len(t)) for s in (c * 35, c * 40) for t in (s, iupac.revcomp(s)) for b in range(len(text)) if text.startswith(t, b)}
+        want = [("x", b, e) for b, e in spans if not any((x, y) != (b, e) and x <= b and e <= y for x, y in spans)]
+        assert got == sorted([*want, ("y", 1, 20 * n)])
+
+
 def test_loci_of_narrow_rows(spark):
     from strandloom.operators import bam
 
